@@ -239,5 +239,87 @@ def with_views(sql: str, *views: str) -> str:
     """Prefix an oracle query with the fixture views it uses as CTEs."""
     if not views:
         return sql.strip()
-    ctes = ",\n".join(f"{v} AS ({VIEW_SQL[v].strip()})" for v in views)
-    return f"WITH {ctes}\n{sql.strip()}"
+    views = list(views)
+    if "fx_scores" in views and "fx_responses" not in views:
+        views.insert(0, "fx_responses")
+
+    def body(v):
+        return fx_scores_sql() if v == "fx_scores" else VIEW_SQL[v].strip()
+
+    ctes = ",\n".join(f"{v} AS ({body(v)})" for v in views)
+    sql = sql.strip()
+    if sql[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{sql[5:]}"
+    return f"WITH {ctes}\n{sql}"
+
+
+# ---------------------------------------------------------------------------
+# fx_scores: the long score table of the analysis layer, derived from
+# fx_responses (accuracy, rar = 1 - rer, llm-judge) with display names.
+# ---------------------------------------------------------------------------
+# Fixture display names for the four fixture models, and the dataset renames
+# that line the fixture names up with the category dictionary.
+FIXTURE_MODEL_NAMES = {"model-0": "llama-3.1-8B", "model-1": "qwen2.5-72B",
+                       "model-2": "mistral-7B", "model-3": "deepseek-llama-70B"}
+FIXTURE_DATASET_NAMES = {"cqsa": "commonsenseqa", "gsm8k": "gsm8k-main"}
+
+
+def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polyeval.operators import analysis as A
+    from polyeval.operators import scoring as S
+
+    r = fx_responses(spark, sf_dir)
+    keys = ("dataset", "lang", "model")
+    c = S.strip_reasoning(F.col("response"))
+    verdict = (F.when(c == "", F.lit("")).when(c == F.coalesce(F.col("ground_truth"), F.lit("")), "Correct")
+               .otherwise("Incorrect"))
+    judged = S.judge_accuracy(r.select(*keys, verdict.alias("judge_verdict")), keys)
+    t = S.score_table(r, keys).join(judged, list(keys))
+    long = t.select(*keys, F.expr("stack(3, 'accuracy', accuracy, 'rer', rer, 'llm-judge', judge_accuracy)"
+                                  " AS (metric_type, score)"))
+    long = A.adherence(long)
+    ds = F.coalesce(F.try_element_at(A.map_lit(FIXTURE_DATASET_NAMES), F.col("dataset")), F.col("dataset"))
+    model = F.try_element_at(A.map_lit(FIXTURE_MODEL_NAMES), F.col("model"))
+    long = long.withColumn("dataset", ds).withColumn("model", model)
+    return long.select(
+        "lang", "dataset",
+        F.try_element_at(A.map_lit(A.CATEGORY_MAP), F.col("dataset")).alias("dataset_category"),
+        "model", A.model_family("model").alias("model_family"), A.model_size("model").alias("model_size"),
+        "metric_type", "score")
+
+
+def _case_map(mapping: dict, x: str, default: str) -> str:
+    def q(s):
+        return "'" + s.replace("'", "''") + "'"
+    whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in mapping.items())
+    return f"(CASE {x} {whens} ELSE {default} END)"
+
+
+def fx_scores_sql() -> str:
+    from polyeval.operators import analysis as A
+    from polyeval.plans import oracle as O
+
+    judge = f"""SELECT dataset, lang, model,
+               coalesce(CAST(count(*) FILTER (WHERE verdict = 'Correct') AS DOUBLE) / count(*), 0.0) AS judge_accuracy
+        FROM (SELECT dataset, lang, model,
+                     CASE WHEN c = '' THEN '' WHEN c = coalesce(ground_truth, '') THEN 'Correct' ELSE 'Incorrect' END AS verdict
+              FROM (SELECT f.*, {O.clean('f.response')} AS c FROM fx_responses f) x) y
+        GROUP BY dataset, lang, model"""
+    t = f"SELECT s.*, j.judge_accuracy FROM ({O.score_table_sql()}) s JOIN ({judge}) j USING (dataset, lang, model)"
+    long = f"""SELECT dataset, lang, model, 'accuracy' AS metric_type, accuracy AS score FROM t0
+               UNION ALL SELECT dataset, lang, model, 'rar', 1 - rer FROM t0
+               UNION ALL SELECT dataset, lang, model, 'llm-judge', judge_accuracy FROM t0"""
+    ds = _case_map(FIXTURE_DATASET_NAMES, "dataset", "dataset")
+    model = _case_map(FIXTURE_MODEL_NAMES, "model", "NULL")
+    named = f"SELECT lang, {ds} AS dataset, {model} AS model, metric_type, score FROM l0"
+    up = "upper(model)"
+    size = (f"CASE WHEN regexp_matches({up}, '(\\d+)(B|M)') THEN "
+            f"CAST(regexp_extract({up}, '(\\d+)(B|M)', 1) AS BIGINT) * "
+            f"(CASE WHEN regexp_extract({up}, '(\\d+)(B|M)', 2) = 'M' THEN 1000 ELSE 1000000 END) END")
+    return f"""WITH t0 AS ({t}), l0 AS ({long}), n0 AS ({named})
+SELECT lang, dataset, {_case_map(A.CATEGORY_MAP, 'dataset', 'NULL')} AS dataset_category, model,
+       split_part(model, '-', 1) AS model_family, {size} AS model_size, metric_type, score
+FROM n0"""
+
+
+VIEW_SQL["fx_scores"] = "SELECT * FROM (" + "{fx_scores}" + ") z"

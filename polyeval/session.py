@@ -25,6 +25,7 @@ SCALE_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
