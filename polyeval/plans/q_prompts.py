@@ -121,7 +121,9 @@ def q_choices_map(spark, sf):
 FROM fx_items"""))
 def q_choices_literal(spark, sf):
     i = fx_items(spark, sf)
-    lit = lambda a: F.concat(F.lit("['"), F.array_join(a, "', '"), F.lit("']"))
+    def lit(a):  # Python's repr of a list of strings
+        return F.when(F.size(a) == 0, F.lit("[]")).otherwise(
+            F.concat(F.lit("['"), F.array_join(a, "', '"), F.lit("']")))
     i = i.select("doc_id", "lang", "stem", lit(F.col("choices")).alias("choices_text"),
                  lit(F.col("labels")).alias("choices_label"))
     parsed = i.withColumn("c", P.parse_list_literal(F.col("choices_text"))) \
