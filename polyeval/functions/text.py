@@ -98,19 +98,18 @@ def strip_notes(x) -> Column:
 
 
 def normalize_whitespace(x, form: str = "a") -> Column:
-    """(a) all blanks to one space; (b) also tight braces and
-    ``': '``/``', '``; (c) tight around ``{}[]:,``."""
-    t = collapse_blanks(x)
+    """(a) all blanks to one, stripped; (b) then tight braces and
+    ``': '``/``', '``; (c) first tight around ``{}[]:,``, then (a)."""
     if form == "a":
-        return t
+        return collapse_blanks(x)
     if form == "b":
-        t = F.regexp_replace(t, r"\{ ", "{")
-        t = F.regexp_replace(t, r" \}", "}")
+        t = collapse_blanks(x)
+        t = F.regexp_replace(t, r" *\{ *", "{")
+        t = F.regexp_replace(t, r" *\} *", "}")
         t = F.regexp_replace(t, r" *: *", ": ")
-        t = F.regexp_replace(t, r" *, *", ", ")
-        return t
+        return F.regexp_replace(t, r" *, *", ", ")
     if form == "c":
-        return F.regexp_replace(t, r" *([{}\[\]:,]) *", "$1")
+        return collapse_blanks(F.regexp_replace(_c(x), rf"{WS_CLASS}*([{{}}\[\]:,]){WS_CLASS}*", "$1"))
     raise ValueError(f"unknown whitespace form {form!r}")
 
 
@@ -206,3 +205,181 @@ def prompt_text(system, prompt) -> Column:
 def file_safe_name(x) -> Column:
     """``/`` in a model name becomes ``-``."""
     return F.replace(_c(x), F.lit("/"), F.lit("-"))
+
+
+# Python's ``\w`` (letters, digits, underscore in any script) for Java and RE2
+WORD_CHAR = r"[\p{L}\p{N}_]"
+
+# ---------------------------------------------------------------------------
+# Latin-to-Bangla option labels used by the translation scripts
+# ---------------------------------------------------------------------------
+OPTION_LABELS_BN = {"(A)": "(ক)", "(B)": "(খ)", "(C)": "(গ)", "(D)": "(ঘ)", "(E)": "(ঙ)", "(F)": "(চ)"}
+LETTERS_BN = {"A": "ক", "B": "খ", "C": "গ", "D": "ঘ", "E": "ঙ", "F": "চ"}
+
+
+def map_option_prefix(options, mapping: dict = OPTION_LABELS_BN) -> Column:
+    """A leading ``(X)`` of each option is replaced by its mapped label;
+    the rest is left-stripped and joined with one blank. Others are kept."""
+    pat = rf"^\({WORD_CHAR}\)"
+    m = F.create_map(*[F.lit(v) for kv in mapping.items() for v in kv])
+
+    def one(o):
+        lab = F.regexp_extract(o, rf"^(\({WORD_CHAR}\))", 1)
+        rest = F.regexp_replace(F.substring(o, 4, 1 << 30), rf"^{WS_CLASS}+", "")
+        return F.when(o.rlike(pat), F.concat(F.coalesce(F.try_element_at(m, lab), lab), F.lit(" "), rest)) \
+            .otherwise(o)
+    return F.transform(_c(options), one)
+
+
+def map_solution_labels(solution, letters: dict = LETTERS_BN) -> Column:
+    """``Answer :`` becomes ``উত্তর :`` and each `` X`` its Bangla letter."""
+    t = F.replace(_c(solution), F.lit("Answer :"), F.lit("উত্তর :"))
+    for a, b in letters.items():
+        t = F.replace(t, F.lit(" " + a), F.lit(" " + b))
+    return t
+
+
+def options_from_text(text, mapping: dict = OPTION_LABELS_BN) -> Column:
+    """After the first ``Options:``, every ``(X) text`` becomes
+    ``mapped(X) text``; a text without ``Options:`` raises."""
+    t = _c(text)
+    # text after the first "Options:" only
+    after = F.substring(t, F.locate("Options:", t) + len("Options:"), 1 << 30)
+    pat = rf"(?d)\(({WORD_CHAR})\){WS_CLASS}+(.+)"
+    labels = F.regexp_extract_all(after, F.lit(pat), 1)
+    texts = F.regexp_extract_all(after, F.lit(pat), 2)
+    m = F.create_map(*[F.lit(v) for kv in mapping.items() for v in kv])
+    z = F.arrays_zip(labels.alias("l"), texts.alias("t"))
+    out = F.transform(z, lambda e: F.concat(
+        F.coalesce(F.try_element_at(m, F.concat(F.lit("("), e["l"], F.lit(")"))),
+                   F.concat(F.lit("("), e["l"], F.lit(")"))), F.lit(" "), py_strip(e["t"])))
+    return F.when(F.locate("Options:", t) > 0, out).otherwise(
+        F.raise_error(F.lit("text has no 'Options:' section")))
+
+
+# ---------------------------------------------------------------------------
+# B35 built-in language detector: stop-word counts per language as column
+# expressions (a user detector can replace it; see operators.repair).
+# ---------------------------------------------------------------------------
+STOPWORDS = {
+    "en": ["the", "and", "of", "to", "in", "is", "that", "it", "was", "for", "with", "as", "on", "are"],
+    "fr": ["le", "la", "les", "des", "et", "un", "une", "du", "de", "est", "que", "qui", "dans", "pour"],
+    "de": ["der", "die", "das", "und", "zu", "ist", "nicht", "ein", "eine", "von", "mit", "den", "sich", "auf"],
+    "es": ["el", "los", "las", "y", "en", "un", "una", "es", "que", "por", "con", "para", "del", "se"],
+}
+
+
+def stopword_counts(text) -> dict[str, Column]:
+    words = F.split(F.lower(F.coalesce(_c(text), F.lit(""))), r"[^\p{L}]+")
+    out = {}
+    for lang, sw in STOPWORDS.items():
+        lst = F.array(*[F.lit(w) for w in sw])
+        out[lang] = F.size(F.filter(words, lambda w: F.array_contains(lst, w)))
+    return out
+
+
+def detect_language(text) -> Column:
+    """Language with the most stop words (first in list order on ties);
+    'und' when none is found."""
+    counts = stopword_counts(text)
+    best = F.greatest(*counts.values())
+    res = F.lit("und")
+    for lang in reversed(list(counts)):
+        res = F.when((counts[lang] == best) & (best > 0), F.lit(lang)).otherwise(res)
+    return res
+
+
+def detection_text(*parts) -> Column:
+    """Fields and list elements joined by blanks (missing = '')."""
+    cols = []
+    for p in parts:
+        c = _c(p)
+        cols.append(F.coalesce(c, F.lit("")))
+    return F.concat_ws(" ", *cols)
+
+
+# ---------------------------------------------------------------------------
+# JSON: strict parsing, field defaults, response records
+# ---------------------------------------------------------------------------
+def parse_json_strict(x, schema: str) -> Column:
+    """Parse a JSON object; null on failure.
+
+    Spark's reader is more lenient than Python's ``json.loads``; the gaps of
+    SURVEY 2.1 are closed here: single quotes are off, a broken record is
+    detected through the corrupt-record column, and text after the closing
+    brace is rejected by requiring the stripped text to start with ``{`` and
+    end with ``}``.
+    """
+    t = py_strip(_c(x))
+    full = schema[:-1] + ",_corrupt_record:string>" if schema.startswith("struct<") else schema
+    p = F.from_json(t, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record",
+                              "allowSingleQuotes": "false", "allowUnquotedControlChars": "false"})
+    ok = p.isNotNull() & p["_corrupt_record"].isNull() & t.startswith("{") & t.endswith("}")
+    fields = [f.split(":", 1)[0] for f in _split_fields(schema[len("struct<"):-1])]
+    return F.when(ok, F.struct(*[p[f].alias(f) for f in fields]))
+
+
+def _split_fields(body: str) -> list[str]:
+    out, depth, cur = [], 0, ""
+    for ch in body:
+        if ch == "<":
+            depth += 1
+        elif ch == ">":
+            depth -= 1
+        if ch == "," and depth == 0:
+            out.append(cur)
+            cur = ""
+        else:
+            cur += ch
+    if cur:
+        out.append(cur)
+    return out
+
+
+def patch_field_gaps(x, schema: str, text_fields: list[str], list_fields: list[str],
+                     blank_key: str = "label") -> Column:
+    """``"label": ,`` becomes ``"label": null,``; missing list fields
+    become ``[]``, text fields are stripped (missing = '')."""
+    fixed = F.regexp_replace(_c(x), rf'"{blank_key}":{WS_CLASS}*,', f'"{blank_key}": null,')
+    p = parse_json_strict(fixed, schema)
+    fields = [f.split(":", 1)[0] for f in _split_fields(schema[len("struct<"):-1])]
+    cols = []
+    for f in fields:
+        c = p[f]
+        if f in text_fields:
+            c = py_strip(F.coalesce(c, F.lit("")))
+        elif f in list_fields:
+            c = F.coalesce(c, F.array().cast("array<string>"))
+        cols.append(c.alias(f))
+    return F.when(p.isNotNull(), F.struct(*cols))
+
+
+def project_pair(parsed, keys: list[str]) -> dict[str, Column]:
+    """Keep some fields of a parsed record, stripped, missing = ''."""
+    return {k: py_strip(F.coalesce(_c(parsed)[k], F.lit(""))) for k in keys}
+
+
+def message_content(record) -> Column:
+    """``choices[0].message.content`` with a default at each level."""
+    first = F.try_element_at(_c(record)["choices"], F.lit(1))
+    return F.coalesce(first["message"]["content"], F.lit(""))
+
+
+def answer_letter(text, key, seed: int = 0, letters: str = "ABCDEFGHIJ") -> Column:
+    """``answer is (X)``; otherwise a letter drawn from (key + seed) so a
+    rerun gives the same guess."""
+    pat = r"answer is \(?([ABCDEFGHIJ])\)?"
+    t = F.coalesce(_c(text), F.lit(""))
+    guess = F.substring(F.lit(letters), (F.pmod(_c(key) + F.lit(seed), F.lit(len(letters))) + 1).cast("int"), 1)
+    return F.when(t.rlike(pat), F.regexp_extract(t, pat, 1)).otherwise(guess)
+
+
+def zip_to_map(keys, values) -> Column:
+    """``dict(zip(keys, values))``: later duplicates win, key order is the
+    first occurrence. Independent of ``spark.sql.mapKeyDedupPolicy``."""
+    k, v = _c(keys), _c(values)
+    n = F.least(F.size(k), F.size(v))
+    k, v = F.slice(k, 1, n), F.slice(v, 1, n)
+    uniq = F.array_distinct(k)
+    last = F.transform(uniq, lambda u: F.element_at(v, (F.size(k) - F.array_position(F.reverse(k), u) + 1).cast("int")))
+    return F.map_from_arrays(uniq, last)
