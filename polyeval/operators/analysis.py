@@ -209,7 +209,7 @@ def learning_curve_auc(acc_by_size: DataFrame, size: str = "train_size",
     Input has one row per size (a handful), so the window is tiny."""
     x = F.log2(F.col(size).cast("double"))
     w = Window.orderBy(size)
-    d = acc_by_size.select(x.alias("x"), F.col(acc).alias("y"))
+    d = acc_by_size.select(F.col(size), x.alias("x"), F.col(acc).alias("y"))
     d = d.withColumn("px", F.lag("x").over(w)).withColumn("py", F.lag("y").over(w))
     return d.agg(rnd(F.sum((F.col("x") - F.col("px")) * (F.col("y") + F.col("py")) / 2)
                      / (F.max("x") - F.min("x"))).alias("auc"))
