@@ -1 +1,108 @@
-"""Registered queries."""
+"""Registered repair and log queries (B32, J6, C7, D3/D4 on repairs, I1-I5)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from polyeval.functions import text as X
+from polyeval.operators import joins as J
+from polyeval.operators import repair as RP
+from polyeval.plans import oracle as O
+from polyeval.plans.catalog import register
+from polyeval.plans.fixtures import fx_chat, fx_log, fx_messages, table, with_views
+from polyeval.plans.oracle import q
+
+SCHEMA = "struct<question:string,answer:string>"
+KEYS = ["question", "answer"]
+_tag_pat = "(?s)<bangla_translation>(.*?)</bangla_translation>"
+_TRANSLATION_SQL = O.strip(
+    f"split_part((CASE WHEN regexp_matches(message, {q(_tag_pat)}) THEN "
+    f"{O.strip(f'regexp_extract(message, {q(_tag_pat)}, 1)')} ELSE message END), '<translator_notes>', 1)")
+
+
+def _translations(spark, sf):
+    m = fx_messages(spark, sf)
+    return m.select("idx", "original", X.strip_notes(X.extract_tag("message", "bangla_translation", "whole"))
+                    .alias("translation"))
+
+
+# --- I1 index per log line --------------------------------------------------------------------
+register("log_error_index", with_views(" UNION ALL ".join(
+    f"SELECT line_no, '{k}' AS kind, CAST(regexp_extract(line, {q(p)}, 1) AS BIGINT) AS idx FROM fx_log "
+    f"WHERE regexp_matches(line, {q(p)})" for k, p in RP.LOG_PATTERNS), "fx_log"))(
+    lambda spark, sf: RP.log_error_index(fx_log(spark, sf)))
+
+register("log_affected_indexes", with_views("SELECT idx, min(kind) AS kind FROM (" + " UNION ALL ".join(
+    f"SELECT '{k}' AS kind, CAST(regexp_extract(line, {q(p)}, 1) AS BIGINT) AS idx FROM fx_log "
+    f"WHERE regexp_matches(line, {q(p)})" for k, p in RP.LOG_PATTERNS) + ") x GROUP BY idx", "fx_log"))(
+    lambda spark, sf: RP.log_error_index(fx_log(spark, sf), dedupe=True))
+
+# --- I2 / I3 detection lines ------------------------------------------------------------------------
+register("log_drop_kind", with_views(
+    "SELECT line_no, line FROM fx_log WHERE NOT contains(line, 'Detected English entry')", "fx_log"))(
+    lambda spark, sf: RP.log_drop_kind(fx_log(spark, sf)))
+
+STAMP = "2024-01-02 00:00:00,000"
+_ratio = "(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(text) END)"
+
+
+def _detected_sql():
+    from polyeval.plans.q_text import _detect_sql
+    return f"SELECT doc_id FROM documents WHERE coalesce({_ratio} >= 0.3, false) AND {_detect_sql('text')} = 'en'"
+
+
+register("log_append_detection", with_views(f"""SELECT line FROM fx_log WHERE NOT contains(line, 'Detected English entry')
+UNION ALL SELECT '{STAMP}:ERROR:Detected English entry at index ' || CAST(doc_id AS VARCHAR) || '. Using original entry.'
+FROM ({_detected_sql()}) d""", "fx_log"))(
+    lambda spark, sf: RP.log_append_detection(
+        fx_log(spark, sf),
+        table(spark, sf, "documents").where(X.ascii_flag("text") & (X.detect_language("text") == "en"))
+        .select(F.col("doc_id").alias("idx")), STAMP))
+
+
+# --- I5 bodies of batch output lines ------------------------------------------------------------------
+def _batch_lines(spark, sf):
+    c = fx_chat(spark, sf)
+    msg = F.array(F.struct(F.struct(F.lit("assistant").alias("role"), F.col("response").alias("content"))
+                           .alias("message")))
+    body = F.when(F.col("turn") % 4 != 0, F.struct(msg.alias("choices")))
+    line = F.to_json(F.struct(F.concat(F.lit("task-"), F.col("conv_id").cast("string"), F.lit("-"),
+                                       F.col("turn").cast("string")).alias("custom_id"),
+                              F.struct(F.lit(200).alias("status_code"), body.alias("body")).alias("response")))
+    return c.select("conv_id", "turn", line.alias("line"))
+
+
+register("extract_body", with_views(
+    "SELECT conv_id, turn, response AS content FROM fx_chat WHERE turn % 4 <> 0", "fx_chat"))(
+    lambda spark, sf: RP.extract_body(_batch_lines(spark, sf)).select("conv_id", "turn", "content"))
+
+# --- C7 lines whose JSON does not parse -----------------------------------------------------------------
+register("filter_broken_json", with_views(f"""SELECT idx FROM (SELECT idx, {_TRANSLATION_SQL} AS t FROM fx_messages) x
+WHERE NOT (json_valid(t) AND starts_with(t, '{{') AND ends_with(t, '}}'))""", "fx_messages"))(
+    lambda spark, sf: _translations(spark, sf).where(
+        X.parse_json_strict(F.col("translation"), SCHEMA).isNull()).select("idx"))
+
+
+# --- B32 / J6 attempt chain; I4 report; D3 fallback on failures (rows-only: no RE2 oracle) ------------------
+def _attempts(spark, sf, family="Q", **kw):
+    return RP.repair_attempts(_translations(spark, sf), "translation", SCHEMA, KEYS, family, **kw)
+
+
+register("repair_json")(lambda spark, sf: _attempts(spark, sf).select(
+    "idx", "status", F.col("parsed.question").alias("question"), F.col("parsed.answer").alias("answer")))
+register("repair_json_sentences")(lambda spark, sf: _attempts(spark, sf, "S", extra=[RP.r10]).select(
+    "idx", "status", F.col("parsed.question").alias("question")))
+register("repair_json_tasks")(lambda spark, sf: _attempts(spark, sf, "T").select(
+    "idx", "status", F.col("parsed.question").alias("question")))
+register("repair_report")(lambda spark, sf: RP.repair_report(_attempts(spark, sf)))
+
+
+@register("translations_table")
+def q_translations(spark, sf):
+    """Final table: repaired translation where there is one, the original
+    record otherwise (D3), keyed by index over all documents."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"),
+                                                F.substring("text", 1, 80).alias("question"))
+    a = _attempts(spark, sf).where(F.col("status") != "failed").select(
+        "idx", F.col("parsed.question").alias("question"))
+    return J.fallback_to_original(docs, a, "idx", ["question"])
