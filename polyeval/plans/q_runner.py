@@ -1 +1,203 @@
-"""Registered queries."""
+"""Registered runner queries (J1-J4, J7, B51-B52, E3 via J2, E7, E18).
+
+The model is a user callable; the registered queries use deterministic
+stand-ins so that results can be checked: the chat model answers with the
+start of the prompt, fails once with a rate-limit error on some ids and
+always with a server error on others; the judge compares answer and truth;
+the translator returns tagged JSON and leaves the tag out on some ids unless
+called again at temperature 1.0. No call sleeps (injected no-op).
+"""
+
+from __future__ import annotations
+
+import json
+import threading
+
+from pyspark.sql import functions as F
+
+from polyeval.functions import prompts as P
+from polyeval.functions import text as X
+from polyeval.operators import joins as J
+from polyeval.operators import runner as RN
+from polyeval.operators import scoring as S
+from polyeval.plans import oracle as O
+from polyeval.plans.catalog import register
+from polyeval.plans.fixtures import fx_chat, fx_responses, table, with_views
+
+TRIES = 3
+NO_SLEEP = dict(sleep=lambda s: None, clock=lambda: 0.0, max_tries=TRIES, partitions=4)
+
+
+class EchoModel:
+    """Stand-in chat model: ``ANSWER:`` + the first 20 characters."""
+
+    def __init__(self):
+        self.seen = {}
+        self.lock = threading.Lock()
+
+    def __getstate__(self):  # shipped to executors without the lock
+        return {"seen": {}}
+
+    def __setstate__(self, state):
+        self.seen = state["seen"]
+        self.lock = threading.Lock()
+
+    def __call__(self, conv_id, turn, prompt):
+        with self.lock:
+            n = self.seen.get((conv_id, turn), 0) + 1
+            self.seen[(conv_id, turn)] = n
+        if conv_id % 17 == 0:
+            raise RuntimeError("Error code: 500 status_code=500 server error")
+        if conv_id % 5 == 0 and n == 1:
+            raise RuntimeError("Error code: 429 rate limit exceeded")
+        return "ANSWER:" + (prompt or "")[:20]
+
+
+def _runs(spark, sf):
+    c = fx_chat(spark, sf).select("conv_id", "turn", "prompt")
+    return RN.batch_infer(c, EchoModel(), ["conv_id", "turn", "prompt"], "conv_id", **NO_SLEEP)
+
+
+_RUNS_SQL = f"""SELECT conv_id, turn,
+  CASE WHEN conv_id % 17 = 0 THEN NULL ELSE 'ANSWER:' || substr(coalesce(prompt, ''), 1, 20) END AS response,
+  CASE WHEN conv_id % 17 = 0 THEN 'Error code: 500 status_code=500 server error'
+       WHEN conv_id % 5 = 0 THEN 'Error code: 429 rate limit exceeded' END AS error,
+  CAST(CASE WHEN conv_id % 17 = 0 THEN {TRIES} WHEN conv_id % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts,
+  conv_id % 17 <> 0 AS ok, CAST(0.0 AS DOUBLE) AS duration
+FROM fx_chat"""
+
+register("batch_infer", with_views(f"SELECT conv_id, turn, response, error, attempts, ok FROM ({_RUNS_SQL}) r",
+                                   "fx_chat"))(
+    lambda spark, sf: _runs(spark, sf).select("conv_id", "turn", "response", "error", "attempts", "ok"))
+
+register("filter_failed_runs", with_views(f"SELECT conv_id, turn FROM ({_RUNS_SQL}) r WHERE response IS NULL",
+                                          "fx_chat"))(
+    lambda spark, sf: J.filter_failed(_runs(spark, sf)).select("conv_id", "turn"))
+
+register("run_summary", with_views(f"""SELECT count(*) FILTER (WHERE ok) AS successes, count(*) FILTER (WHERE NOT ok) AS failures,
+  avg(duration) AS avg_duration, avg(attempts) AS avg_attempts FROM ({_RUNS_SQL}) r""", "fx_chat"))(
+    lambda spark, sf: RN.run_summary(_runs(spark, sf)))
+
+register("time_per_entry", with_views(f"""SELECT sum(duration) AS total_time, sum(duration) / least(count(*), 5) AS time_per_entry
+FROM ({_RUNS_SQL}) r""", "fx_chat"))(lambda spark, sf: RN.time_per_entry(_runs(spark, sf), cap=5))
+
+register("classify_error", with_views(f"""SELECT conv_id, turn,
+  contains(lower(coalesce(error, '')), 'rate limit') OR contains(coalesce(error, ''), '429') AS rate_limited,
+  CASE WHEN contains(coalesce(error, ''), 'status_code=') THEN
+       TRY_CAST(regexp_extract(coalesce(error, ''), 'status_code=(\\S+)', 1) AS INTEGER) END AS status_code
+FROM ({_RUNS_SQL}) r""", "fx_chat"))(
+    lambda spark, sf: _runs(spark, sf).select("conv_id", "turn", RN.is_rate_limit(F.col("error")).alias("rate_limited"),
+                                              RN.status_code(F.col("error")).alias("status_code")))
+
+
+@register("backoff_schedule", with_views(f"""SELECT conv_id, turn, n AS attempt,
+  round(least(60.0, (CASE WHEN rl THEN 3.0 * pow(2.0, n - 1) ELSE 2.0 * pow(1.5, n - 1) END)
+        * (0.8 + 0.4 * (((conv_id * 1000 + turn) * 7919 + n * 104729) % 1000) / 1000.0)), 10) AS seconds
+FROM (SELECT conv_id, turn, unnest(range(1, attempts)) AS n,
+             contains(lower(coalesce(error, '')), 'rate limit') OR contains(coalesce(error, ''), '429') AS rl
+      FROM ({_RUNS_SQL}) r WHERE attempts > 1) x""", "fx_chat"))
+def q_backoff(spark, sf):
+    r = _runs(spark, sf).where(F.col("attempts") > 1)
+    e = r.select("conv_id", "turn", RN.is_rate_limit(F.col("error")).alias("rl"),
+                 F.explode(F.sequence(F.lit(1), F.col("attempts") - 1)).alias("attempt"))
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    return e.select("conv_id", "turn", "attempt", F.round(RN.backoff(
+        F.col("attempt"), F.col("rl"), RN.jitter(key, F.col("attempt"))), 10).alias("seconds"))
+
+
+# --- J7 rate limit: calls are spaced by the bucket (virtual clock) -----------------------------------
+@register("rate_limited_infer", with_views(f"SELECT conv_id, turn, response FROM ({_RUNS_SQL}) r", "fx_chat"))
+def q_rate_limited(spark, sf):
+    c = fx_chat(spark, sf).select("conv_id", "turn", "prompt")
+    kw = dict(NO_SLEEP, calls_per_minute=1e9)
+    return RN.batch_infer(c, EchoModel(), ["conv_id", "turn", "prompt"], "conv_id", **kw) \
+        .select("conv_id", "turn", "response")
+
+
+# --- J2 judge and E3 over its verdicts -------------------------------------------------------------
+def rule_judge(prompt, truth, answer):
+    if "not sure" in (answer or ""):
+        raise RuntimeError(RN.TOKEN_LIMIT_TEXT)
+    verdict = "Correct" if answer == truth else "Incorrect"
+    return {"verdict": verdict, "reasoning": "compared with the reference answer"}
+
+
+def _judged(spark, sf):
+    r = fx_responses(spark, sf).select("question_id", "dataset", "lang", "model", "prompt", "ground_truth",
+                                       S.strip_reasoning(F.col("response")).alias("answer"))
+    return RN.judge(r, rule_judge, "prompt", "ground_truth", "answer", "question_id", **NO_SLEEP)
+
+
+_JUDGE_SQL = f"""SELECT question_id, dataset, lang, model,
+  CASE WHEN contains(c, 'not sure') THEN 'Incorrect' WHEN c = ground_truth THEN 'Correct' ELSE 'Incorrect' END AS judge_verdict,
+  CASE WHEN contains(c, 'not sure') THEN '{RN.TOKEN_LIMIT_TEXT}' ELSE 'compared with the reference answer' END AS judge_reasoning,
+  CASE WHEN contains(c, 'not sure') THEN '{RN.TOKEN_LIMIT_TEXT}' ELSE '' END AS judge_error
+FROM (SELECT f.*, {O.clean('f.response')} AS c FROM fx_responses f) x"""
+
+register("judge", with_views(f"SELECT question_id, judge_verdict, judge_reasoning, judge_error FROM ({_JUDGE_SQL}) j",
+                             "fx_responses"))(
+    lambda spark, sf: _judged(spark, sf).select("question_id", "judge_verdict", "judge_reasoning", "judge_error"))
+
+register("judge_accuracy_runner", with_views(f"""SELECT dataset, lang, model,
+  coalesce(CAST(count(*) FILTER (WHERE judge_verdict = 'Correct') AS DOUBLE) / count(*), 0.0) AS judge_accuracy
+FROM ({_JUDGE_SQL}) j GROUP BY dataset, lang, model""", "fx_responses"))(
+    lambda spark, sf: S.judge_accuracy(_judged(spark, sf), ("dataset", "lang", "model")))
+
+
+# --- J3 translate, J4 retry ----------------------------------------------------------------------------
+GUIDE = "Translate the JSON values above into Bangla. Keep the keys."
+
+
+class FakeTranslator:
+    """Digits to Bangla digits and a prefix; fails on some ids; leaves out
+    the tags on others unless the temperature is 1.0."""
+
+    def __call__(self, request, temperature=0.0):
+        body = request.split("<english_text>\n", 1)[1].split("\n</english_text>", 1)[0]
+        fields = json.loads(body)
+        idx = int(fields["idx"])
+        if idx % 13 == 0:
+            raise RuntimeError("Error code: 503 status_code=503 unavailable")
+        q = "বাংলা: " + (fields["question"] or "").translate(str.maketrans("0123456789", "০১২৩৪৫৬৭৮৯"))
+        out = json.dumps({"question": q}, ensure_ascii=False)
+        if idx % 7 == 0 and temperature != 1.0:
+            return out  # no tags: the whole message is kept and must parse on its own
+        return f"ok <bangla_translation>\n{out}\n</bangla_translation><translator_notes>n</translator_notes>"
+
+
+def _requests(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.substring("text", 1, 60).alias("question"))
+    req = P.translation_request({"idx": F.col("idx"), "question": F.col("question")}, GUIDE, "dumped")
+    return d.select("idx", "question", req.alias("request"))
+
+
+def _parsed(df):
+    t = X.strip_notes(X.extract_tag("message", "bangla_translation", "whole"))
+    return df.withColumn("translated", X.parse_json_strict(t, "struct<question:string>")["question"])
+
+
+def _translated(spark, sf):
+    fake = FakeTranslator()
+    return _parsed(RN.translate(_requests(spark, sf), fake, "request", "idx", **NO_SLEEP))
+
+
+def _final(df):
+    return df.select("idx", F.coalesce("translated", "question").alias("question"),
+                     F.when(F.col("translated").isNotNull(), "translated").otherwise("original").alias("status"))
+
+
+_TR_SQL = """SELECT doc_id AS idx,
+  CASE WHEN doc_id % 13 = 0 THEN substr(text, 1, 60)
+       ELSE 'বাংলা: ' || translate(substr(text, 1, 60), '0123456789', '০১২৩৪৫৬৭৮৯') END AS question,
+  CASE WHEN doc_id % 13 = 0 THEN 'original' ELSE 'translated' END AS status
+FROM documents"""
+register("translate", _TR_SQL)(lambda spark, sf: _final(_translated(spark, sf)))
+
+
+@register("retry_translate", _TR_SQL)
+def q_retry(spark, sf):
+    first = _translated(spark, sf)
+    fake = FakeTranslator()
+    both = RN.retry_translate(first, F.col("translated").isNull(), lambda r, t: fake(r, t), "request", "idx",
+                              temperature=1.0, **NO_SLEEP)
+    return _final(_parsed(both.drop("translated")))
