@@ -35,12 +35,11 @@ register("response_error_rate", _sql("dataset, lang, model, rer"))(
 # one key per rule variant, restricted to the rows that use it
 for _v in S.VARIANTS:
     def _mk(v):
-        cond = S.variant("dataset", "lang") == v
         wsql = f"{O.variant('dataset', 'lang')} = '{v}'"
         register(f"accuracy_{v}", _sql("dataset, lang, model, accuracy", wsql))(
-            lambda spark, sf: _table(spark, sf, cond).select(*KEYS, "accuracy"))
+            lambda spark, sf: _table(spark, sf, S.variant("dataset", "lang") == v).select(*KEYS, "accuracy"))
         register(f"rer_{v}", _sql("dataset, lang, model, rer", wsql))(
-            lambda spark, sf: _table(spark, sf, cond).select(*KEYS, "rer"))
+            lambda spark, sf: _table(spark, sf, S.variant("dataset", "lang") == v).select(*KEYS, "rer"))
     _mk(_v)
 
 
