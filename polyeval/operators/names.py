@@ -331,18 +331,19 @@ def import_scores(files: DataFrame) -> DataFrame:
     return A.last_value_wins(p, ["lang", "dataset", "model", "metric_type"], "score", "path")
 
 
-def import_sql() -> str:
+def import_sql(exclude: str | None = None) -> str:
     f = file_sql("path")
     ds = f"regexp_extract({f}, {q(NAME_PATTERN)}, 1)"
     mdl = f"regexp_extract({f}, {q(NAME_PATTERN)}, 2)"
     met = f"regexp_extract({f}, {q(NAME_PATTERN)}, 3)"
     from polyeval.plans import oracle as O
     num = f"TRY_CAST({O.strip('content')} AS DOUBLE)"
+    skip = f" AND NOT contains(path, {q(exclude)})" if exclude else ""
     return f"""SELECT lang, dataset, model, metric_type, arg_max(score, path) AS score FROM (
   SELECT path, {lang_from_folder_sql(folder_sql('path'))} AS lang,
          {rename_sql(normalize_model_sql(mdl), MODEL_RENAMING)} AS model,
          {rename_sql(ds, DATASET_RENAMING)} AS dataset, {metric_type_sql(met)} AS metric_type, {num} AS score
-  FROM ({result_files_sql()}) f WHERE regexp_matches({f}, {q(NAME_PATTERN)})) x
+  FROM ({result_files_sql()}) f WHERE regexp_matches({f}, {q(NAME_PATTERN)}){skip}) x
 WHERE model IS NOT NULL AND dataset IS NOT NULL AND metric_type IS NOT NULL AND score IS NOT NULL
 GROUP BY lang, dataset, model, metric_type"""
 

@@ -1 +1,227 @@
-"""Registered queries."""
+"""Registered source/sink queries.
+
+Each query writes fixture data derived from the driver tables to a fresh
+folder under the shared checkpoint folder with the engine's sinks, reads it
+back with the engine's readers and returns what was read, so the oracle can
+compare the round trip with the source rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from polyeval.functions import text as X
+from polyeval.operators import ids as I
+from polyeval.operators import names as N
+from polyeval.plans import oracle as O
+from polyeval.plans.catalog import register
+from polyeval.plans.fixtures import fx_messages, fx_responses, fx_scores, table, with_views
+from polyeval.plans.oracle import q
+from polyeval.session import scratch_path
+from polyeval.sources import files as FS
+from polyeval.sources import registry as REG
+from polyeval.sources import sinks as SK
+
+RESP_COLS = ["question_id", "dataset", "model", "lang", "system_prompt", "prompt", "response", "ground_truth", "idx"]
+RESP_SCHEMA = T.StructType([T.StructField(c, T.LongType() if c in ("question_id", "idx") else T.StringType())
+                            for c in RESP_COLS])
+_RESP_SQL = "SELECT " + ", ".join(RESP_COLS) + " FROM fx_responses"
+
+
+# --- A1 JSON lines ------------------------------------------------------------------------------------
+@register("scan_jsonl", with_views(_RESP_SQL, "fx_responses"))
+def q_scan_jsonl(spark, sf):
+    path = scratch_path(spark, "jsonl")
+    SK.write_jsonl(fx_responses(spark, sf), path, "idx")
+    return FS.read_jsonl(spark, path, RESP_SCHEMA)
+
+
+# --- A10 sink order checked through A3 line positions --------------------------------------------------
+@register("sink_jsonl", with_views(
+    "SELECT row_number() OVER (ORDER BY idx) - 1 AS line_no, question_id FROM fx_responses", "fx_responses"))
+def q_sink_jsonl(spark, sf):
+    path = scratch_path(spark, "jsonl-order")
+    SK.write_jsonl(fx_responses(spark, sf), path, "idx")
+    lines = FS.line_index(spark, path)
+    return lines.select("line_no", F.get_json_object("value", "$.question_id").cast("bigint").alias("question_id"))
+
+
+# --- A3 line index over whole documents written as text ---------------------------------------------------
+@register("line_index", """SELECT row_number() OVER (ORDER BY doc_id, ln) - 1 AS line_no, md5(line) AS line_md5 FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS ln
+  FROM documents) x""")
+def q_line_index(spark, sf):
+    path = scratch_path(spark, "lines")
+    table(spark, sf, "documents").orderBy("doc_id").select("text").write.mode("overwrite").text(path)
+    return FS.line_index(spark, path).select("line_no", F.md5("value").alias("line_md5"))
+
+
+# --- A2 tolerant JSON lines ------------------------------------------------------------------------------
+_TRANSLATION_SQL = O.strip(
+    "split_part((CASE WHEN regexp_matches(message, '(?s)<bangla_translation>(.*?)</bangla_translation>') THEN "
+    + O.strip("regexp_extract(message, '(?s)<bangla_translation>(.*?)</bangla_translation>', 1)")
+    + " ELSE message END), '<translator_notes>', 1)")
+_LINES_SQL = (f"SELECT row_number() OVER (ORDER BY idx) - 1 AS line_no, "
+              f"replace({_TRANSLATION_SQL}, chr(10), ' ') AS t FROM fx_messages")
+_OK_SQL = "json_valid(t) AND starts_with(t, '{') AND ends_with(t, '}')"
+
+
+def _tolerant(spark, sf):
+    m = fx_messages(spark, sf)
+    t = F.replace(X.strip_notes(X.extract_tag("message", "bangla_translation", "whole")), F.lit("\n"), F.lit(" "))
+    path = scratch_path(spark, "tolerant")
+    m.select("idx", t.alias("t")).orderBy("idx").select("t").write.mode("overwrite").text(path)
+    schema = T.StructType([T.StructField("question", T.StringType()), T.StructField("answer", T.StringType())])
+    return FS.read_jsonl_tolerant(spark, path, schema)
+
+
+register("scan_jsonl_tolerant", with_views(f"""SELECT line_no, json_extract_string(t, '$.question') AS question,
+  json_extract_string(t, '$.answer') AS answer FROM ({_LINES_SQL}) l WHERE {_OK_SQL}""", "fx_messages"))(
+    lambda spark, sf: _tolerant(spark, sf)[0])
+register("scan_jsonl_bad_lines", with_views(f"SELECT line_no, t AS text FROM ({_LINES_SQL}) l WHERE NOT ({_OK_SQL})",
+                                            "fx_messages"))(
+    lambda spark, sf: _tolerant(spark, sf)[1])
+
+
+# --- A4 / A11 response CSV round trip -----------------------------------------------------------------------
+@register("scan_response_csv", with_views(
+    "SELECT CAST(question_id AS VARCHAR) AS question_id, dataset, model, system_prompt, prompt, response, ground_truth "
+    "FROM fx_responses", "fx_responses"))
+def q_csv(spark, sf):
+    path = scratch_path(spark, "responses-csv")
+    SK.write_response_csv(fx_responses(spark, sf), path, "idx")
+    return FS.read_response_csv(spark, path)
+
+
+# --- A5 result tree on disk, folders with an avoid string skipped -----------------------------------------------
+@register("scan_result_tree", with_views(f"SELECT * FROM ({N.import_sql(exclude='archive')}) i", "fx_responses"))
+def q_tree(spark, sf):
+    base = scratch_path(spark, "inference-outputs")
+    files = N.fx_result_files(spark, sf).withColumn("path", F.regexp_replace("path", "^inference-outputs/", ""))
+    SK.write_files(files, base, "path", "content")
+    got = FS.scan_result_tree(spark, base, avoid=["archive"])
+    return N.import_scores(got)
+
+
+# --- A6 one response file per request; unreadable files give null ------------------------------------------------
+@register("scan_response_files", with_views("""SELECT d.doc_id AS idx,
+  CASE WHEN m.idx % 23 = 0 THEN NULL ELSE m.message END AS content
+FROM documents d LEFT JOIN fx_messages m ON m.idx = d.doc_id""", "fx_messages"))
+def q_response_files(spark, sf):
+    base = scratch_path(spark, "api_responses")
+    m = fx_messages(spark, sf)
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("message").alias("content")).alias("message")))
+                              .alias("choices")))
+    content = F.when(F.col("idx") % 23 == 0, F.lit("{not json")).otherwise(body)
+    files = m.select(F.concat(F.lit("response_"), F.col("idx").cast("string"), F.lit(".json")).alias("path"),
+                     content.alias("content"))
+    SK.write_files(files, base, "path", "content")
+    got = FS.scan_response_files(spark, base, "struct<choices:array<struct<message:struct<content:string>>>>")
+    got = got.select("idx", X.message_content(F.col("record")).alias("content"),
+                     F.col("record").isNull().alias("_bad"))
+    got = got.withColumn("content", F.when(F.col("_bad") | (F.col("content") == ""), None).otherwise(F.col("content")))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"))
+    return docs.join(got.drop("_bad"), "idx", "left")
+
+
+# --- A7 one JSON document holding an array -------------------------------------------------------------------------
+@register("explode_json_document",
+          "SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, item_id, text FROM benchmark")
+def q_explode_doc(spark, sf):
+    path = scratch_path(spark, "bbh-doc")
+    b = table(spark, sf, "benchmark").select("item_id", "text")
+    # the fixture document: all items in item order under "examples"
+    doc = b.agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("examples"))
+    doc.select(F.to_json(F.struct("examples")).alias("value")).write.mode("overwrite").text(path)
+    schema = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("text", T.StringType())])
+    return FS.explode_json_document(spark, path, schema, "examples")
+
+
+# --- A8 parquet to JSON lines (nulls kept) ------------------------------------------------------------------------
+@register("parquet_to_jsonl", "SELECT doc_id, quality, toxic FROM labels")
+def q_parquet_to_jsonl(spark, sf):
+    path = scratch_path(spark, "labels-jsonl")
+    FS.parquet_to_jsonl(spark, f"{sf.rstrip('/')}/labels.parquet", path)
+    return FS.read_jsonl(spark, path, "doc_id bigint, quality int, toxic int")
+
+
+# --- A9 numbered files ordered by the number in the name ---------------------------------------------------------
+@register("combine_numbered_files", """SELECT row_number() OVER (ORDER BY n NULLS LAST, f) - 1 AS position, item_id FROM (
+  SELECT item_id, item_id AS n, 'item_' || CAST(item_id AS VARCHAR) || '.json' AS f FROM benchmark
+  UNION ALL SELECT -1, NULL, 'readme.json') x""")
+def q_numbered(spark, sf):
+    base = scratch_path(spark, "numbered")
+    b = table(spark, sf, "benchmark").select("item_id", "text")
+    files = b.select(F.concat(F.lit("item_"), F.col("item_id").cast("string"), F.lit(".json")).alias("path"),
+                     F.to_json(F.struct("item_id", "text")).alias("content"))
+    extra = b.limit(1).select(F.lit("readme.json").alias("path"),
+                              F.lit('{"item_id": -1, "text": "no number"}').alias("content"))
+    broken = b.limit(1).select(F.lit("broken_7.json").alias("path"), F.lit("{oops").alias("content"))
+    SK.write_files(files.unionByName(extra).unionByName(broken), base, "path", "content")
+    schema = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("text", T.StringType())])
+    good, _bad = FS.combine_numbered_files(spark, base, schema)
+    return good.select("position", "item_id")
+
+
+# --- A12 one folder per group --------------------------------------------------------------------------------------
+@register("sink_per_group", with_views("SELECT lang, metric_type, count(*) AS n FROM fx_scores GROUP BY lang, metric_type",
+                                       "fx_scores"))
+def q_per_group(spark, sf):
+    path = scratch_path(spark, "per-group")
+    SK.write_per_group(fx_scores(spark, sf), path, ["lang", "metric_type"])
+    return spark.read.parquet(path).groupBy("lang", "metric_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- A14 review CSV with a byte-order mark ------------------------------------------------------------------------
+@register("sink_review_csv", "SELECT '﻿item_id' AS first_header")
+def q_review_csv(spark, sf):
+    path = scratch_path(spark, "review")
+    SK.write_review_csv(table(spark, sf, "benchmark").select("item_id", "text"), path)
+    # whole-file read: the line reader would hide a byte-order mark
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.substring_index(F.substring_index("value", "\n", 1), ",", 1).alias("first_header")).distinct()
+
+
+# --- A16 declared schema per dataset ------------------------------------------------------------------------------
+@register("schema_registry", """SELECT CAST(doc_id AS VARCHAR) AS id, substr(text, 1, 120) AS question_stem,
+  array_to_string(list_slice(list_filter(string_split(substr(text, 1, 300), ' '), lambda x: x <> ''), 2, 5), '|') AS choices,
+  NULL::VARCHAR AS answerKey FROM documents""")
+def q_schema(spark, sf):
+    d = table(spark, sf, "documents")
+    words = F.filter(F.split(F.substring("text", 1, 300), " "), lambda x: x != "")
+    raw = d.select(F.col("doc_id").alias("id"), F.substring("text", 1, 120).alias("question_stem"),
+                   F.struct(F.slice(words, 2, 4).alias("text"), F.array().cast("array<string>").alias("label"))
+                   .alias("choices"), F.lit(1).alias("extra"))
+    c = REG.conform(raw, "openbookqa")
+    return c.select("id", "question_stem", F.array_join("choices.text", "|").alias("choices"), "answerKey")
+
+
+# --- B12 question ids: given id, else 1, 2, 3... over the null ids in input order ----------------------------------
+@register("question_id", """SELECT doc_id AS idx, coalesce(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'q' || CAST(doc_id AS VARCHAR) END,
+  CAST(sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS VARCHAR)) AS question_id
+FROM documents""")
+def q_question_id(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"))
+    d = d.withColumn("qid", F.when(F.col("idx") % 3 == 0, F.lit(None)).otherwise(
+        F.concat(F.lit("q"), F.col("idx").cast("string"))))
+    # dense positions in input order (doc_id order), then the chunked running count
+    d = I.with_index(d, "pos", order_by=["idx"])
+    return I.question_ids(d, "qid", "pos", "question_id").select("idx", "question_id")
+
+
+# --- G1 restore input order / G4 numeric name order (positions made checkable) -------------------------------------
+register("restore_input_order", with_views(
+    "SELECT question_id, row_number() OVER (ORDER BY idx) - 1 AS position FROM fx_responses", "fx_responses"))(
+    lambda spark, sf: I.with_index(fx_responses(spark, sf).select("question_id", "idx"), "position",
+                                   order_by=["idx"]).select("question_id", "position"))
+
+register("numeric_name_order", f"""SELECT f, row_number() OVER (ORDER BY n NULLS LAST, f) - 1 AS position FROM (
+  SELECT f, CASE WHEN regexp_matches(f, '(\\d+)') THEN CAST(regexp_extract(f, '(\\d+)', 1) AS BIGINT) END AS n
+  FROM (SELECT CASE WHEN page_id % 9 = 0 THEN 'notes_' || {q('x')} ELSE 'page_' || CAST(page_id AS VARCHAR) || '.json' END AS f
+        FROM pages) a) b""")(
+    lambda spark, sf: (lambda d: I.with_index(
+        d.withColumn("n", F.when(F.col("f").rlike(r"(\d+)"), F.regexp_extract("f", r"(\d+)", 1).cast("long"))),
+        "position", order_by=[F.col("n").asc_nulls_last(), F.col("f")]).select("f", "position"))(
+        table(spark, sf, "pages").select(F.when(F.col("page_id") % 9 == 0, F.lit("notes_x")).otherwise(
+            F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".json"))).alias("f"))))
