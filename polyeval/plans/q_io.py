@@ -225,3 +225,41 @@ register("numeric_name_order", f"""SELECT f, row_number() OVER (ORDER BY n NULLS
         "position", order_by=[F.col("n").asc_nulls_last(), F.col("f")]).select("f", "position"))(
         table(spark, sf, "pages").select(F.when(F.col("page_id") % 9 == 0, F.lit("notes_x")).otherwise(
             F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".json"))).alias("f"))))
+
+
+# --- F4 greedy packing and A13 size-bounded batch files ---------------------------------------------------------
+PACK_BYTES, PACK_ROWS = 100_000, 50
+_PACK_SQL = f"""WITH RECURSIVE s AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, strlen(text) + 1 AS sz FROM documents
+), r(rn, doc_id, sz, b, k, file_no) AS (
+  SELECT rn, doc_id, sz, sz, 1, CASE WHEN sz > {PACK_BYTES} THEN 2 ELSE 1 END FROM s WHERE rn = 1
+  UNION ALL
+  SELECT s.rn, s.doc_id, s.sz,
+         CASE WHEN r.b + s.sz > {PACK_BYTES} OR r.k >= {PACK_ROWS} THEN s.sz ELSE r.b + s.sz END,
+         CASE WHEN r.b + s.sz > {PACK_BYTES} OR r.k >= {PACK_ROWS} THEN 1 ELSE r.k + 1 END,
+         CASE WHEN r.b + s.sz > {PACK_BYTES} OR r.k >= {PACK_ROWS} THEN r.file_no + 1 ELSE r.file_no END
+  FROM r JOIN s ON s.rn = r.rn + 1)
+SELECT doc_id, CAST(file_no AS BIGINT) AS file_no, sz FROM r"""
+
+
+def _packed(spark, sf, chunk_rows=1 << 20):
+    from polyeval.operators import packing as PK
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return PK.pack(d, "doc_id", F.octet_length("text") + 1, PACK_BYTES, PACK_ROWS, chunk_rows)
+
+
+register("greedy_pack", f"SELECT doc_id, file_no FROM ({_PACK_SQL}) p")(
+    lambda spark, sf: _packed(spark, sf).select("doc_id", "file_no"))
+# same result with many small chunks: exercises the parallel prefix over chunk maps
+register("greedy_pack_chunked", f"SELECT doc_id, file_no FROM ({_PACK_SQL}) p")(
+    lambda spark, sf: _packed(spark, sf, chunk_rows=64).select("doc_id", "file_no"))
+
+
+@register("sink_batches", f"SELECT file_no, count(*) AS n_records, sum(sz) AS n_bytes FROM ({_PACK_SQL}) p GROUP BY file_no")
+def q_sink_batches(spark, sf):
+    from polyeval.operators import packing as PK
+    path = scratch_path(spark, "batches")
+    PK.write_batches(_packed(spark, sf, chunk_rows=256), path)
+    back = spark.read.schema("doc_id bigint, text string, file_no bigint").json(path)
+    return back.groupBy("file_no").agg(F.count(F.lit(1)).alias("n_records"),
+                                       F.sum(F.octet_length("text") + 1).alias("n_bytes"))
