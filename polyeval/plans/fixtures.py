@@ -268,13 +268,15 @@ def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polyeval.operators import analysis as A
     from polyeval.operators import scoring as S
 
-    r = fx_responses(spark, sf_dir)
     keys = ("dataset", "lang", "model")
-    c = S.strip_reasoning(F.col("response"))
-    verdict = (F.when(c == "", F.lit("")).when(c == F.coalesce(F.col("ground_truth"), F.lit("")), "Correct")
-               .otherwise("Incorrect"))
-    judged = S.judge_accuracy(r.select(*keys, verdict.alias("judge_verdict")), keys)
-    t = S.score_table(r, keys).join(judged, list(keys))
+    rows = S.score_rows(fx_responses(spark, sf_dir))
+    c = F.col("clean_response")
+    correct = (c != "") & (c == F.coalesce(F.col("ground_truth"), F.lit("")))
+    # one pass: accuracy, RER and the rule judge's share in the same aggregate
+    t = rows.groupBy(*keys).agg(
+        (F.sum(F.col("right").cast("long")).cast("double") / F.count(F.lit(1))).alias("accuracy"),
+        (F.sum(F.col("error").cast("long")).cast("double") / F.count(F.lit(1))).alias("rer"),
+        (F.count_if(correct).cast("double") / F.count(F.lit(1))).alias("judge_accuracy"))
     long = t.select(*keys, F.expr("stack(3, 'accuracy', accuracy, 'rer', rer, 'llm-judge', judge_accuracy)"
                                   " AS (metric_type, score)"))
     long = A.adherence(long)

@@ -56,8 +56,8 @@ UNION ALL SELECT '{STAMP}:ERROR:Detected English entry at index ' || CAST(doc_id
 FROM ({_detected_sql()}) d""", "fx_log"))(
     lambda spark, sf: RP.log_append_detection(
         fx_log(spark, sf),
-        table(spark, sf, "documents").where(X.ascii_flag("text") & (X.detect_language("text") == "en"))
-        .select(F.col("doc_id").alias("idx")), STAMP))
+        X.with_language(table(spark, sf, "documents").select("doc_id", "text").where(X.ascii_flag("text")), "text")
+        .where(F.col("detected") == "en").select(F.col("doc_id").alias("idx")), STAMP))
 
 
 # --- I5 bodies of batch output lines ------------------------------------------------------------------

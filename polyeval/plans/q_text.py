@@ -128,18 +128,19 @@ def _detect_sql(text):
 
 
 register("detect_language", f"SELECT doc_id, lang, {_detect_sql('text')} AS detected FROM documents")(
-    lambda spark, sf: table(spark, sf, "documents").select(
-        "doc_id", "lang", X.detect_language("text").alias("detected")))
+    lambda spark, sf: X.with_language(table(spark, sf, "documents").select("doc_id", "lang", "text"), "text")
+    .select("doc_id", "lang", "detected"))
 
 register("filter_untranslated", f"""SELECT doc_id FROM documents
 WHERE coalesce({_ratio} >= 0.3, false) AND {_detect_sql('text')} = 'en'""")(
-    lambda spark, sf: table(spark, sf, "documents").where(
-        X.ascii_flag("text") & (X.detect_language("text") == "en")).select("doc_id"))
+    lambda spark, sf: X.with_language(table(spark, sf, "documents").select("doc_id", "text")
+                                      .where(X.ascii_flag("text")), "text")
+    .where(F.col("detected") == "en").select("doc_id"))
 
 register("detect_language_accuracy", f"""SELECT lang, count(*) AS n,
   CAST(count(*) FILTER (WHERE d = lang) AS DOUBLE) / count(*) AS accuracy
 FROM (SELECT lang, {_detect_sql('text')} AS d FROM documents) x GROUP BY lang""")(
-    lambda spark, sf: table(spark, sf, "documents").select("lang", X.detect_language("text").alias("d"))
+    lambda spark, sf: X.with_language(table(spark, sf, "documents").select("lang", "text"), "text", "d")
     .groupBy("lang").agg(F.count(F.lit(1)).alias("n"),
                          (F.count_if(F.col("d") == F.col("lang")).cast("double") / F.count(F.lit(1))).alias("accuracy")))
 
