@@ -160,7 +160,9 @@ def batch_infer(df: DataFrame, fn: Callable[..., str], inputs: list[str], key: s
                 out["ok"] = pd.Series([bool(r[4]) for r in res], dtype=bool)
                 yield out
 
-    spread = df.repartition(n_parts, F.xxhash64(F.col(key)))
+    # spread by a hash of the whole request, so one hot key (a long
+    # conversation, a large dataset) still lands on many tasks
+    spread = df.repartition(n_parts, F.xxhash64(F.col(key), *[F.col(c) for c in inputs]))
     return spread.mapInPandas(run, schema)
 
 

@@ -126,16 +126,21 @@ def q_response_files(spark, sf):
 
 
 # --- A7 one JSON document holding an array -------------------------------------------------------------------------
-@register("explode_json_document",
-          "SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, item_id, text FROM benchmark")
+DOC_ITEMS = 16
+
+
+@register("explode_json_document", f"""SELECT item_id // {DOC_ITEMS} AS doc,
+  row_number() OVER (PARTITION BY item_id // {DOC_ITEMS} ORDER BY item_id) - 1 AS pos, item_id, text FROM benchmark""")
 def q_explode_doc(spark, sf):
     path = scratch_path(spark, "bbh-doc")
     b = table(spark, sf, "benchmark").select("item_id", "text")
-    # the fixture document: all items in item order under "examples"
-    doc = b.agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("examples"))
-    doc.select(F.to_json(F.struct("examples")).alias("value")).write.mode("overwrite").text(path)
+    # fixture documents: one JSON document per task file of (at most) 16 items
+    # under "examples", written as one line each; many documents read in parallel
+    docs = b.groupBy(F.floor(F.col("item_id") / DOC_ITEMS).alias("doc")).agg(
+        F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("examples"))
+    docs.select(F.to_json(F.struct("doc", "examples")).alias("value")).write.mode("overwrite").text(path)
     schema = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("text", T.StringType())])
-    return FS.explode_json_document(spark, path, schema, "examples")
+    return FS.explode_json_document(spark, path, schema, "examples", keep=["doc"], multi_line=False)
 
 
 # --- A8 parquet to JSON lines (nulls kept) ------------------------------------------------------------------------

@@ -50,10 +50,10 @@ def q_zip_metrics(spark, sf):
     join on position cuts at the shorter file, as ``zip`` does."""
     r = fx_responses(spark, sf)
     preds = I.with_index(r.select("idx", X.strip_reasoning("response").alias("c")), "position", order_by=["idx"])
-    first = r.agg(F.min("idx").alias("m"))
-    gold = r.select("idx", "ground_truth").join(first, F.col("idx") > F.col("m")).drop("m")
-    gold = I.with_index(gold, "position", order_by=["idx"])
-    return preds.join(gold.drop("idx"), "position").select(
+    # the answer file without its first line: positions shift by one
+    gold = I.with_index(r.select("idx", "ground_truth"), "p", order_by=["idx"]) \
+        .where(F.col("p") > 0).select((F.col("p") - 1).alias("position"), "ground_truth")
+    return preds.join(gold, "position").select(
         "position", (F.col("c") == F.col("ground_truth")).alias("equal"))
 
 

@@ -98,13 +98,17 @@ def scan_response_files(spark: SparkSession, folder: str, schema: str) -> DataFr
 
 
 def explode_json_document(spark: SparkSession, path: str, schema: T.StructType,
-                          field: str = "examples") -> DataFrame:
+                          field: str = "examples", keep: list[str] = (), multi_line: bool = True) -> DataFrame:
     """JSON documents holding an array; one row per element with its
-    position. Each document is one record of the multi-line reader (files
-    are read in parallel, one document is not split)."""
-    doc = T.StructType([T.StructField(field, T.ArrayType(schema))])
-    d = spark.read.schema(doc).option("multiLine", True).json(path)
-    return d.select(F.posexplode(field).alias("pos", "_e")).select("pos", "_e.*")
+    position in the document. A document is one record of the JSON reader
+    (many documents and files are read in parallel; one document is not
+    split). ``keep`` names top-level fields carried along (read as bigint).
+    ``multi_line``: one (pretty-printed) document per file; otherwise one
+    document per line."""
+    doc = T.StructType([T.StructField(k, T.LongType()) for k in keep]
+                       + [T.StructField(field, T.ArrayType(schema))])
+    d = spark.read.schema(doc).option("multiLine", multi_line).json(path)
+    return d.select(*keep, F.posexplode(field).alias("pos", "_e")).select(*keep, "pos", "_e.*")
 
 
 def parquet_to_jsonl(spark: SparkSession, src: str, dst: str) -> None:
