@@ -95,9 +95,17 @@ def token_stats(df: DataFrame, text: Column, keys: list[str], names: list[str],
     keys, tokenizer, avg_tokens_per_row, avg_tokens_per_word,
     avg_bytes_per_token, avg_normalized_seq_len (rounded to 10 digits).
     """
-    c = counts if counts is not None else count_tokens(text, names)
+    words = word_count(text)
+    if counts is not None:
+        c = counts
+    else:
+        cols = {n: BUILTIN[n](text) for n in names}
+        if "blank" in names:
+            # the same expression object twice: evaluated once per row
+            words = F.greatest(cols["blank"], F.lit(1))
+        c = F.struct(*[v.alias(n) for n, v in cols.items()])
     d = df.select(*keys, c.alias("_tok"), F.octet_length(F.coalesce(text, F.lit(""))).alias("_bytes"),
-                  word_count(text).alias("_words"))
+                  words.alias("_words"))
     base = F.col(f"_tok.{names[0]}")
     aggs = []
     for n in names:
