@@ -189,13 +189,13 @@ def q_review_csv(spark, sf):
 
 
 # --- A16 declared schema per dataset ------------------------------------------------------------------------------
-@register("schema_registry", """SELECT CAST(doc_id AS VARCHAR) AS id, substr(text, 1, 120) AS question_stem,
-  array_to_string(list_slice(list_filter(string_split(substr(text, 1, 300), ' '), lambda x: x <> ''), 2, 5), '|') AS choices,
+@register("schema_registry", """SELECT CAST(doc_id AS VARCHAR) AS id, text AS question_stem,
+  array_to_string(list_slice(list_filter(string_split(text, ' '), lambda x: x <> ''), 2, 5), '|') AS choices,
   NULL::VARCHAR AS answerKey FROM documents""")
 def q_schema(spark, sf):
     d = table(spark, sf, "documents")
-    words = F.filter(F.split(F.substring("text", 1, 300), " "), lambda x: x != "")
-    raw = d.select(F.col("doc_id").alias("id"), F.substring("text", 1, 120).alias("question_stem"),
+    words = F.filter(F.split("text", " "), lambda x: x != "")
+    raw = d.select(F.col("doc_id").alias("id"), F.col("text").alias("question_stem"),
                    F.struct(F.slice(words, 2, 4).alias("text"), F.array().cast("array<string>").alias("label"))
                    .alias("choices"), F.lit(1).alias("extra"))
     c = REG.conform(raw, "openbookqa")

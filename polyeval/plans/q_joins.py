@@ -83,14 +83,13 @@ register("validate_lengths", with_views("""SELECT (SELECT count(*) FROM document
 
 # --- D3 failed translation falls back to the original -----------------------------------------------
 @register("fallback_to_original", with_views(f"""SELECT d.doc_id AS idx,
-  CASE WHEN t.q IS NOT NULL THEN t.q ELSE substr(d.text, 1, 80) END AS question,
+  CASE WHEN t.q IS NOT NULL THEN t.q ELSE d.text END AS question,
   CASE WHEN t.q IS NOT NULL THEN 'translated' ELSE 'original' END AS status
 FROM documents d LEFT JOIN (
   SELECT idx, CASE WHEN json_valid(t) AND starts_with(t, '{{') THEN json_extract_string(t, '$.question') END AS q
   FROM (SELECT idx, {_TRANSLATION_SQL} AS t FROM fx_messages) x) t ON t.idx = d.doc_id""", "fx_messages"))
 def q_fallback(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"),
-                                             F.substring("text", 1, 80).alias("question"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("question"))
     m = fx_messages(spark, sf)
     p = X.parse_json_strict(_translation(), "struct<question:string,answer:string>")
     t = m.select("idx", p["question"].alias("question"))
@@ -183,15 +182,15 @@ def q_union_models(spark, sf):
 
 # --- E14 few-shot prefix per category, D8 joined to items --------------------------------------------------
 def _piece():
-    words = F.filter(F.split(F.substring("text", 1, 200), " "), lambda w: w != "")
+    words = F.filter(F.split("text", " "), lambda w: w != "")
     return F.concat(F.lit("Q: "), F.col("text"), F.lit("\n"), P.lettered_options(F.slice(words, 1, 4)),
-                    F.lit("\nA: "), F.substring("text", 1, 20), F.lit("\n\n"))
+                    F.lit("\nA: "), F.element_at(words, 1), F.lit("\n\n"))
 
 
 _PIECE_SQL = (f"'Q: ' || text || chr(10) || 'Options are:' || chr(10) || array_to_string(list_transform("
-              f"list_slice(list_filter(string_split(substr(text, 1, 200), ' '), lambda w: w <> ''), 1, 4), "
+              f"list_slice(list_filter(string_split(text, ' '), lambda w: w <> ''), 1, 4), "
               f"lambda c, i: '(' || substr({q(P.LATIN_LETTERS)}, i, 1) || '): ' || c || chr(10)), '') || "
-              f"chr(10) || 'A: ' || substr(text, 1, 20) || chr(10) || chr(10)")
+              f"chr(10) || 'A: ' || list_filter(string_split(text, ' '), lambda w: w <> '')[1] || chr(10) || chr(10)")
 _PREFIX_SQL = (f"SELECT item_id % 4 AS category, string_agg({_PIECE_SQL}, '' ORDER BY item_id) AS prefix "
                f"FROM benchmark GROUP BY item_id % 4")
 
@@ -206,21 +205,21 @@ register("fewshot_prefix", f"SELECT category, md5(prefix) AS prefix_md5, length(
                                                   F.length("prefix").alias("n_chars")))
 
 
-@register("join_fewshot", f"""SELECT d.doc_id, md5(p.prefix || 'Q: ' || substr(d.text, 1, 120) || chr(10)) AS query_md5
+@register("join_fewshot", f"""SELECT d.doc_id, md5(p.prefix || 'Q: ' || d.text || chr(10)) AS query_md5
 FROM documents d JOIN ({_PREFIX_SQL}) p ON p.category = d.doc_id % 4""")
 def q_join_fewshot(spark, sf):
     items = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 4).alias("category"),
-                                                  F.substring("text", 1, 120).alias("stem"))
+                                                  F.col("text").alias("stem"))
     j = J.join_fewshot(items, _prefixes(spark, sf), "category")
     return j.select("doc_id", F.md5(F.concat("prefix", F.lit("Q: "), "stem", F.lit("\n"))).alias("query_md5"))
 
 
 # --- A18 chunks of 50, results matched back by index ------------------------------------------------------
 @register("chunk_requests", with_views(f"""SELECT d.doc_id AS idx, CAST(floor(d.doc_id / 50) AS BIGINT) AS chunk,
-  coalesce(t.t, substr(d.text, 1, 80)) AS text
+  coalesce(t.t, d.text) AS text
 FROM documents d LEFT JOIN (SELECT idx, {_TRANSLATION_SQL} AS t FROM fx_messages) t ON t.idx = d.doc_id""", "fx_messages"))
 def q_chunks(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.substring("text", 1, 80).alias("original"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("original"))
     req = J.chunk_requests(d, "idx", 50)
     res = fx_messages(spark, sf).select("idx", _translation().alias("text"))
     return J.merge_chunk_results(req, res, "idx", "text", "original").select("idx", "chunk", "text")

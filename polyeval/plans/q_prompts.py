@@ -1,8 +1,9 @@
 """Registered prompt-rendering queries (B1-B16) over ``fx_items``.
 
 ``fx_items`` turns each document into a multiple-choice item: the stem is the
-first 120 characters, the choices are words 2-5 of the first 300 characters,
-labels are Latin for English documents and Bangla otherwise.
+whole document, the choices are its words 2-5, labels are Latin for English
+documents and Bangla otherwise; the passage item asks about the source with
+the whole document as passage.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ BEN = ["ক", "খ", "গ", "ঘ"]
 
 def fx_items(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    words = F.filter(F.split(F.substring("text", 1, 300), " "), lambda x: x != "")
+    words = F.filter(F.split("text", " "), lambda x: x != "")
     bn = F.col("lang") != "en"
     labels = F.when(bn, F.array(*[F.lit(x) for x in BEN])).otherwise(F.array(*[F.lit(x) for x in LAT]))
     choices = F.slice(words, 2, 4)
     out = d.select(
         "doc_id", F.when(bn, "bn").otherwise("en").alias("lang"),
-        F.substring("text", 1, 120).alias("stem"),
-        F.substring("text", 121, 400).alias("passage"),
+        F.col("text").alias("stem"),
+        F.concat(F.lit("Is this text from "), F.col("source"), F.lit("?")).alias("question"),
+        F.col("text").alias("passage"),
         choices.alias("choices"),
         F.slice(labels, 1, F.size(choices)).alias("labels"),
         F.element_at(labels, (F.col("doc_id") % 4 + 1).cast("int")).alias("answer_key"),
@@ -40,13 +42,13 @@ def fx_items(spark, sf):
 
 
 FX_ITEMS_SQL = f"""
-SELECT doc_id, lang, stem, passage, choices,
+SELECT doc_id, lang, stem, question, passage, choices,
        list_slice(lbl, 1, len(choices)) AS labels, lbl[doc_id % 4 + 1] AS answer_key, concept,
        list_transform(choices, lambda c, i: CASE WHEN i - 1 = doc_id % 5 THEN 1 ELSE 0 END) AS flags,
        list_transform(choices, lambda c, i: CASE WHEN (i - 1 + doc_id) % 2 = 0 THEN 1 ELSE 0 END) AS multi_flags
 FROM (SELECT doc_id, CASE WHEN lang <> 'en' THEN 'bn' ELSE 'en' END AS lang,
-             substr(text, 1, 120) AS stem, substr(text, 121, 400) AS passage,
-             list_slice(list_filter(string_split(substr(text, 1, 300), ' '), lambda x: x <> ''), 2, 5) AS choices,
+             text AS stem, 'Is this text from ' || source || '?' AS question, text AS passage,
+             list_slice(list_filter(string_split(text, ' '), lambda x: x <> ''), 2, 5) AS choices,
              CASE WHEN lang <> 'en' THEN {[*BEN]} ELSE {[*LAT]} END AS lbl,
              CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS concept
       FROM documents) d
@@ -181,13 +183,13 @@ def q_positional(spark, sf):
 
 # --- B6 passage ----------------------------------------------------------------------------------
 @register("prompt_passage", it(f"""SELECT doc_id,
-  (CASE WHEN lang = 'bn' THEN {q(P.BOOLQ_TEMPLATE['bn'])} ELSE {q(P.BOOLQ_TEMPLATE['en'])} END) || stem || chr(10) ||
+  (CASE WHEN lang = 'bn' THEN {q(P.BOOLQ_TEMPLATE['bn'])} ELSE {q(P.BOOLQ_TEMPLATE['en'])} END) || question || chr(10) ||
   (CASE WHEN lang = 'bn' THEN {q(P.PASSAGE_HEADER['bn'])} ELSE {q(P.PASSAGE_HEADER['en'])} END) || chr(10) || passage || chr(10) AS prompt
 FROM fx_items"""))
 def q_passage(spark, sf):
     i = fx_items(spark, sf)
     return i.select("doc_id", by_lang(lambda lg: P.render_passage(
-        F.lit(P.BOOLQ_TEMPLATE[lg]), F.col("stem"), F.col("passage"), lg)).alias("prompt"))
+        F.lit(P.BOOLQ_TEMPLATE[lg]), F.col("question"), F.col("passage"), lg)).alias("prompt"))
 
 
 # --- B8 option list, B16 lettered options ------------------------------------------------------------

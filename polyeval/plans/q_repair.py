@@ -101,8 +101,7 @@ register("repair_report")(lambda spark, sf: RP.repair_report(_attempts(spark, sf
 def q_translations(spark, sf):
     """Final table: repaired translation where there is one, the original
     record otherwise (D3), keyed by index over all documents."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"),
-                                                F.substring("text", 1, 80).alias("question"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("question"))
     a = _attempts(spark, sf).where(F.col("status") != "failed").select(
         "idx", F.col("parsed.question").alias("question"))
     return J.fallback_to_original(docs, a, "idx", ["question"])

@@ -166,7 +166,7 @@ class FakeTranslator:
 
 
 def _requests(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.substring("text", 1, 60).alias("question"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("question"))
     req = P.translation_request({"idx": F.col("idx"), "question": F.col("question")}, GUIDE, "dumped")
     return d.select("idx", "question", req.alias("request"))
 
@@ -187,8 +187,8 @@ def _final(df):
 
 
 _TR_SQL = """SELECT doc_id AS idx,
-  CASE WHEN doc_id % 13 = 0 THEN substr(text, 1, 60)
-       ELSE 'বাংলা: ' || translate(substr(text, 1, 60), '0123456789', '০১২৩৪৫৬৭৮৯') END AS question,
+  CASE WHEN doc_id % 13 = 0 THEN text
+       ELSE 'বাংলা: ' || translate(text, '0123456789', '০১২৩৪৫৬৭৮৯') END AS question,
   CASE WHEN doc_id % 13 = 0 THEN 'original' ELSE 'translated' END AS status
 FROM documents"""
 register("translate", _TR_SQL)(lambda spark, sf: _final(_translated(spark, sf)))

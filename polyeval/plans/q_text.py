@@ -54,10 +54,10 @@ FROM fx_responses"""))(
         X.transliterate_digits("question_id", "bangla").alias("bangla")))
 
 # --- B7 text after the last marker, B9 phrase replacements (whole texts) ----------------------------
-_marked = "concat(substr(text, 1, 60), ' #### ', CAST(doc_id % 97 AS VARCHAR), ' #### ', CAST(n_chars AS VARCHAR))"
+_marked = "concat(text, ' #### ', CAST(doc_id % 97 AS VARCHAR), ' #### ', CAST(n_chars AS VARCHAR))"
 register("answer_after_marker", f"SELECT doc_id, string_split({_marked}, '#### ')[-1] AS answer FROM documents")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", X.answer_after_marker(
-        F.concat(F.substring("text", 1, 60), F.lit(" #### "), (F.col("doc_id") % 97).cast("string"),
+        F.concat(F.col("text"), F.lit(" #### "), (F.col("doc_id") % 97).cast("string"),
                  F.lit(" #### "), F.col("n_chars").cast("string"))).alias("answer")))
 
 PHRASES = [("Header", "হেডার"), ("Title", "টাইটেল"), ("Step", "স্টেপ"), ("the", "THE")]
@@ -177,7 +177,7 @@ def q_message_content(spark, sf):
 
 # --- B30 answer letter with a repeatable fallback ---------------------------------------------------
 _LET = "ABCDEFGHIJ"
-_ans_text = ("concat(substr(coalesce(response, ''), 1, 40), CASE WHEN conv_id % 3 = 0 THEN ' The answer is (' || "
+_ans_text = ("concat(coalesce(response, ''), CASE WHEN conv_id % 3 = 0 THEN ' The answer is (' || "
              "substr('ABCDEFGHIJ', CAST(turn % 10 AS INTEGER) + 1, 1) || ')' WHEN conv_id % 3 = 1 THEN ' answer is ' || "
              "substr('ABCDEFGHIJ', CAST(conv_id % 10 AS INTEGER) + 1, 1) ELSE '' END)")
 _pat30 = r"answer is \(?([ABCDEFGHIJ])\)?"
@@ -189,7 +189,7 @@ _pat30 = r"answer is \(?([ABCDEFGHIJ])\)?"
 FROM (SELECT conv_id, turn, {_ans_text} AS t FROM fx_chat) x""", "fx_chat"))
 def q_answer_letter(spark, sf):
     c = fx_chat(spark, sf)
-    t = F.concat(F.substring(F.coalesce("response", F.lit("")), 1, 40),
+    t = F.concat(F.coalesce("response", F.lit("")),
                  F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit(" The answer is ("), F.substring(
                      F.lit(_LET), (F.col("turn") % 10 + 1).cast("int"), 1), F.lit(")")))
                  .when(F.col("conv_id") % 3 == 1, F.concat(F.lit(" answer is "), F.substring(
@@ -202,7 +202,7 @@ def q_answer_letter(spark, sf):
 # --- B18 option prefixes, B19 options from text, B20 zip to map (on fx_items words) --------------
 def _opts(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    words = F.filter(F.split(F.substring("text", 1, 300), " "), lambda x: x != "")
+    words = F.filter(F.split("text", " "), lambda x: x != "")
     w = F.slice(words, 2, 4)
     opts = F.transform(w, lambda c, i: F.when(i % 2 == 0, F.concat(
         F.lit("("), F.substring(F.lit("ABCDEFGH"), (i + F.col("doc_id") % 4 + 1).cast("int"), 1), F.lit(") "), c))
@@ -213,7 +213,7 @@ def _opts(spark, sf):
 _OPTS_SQL = """SELECT doc_id, words,
   list_transform(words, lambda c, i: CASE WHEN (i - 1) % 2 = 0
        THEN '(' || substr('ABCDEFGH', CAST(i - 1 + doc_id % 4 AS INTEGER) + 1, 1) || ') ' || c ELSE c END) AS options
-FROM (SELECT doc_id, list_slice(list_filter(string_split(substr(text, 1, 300), ' '), lambda x: x <> ''), 2, 5) AS words
+FROM (SELECT doc_id, list_slice(list_filter(string_split(text, ' '), lambda x: x <> ''), 2, 5) AS words
       FROM documents) d"""
 
 
