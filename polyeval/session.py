@@ -53,12 +53,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is. Only when it is unset (local tests) do we create one of our own.
     """
     sc = spark.sparkContext
-    cur = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    cur = sc.getConf().get("spark.checkpoint.dir", None)
     if not cur:
+        # unset (local tests only): a folder of our own; a cluster names a
+        # shared one in spark.checkpoint.dir, which is used above as is
         cur = tempfile.mkdtemp(prefix="polyeval-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", cur)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(cur)
+    sc.setCheckpointDir(cur)
     return sc.getCheckpointDir() or cur
 
 
