@@ -249,13 +249,14 @@ def axis(values: list[str], name: str) -> Column:
 def fixed_axis_order(scores: DataFrame, models: list[str], datasets: list[str],
                      by=("lang", "metric_type")) -> DataFrame:
     """Every (model, dataset) of the fixed axes for each (lang, metric),
-    missing cells as null, with ordinals for the display order."""
-    frame = (scores.select(*by).distinct()
+    missing cells as null, with ordinals for the display order. The frame is
+    taken from the aggregated cells, so the scores are read once."""
+    cells = scores.groupBy(*by, "model", "dataset").agg(F.avg("score").alias("score"))
+    frame = (cells.select(*by).distinct()
              .select(*by, axis(models, "model").alias("_m"))
              .select(*by, "_m.*")
              .select(*by, "model_ordinal", "model", axis(datasets, "dataset").alias("_d"))
              .select(*by, "model_ordinal", "model", "_d.*"))
-    cells = scores.groupBy(*by, "model", "dataset").agg(F.avg("score").alias("score"))
     return frame.join(cells, [*by, "model", "dataset"], "left")
 
 
@@ -263,11 +264,11 @@ def leaderboard(scores: DataFrame, models: list[str], datasets: list[str],
                 by=("lang", "metric_type")) -> DataFrame:
     """H4: one row per (lang, metric, model) in the fixed model order, one
     column per dataset in the fixed order; missing cells null (an empty string
-    only at a CSV sink)."""
-    frame = (scores.select(*by).distinct()
+    only at a CSV sink). One aggregation (two-phase pivot with the value list
+    given); the row frame comes from its small output."""
+    wide = scores.groupBy(*by, "model").pivot("dataset", datasets).agg(F.avg("score"))
+    frame = (wide.select(*by).distinct()
              .select(*by, axis(models, "model").alias("_m")).select(*by, "_m.*"))
-    wide = (scores.where(F.col("dataset").isin(datasets))
-            .groupBy(*by, "model").pivot("dataset", datasets).agg(F.avg("score")))
     return frame.join(wide, [*by, "model"], "left").select(
         *by, "model_ordinal", "model", *[F.col(f"`{d}`") for d in datasets])
 
