@@ -249,28 +249,39 @@ def axis(values: list[str], name: str) -> Column:
 def fixed_axis_order(scores: DataFrame, models: list[str], datasets: list[str],
                      by=("lang", "metric_type")) -> DataFrame:
     """Every (model, dataset) of the fixed axes for each (lang, metric),
-    missing cells as null, with ordinals for the display order. The frame is
-    taken from the aggregated cells, so the scores are read once."""
+    missing cells as null, with ordinals for the display order.
+
+    One aggregation; its cells are gathered per (lang, metric) into a map
+    keyed by (model, dataset) - at most one entry per distinct cell, not per
+    input row - and the fixed axes are exploded against it, so the scores
+    are read once and no self-join is needed."""
     cells = scores.groupBy(*by, "model", "dataset").agg(F.avg("score").alias("score"))
-    frame = (cells.select(*by).distinct()
-             .select(*by, axis(models, "model").alias("_m"))
-             .select(*by, "_m.*")
-             .select(*by, "model_ordinal", "model", axis(datasets, "dataset").alias("_d"))
-             .select(*by, "model_ordinal", "model", "_d.*"))
-    return frame.join(cells, [*by, "model", "dataset"], "left")
+    g = cells.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat_ws("\u0001", "model", "dataset"), "score"))).alias("_cells"))
+    out = (g.select(*by, "_cells", axis(models, "model").alias("_m")).select(*by, "_cells", "_m.*")
+            .select(*by, "_cells", "model_ordinal", "model", axis(datasets, "dataset").alias("_d"))
+            .select(*by, "_cells", "model_ordinal", "model", "_d.*"))
+    key = F.concat_ws("\u0001", "model", "dataset")
+    return out.select(*by, "model_ordinal", "model", "dataset_ordinal", "dataset",
+                      F.try_element_at("_cells", key).alias("score"))
 
 
 def leaderboard(scores: DataFrame, models: list[str], datasets: list[str],
                 by=("lang", "metric_type")) -> DataFrame:
     """H4: one row per (lang, metric, model) in the fixed model order, one
     column per dataset in the fixed order; missing cells null (an empty string
-    only at a CSV sink). One aggregation (two-phase pivot with the value list
-    given); the row frame comes from its small output."""
+    only at a CSV sink).
+
+    One two-phase pivot (value list given); its rows are gathered per
+    (lang, metric) into a map keyed by model (one entry per model present)
+    and the fixed model axis is exploded against it: the scores are read once
+    and no self-join is needed."""
     wide = scores.groupBy(*by, "model").pivot("dataset", datasets).agg(F.avg("score"))
-    frame = (wide.select(*by).distinct()
-             .select(*by, axis(models, "model").alias("_m")).select(*by, "_m.*"))
-    return frame.join(wide, [*by, "model"], "left").select(
-        *by, "model_ordinal", "model", *[F.col(f"`{d}`") for d in datasets])
+    vals = F.struct(*[F.col(f"`{d}`").alias(d) for d in datasets])
+    g = wide.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("model", vals))).alias("_rows"))
+    out = g.select(*by, "_rows", axis(models, "model").alias("_m")).select(*by, "_rows", "_m.*")
+    row = F.try_element_at("_rows", F.col("model"))
+    return out.select(*by, "model_ordinal", "model", *[row[d].alias(d) for d in datasets])
 
 
 def pivot_mean(scores: DataFrame, index: list[str], column: str, values: list[str],
