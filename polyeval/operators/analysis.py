@@ -72,7 +72,7 @@ def rank_models(scores: DataFrame, by=("lang", "dataset", "metric_type")) -> Dat
     """F1: rank by score descending, ties share the smallest rank; null
     scores get no rank (dropped first)."""
     w = Window.partitionBy(*by).orderBy(F.col("score").desc())
-    return scores.where(F.col("score").isNotNull()).withColumn("rank", F.rank().over(w))
+    return scores.where(F.col("score").isNotNull()).withColumn("rank", F.rank().over(w).cast("bigint"))
 
 
 def topk_models(scores: DataFrame, k: int = 3, by=("lang", "dataset", "metric_type")) -> DataFrame:

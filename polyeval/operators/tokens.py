@@ -53,7 +53,7 @@ BUILTIN: dict[str, Callable[[Column], Column]] = {
 
 def count_tokens(text: Column, names: list[str]) -> Column:
     """J5 (built-ins): struct of token counts, one field per tokenizer."""
-    return F.struct(*[BUILTIN[n](text).alias(n) for n in names])
+    return F.struct(*[BUILTIN[n](text).cast("bigint").alias(n) for n in names])
 
 
 def count_tokens_udf(tokenizers: dict[str, Callable[[str], int]]):

@@ -106,7 +106,7 @@ def score_table_sql(where: str = "", by=("dataset", "lang", "model")) -> str:
     keys = ", ".join(by)
     w = f"WHERE {where}" if where else ""
     return f"""
-SELECT {keys}, sum(CAST("right" AS BIGINT)) AS "right", sum(CAST(error AS BIGINT)) AS errors,
+SELECT {keys}, CAST(sum(CAST("right" AS BIGINT)) AS BIGINT) AS "right", CAST(sum(CAST(error AS BIGINT)) AS BIGINT) AS errors,
        count(*) AS "rows",
        CAST(sum(CAST("right" AS BIGINT)) AS DOUBLE) / count(*) AS accuracy,
        CAST(sum(CAST(error AS BIGINT)) AS DOUBLE) / count(*) AS rer

@@ -210,8 +210,8 @@ WITH g AS (SELECT dataset AS category, count(*) FILTER (WHERE "right") AS "right
                   count(*) FILTER (WHERE NOT "right") AS wrong FROM (""" + __import__(
     "polyeval.plans.oracle", fromlist=["x"]).scored_rows_sql() + """) s GROUP BY dataset)
 SELECT category, "right", wrong, CAST("right" AS DOUBLE) / ("right" + wrong) AS accuracy,
-       sum("right") OVER (ORDER BY category ROWS UNBOUNDED PRECEDING) AS running_right,
-       sum("right" + wrong) OVER (ORDER BY category ROWS UNBOUNDED PRECEDING) AS running_rows
+       CAST(sum("right") OVER (ORDER BY category ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_right,
+       CAST(sum("right" + wrong) OVER (ORDER BY category ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_rows
 FROM g""", "fx_responses"))(
     lambda spark, sf: A.per_category_accuracy(_cat_rows(spark, sf), "category", "right"))
 

@@ -260,7 +260,7 @@ register("greedy_pack_chunked", f"SELECT doc_id, file_no FROM ({_PACK_SQL}) p")(
     lambda spark, sf: _packed(spark, sf, chunk_rows=64).select("doc_id", "file_no"))
 
 
-@register("sink_batches", f"SELECT file_no, count(*) AS n_records, sum(sz) AS n_bytes FROM ({_PACK_SQL}) p GROUP BY file_no")
+@register("sink_batches", f"SELECT file_no, count(*) AS n_records, CAST(sum(sz) AS BIGINT) AS n_bytes FROM ({_PACK_SQL}) p GROUP BY file_no")
 def q_sink_batches(spark, sf):
     from polyeval.operators import packing as PK
     path = scratch_path(spark, "batches")

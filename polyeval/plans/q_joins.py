@@ -116,8 +116,8 @@ register("upsert_unmatched", "SELECT l.doc_id FROM labels l ANTI JOIN documents
 
 # --- D5 paired corpora by row number -----------------------------------------------------------------
 @register("pair_corpora", """SELECT a.idx, a.left_json, b.right_json FROM
-  (SELECT row_number() OVER (ORDER BY item_id) - 1 AS idx, to_json({'item_id': item_id, 'text': text}) AS left_json FROM benchmark) a
-  JOIN (SELECT row_number() OVER (ORDER BY page_id) - 1 AS idx, to_json({'page_id': page_id, 'url': url}) AS right_json FROM pages) b
+  (SELECT row_number() OVER (ORDER BY item_id) - 1 AS idx, CAST(to_json({'item_id': item_id, 'text': text}) AS VARCHAR) AS left_json FROM benchmark) a
+  JOIN (SELECT row_number() OVER (ORDER BY page_id) - 1 AS idx, CAST(to_json({'page_id': page_id, 'url': url}) AS VARCHAR) AS right_json FROM pages) b
   ON a.idx = b.idx""")
 def q_pair(spark, sf):
     a = I.with_index(table(spark, sf, "benchmark").select("item_id", "text"), "idx", order_by=["item_id"])
@@ -202,7 +202,7 @@ def _prefixes(spark, sf):
 
 register("fewshot_prefix", f"SELECT category, md5(prefix) AS prefix_md5, length(prefix) AS n_chars FROM ({_PREFIX_SQL}) p")(
     lambda spark, sf: _prefixes(spark, sf).select("category", F.md5("prefix").alias("prefix_md5"),
-                                                  F.length("prefix").alias("n_chars")))
+                                                  F.length("prefix").cast("bigint").alias("n_chars")))
 
 
 @register("join_fewshot", f"""SELECT d.doc_id, md5(p.prefix || 'Q: ' || d.text || chr(10)) AS query_md5

@@ -80,8 +80,8 @@ FROM ({N.result_files_sql()}) f GROUP BY 1, 2, 3""", "fx_responses"))(
         ["dataset", "model", "metric"], "score", "path"))
 
 # --- F3 running count of null ids ---------------------------------------------------------------------------
-register("running_ids", """SELECT doc_id AS idx, sum(CASE WHEN quality IS NULL THEN 1 ELSE 0 END)
-  OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS null_ids_so_far
+register("running_ids", """SELECT doc_id AS idx, CAST(sum(CASE WHEN quality IS NULL THEN 1 ELSE 0 END)
+  OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS null_ids_so_far
 FROM documents d LEFT JOIN labels l USING (doc_id)""")(
     lambda spark, sf: I.running_count(
         I.with_index(table(spark, sf, "documents").select(F.col("doc_id").alias("idx"))

@@ -251,8 +251,8 @@ def q_templates(spark, sf):
 
 # --- B11 chat messages, B14 batch task (JSON text) ---------------------------------------------------
 @register("chat_messages", with_views("""SELECT conv_id, turn,
-  to_json({'model': 'model-x', 'messages': [{'role': 'system', 'content': system_prompt}, {'role': 'user', 'content': prompt}],
-           'metadata': {'ground_truth': response, 'question_id': conv_id}}) AS request
+  CAST(to_json({'model': 'model-x', 'messages': [{'role': 'system', 'content': system_prompt}, {'role': 'user', 'content': prompt}],
+           'metadata': {'ground_truth': response, 'question_id': conv_id}}) AS VARCHAR) AS request
 FROM fx_chat""", "fx_chat"))
 def q_chat(spark, sf):
     c = fx_chat(spark, sf)
@@ -261,9 +261,9 @@ def q_chat(spark, sf):
 
 
 @register("batch_task", with_views("""SELECT conv_id, turn,
-  to_json({'custom_id': 'task-' || CAST(conv_id * 1000 + turn AS VARCHAR), 'method': 'POST', 'url': '/v1/chat/completions',
+  CAST(to_json({'custom_id': 'task-' || CAST(conv_id * 1000 + turn AS VARCHAR), 'method': 'POST', 'url': '/v1/chat/completions',
            'body': {'model': 'model-x', 'temperature': 0.5,
-                    'messages': [{'role': 'system', 'content': coalesce(system_prompt, '')}, {'role': 'user', 'content': prompt}]}}) AS task
+                    'messages': [{'role': 'system', 'content': coalesce(system_prompt, '')}, {'role': 'user', 'content': prompt}]}}) AS VARCHAR) AS task
 FROM fx_chat""", "fx_chat"))
 def q_batch_task(spark, sf):
     c = fx_chat(spark, sf)

@@ -99,7 +99,7 @@ FROM (SELECT conv_id, turn, unnest(range(1, attempts)) AS n,
 def q_backoff(spark, sf):
     r = _runs(spark, sf).where(F.col("attempts") > 1)
     e = r.select("conv_id", "turn", RN.is_rate_limit(F.col("error")).alias("rl"),
-                 F.explode(F.sequence(F.lit(1), F.col("attempts") - 1)).alias("attempt"))
+                 F.explode(F.sequence(F.lit(1).cast("bigint"), (F.col("attempts") - 1).cast("bigint"))).alias("attempt"))
     key = F.col("conv_id") * 1000 + F.col("turn")
     return e.select("conv_id", "turn", "attempt", F.round(RN.backoff(
         F.col("attempt"), F.col("rl"), RN.jitter(key, F.col("attempt"))), 10).alias("seconds"))

@@ -67,7 +67,7 @@ for _a, _b in PHRASES:
 register("phrase_replace", f"SELECT doc_id, md5({_rep}) AS text_md5, length({_rep}) AS n_chars FROM documents")(
     lambda spark, sf: table(spark, sf, "documents").select(
         "doc_id", F.md5(X.phrase_replace("text", PHRASES)).alias("text_md5"),
-        F.length(X.phrase_replace("text", PHRASES)).alias("n_chars")))
+        F.length(X.phrase_replace("text", PHRASES)).cast("bigint").alias("n_chars")))
 
 # --- B24, B25, B26 on translation messages --------------------------------------------------
 _msg = "message"
@@ -157,9 +157,9 @@ register("text_measures", R(f"""SELECT conv_id, turn, strlen({_pt}) AS n_bytes,
   length({_pt}) AS n_chars
 FROM fx_chat""", "fx_chat"))(
     lambda spark, sf: fx_chat(spark, sf).select(
-        "conv_id", "turn", X.utf8_bytes(X.prompt_text("system_prompt", "prompt")).alias("n_bytes"),
-        X.word_count(X.prompt_text("system_prompt", "prompt")).alias("n_words"),
-        F.length(X.prompt_text("system_prompt", "prompt")).alias("n_chars")))
+        "conv_id", "turn", X.utf8_bytes(X.prompt_text("system_prompt", "prompt")).cast("bigint").alias("n_bytes"),
+        X.word_count(X.prompt_text("system_prompt", "prompt")).cast("bigint").alias("n_words"),
+        F.length(X.prompt_text("system_prompt", "prompt")).cast("bigint").alias("n_chars")))
 
 # --- B28 message content from a response record -----------------------------------------------------
 _RESP_SCHEMA = "struct<choices:array<struct<message:struct<role:string,content:string>>>>"
@@ -292,7 +292,7 @@ def q_length_ratio(spark, sf):
                             "struct<question:string,answer:string>")
     d = m.select("idx", "original", p.alias("p")).where(F.col("p").isNotNull())
     tl = X.text_length(F.col("p.question")) + X.text_length(F.col("p.answer"))
-    return d.select("idx", tl.alias("translated_len"), F.length("original").alias("original_len"),
+    return d.select("idx", tl.cast("bigint").alias("translated_len"), F.length("original").cast("bigint").alias("original_len"),
                     X.length_ratio_flag(tl, F.length("original")).alias("overlong"))
 
 

@@ -108,7 +108,7 @@ def explode_json_document(spark: SparkSession, path: str, schema: T.StructType,
     doc = T.StructType([T.StructField(k, T.LongType()) for k in keep]
                        + [T.StructField(field, T.ArrayType(schema))])
     d = spark.read.schema(doc).option("multiLine", multi_line).json(path)
-    return d.select(*keep, F.posexplode(field).alias("pos", "_e")).select(*keep, "pos", "_e.*")
+    return d.select(*keep, F.posexplode(field).alias("pos", "_e")).select(*keep, F.col("pos").cast("bigint"), "_e.*")
 
 
 def parquet_to_jsonl(spark: SparkSession, src: str, dst: str) -> None:
