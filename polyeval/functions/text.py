@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's behaviour)
 # ---------------------------------------------------------------------------
-# Characters Python's str.strip()/str.isspace() treat as blank.
-WS_CLASS = (r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+# Characters Python's str.strip()/str.isspace() treat as blank (code point ranges).
+WS_RANGES = [(0x9, 0xD), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+             (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
+WS_CLASS = "[" + "".join(rf"\x{{{a:X}}}" if a == b else rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in WS_RANGES) + "]"
+WS_CHARS = "".join(chr(c) for a, b in WS_RANGES for c in range(a, b + 1))
 LATIN_DIGITS = "0123456789"
 BANGLA_DIGITS = "০১২৩৪৫৬৭৮৯"
 # Option-line starts recognised when lines of a prompt are listed as options.
@@ -34,8 +36,9 @@ def _c(x) -> Column:
 
 
 def py_strip(x) -> Column:
-    """Python ``str.strip()``: remove all Unicode blanks at both ends."""
-    return F.regexp_replace(_c(x), rf"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    """Python ``str.strip()``: remove all Unicode blanks at both ends
+    (``btrim`` with the blank set: looks at the ends only)."""
+    return F.btrim(_c(x), F.lit(WS_CHARS))
 
 
 def collapse_blanks(x) -> Column:

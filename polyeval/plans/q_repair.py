@@ -94,6 +94,10 @@ register("repair_json_sentences")(lambda spark, sf: _attempts(spark, sf, "S", ex
     "idx", "status", F.col("parsed.question").alias("question")))
 register("repair_json_tasks")(lambda spark, sf: _attempts(spark, sf, "T").select(
     "idx", "status", F.col("parsed.question").alias("question")))
+register("repair_json_maths")(lambda spark, sf: _attempts(spark, sf, "T", use_r9=True).select(
+    "idx", "status", F.col("parsed.question").alias("question")))
+register("repair_json_labels")(lambda spark, sf: _attempts(spark, sf, "Q", pre=[RP.r13, RP.r3]).select(
+    "idx", "status", F.col("parsed.question").alias("question")))
 register("repair_report")(lambda spark, sf: RP.repair_report(_attempts(spark, sf)))
 
 

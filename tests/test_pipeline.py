@@ -188,3 +188,24 @@ def test_seeded_sample_positions(spark):
     want = sorted(rng.sample(range(n), min(20, n)))
     got = sorted(r["pos"] for r in E.queries()["seeded_sample"](spark, SF01).collect())
     assert got == want
+
+
+def _brute_profile_t(s, keys):
+    """Task-set profile written directly in Python for comparison."""
+    t = s.translate(str.maketrans("০১২৩৪৫৬৭৮৯", "0123456789"))
+    t = re.sub(r"[“”]", '"', t)
+    t = reescape_values(t)
+    for a, b in zip(keys, keys[1:]):
+        t = re.sub(rf'("{a}":.*?)(?=\s*?"{b}":)(?!,)', r"\1, ", t)
+    t = re.sub(r",\s*,", ",", t)
+    return re.sub(r",\s*([}\]])", r"\1", t)
+
+
+def test_repair_task_profile_matches_brute_force(spark):
+    from polyeval.operators import repair as RP
+    rows = ['{"question": "৩ + ৪" "answer": "৭",}', '{“question”: "a\\b", "answer": "c"}',
+            '{"question": "x", "answer": "y"}']
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    got = [r[0] for r in df.select(RP.profile_t(F.col("t"), ["question", "answer"],
+                                                "struct<question:string,answer:string>")).collect()]
+    assert got == [_brute_profile_t(r, ["question", "answer"]) for r in rows]
