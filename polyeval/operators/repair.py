@@ -224,25 +224,21 @@ PROFILES = {
 def repair_attempts(df: DataFrame, text: str, schema: str, keys: list[str], family: str = "Q",
                     **kw) -> DataFrame:
     """The attempt chain on one text column. Adds ``parsed`` (struct) and
-    ``status`` in {parsed, loose, repaired, failed}. Rows that parse are
-    never sent through the Python callbacks."""
+    ``status`` in {parsed, loose, repaired, failed}. The plain and the loose
+    parse are column expressions in one pass; only the rows both reject go
+    through the profile (and its Python callbacks)."""
     t = F.col(text)
-    plain = parse_json_strict(t, schema)
-    d = df.withColumn("_plain", plain)
-    ok = d.where(F.col("_plain").isNotNull()).withColumn("parsed", F.col("_plain")) \
-        .withColumn("status", F.lit("parsed"))
-    rest = d.where(F.col("_plain").isNull())
-    loose = parse_json_strict(r12(t), schema)
-    rest = rest.withColumn("_loose", loose)
-    ok2 = rest.where(F.col("_loose").isNotNull()).withColumn("parsed", F.col("_loose")) \
-        .withColumn("status", F.lit("loose"))
-    bad = rest.where(F.col("_loose").isNull())
+    d = df.withColumn("_plain", parse_json_strict(t, schema)).withColumn("_loose", parse_json_strict(r12(t), schema))
+    cols = list(df.columns) + ["parsed", "status"]
+    good = (d.where(F.col("_plain").isNotNull() | F.col("_loose").isNotNull())
+             .withColumn("parsed", F.coalesce("_plain", "_loose"))
+             .withColumn("status", F.when(F.col("_plain").isNotNull(), F.lit("parsed")).otherwise(F.lit("loose"))))
+    bad = d.where(F.col("_plain").isNull() & F.col("_loose").isNull())
     fixed = PROFILES[family](t, keys, schema, **kw)
     bad = bad.withColumn("_fixed", parse_json_strict(fixed, schema))
     bad = bad.withColumn("parsed", F.col("_fixed")).withColumn(
         "status", F.when(F.col("_fixed").isNotNull(), F.lit("repaired")).otherwise(F.lit("failed")))
-    cols = [c for c in df.columns] + ["parsed", "status"]
-    return ok.select(*cols).unionByName(ok2.select(*cols)).unionByName(bad.select(*cols))
+    return good.select(*cols).unionByName(bad.select(*cols))
 
 
 def repair_report(attempts: DataFrame) -> DataFrame:
