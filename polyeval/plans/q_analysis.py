@@ -56,6 +56,9 @@ FROM fx_scores WHERE score IS NOT NULL"""
 register("rank_models", sc(_rank_sql))(
     lambda spark, sf: A.rank_models(fx_scores(spark, sf)).select(
         "lang", "dataset", "metric_type", "model", "score", "rank"))
+register("rank_models_distributed", sc(_rank_sql))(
+    lambda spark, sf: A.rank_desc_distributed(fx_scores(spark, sf), ["lang", "dataset", "metric_type"]).select(
+        "lang", "dataset", "metric_type", "model", "score", "rank"))
 register("topk_models", sc(f"SELECT * FROM ({_rank_sql}) r WHERE rank <= 3"))(
     lambda spark, sf: A.topk_models(fx_scores(spark, sf), 3).select(
         "lang", "dataset", "metric_type", "model", "score", "rank"))

@@ -209,3 +209,12 @@ def test_repair_task_profile_matches_brute_force(spark):
     got = [r[0] for r in df.select(RP.profile_t(F.col("t"), ["question", "answer"],
                                                 "struct<question:string,answer:string>")).collect()]
     assert got == [_brute_profile_t(r, ["question", "answer"]) for r in rows]
+
+
+def test_distributed_rank_equals_window_rank(spark):
+    from polyeval.operators import analysis as A
+    rows = [("a", float(v % 7)) for v in range(200)] + [("b", float(v % 3)) for v in range(31)] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, score double").repartition(5)
+    w = sorted((r["g"], r["score"], r["rank"]) for r in A.rank_models(df, ["g"]).collect())
+    d = sorted((r["g"], r["score"], r["rank"]) for r in A.rank_desc_distributed(df, ["g"]).collect())
+    assert w == d
