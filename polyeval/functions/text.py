@@ -301,12 +301,27 @@ def language_of_counts(counts) -> Column:
     return res
 
 
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: a one-element array is
+    mapped, so the lambda variable stands for the value wherever it is used
+    (also after the optimizer inlines the expression into a filter)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def detect_language(text) -> Column:
-    """B35 built-in detector: one pass over the words; the decision is the
-    ``finish`` step of the same ``aggregate``, so the expression stays single
-    even when the optimizer inlines it into a filter."""
-    words, zero, merge = _count_parts(text)
-    return F.aggregate(words, zero, merge, language_of_counts)
+    """B35 built-in detector: the words are split once, each language's stop
+    words are counted with one ``filter`` over them, and the language with
+    the most wins; a single expression."""
+    words = F.split(F.lower(F.coalesce(_c(text), F.lit(""))), r"[^\p{L}]+")
+    lists = {lang: F.array(*[F.lit(w) for w in sw]) for lang, sw in STOPWORDS.items()}
+
+    def member_of(lst):
+        return lambda x: F.array_contains(lst, x)
+
+    def per_words(w):
+        counts = F.struct(*[F.size(F.filter(w, member_of(lst))).alias(lang) for lang, lst in lists.items()])
+        return _bind(counts, language_of_counts)
+    return _bind(words, per_words)
 
 
 def with_language(df, text: str, out: str = "detected"):
