@@ -218,3 +218,20 @@ def test_distributed_rank_equals_window_rank(spark):
     w = sorted((r["g"], r["score"], r["rank"]) for r in A.rank_models(df, ["g"]).collect())
     d = sorted((r["g"], r["score"], r["rank"]) for r in A.rank_desc_distributed(df, ["g"]).collect())
     assert w == d
+
+
+def test_token_join_broadcast_at_runtime(spark):
+    """The token table is an aggregate; AQE measures it and broadcasts it."""
+    df = E.queries()["join_scores_tokens"](spark, SF001)
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
+def test_valid_json_unchanged_by_attempt_chain(spark):
+    from polyeval.operators import repair as RP
+    rows = [(i, json.dumps({"question": f"q {i} \"x\"", "answer": "ক"}, ensure_ascii=False)) for i in range(20)]
+    df = spark.createDataFrame(rows, "idx long, t string")
+    out = RP.repair_attempts(df, "t", "struct<question:string,answer:string>", ["question", "answer"]).collect()
+    assert {r["status"] for r in out} == {"parsed"}
+    assert sorted((r["idx"], r["parsed"]["question"]) for r in out) == [(i, f'q {i} "x"') for i in range(20)]
