@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyeval.functions.text import (BANGLA_DIGITS, LATIN_DIGITS, WORD_CHAR, WS_CLASS, _c,
+from polyeval.functions.text import (BANGLA_DIGITS, LATIN_DIGITS, WORD_CHAR, WS_CLASS,
                                      normalize_whitespace, parse_json_strict)
 
 # ---------------------------------------------------------------------------
@@ -245,5 +245,3 @@ def repair_report(attempts: DataFrame) -> DataFrame:
     """I4: rows per status."""
     return attempts.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
-
-__all__ = ["LOG_PATTERNS", "log_error_index", "repair_attempts", "repair_report", "_c"]

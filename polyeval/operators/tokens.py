@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polyeval.functions.text import WORD_CHAR, WS_CLASS, _c, word_count
+from polyeval.functions.text import WORD_CHAR, WS_CLASS, word_count
 
 R = 10
 
@@ -123,5 +123,3 @@ def token_stats(df: DataFrame, text: Column, keys: list[str], names: list[str],
                        F.round("bpt", R).alias("avg_bytes_per_token"),
                        F.round("nsl", R).alias("avg_normalized_seq_len"))
 
-
-__all__ = ["BUILTIN", "count_tokens", "count_tokens_udf", "token_ratios", "token_stats", "_c"]
