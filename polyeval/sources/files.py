@@ -7,12 +7,13 @@ information from file names, and never collects anything to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from polyeval.functions.text import py_strip
 from polyeval.operators.ids import with_index
+from polyeval.session import cut_lineage
 
 RESPONSE_CSV_COLUMNS = ["Question ID", "Dataset Name", "Model Name", "System Prompt", "Prompt",
                         "Model Response", "Ground Truth"]
@@ -27,17 +28,28 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 def line_index(spark: SparkSession, path: str, name: str = "line_no", **text_opts) -> DataFrame:
     """A3: lines of text files with their zero-based position.
 
-    Position follows (file path, offset in file): the scan keeps the file
-    and block of every line, a range-partitioned sort on them restores file
-    order without a single task, and ``with_index`` numbers the lines.
+    Every file split is read in order by one task, so a line's position is
+    (lines in all earlier splits, in file-then-offset order) + (its place in
+    its split). The scan keeps (file, split start, monotonically increasing
+    id); one small aggregate gives each split's line count and first id, a
+    prefix sum over the splits (one row per split, not per line) gives the
+    offsets, and an equi-join on the split adds them - no sort of the lines.
+    The ids are fixed by a reliable checkpoint, so a lost executor cannot
+    renumber them.
     """
     r = spark.read
     for k, v in text_opts.items():
         r = r.option(k, v)
     d = r.text(path).select("value", F.col("_metadata.file_path").alias("_file"),
                             F.col("_metadata.file_block_start").alias("_block"),
-                            F.monotonically_increasing_id().alias("_seq"))
-    return with_index(d, name, order_by=["_file", "_block", "_seq"]).drop("_file", "_block", "_seq")
+                            F.monotonically_increasing_id().alias("_mid"))
+    d = cut_lineage(d)
+    splits = d.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offs = splits.select("_file", "_block", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = d.join(offs, ["_file", "_block"])
+    return out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("bigint")) \
+        .drop("_file", "_block", "_mid", "_m0", "_off")
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType,

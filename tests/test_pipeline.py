@@ -235,3 +235,22 @@ def test_valid_json_unchanged_by_attempt_chain(spark):
     out = RP.repair_attempts(df, "t", "struct<question:string,answer:string>", ["question", "answer"]).collect()
     assert {r["status"] for r in out} == {"parsed"}
     assert sorted((r["idx"], r["parsed"]["question"]) for r in out) == [(i, f'q {i} "x"') for i in range(20)]
+
+
+def test_line_index_across_many_splits(spark):
+    import glob
+    from polyeval.session import scratch_path
+    from polyeval.sources import files as FS
+    path = scratch_path(spark, "split-lines")
+    table(spark, SF01, "documents").orderBy("doc_id").select("text").coalesce(2).write.mode("overwrite").text(path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32768")
+    try:
+        got = [r["value"] for r in FS.line_index(spark, path).orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = []
+    for f in sorted(glob.glob(os.path.join(path.replace("file:", ""), "part-*"))):
+        with open(f, encoding="utf-8") as fh:
+            want.extend(line.rstrip("\n") for line in fh)
+    assert got == want
