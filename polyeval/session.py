@@ -19,6 +19,11 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # runtime broadcast only for join sides that AQE measured below 32 MiB
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # post-shuffle partitions of ~128 MiB: set spark.sql.shuffle.partitions
+    # high on a cluster (thousands) and let AQE coalesce down to this size
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+    # scan splits of 128 MiB; documents are long texts, so splits stay in memory
+    "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # keep Python batches small: model calls are slow per row
