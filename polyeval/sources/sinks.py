@@ -26,11 +26,21 @@ def write_jsonl(df: DataFrame, path: str, order: str | None = "idx", single_file
     d.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_response_csv(df: DataFrame, path: str, order: str = "idx") -> None:
+# Cell texts that a pandas CSV round trip reads as missing
+# (its default NA strings); ``compat_na`` reproduces that rewrite.
+PANDAS_NA_STRINGS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+                     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
+def write_response_csv(df: DataFrame, path: str, order: str = "idx", compat_na: bool = False) -> None:
     """Header + rows in question order, every cell quoted, written to a
-    new path (never rewritten in place)."""
-    d = df.orderBy(order).select(*[F.col(a).cast("string").alias(b)
-                                   for a, b in zip(RESPONSE_COLUMNS, RESPONSE_CSV_COLUMNS)])
+    new path (never rewritten in place). ``compat_na``: cells whose whole
+    text is one of the pandas NA strings become empty, as after the
+    reference's read-and-rewrite step."""
+    def cell(c):
+        v = F.col(c).cast("string")
+        return F.when(v.isin(PANDAS_NA_STRINGS), F.lit("")).otherwise(v) if compat_na else v
+    d = df.orderBy(order).select(*[cell(a).alias(b) for a, b in zip(RESPONSE_COLUMNS, RESPONSE_CSV_COLUMNS)])
     (d.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"')
      .option("nullValue", NULL_TOKEN).option("emptyValue", "")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))

@@ -157,3 +157,19 @@ def test_box_quartiles(spark):
     row = A.box_summary(df, ["k"]).first()
     assert (row["q1"], row["median"], row["q3"]) == (1.75, 2.5, 4.75)
     assert row["outliers"] == 1 and row["whisker_high"] == 3.0
+
+
+def test_response_csv_compat_na(spark):
+    from polyeval.session import scratch_path
+    from polyeval.sources import files as FS
+    from polyeval.sources import sinks as SK
+    rows = [(1, "d", "m", "s", "p", "NA", "None", 0), (2, "d", "m", "s", "p", "x", "null", 1)]
+    df = spark.createDataFrame(rows, "question_id long, dataset string, model string, system_prompt string, "
+                                     "prompt string, response string, ground_truth string, idx long")
+    plain, compat = scratch_path(spark, "csv-plain"), scratch_path(spark, "csv-compat")
+    SK.write_response_csv(df, plain)
+    SK.write_response_csv(df, compat, compat_na=True)
+    a = sorted((r["response"], r["ground_truth"]) for r in FS.read_response_csv(spark, plain).collect())
+    b = sorted((r["response"], r["ground_truth"]) for r in FS.read_response_csv(spark, compat).collect())
+    assert a == [("NA", "None"), ("x", "null")]
+    assert b == [("", ""), ("x", "")]
