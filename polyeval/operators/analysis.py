@@ -159,18 +159,14 @@ def lang_std(scores: DataFrame, key: list[str], lang: str = "lang") -> DataFrame
     return per_lang.groupBy(*key).agg(rnd(F.stddev_samp("m")).alias("lang_std"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str,
-                    probs: list[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, fully distributed.
-
-    A global range sort on (keys, value) spreads even a hot group over many
-    tasks; a dense position per row, the first position and size of each
-    group (a small aggregate) give the two ranks around ``p*(n-1)``, and an
-    equi-join on position fetches their values. No group is gathered.
-    Output: keys, p, q.
-    """
+def _sorted_positions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Non-null values with their dense position in (keys, value) order
+    (range-partitioned global sort; checkpointed by ``with_index``)."""
     v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    s = with_index(v, "_pos", order_by=[*keys, "_v"])
+    return with_index(v, "_pos", order_by=[*keys, "_v"])
+
+
+def _quantiles_at(s: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     st = s.groupBy(*keys).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
     t = st.select(*keys, "_start", "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
     pos = F.col("p") * (F.col("_n") - 1)
@@ -183,18 +179,32 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str,
     return j.select(*keys, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias("q"))
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str,
+                    probs: list[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles per group, fully distributed.
+
+    A global range sort on (keys, value) spreads even a hot group over many
+    tasks; a dense position per row, the first position and size of each
+    group (a small aggregate) give the two ranks around ``p*(n-1)``, and an
+    equi-join on position fetches their values. No group is gathered.
+    Output: keys, p, q.
+    """
+    return _quantiles_at(_sorted_positions(df, keys, value), keys, probs)
+
+
 def box_summary(scores: DataFrame, keys: list[str], value: str = "score") -> DataFrame:
     """Quartiles, whiskers inside 1.5 IQR and outlier count per group
-    (the box-plot numbers)."""
-    qs = exact_quantiles(scores, keys, value, [0.25, 0.5, 0.75])
+    (the box-plot numbers). The sorted, checkpointed values serve both the
+    quartiles and the whisker pass, so the input is evaluated once."""
+    s = _sorted_positions(scores, keys, value)
+    qs = _quantiles_at(s, keys, [0.25, 0.5, 0.75])
     wide = qs.groupBy(*keys).agg(
         F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
         F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     wide = wide.withColumn("_lf", F.col("q1") - 1.5 * iqr).withColumn("_uf", F.col("q3") + 1.5 * iqr)
-    d = scores.where(F.col(value).isNotNull()).select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).cast("double").alias("_v"))
+    d = s.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_v")
     cond = [F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
     j = d.join(wide, cond).select(*keys, "_v", "q1", "median", "q3", "_lf", "_uf")
     inside = (F.col("_v") >= F.col("_lf")) & (F.col("_v") <= F.col("_uf"))
