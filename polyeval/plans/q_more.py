@@ -159,3 +159,47 @@ def q_sink_csv(spark, sf):
     cells = head.select(F.posexplode(F.split("h", ",")).alias("position", "header"))
     return cells.select(F.col("position").cast("int").alias("position"),
                         F.regexp_replace("header", '"', "").alias("header"))
+
+
+# --- Item -> prompt -> model -> score, end to end ----------------------------------------------
+class LetterModel:
+    """Stand-in model: answers with the option letter picked by the prompt's
+    length (Bangla letters when the prompt has the Bangla options header)."""
+
+    def __call__(self, prompt):
+        letters = "কখগঘ" if "বিকল্পসমূহ:" in prompt else "ABCD"
+        return letters[len(prompt) % 4]
+
+
+def _evaluate_items(spark, sf):
+    from polyeval.functions import prompts as P
+    from polyeval.operators import runner as RN
+    from polyeval.plans.q_prompts import by_lang, fx_items, prefix
+    items = fx_items(spark, sf)
+    prompts = items.select("doc_id", "lang", by_lang(lambda lg: P.render_choices(
+        prefix(lg), F.col("stem"), F.col("labels"), F.col("choices"), lg, ". ")).alias("prompt"),
+        F.col("answer_key").alias("ground_truth"))
+    runs = RN.batch_infer(prompts, LetterModel(), ["prompt"], "doc_id", sleep=lambda s: None, partitions=8)
+    responses = runs.select("lang", "prompt", "response", "ground_truth", F.lit("openbookqa").alias("dataset"))
+    return S.score_table(responses, ("dataset", "lang"))
+
+
+def _evaluate_items_sql():
+    from polyeval.plans.q_prompts import _b1_sql
+    body = _b1_sql(". ", False)          # WITH fx_items AS (...) SELECT doc_id, prompt, answer_key FROM fx_items
+    head, tail = body.rsplit("SELECT doc_id, ", 1)   # the outer select of the item prompts
+    with_lang = head + "SELECT doc_id, lang, " + tail
+    resp = (f"SELECT 'openbookqa' AS dataset, lang, prompt, answer_key AS ground_truth, "
+            f"CASE WHEN contains(prompt, 'বিকল্পসমূহ:') THEN substr('কখগঘ', CAST(length(prompt) % 4 AS INTEGER) + 1, 1) "
+            f"ELSE substr('ABCD', CAST(length(prompt) % 4 AS INTEGER) + 1, 1) END AS response FROM ({with_lang}) p")
+    scored = (f"SELECT s.*, {O.right('s.clean_response', 's.ground_truth', 's.v', 's.lang')} AS r, "
+              f"{O.error('s.clean_response', 's.options', 's.v', 's.lang')} AS e FROM ("
+              f"SELECT f.*, {O.clean('f.response')} AS clean_response, {O.options('f.prompt', 'f.lang')} AS options, "
+              f"{O.variant('f.dataset', 'f.lang')} AS v FROM ({resp}) f) s")
+    return (f"SELECT dataset, lang, CAST(sum(CAST(r AS BIGINT)) AS BIGINT) AS \"right\", "
+            f"CAST(sum(CAST(e AS BIGINT)) AS BIGINT) AS errors, count(*) AS \"rows\", "
+            f"CAST(sum(CAST(r AS BIGINT)) AS DOUBLE) / count(*) AS accuracy, "
+            f"CAST(sum(CAST(e AS BIGINT)) AS DOUBLE) / count(*) AS rer FROM ({scored}) x GROUP BY dataset, lang")
+
+
+register("evaluate_items", _evaluate_items_sql())(_evaluate_items)
