@@ -48,9 +48,37 @@ def build_session(master: str | None = None, app: str = "polyeval",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``polyeval`` importable in the Python workers (what
+    ``spark-submit --py-files`` does): the package is zipped once per
+    application and added with ``addPyFile``; Spark copies it to every
+    executor. Needed by every stage that runs Python (model runner, pandas
+    UDFs, packing)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="polyeval-pyfiles-")  # driver-side artifact, uploaded by Spark
+    target = os.path.join(folder, "polyeval.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, dirs, files in os.walk(pkg):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("polyeval", os.path.relpath(full, pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
