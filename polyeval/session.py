@@ -66,7 +66,15 @@ def ship_package(spark: SparkSession) -> None:
         return
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
-    folder = tempfile.mkdtemp(prefix="polyeval-pyfiles-")  # driver-side artifact, uploaded by Spark
+    base = ensure_checkpoint_dir(spark)
+    if base.startswith("file:") or base.startswith("/"):
+        # the shared checkpoint folder when the driver can write it directly
+        folder = os.path.join(base[len("file:"):] if base.startswith("file:") else base,
+                              f"pyfiles-{os.urandom(4).hex()}")
+        os.makedirs(folder, exist_ok=True)
+    else:
+        # remote file systems: build on the driver; addPyFile uploads it
+        folder = tempfile.mkdtemp(prefix="polyeval-pyfiles-")
     target = os.path.join(folder, "polyeval.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for root, dirs, files in os.walk(pkg):
