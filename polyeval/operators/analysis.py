@@ -153,6 +153,24 @@ def corr_matrix(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> D
                               F.count(F.lit(1)).alias("n"))
 
 
+def corr_measures(df: DataFrame, x: str, measures: list[str]) -> DataFrame:
+    """E10 for several measures in one pass: per measure, the rows where both
+    values are present (conditional aggregates), then the small result is
+    unpivoted to (measure, corr, n)."""
+    aggs = []
+    for i, m in enumerate(measures):
+        both = F.col(x).isNotNull() & F.col(m).isNotNull()
+        xs, ms = F.when(both, F.col(x)), F.when(both, F.col(m))
+        aggs += [F.covar_pop(xs, ms).alias(f"_c{i}"), F.stddev_pop(xs).alias(f"_sx{i}"),
+                 F.stddev_pop(ms).alias(f"_sm{i}"), F.count_if(both).alias(f"_n{i}")]
+    wide = df.agg(*aggs)
+    rows = [F.struct(F.lit(m).alias("measure"),
+                     rnd(F.try_divide(F.col(f"_c{i}"), F.when((F.col(f"_sx{i}") * F.col(f"_sm{i}")) != 0,
+                                                              F.col(f"_sx{i}") * F.col(f"_sm{i}")))).alias("corr"),
+                     F.col(f"_n{i}").alias("n")) for i, m in enumerate(measures)]
+    return wide.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
+
+
 def lang_std(scores: DataFrame, key: list[str], lang: str = "lang") -> DataFrame:
     """Sample std over the per-language means; null with one language."""
     per_lang = scores.groupBy(*key, lang).agg(F.avg("score").alias("m"))

@@ -133,12 +133,7 @@ MEASURES = ["avg_tokens_per_row", "avg_bytes_per_token", "avg_normalized_seq_len
         THEN covar_pop(score, {m}) / (stddev_pop(score) * stddev_pop({m})) END, 10) AS corr, count(*) AS n
     FROM ({_D1_SQL}) d WHERE score IS NOT NULL AND {m} IS NOT NULL""" for m in MEASURES), "fx_scores"))
 def q_corr(spark, sf):
-    d = _d1(spark, sf)
-    parts = [A.corr_matrix(d, "score", m).select(F.lit(m).alias("measure"), "corr", "n") for m in MEASURES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return A.corr_measures(_d1(spark, sf), "score", MEASURES)
 
 
 @register("first_file_per_dataset", with_views(f"""SELECT path FROM ({N.result_files_sql()}) f
@@ -147,3 +142,17 @@ WHERE path IN (SELECT min(path) FROM ({N.result_files_sql()}) g GROUP BY {N.data
 def q_first_file(spark, sf):
     f = N.fx_result_files(spark, sf).withColumn("dataset", N.dataset_part(F.col("path")))
     return A.first_per_group(f, ["dataset"], "path").select("path")
+
+
+# --- H2 for the token measures: language x dataset means over the joined table ---------------------------
+PIVOT_DATASETS = ["openbookqa", "commonsenseqa", "boolq", "gsm8k-main", "winogrande", "hellaswag"]
+for _key, _measure in [("pivot_dataset_nsl", "avg_normalized_seq_len"),
+                       ("pivot_dataset_tokens_per_word", "avg_tokens_per_word"),
+                       ("pivot_dataset_bytes_per_token", "avg_bytes_per_token")]:
+    def _mk_pivot(key, measure):
+        cols = ", ".join(f"round(avg(CASE WHEN dataset = '{d}' THEN {measure} END), 10) AS \"{d}\""
+                         for d in PIVOT_DATASETS)
+        register(key, with_views(f"SELECT lang, {cols} FROM ({_D1_SQL}) d WHERE lang IS NOT NULL GROUP BY lang",
+                                 "fx_scores"))(
+            lambda spark, sf: A.pivot_mean(_d1(spark, sf), ["lang"], "dataset", PIVOT_DATASETS, value=measure))
+    _mk_pivot(_key, _measure)
