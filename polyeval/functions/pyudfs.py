@@ -71,3 +71,12 @@ def escape_inner_udf(s: pd.Series) -> pd.Series:
 @pandas_udf(T.StringType())
 def reescape_values_udf(s: pd.Series) -> pd.Series:
     return s.map(reescape_values)
+
+
+def language_detector(fn):
+    """B35 with a user detector: ``fn(text) -> language code`` as one
+    Arrow-batched pandas UDF (e.g. a statistical language-id library)."""
+    @pandas_udf(T.StringType())
+    def detect(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else fn(t))
+    return detect

@@ -84,10 +84,16 @@ def upsert_by_index(base: DataFrame, updates: DataFrame, key: str, fields: list[
     return merged, unmatched
 
 
-def pair_corpora(a: DataFrame, b: DataFrame, key: str = "idx") -> DataFrame:
-    """Row i of one corpus with row i of the other, each side as JSON."""
-    ja = a.select(key, F.to_json(F.struct(*[c for c in a.columns if c != key])).alias("left_json"))
-    jb = b.select(key, F.to_json(F.struct(*[c for c in b.columns if c != key])).alias("right_json"))
+def pair_corpora(a: DataFrame, b: DataFrame, key: str = "idx", id_col: str | None = None,
+                 b_id_col: str | None = None) -> DataFrame:
+    """Row i of one corpus with row i of the other, each side as JSON
+    without its id; ``sample_id`` is the id of the first corpus, else the
+    position."""
+    drop_a, drop_b = {key, id_col}, {key, b_id_col}
+    sid = F.coalesce(F.col(id_col).cast("string"), F.col(key).cast("string")) if id_col else F.col(key).cast("string")
+    ja = a.select(key, sid.alias("sample_id"),
+                  F.to_json(F.struct(*[c for c in a.columns if c not in drop_a])).alias("left_json"))
+    jb = b.select(key, F.to_json(F.struct(*[c for c in b.columns if c not in drop_b])).alias("right_json"))
     return ja.join(jb, key, "inner")
 
 

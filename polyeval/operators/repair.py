@@ -40,7 +40,7 @@ DETECTED_MARK = "Detected English entry"
 # logs
 # ---------------------------------------------------------------------------
 def log_error_index(lines: DataFrame, line: str = "line", patterns=LOG_PATTERNS,
-                    dedupe: bool = False) -> DataFrame:
+                    dedupe: bool = True) -> DataFrame:
     """(line_no..., kind, idx) for every pattern a line matches; a line
     may match several. ``dedupe`` keeps one row per index (processing an
     index twice gives the same result)."""

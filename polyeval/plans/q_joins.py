@@ -115,14 +115,15 @@ register("upsert_unmatched", "SELECT l.doc_id FROM labels l ANTI JOIN documents
 
 
 # --- D5 paired corpora by row number -----------------------------------------------------------------
-@register("pair_corpora", """SELECT a.idx, a.left_json, b.right_json FROM
-  (SELECT row_number() OVER (ORDER BY item_id) - 1 AS idx, CAST(to_json({'item_id': item_id, 'text': text}) AS VARCHAR) AS left_json FROM benchmark) a
-  JOIN (SELECT row_number() OVER (ORDER BY page_id) - 1 AS idx, CAST(to_json({'page_id': page_id, 'url': url}) AS VARCHAR) AS right_json FROM pages) b
+@register("pair_corpora", """SELECT a.idx, a.sample_id, a.left_json, b.right_json FROM
+  (SELECT row_number() OVER (ORDER BY item_id) - 1 AS idx, CAST(item_id AS VARCHAR) AS sample_id,
+          CAST(to_json({'text': text}) AS VARCHAR) AS left_json FROM benchmark) a
+  JOIN (SELECT row_number() OVER (ORDER BY page_id) - 1 AS idx, CAST(to_json({'url': url}) AS VARCHAR) AS right_json FROM pages) b
   ON a.idx = b.idx""")
 def q_pair(spark, sf):
     a = I.with_index(table(spark, sf, "benchmark").select("item_id", "text"), "idx", order_by=["item_id"])
     b = I.with_index(table(spark, sf, "pages").select("page_id", "url"), "idx", order_by=["page_id"])
-    return J.pair_corpora(a, b, "idx")
+    return J.pair_corpora(a, b, "idx", id_col="item_id", b_id_col="page_id")
 
 
 # --- D9 + E15 predictions per training size and the learning-curve area -------------------------------------

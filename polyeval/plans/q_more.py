@@ -203,3 +203,27 @@ def _evaluate_items_sql():
 
 
 register("evaluate_items", _evaluate_items_sql())(_evaluate_items)
+
+
+# --- B35 with a user detector run as one pandas UDF (here a Python restatement of the built-in rule) ----------
+def _python_detector(text):
+    import regex
+    from polyeval.functions.text import STOPWORDS
+    words = regex.split(r"[^\p{L}]+", text.lower())
+    counts = {lang: sum(1 for w in words if w in set(sw)) for lang, sw in STOPWORDS.items()}
+    best = max(counts.values())
+    return next(lang for lang, c in counts.items() if c == best) if best > 0 else "und"
+
+
+def _detect_udf(spark, sf):
+    from polyeval.functions.pyudfs import language_detector
+    detect = language_detector(_python_detector)
+    return table(spark, sf, "documents").select("doc_id", "lang", detect(F.col("text")).alias("detected"))
+
+
+def _detect_sql():
+    from polyeval.plans.q_text import _detect_sql as d
+    return f"SELECT doc_id, lang, {d('text')} AS detected FROM documents"
+
+
+register("detect_language_udf", _detect_sql())(_detect_udf)

@@ -30,7 +30,7 @@ def _translations(spark, sf):
 register("log_error_index", with_views(" UNION ALL ".join(
     f"SELECT line_no, '{k}' AS kind, CAST(regexp_extract(line, {q(p)}, 1) AS BIGINT) AS idx FROM fx_log "
     f"WHERE regexp_matches(line, {q(p)})" for k, p in RP.LOG_PATTERNS), "fx_log"))(
-    lambda spark, sf: RP.log_error_index(fx_log(spark, sf)))
+    lambda spark, sf: RP.log_error_index(fx_log(spark, sf), dedupe=False))
 
 register("log_affected_indexes", with_views("SELECT idx, min(kind) AS kind FROM (" + " UNION ALL ".join(
     f"SELECT '{k}' AS kind, CAST(regexp_extract(line, {q(p)}, 1) AS BIGINT) AS idx FROM fx_log "

@@ -198,6 +198,8 @@ register("translate", _TR_SQL)(lambda spark, sf: _final(_translated(spark, sf)))
 def q_retry(spark, sf):
     first = _translated(spark, sf)
     fake = FakeTranslator()
-    both = RN.retry_translate(first, F.col("translated").isNull(), lambda r, t: fake(r, t), "request", "idx",
+    # missing, or more than three times longer than the original
+    needs = F.col("translated").isNull() | X.length_ratio_flag(F.length("translated"), F.length("question"))
+    both = RN.retry_translate(first, needs, lambda r, t: fake(r, t), "request", "idx",
                               temperature=1.0, **NO_SLEEP)
     return _final(_parsed(both.drop("translated")))
