@@ -89,7 +89,7 @@ def _rel_path(col: str, base: str):
 def scan_result_tree(spark: SparkSession, base: str, avoid: list[str] = (), glob: str = "*.txt") -> DataFrame:
     """A5: every file below ``base`` (whole text) with its path relative to
     ``base``; files under a folder whose name contains an avoid string are
-    skipped (a path filter on the listing, before any file is opened)."""
+    dropped by a filter on the file path, before any content is parsed."""
     d = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
          .text(base, wholetext=True)
          .select(_rel_path("_metadata.file_path", base).alias("path"), F.col("value").alias("content")))
