@@ -205,6 +205,9 @@ def retry_translate(translated: DataFrame, needs_retry: Column, fn: Callable[[st
     """A second call at ``temperature`` for the rows ``needs_retry``
     selects (missing or overlong); the results replace those rows by key
     (D4), the other rows are kept as they are."""
+    # the first pass feeds two branches: cut its lineage so the model is not
+    # called again for every row when both branches are computed
+    translated = materialize(translated)
     todo = translated.where(needs_retry)
     keep = translated.where(~needs_retry | needs_retry.isNull())
     again = batch_infer(todo.drop("response", "error", "attempts", "duration", "ok", "message"),

@@ -254,3 +254,24 @@ def test_line_index_across_many_splits(spark):
         with open(f, encoding="utf-8") as fh:
             want.extend(line.rstrip("\n") for line in fh)
     assert got == want
+
+
+def test_retry_calls_model_once_per_row_and_pass(spark):
+    """The first pass is materialised before it feeds two branches."""
+    from polyeval.operators import runner as RN
+    from polyeval.session import scratch_path
+    log = scratch_path(spark, "calls")
+    os.makedirs(log.replace("file:", ""), exist_ok=True)
+
+    def model(text, temperature=0.0):
+        with open(os.path.join(log.replace("file:", ""), f"{os.getpid()}-{os.urandom(4).hex()}"), "w") as f:
+            f.write(text)
+        return None if int(text) % 3 == 0 and temperature == 0.0 else "ok"
+
+    df = spark.createDataFrame([(i, str(i)) for i in range(30)], "k long, req string")
+    first = RN.translate(df, lambda r: model(r), "req", "k", sleep=lambda s: None, partitions=3)
+    out = RN.retry_translate(first, F.col("message").isNull(), model, "req", "k",
+                             sleep=lambda s: None, partitions=3)
+    rows = out.collect()                      # one action
+    assert len(rows) == 30 and all(r["message"] == "ok" for r in rows)
+    assert len(os.listdir(log.replace("file:", ""))) == 30 + 10
