@@ -93,8 +93,7 @@ BOOLQ_TEMPLATE = {
 }
 # option count of the multiple-choice template per dataset
 OPTION_COUNT = {"openbookqa": 4, "arc-easy": 5, "arc-challenge": 5, "truthfulqa-mc": 13,
-                "commonsenseqa": 5, "piqa": 2, "mmlu": 4, "winogrande": 2, "hellaswag": 4,
-                "titullm": 4}
+                "commonsenseqa": 5, "piqa": 2, "mmlu": 4, "winogrande": 2, "hellaswag": 4}
 BBH_DATASETS = ["bbh-date", "bbh-disamb-qa", "bbh-geo-shapes", "bbh-hyperbaton", "bbh-logic-3",
                 "bbh-logic-5", "bbh-logic-7", "bbh-movie", "bbh-penguins", "bbh-reasoning",
                 "bbh-ruin-names", "bbh-salient", "bbh-snarks", "bbh-temporal", "bbh-track-3",
@@ -117,7 +116,7 @@ def template_rows() -> list[tuple[str, str, str, str]]:
                 system, inp = SYSTEM_BOOLQ[lang], BOOLQ_TEMPLATE[lang]
             elif ds == "truthfulqa-ml":
                 inp = MULTI_TEMPLATE[lang]
-            elif ds in BBH_DATASETS or ds == "titullm":
+            elif ds in BBH_DATASETS:
                 inp = mcq_template("en", 4)  # English template in both languages
             else:
                 inp = mcq_template(lang, OPTION_COUNT[ds])
