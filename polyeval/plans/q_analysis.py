@@ -28,13 +28,14 @@ def qi(c: str) -> str:
 # --- H4 leaderboard (flagship) ------------------------------------------------
 _models_values = ", ".join(f"({i}, '{m}')" for i, m in enumerate(MODELS))
 _ds_cols = ", ".join(f"avg(CASE WHEN dataset = '{d}' THEN score END) AS {qi(d)}" for d in DATASETS)
-register("leaderboard", sc(f"""
+_lb_sql_text = f"""
 SELECT f.lang, f.metric_type, m.model_ordinal, m.model, {", ".join("w." + qi(d) for d in DATASETS)}
 FROM (SELECT DISTINCT lang, metric_type FROM fx_scores) f
 CROSS JOIN (VALUES {_models_values}) m(model_ordinal, model)
 LEFT JOIN (SELECT lang, metric_type, model, {_ds_cols} FROM fx_scores
            WHERE dataset IN ({", ".join(f"'{d}'" for d in DATASETS)}) GROUP BY lang, metric_type, model) w
-  ON w.lang = f.lang AND w.metric_type = f.metric_type AND w.model = m.model"""))(
+  ON w.lang = f.lang AND w.metric_type = f.metric_type AND w.model = m.model"""
+register("leaderboard", sc(_lb_sql_text))(
     lambda spark, sf: A.leaderboard(fx_scores(spark, sf), MODELS, DATASETS))
 
 # --- G2 fixed axis order -----------------------------------------------------

@@ -227,3 +227,19 @@ def _detect_sql():
 
 
 register("detect_language_udf", _detect_sql())(_detect_udf)
+
+
+# --- H4 sink: the leaderboard written per (lang, metric) and read back ---------------------------------------
+from polyeval.plans.q_analysis import _lb_sql_text  # noqa: E402
+
+
+@register("sink_leaderboard", with_views(
+    """SELECT lang, metric_type, model AS "Model", openbookqa, commonsenseqa, boolq, "gsm8k-main", winogrande, hellaswag
+FROM (""" + _lb_sql_text + """) b""", "fx_scores"))
+def q_sink_leaderboard(spark, sf):
+    from polyeval.plans.q_analysis import DATASETS, MODELS
+    path = scratch_path(spark, "leaderboard")
+    SK.write_leaderboard(A.leaderboard(fx_scores(spark, sf), MODELS, DATASETS), path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select("lang", "metric_type", "Model",
+                       *[F.col(f"`{d}`").try_cast("double").alias(d) for d in DATASETS])

@@ -75,3 +75,16 @@ def write_files(df: DataFrame, base: str, path_col: str, content_col: str) -> No
                 f.write(r[content_col] if r[content_col] is not None else "")
 
     df.select(path_col, content_col).foreachPartition(put)
+
+
+def write_leaderboard(board: DataFrame, path: str, by=("lang", "metric_type"), order: str = "model_ordinal") -> None:
+    """H4 sink: one CSV per (lang, metric) in its own folder, rows in the
+    fixed model order, a missing cell written as an empty string (only
+    here, at the sink). Each table holds one row per model, so one task per
+    table is bounded by the model axis."""
+    value_cols = [c for c in board.columns if c not in (*by, order, "model")]
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in value_cols]
+    d = board.select(*by, order, F.col("model").alias("Model"), *cells)
+    (d.repartition(*by).sortWithinPartitions(*by, order).drop(order)
+       .write.mode("overwrite").partitionBy(*by).option("header", True).option("escape", '"')
+       .option("emptyValue", "").csv(path))
