@@ -173,3 +173,35 @@ def test_response_csv_compat_na(spark):
     b = sorted((r["response"], r["ground_truth"]) for r in FS.read_response_csv(spark, compat).collect())
     assert a == [("NA", "None"), ("x", "null")]
     assert b == [("", ""), ("x", "")]
+
+
+def _render_choices_py(prefix, stem, labels, texts, header="Options:", sep=". "):
+    out = prefix + f"{stem}\n{header}\n"
+    for label, choice in zip(labels, texts):
+        out += f"{label}{sep}{choice}\n"
+    return out
+
+
+def test_renderers_match_python_statement(spark):
+    """Prompts are byte-identical to a direct Python statement of the rules."""
+    from conftest import SF001
+    from polyeval.plans.fixtures import table
+    docs = table(spark, SF001, "documents").select("doc_id", "text").orderBy("doc_id").limit(50).collect()
+    rows = []
+    for d in docs:
+        words = [w for w in d["text"].split(" ") if w != ""][1:5]
+        rows.append((d["doc_id"], d["text"], words, ["A", "B", "C", "D"][:len(words)]))
+    df = spark.createDataFrame(rows, "doc_id long, stem string, choices array<string>, labels array<string>")
+    pre = P.mcq_template("en", 4)
+    got = df.select("doc_id",
+                    P.render_choices(F.lit(pre), F.col("stem"), F.col("labels"), F.col("choices"), "en", ". ").alias("a"),
+                    P.render_choice_map(F.lit(pre), F.col("stem"), F.map_from_arrays("labels", "choices"), "en").alias("b"),
+                    P.render_positional(F.lit(pre), F.col("stem"), F.col("choices"), "bn", "bangla").alias("c"),
+                    P.render_passage(F.lit(P.BOOLQ_TEMPLATE["en"]), F.lit("Q?"), F.col("stem"), "en").alias("d")
+                    ).orderBy("doc_id").collect()
+    for (doc_id, stem, words, labels), g in zip(rows, got):
+        assert g["a"] == _render_choices_py(pre, stem, labels, words)
+        assert g["b"] == _render_choices_py(pre, stem, labels, words, sep=": ")
+        bn = [chr(0x0995 + i) for i in range(len(words))]
+        assert g["c"] == _render_choices_py(pre, stem, bn, words, header="বিকল্পসমূহ:", sep=": ")
+        assert g["d"] == P.BOOLQ_TEMPLATE["en"] + "Q?\nPassage:\n" + stem + "\n"
