@@ -235,9 +235,10 @@ def lang_from_folder_sql(f: str) -> str:
     return f"(CASE WHEN contains(lower({f}), 'bn') THEN 'bn' ELSE 'en' END)"
 
 
-def dataset_from_filename(path: Column) -> Column:
-    """First hit of a known dataset in the file name, else 'generic'."""
-    f = file_name(path)
+def dataset_from_filename(path: Column, whole_path: bool = False) -> Column:
+    """First hit of a known dataset in the file name (or in the whole
+    given path), else 'generic'."""
+    f = path if whole_path else file_name(path)
     out = F.lit("generic")
     for key, name in reversed(FILENAME_DATASETS):
         out = F.when(f.contains(key), F.lit(name)).otherwise(out)

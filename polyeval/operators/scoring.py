@@ -145,3 +145,14 @@ def judge_accuracy(judgements: DataFrame, by=("dataset", "lang", "model"),
     return judgements.groupBy(*by).agg(
         F.coalesce(F.try_divide(F.count_if(F.col(verdict) == "Correct").cast("double"),
                                 F.count(F.lit(1))), F.lit(0.0)).alias("judge_accuracy"))
+
+
+def score_files(responses: DataFrame) -> DataFrame:
+    """The scorer over a response tree: language from the language folder
+    (``bn`` when its name contains it), dataset guessed from the file's path
+    below it, accuracy and RER per file."""
+    from polyeval.operators import names as N
+    d = responses.withColumn("lang", N.lang_from_folder(F.col("lang_folder"), lower=False)) \
+        .withColumn("dataset", N.dataset_from_filename(F.col("file"), whole_path=True))
+    return score_table(d, ("lang_folder", "file", "dataset", "lang")).select(
+        "lang_folder", "file", "dataset", "lang", "accuracy", "rer")

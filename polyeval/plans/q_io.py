@@ -268,3 +268,32 @@ def q_sink_batches(spark, sf):
     back = spark.read.schema("doc_id bigint, text string, file_no bigint").json(path)
     return back.groupBy("file_no").agg(F.count(F.lit(1)).alias("n_records"),
                                        F.sum(F.octet_length("text") + 1).alias("n_bytes"))
+
+
+# --- the scorer over a tree of response CSVs (one folder per language, one file per dataset and model) ----------
+@register("score_response_tree", with_views(f"""SELECT 'responses-' || lang AS lang_folder,
+  CASE dataset WHEN 'boolq' THEN 'boolq' WHEN 'gsm8k' THEN 'gsm8k' WHEN 'cqsa' THEN 'cqsa' WHEN 'winogrande' THEN 'winogrande'
+               WHEN 'hellaswag' THEN 'hellaswag' ELSE 'generic' END AS dataset_guess,
+  (CASE dataset WHEN 'cqsa' THEN 'commonsenseqa' WHEN 'gsm8k' THEN 'gsm8k-main' ELSE dataset END) || '_' || model AS stem,
+  lang, accuracy, rer
+FROM ({O.score_table_sql()}) t""", "fx_responses"))
+def q_score_tree(spark, sf):
+    from polyeval.operators import scoring as S
+    from polyeval.operators.analysis import map_lit
+    from polyeval.plans.fixtures import FIXTURE_DATASET_NAMES
+    base = scratch_path(spark, "responses-tree")
+    r = fx_responses(spark, sf)
+    stem = F.concat(F.coalesce(F.try_element_at(map_lit(FIXTURE_DATASET_NAMES), F.col("dataset")), F.col("dataset")),
+                    F.lit("_"), F.col("model"))
+    for lang in ("bn", "en"):            # one folder per language: a loop over the two languages
+        part = r.where(F.col("lang") == lang).withColumn("stem", F.concat(stem, F.lit("_responses.csv")))
+        out = part.select("stem", *[F.col(a).cast("string").alias(b) for a, b in zip(
+            FS.RESPONSE_COLUMNS, FS.RESPONSE_CSV_COLUMNS)])
+        (out.write.mode("overwrite").partitionBy("stem").option("header", True).option("quoteAll", True)
+            .option("escape", '"').option("nullValue", "\\N").option("emptyValue", "")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .csv(f"{base}/responses-{lang}"))
+    scored = S.score_files(FS.scan_response_tree(spark, base, avoid=["archive"]))
+    return scored.select("lang_folder", F.col("dataset").alias("dataset_guess"),
+                         F.regexp_extract("file", r"^stem=(.*)_responses\.csv/", 1).alias("stem"),
+                         "lang", "accuracy", "rer")

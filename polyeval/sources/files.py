@@ -146,3 +146,25 @@ def combine_numbered_files(spark: SparkSession, folder: str, schema: T.StructTyp
     good = with_index(good, "position", order_by=[F.col("file_number").asc_nulls_last(), F.col("file")])
     bad = d.where(~ok).select("file")
     return good, bad
+
+
+def scan_response_tree(spark: SparkSession, base: str, avoid: list[str] = (),
+                       suffix: str = "_responses.csv") -> DataFrame:
+    """Response CSVs anywhere below ``base`` (one language folder per first
+    level), with ``lang_folder`` (first folder below ``base``) and ``file``
+    (the rest of the path). Only files ending in ``suffix`` are read (judge
+    CSVs and metric files next to them are not responses). Folders whose
+    name contains an avoid string are dropped by a filter on the path."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in RESPONSE_CSV_COLUMNS])
+    d = (spark.read.schema(schema).option("recursiveFileLookup", True).option("header", True)
+         .option("multiLine", True).option("escape", '"').option("maxCharsPerColumn", -1)
+         .option("nullValue", "\\N").option("emptyValue", "")
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(base))
+    d = d.select(*[F.col(f"`{a}`").alias(b) for a, b in zip(RESPONSE_CSV_COLUMNS, RESPONSE_COLUMNS)],
+                 _rel_path("_metadata.file_path", base).alias("_rel"))
+    d = d.withColumn("lang_folder", F.substring_index("_rel", "/", 1)) \
+         .withColumn("file", F.expr("substring(_rel, length(lang_folder) + 2)"))
+    folders = F.split(F.regexp_replace(F.col("_rel"), "/[^/]*$", ""), "/")
+    for a in avoid:
+        d = d.where(~F.exists(folders, lambda f: f.contains(a)))
+    return d.where(F.col("_rel").endswith(suffix) | F.col("file").contains(suffix.rsplit(".", 1)[0])).drop("_rel")
