@@ -275,3 +275,12 @@ def test_retry_calls_model_once_per_row_and_pass(spark):
     rows = out.collect()                      # one action
     assert len(rows) == 30 and all(r["message"] == "ok" for r in rows)
     assert len(os.listdir(log.replace("file:", ""))) == 30 + 10
+
+
+def test_leaderboard_reads_documents_once(spark):
+    """One aggregation; the fixed model axis is exploded against it, so the
+    documents are scanned once (no self-join of the scores)."""
+    df = E.queries()["leaderboard"](spark, SF001)
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[doc_id#\d+L,text", plan)) == 1
