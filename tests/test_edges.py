@@ -205,3 +205,58 @@ def test_renderers_match_python_statement(spark):
         bn = [chr(0x0995 + i) for i in range(len(words))]
         assert g["c"] == _render_choices_py(pre, stem, bn, words, header="বিকল্পসমূহ:", sep=": ")
         assert g["d"] == P.BOOLQ_TEMPLATE["en"] + "Q?\nPassage:\n" + stem + "\n"
+
+
+def test_option_prefix_and_solution(spark):
+    df = spark.createDataFrame([(["(A)  x", "(B) y", "no label", "(Z) z"],)], "o array<string>")
+    assert df.select(X.map_option_prefix(F.col("o"))).first()[0] == ["(ক) x", "(খ) y", "no label", "(Z) z"]
+    assert one(spark, "Answer : see A and B", X.map_solution_labels(F.col("x"))) == "উত্তর : see ক and খ"
+
+
+def test_options_from_text(spark):
+    got = one(spark, "Q\nOptions:\n(A) yes \n(B)  no", X.options_from_text(F.col("x")))
+    assert got == ["(ক) yes", "(খ) no"]
+    with pytest.raises(Exception):
+        one(spark, "no section", X.options_from_text(F.col("x")))
+
+
+def test_zip_to_map_last_wins_first_order(spark):
+    df = spark.createDataFrame([(["a", "b", "a"], ["1", "2", "3"])], "k array<string>, v array<string>")
+    m = df.select(F.map_entries(X.zip_to_map(F.col("k"), F.col("v")))).first()[0]
+    assert [(e["key"], e["value"]) for e in m] == [("a", "3"), ("b", "2")]
+
+
+def test_whitespace_forms(spark):
+    s = ' {  "a" :  1 ,\n "b": [ 2 ] } '
+    assert one(spark, s, X.normalize_whitespace(F.col("x"), "a")) == '{ "a" : 1 , "b": [ 2 ] }'
+    assert one(spark, s, X.normalize_whitespace(F.col("x"), "b")) == '{"a": 1, "b": [ 2 ]}'
+    assert one(spark, s, X.normalize_whitespace(F.col("x"), "c")) == '{"a":1,"b":[2]}'
+
+
+def test_message_content_defaults(spark):
+    schema = "struct<choices:array<struct<message:struct<content:string>>>>"
+    df = spark.createDataFrame([('{"choices": []}',), ('{"choices": [{"message": {"content": "hi"}}]}',), ("{}",)],
+                               "t string")
+    got = [r[0] for r in df.select(X.message_content(F.from_json("t", schema))).collect()]
+    assert got == ["", "hi", ""]
+
+
+def test_patch_field_gaps(spark):
+    schema = "struct<label:string,text:string,endings:array<string>>"
+    got = one(spark, '{"label": , "text": "  t  "}',
+              X.patch_field_gaps(F.col("x"), schema, text_fields=["text"], list_fields=["endings"]))
+    assert got["label"] is None and got["text"] == "t" and got["endings"] == []
+
+
+def test_combine_numbered_files_reports_bad(spark):
+    from pyspark.sql import types as T
+    from polyeval.session import scratch_path
+    from polyeval.sources import files as FS
+    from polyeval.sources import sinks as SK
+    base = scratch_path(spark, "numbered-edge")
+    files = spark.createDataFrame([("item_10.json", '{"k": 10}'), ("item_2.json", '{"k": 2}'),
+                                   ("readme.json", '{"k": 0}'), ("bad_5.json", "{oops")], "path string, content string")
+    SK.write_files(files, base, "path", "content")
+    good, bad = FS.combine_numbered_files(spark, base, T.StructType([T.StructField("k", T.LongType())]))
+    assert [r["k"] for r in good.orderBy("position").collect()] == [2, 10, 0]
+    assert [r["file"] for r in bad.collect()] == ["bad_5.json"]
