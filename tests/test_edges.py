@@ -260,3 +260,51 @@ def test_combine_numbered_files_reports_bad(spark):
     good, bad = FS.combine_numbered_files(spark, base, T.StructType([T.StructField("k", T.LongType())]))
     assert [r["k"] for r in good.orderBy("position").collect()] == [2, 10, 0]
     assert [r["file"] for r in bad.collect()] == ["bad_5.json"]
+
+
+def test_normalize_model(spark):
+    assert one(spark, "meta-llama-Llama-3.1-8B-Instruct-Turbo", N.normalize_model(F.col("x"))) == \
+        "meta-llama-meta-llama-3.1-8b-instruct-turbo"
+    assert one(spark, "Qwen-Qwen2.5-7B-Instruct-Turbo", N.normalize_model(F.col("x"))) == "qwen-qwen2.5-7b-instruct-turbo"
+    assert one(spark, "Some-Model", N.normalize_model(F.col("x"))) == "some-model"
+
+
+def test_classify_error_and_backoff(spark):
+    from polyeval.operators import runner as RN
+    df = spark.createDataFrame([("Rate Limit hit",), ("x status_code=abc y",), ("HTTP 429",), ("status_code=503 busy",)],
+                               "e string")
+    got = df.select(RN.is_rate_limit(F.col("e")), RN.status_code(F.col("e"))).collect()
+    assert [tuple(r) for r in got] == [(True, None), (False, None), (True, None), (False, 503)]
+    b = spark.range(1).select(RN.backoff(F.lit(10), F.lit(True), F.lit(1.2)).alias("a"),
+                              RN.backoff(F.lit(1), F.lit(False), F.lit(0.8)).alias("b")).first()
+    assert b["a"] == 60.0 and b["b"] == pytest.approx(1.6)
+
+
+def test_learning_curve_auc(spark):
+    import math
+    df = spark.createDataFrame([(160, 0.5), (640, 0.6), (2558, 0.7)], "train_size int, accuracy double")
+    x = [math.log2(s) for s in (160, 640, 2558)]
+    y = [0.5, 0.6, 0.7]
+    want = sum((x[i] - x[i - 1]) * (y[i] + y[i - 1]) / 2 for i in (1, 2)) / (x[-1] - x[0])
+    assert A.learning_curve_auc(df).first()["auc"] == pytest.approx(want, abs=1e-9)
+
+
+def test_token_bucket_waits_with_fake_clock():
+    from polyeval.operators.runner import TokenBucket
+    now = [0.0]
+    waits = []
+
+    def sleep(s):
+        waits.append(s)
+        now[0] += s
+    b = TokenBucket(60.0, clock=lambda: now[0], sleep=sleep)   # one call per second
+    for _ in range(3):
+        b.take()
+    assert len(waits) == 2 and all(w == pytest.approx(1.0) for w in waits)
+
+
+def test_log_line_matching_two_patterns(spark):
+    df = spark.createDataFrame([(1, "ERROR:JSON decoding error at index 7 and Error processing index 9")],
+                               "line_no long, line string")
+    got = sorted((r["kind"], r["idx"]) for r in RP.log_error_index(df, dedupe=False).collect())
+    assert got == [("error_processing", 9), ("json_decoding", 7)]
