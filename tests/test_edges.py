@@ -308,3 +308,11 @@ def test_log_line_matching_two_patterns(spark):
                                "line_no long, line string")
     got = sorted((r["kind"], r["idx"]) for r in RP.log_error_index(df, dedupe=False).collect())
     assert got == [("error_processing", 9), ("json_decoding", 7)]
+
+
+def test_ordered_concat_two_levels(spark):
+    rows = [(k % 3, k, f"t{k};") for k in range(40)]
+    df = spark.createDataFrame(rows, "g long, o long, t string").repartition(4)
+    got = {r["g"]: r["s"] for r in I.ordered_concat(df, ["g"], "o", F.col("t"), "s", chunk=3).collect()}
+    want = {g: "".join(t for gg, o, t in sorted(rows, key=lambda r: r[1]) if gg == g) for g in range(3)}
+    assert got == want
