@@ -316,3 +316,17 @@ def test_ordered_concat_two_levels(spark):
     got = {r["g"]: r["s"] for r in I.ordered_concat(df, ["g"], "o", F.col("t"), "s", chunk=3).collect()}
     want = {g: "".join(t for gg, o, t in sorted(rows, key=lambda r: r[1]) if gg == g) for g in range(3)}
     assert got == want
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import random as _r
+
+    import numpy as np
+    rng = _r.Random(7)
+    rows = [(g, rng.random() * 10) for g in ("a", "b", "c") for _ in range(rng.randint(1, 60))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {(r["g"], r["p"]): r["q"] for r in A.exact_quantiles(df, ["g"], "v", [0.1, 0.25, 0.5, 0.9]).collect()}
+    for g in ("a", "b", "c"):
+        vals = [v for gg, v in rows if gg == g]
+        for p in (0.1, 0.25, 0.5, 0.9):
+            assert got[(g, p)] == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-9)
