@@ -330,3 +330,23 @@ def test_exact_quantiles_match_numpy(spark):
         vals = [v for gg, v in rows if gg == g]
         for p in (0.1, 0.25, 0.5, 0.9):
             assert got[(g, p)] == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-9)
+
+
+def test_running_count_across_chunks(spark):
+    import random as _r
+    rng = _r.Random(3)
+    flags = [rng.random() < 0.4 for _ in range(100)]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(flags)], "idx long, f boolean").repartition(6)
+    got = [r["c"] for r in I.running_count(df, "idx", F.col("f"), "c", chunk=7).orderBy("idx").collect()]
+    want, s = [], 0
+    for f in flags:
+        s += int(f)
+        want.append(s)
+    assert got == want
+
+
+def test_with_index_dense_in_order(spark):
+    df = spark.createDataFrame([(k * 3 % 101,) for k in range(101)], "k long").repartition(7)
+    rows = I.with_index(df, "pos", order_by=["k"]).orderBy("pos").collect()
+    assert [r["pos"] for r in rows] == list(range(101))
+    assert [r["k"] for r in rows] == sorted(r["k"] for r in rows)
