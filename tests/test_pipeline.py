@@ -284,3 +284,17 @@ def test_leaderboard_reads_documents_once(spark):
     df.write.format("noop").mode("overwrite").save()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"FileScan parquet \[doc_id#\d+L,text", plan)) == 1
+
+
+def test_stream_scores_restart_is_idempotent(spark):
+    from polyeval.session import scratch_path
+    from polyeval.streaming import responses as ST
+    incoming, table_path, ck = (scratch_path(spark, n) for n in ("in", "scores", "ck"))
+    r = fx_responses(spark, SF001).select(*[f.name for f in ST.RESPONSE_SCHEMA.fields])
+    r.repartition(3).write.mode("append").json(incoming)
+    ST.stream_scores(spark, incoming, table_path, ck, files_per_trigger=1)
+    first = sorted(tuple(x) for x in ST.score_view(spark, table_path).collect())
+    ST.stream_scores(spark, incoming, table_path, ck, files_per_trigger=1)   # restart, nothing new
+    again = sorted(tuple(x) for x in ST.score_view(spark, table_path).collect())
+    batch = sorted(tuple(x) for x in S.score_table(fx_responses(spark, SF001)).collect())
+    assert first == again == batch
