@@ -298,3 +298,18 @@ def test_stream_scores_restart_is_idempotent(spark):
     again = sorted(tuple(x) for x in ST.score_view(spark, table_path).collect())
     batch = sorted(tuple(x) for x in S.score_table(fx_responses(spark, SF001)).collect())
     assert first == again == batch
+
+
+def test_batch_sink_one_file_per_batch(spark):
+    import glob
+    from polyeval.session import scratch_path
+    d = table(spark, SF001, "documents").select("doc_id", "text")
+    packed = PK.pack(d, "doc_id", F.octet_length("text") + 1, 20_000, 7, chunk_rows=16)
+    path = scratch_path(spark, "batches-edge")
+    PK.write_batches(packed, path)
+    folders = glob.glob(os.path.join(path.replace("file:", ""), "file_no=*"))
+    assert folders and all(len(glob.glob(os.path.join(f, "part-*"))) == 1 for f in folders)
+    back = spark.read.schema("doc_id bigint, text string, file_no bigint").json(path)
+    sizes = back.groupBy("file_no").agg(F.count(F.lit(1)).alias("n"),
+                                        F.sum(F.octet_length("text") + 1).alias("b")).collect()
+    assert all(r["n"] <= 7 and (r["b"] <= 20_000 or r["n"] == 1) for r in sizes)
