@@ -350,3 +350,23 @@ def test_with_index_dense_in_order(spark):
     rows = I.with_index(df, "pos", order_by=["k"]).orderBy("pos").collect()
     assert [r["pos"] for r in rows] == list(range(101))
     assert [r["k"] for r in rows] == sorted(r["k"] for r in rows)
+
+
+def test_template_registry_and_overrides(spark):
+    t = P.template_table(spark, overrides={("boolq", "en"): ("sys", "inp")})
+    items = spark.createDataFrame([("boolq", "en"), ("gsm8k-main", "bn"), ("unknown", "en")], "dataset string, lang string")
+    got = {r["dataset"]: (r["system_prompt"], r["input_prompt"]) for r in P.with_templates(items, t).collect()}
+    assert got["boolq"] == ("sys", "inp")
+    assert got["gsm8k-main"] == (P.SYSTEM_GSM8K["bn"], P.GSM8K_TEMPLATE["bn"])
+    assert got["unknown"] == (None, None)
+
+
+def test_schema_registry_conform(spark):
+    from polyeval.sources import registry as REG
+    df = spark.createDataFrame([("1", "q", "x")], "id string, question string, extra string")
+    out = REG.conform(df, "arc")
+    assert out.columns == ["id", "question", "choices", "answerKey"]
+    row = out.first()
+    assert row["id"] == "1" and row["choices"] is None and row["answerKey"] is None
+    with pytest.raises(KeyError):
+        REG.conform(df, "no-such-dataset")
