@@ -370,3 +370,14 @@ def test_schema_registry_conform(spark):
     assert row["id"] == "1" and row["choices"] is None and row["answerKey"] is None
     with pytest.raises(KeyError):
         REG.conform(df, "no-such-dataset")
+
+
+def test_validate_lengths_raises_and_pair_ids(spark):
+    from polyeval.operators import joins as J
+    a = spark.createDataFrame([(0, "x", None), (1, "y", "id1")], "idx long, t string, id string")
+    b = spark.createDataFrame([(0, "u"), (1, "v")], "idx long, s string")
+    assert J.validate_lengths(a, b).first()["equal"] is True
+    with pytest.raises(Exception):
+        J.validate_lengths(a, b.limit(1)).collect()
+    got = {r["idx"]: (r["sample_id"], r["left_json"]) for r in J.pair_corpora(a, b, "idx", id_col="id").collect()}
+    assert got == {0: ("0", '{"t":"x"}'), 1: ("id1", '{"t":"y"}')}
