@@ -381,3 +381,14 @@ def test_validate_lengths_raises_and_pair_ids(spark):
         J.validate_lengths(a, b.limit(1)).collect()
     got = {r["idx"]: (r["sample_id"], r["left_json"]) for r in J.pair_corpora(a, b, "idx", id_col="id").collect()}
     assert got == {0: ("0", '{"t":"x"}'), 1: ("id1", '{"t":"y"}')}
+
+
+def test_small_column_rules(spark):
+    df = spark.createDataFrame([("a", None, "c")], "x string, y string, z string")
+    assert df.select(X.detection_text("x", "y", "z")).first()[0] == "a  c"
+    assert one(spark, "tiny-350m", A.model_size("x")) == 350000
+    row = spark.createDataFrame([("nodash",)], "x string").select(*N.split_lang_suffix(F.col("x"))).first()
+    assert tuple(row) == ("", "")
+    assert one(spark, "org/model-1", X.file_safe_name(F.col("x"))) == "org-model-1"
+    assert one(spark, "<উত্তর>৩</উত্তর>", X.answer_tag(F.col("x"), F.lit("bn"))) == "৩"
+    assert one(spark, "<answer>3</answer>", X.answer_tag(F.col("x"), F.lit("bn"))) is None
