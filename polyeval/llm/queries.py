@@ -11,16 +11,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyeval.llm import common, simhash, toxicity
+from polyeval.llm import common, decontam, pieces, simhash, substrings, toxicity
 from polyeval.llm.common import table
 
 
+def piece_model() -> str:
+    """Path of the production tokenizer."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return substrings.repeat_report(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return pieces.token_report(table(spark, sf_dir, "documents"), piece_model()).drop("ids")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     docs = table(spark, sf_dir, "documents")
@@ -30,7 +51,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> dict:
     found = {
+        "op1_benchmark_decontamination": (op1_benchmark_decontamination, None),
         "op3_simhash_near_dedup": (op3_simhash_near_dedup, None),
+        "op4_substring_dedup": (op4_substring_dedup, None),
+        "op7_sentencepiece": (op7_sentencepiece, None),
         "op9_toxicity": (op9_toxicity, None),
     }
     return found
