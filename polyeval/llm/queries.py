@@ -11,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyeval.llm import common, decontam, pieces, simhash, substrings, toxicity
+from polyeval.llm import common, decontam, kdshards, licenses, pieces, quality, simhash, substrings, toxicity, warc
 from polyeval.llm.common import table
 
 
+SQL: dict[str, str] = {}
+
+
 def piece_model() -> str:
     """Path of the production tokenizer."""
     import public_tokenizers
@@ -26,6 +29,13 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    root = common.shared_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), root)
+    return warc.read_archives(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -37,11 +47,27 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return kdshards.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     return pieces.token_report(table(spark, sf_dir, "documents"), piece_model()).drop("ids")
 
 
+def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_rules(docs, quality.fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     docs = table(spark, sf_dir, "documents")
@@ -49,12 +75,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, machine)
 
 
+def op10_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality.apply_rules(docs, quality.fit_trees(docs, table(spark, sf_dir, "labels")))
+
+
 def load() -> dict:
-    found = {
-        "op1_benchmark_decontamination": (op1_benchmark_decontamination, None),
-        "op3_simhash_near_dedup": (op3_simhash_near_dedup, None),
-        "op4_substring_dedup": (op4_substring_dedup, None),
-        "op7_sentencepiece": (op7_sentencepiece, None),
-        "op9_toxicity": (op9_toxicity, None),
-    }
-    return found
+    builders = (op1_benchmark_decontamination, op2_warc_archives, op3_simhash_near_dedup, op4_substring_dedup,
+                op5_kd_shards, op6_license_scan, op7_sentencepiece, op8_rule_ensemble, op9_toxicity, op10_boosted_rules)
+    return {b.__name__: (b, SQL.get(b.__name__)) for b in builders}
