@@ -1,10 +1,12 @@
 """Benchmark decontamination by template windows, DataFrame functions only.
 
-A text becomes a list of tokens (words, numbers, currency and percent signs).
-Numbers, units (a unit word or sign beside a number) and names (words with a
-capital letter) are slots: the template keeps their type, the slot list their
-value. Windows of ``width`` template tokens, with at least ``min_literal`` plain
-words, are hashed on both sides and joined by the hash.
+A text becomes a list of tokens: words, and numbers with the currency sign or
+unit beside them. Numbers, quantities (numbers with sign or unit) and names
+(words with a capital first letter) are slots: the template keeps their type,
+the slot list their value. Windows of ``width`` template tokens, with at least
+``min_literal`` plain words, are hashed on both sides and joined by the hash; a
+bit map of the items' hashes, of fixed size, holds most other windows back
+before the join.
 
 Windows of one document and item at one offset are an alignment. It is
 consistent when its slots map item values to document values one to one
@@ -34,59 +36,110 @@ WIDTH = 8
 MIN_LITERAL = 4
 MIN_COVERAGE = 0.5
 BROADCAST_WINDOWS = 200_000
+SIEVE_BITS = 1 << 18
+NUMBER, QUANTITY, NAME = -1, -2, -3
 
-# fixed values: unit words and signs that may follow or precede a number
+# fixed values: unit words that may follow a number
 UNITS = ("kg", "g", "mg", "lb", "lbs", "oz", "ton", "tons", "km", "m", "cm", "mm", "mi", "mile", "miles", "meter",
          "meters", "metre", "metres", "feet", "foot", "ft", "inch", "inches", "yard", "yards", "l", "ml", "liter",
          "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "second", "seconds", "min", "minute", "minutes",
          "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars",
-         "euro", "euros", "cent", "cents", "percent", "degree", "degrees", "mph", "kmh", "%", "$", "€", "£", "°")
-TOKEN = r"\p{L}+|[0-9]+(?:[.,][0-9]+)*|[%$€£°]"
+         "euro", "euros", "cent", "cents", "percent", "degree", "degrees", "mph", "kmh")
+# a word; a number with its currency sign or unit
+TOKEN = (r"\p{L}+|[$€£]? ?[0-9]+(?:[.,][0-9]+)*(?: ?[%°]| ?(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
+         + r")(?!\p{L}))?")
 _SEP = "\u001f"
 
 
-def _is_number(token: Column) -> Column:
-    return (token >= "0") & (token < ":")
-
-
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def _kinds(words: Column) -> Column:
-    """1 number, 2 unit, 3 name, 0 plain word, for each token."""
-    units = F.array(*[F.lit(u) for u in UNITS])
+def _codes(words: Column) -> Column:
+    """Template of a token list as numbers: the word's hash, or NUMBER, QUANTITY or NAME.
 
-    def kind(word, i):
-        beside = (_is_number(F.coalesce(F.get(words, i - 1), F.lit("")))
-                  | _is_number(F.coalesce(F.get(words, i + 1), F.lit(""))))
-        return (F.when(_is_number(word), 1)
-                .when((F.length(word) <= 7) & beside & F.array_contains(units, F.lower(word)), 2)
-                .when(word != F.lower(word), 3).otherwise(0))
-    return F.transform(words, kind)
+    Compared as bytes: digits and signs come before ``:``, capital letters before
+    ``[``, small ASCII letters before U+0080."""
+    def code(word):
+        last = F.right(word, F.lit(1))
+        amount = F.when((last >= "0") & (last < ":") & (word >= "0") & (word < ":"), F.lit(NUMBER)).otherwise(F.lit(QUANTITY))
+        return (F.when(word < ":", amount)
+                .when(word < "[", F.lit(NAME))
+                .when(word < "\u0080", F.xxhash64(word))
+                .when(word.startswith("€") | word.startswith("£"), F.lit(QUANTITY))
+                .when(F.substring(word, 1, 1) != F.lower(F.substring(word, 1, 1)), F.lit(NAME))
+                .otherwise(F.xxhash64(word)))
+    return F.transform(words, code)
 
 
-def windows(rows: DataFrame, key: str, width: int = WIDTH, min_literal: int = MIN_LITERAL) -> DataFrame:
-    """(key, pos, template, slots): the windows of every text; ``slots`` joins the slot values."""
-    cut = (rows.select(F.col(key).alias(key), tokens(F.col("text")).alias("words"))
-           .where(F.col(key).isNotNull() & (F.size("words") >= width))
-           .select(key, "words", _kinds(F.col("words")).alias("kinds")))
-    coded = cut.select(
-        key, "kinds",
-        F.zip_with("words", "kinds", lambda w, k: F.when(k == 0, F.xxhash64(w)).otherwise(-k.cast("long"))).alias("codes"),
-        F.zip_with("words", "kinds", lambda w, k: F.when(k > 0, w)).alias("slots"))
+def _is_slot(code: Column) -> Column:
+    return (code >= NAME) & (code <= NUMBER)
 
-    def window(i):
-        part = F.slice("kinds", i, width)
-        plain = F.size(F.array_remove(part, 0))
-        return F.struct(
-            i.alias("pos"),
-            F.when(plain <= width - min_literal, F.xxhash64(F.slice("codes", i, width))).alias("template"),
-            F.when(plain > 0, F.array_join(F.slice("slots", i, width), _SEP)).otherwise("").alias("slots"))
 
-    starts = F.sequence(F.lit(1), F.size("codes") - (width - 1))
-    return (coded.select(key, F.explode(F.transform(starts, window)).alias("w"))
-            .select(key, "w.pos", "w.template", "w.slots").where(F.col("template").isNotNull()))
+def _coded(rows: DataFrame, key: str) -> DataFrame:
+    cut = rows.where(F.col(key).isNotNull()).select(F.col(key).alias(key), tokens(F.col("text")).alias("words"))
+    return cut.select(key, "words", _codes(F.col("words")).alias("codes"))
+
+
+def _starts(width: int) -> Column:
+    n = F.size("codes")
+    return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
+
+
+def _at(pos: Column, width: int, column: str = "codes") -> list[Column]:
+    """The window's elements one by one: ``slice`` would copy the whole list for every window."""
+    return [F.get(F.col(column), pos + j) for j in range(width)]
+
+
+def _template(pos: Column, width: int) -> Column:
+    return F.xxhash64(*_at(pos, width))
+
+
+def _slots(pos: Column, width: int) -> Column:
+    """The slot values of a window, in order."""
+    return F.concat_ws(_SEP, *[F.when(_is_slot(c), w) for c, w in zip(_at(pos, width), _at(pos, width, "words"))])
+
+
+def item_windows(benchmark: DataFrame, width: int = WIDTH, min_literal: int = MIN_LITERAL) -> DataFrame:
+    """(item_id, item_pos, template, item_slots) of the windows with enough plain words."""
+    def window(pos):
+        plain = sum((F.when(_is_slot(c), 0).otherwise(1) for c in _at(pos, width)), F.lit(0))
+        return F.struct(pos.alias("pos"), _template(pos, width).alias("template"), _slots(pos, width).alias("slots"),
+                        plain.alias("plain"))
+    found = _coded(benchmark, "item_id").select(
+        "item_id", F.explode_outer(F.transform(_starts(width), window)).alias("w")).where(F.col("w.plain") >= min_literal)
+    return found.select("item_id", F.col("w.pos").alias("item_pos"), F.col("w.template").alias("template"),
+                        F.col("w.slots").alias("item_slots")).distinct()
+
+
+def _sieve(items: DataFrame) -> Column:
+    """A bit map of ``SIEVE_BITS`` bits with the templates' low bits, as an array constant (fixed size)."""
+    bits = [0] * (SIEVE_BITS // 64)
+    for r in items.select((F.col("template").bitwiseAND(F.lit(SIEVE_BITS - 1))).alias("b")).distinct().collect():
+        bits[r["b"] >> 6] |= 1 << (r["b"] & 63)
+    text = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in bits)
+    return F.split(F.lit(text), ",").cast("array<bigint>")
+
+
+def document_windows(docs: DataFrame, sieve: Column, width: int = WIDTH) -> DataFrame:
+    """(doc_id, pos, template, slots) of the windows whose template passes the sieve.
+
+    Equal templates have equal slots by kind, so the number of plain words is
+    checked on the items alone. ``explode_outer`` keeps the planner from
+    computing the windows a second time for a size filter.
+    """
+    def passes(i):
+        h = F.get("hashes", i)
+        word = F.get(sieve, F.shiftright(h.bitwiseAND(F.lit(SIEVE_BITS - 1)), 6).cast("int"))
+        return F.bit_get(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    def window(i):
+        return F.struct(i.alias("pos"), F.get("hashes", i).alias("template"), _slots(i, width).alias("slots"))
+    hashed = _coded(docs, "doc_id").select("doc_id", "words", "codes", F.transform(
+        _starts(width), lambda i: _template(i, width)).alias("hashes"))
+    near = F.filter(_starts(width), passes)
+    return (hashed.select("doc_id", F.explode_outer(F.transform(near, window)).alias("w"))
+            .select("doc_id", "w.pos", "w.template", "w.slots").where(F.col("template").isNotNull()))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_literal: int = MIN_LITERAL,
@@ -95,11 +148,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_
     (of the item, found), n_item_windows, coverage, n_slots, n_changed (slot
     values that differ) and kind (copy or reparameterised)."""
     common.prepare(docs.sparkSession)
-    items = written(windows(benchmark, "item_id", width, min_literal).select(
-        "item_id", F.col("pos").alias("item_pos"), "template", F.col("slots").alias("item_slots")).distinct(), "items")
+    items = written(item_windows(benchmark, width, min_literal), "items")
     totals = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_item_windows"))
     side = F.broadcast(items) if items.count() <= BROADCAST_WINDOWS else items
-    met = windows(docs, "doc_id", width, min_literal).join(side, "template")
+    met = document_windows(docs, _sieve(items), width).join(side, "template")
     pair = F.when(F.col("slots") != "", F.arrays_zip(
         F.split("item_slots", _SEP).alias("item"), F.split("slots", _SEP).alias("doc")))
     lines = (met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"))

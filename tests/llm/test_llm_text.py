@@ -5,6 +5,7 @@ import re
 import sys
 
 import pytest
+import regex
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from llm_rows import SCHEMA, edge_documents, prose, row  # noqa: E402
@@ -33,6 +34,10 @@ def test_tokens_equal_the_library_on_edges(spark, library):
     got = pieces.token_report(spark.createDataFrame(rows, SCHEMA), piece_model()).collect()
     have = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256, r.source_bytes) for r in got)
     assert have == sorted((str(r[0]), *expected(library, r[1]), len((r[1] or "").encode())) for r in rows)
+    encoded = pieces.encode_documents(spark.createDataFrame(rows, SCHEMA), piece_model())
+    again = pieces.decode_rows(encoded, piece_model()).collect()
+    assert sorted((str(r.doc_id), r.decoded) for r in again) == \
+        sorted((str(r[0]), library.decode(library.encode(r[1] or ""))) for r in rows)
     assert pieces.token_report(spark.createDataFrame([], SCHEMA), piece_model()).collect() == []
 
 
@@ -180,12 +185,11 @@ def test_shuffled_join_gives_the_same(spark, monkeypatch):
 def brute_contaminated(docs, items, width=decontam.WIDTH):
     """Documents and items by comparing every window of tokens, slots and all."""
     def cut(text):
-        words = re.findall(r"[^\W\d_]+|[0-9]+(?:[.,][0-9]+)*|[%$€£°]", text or "")
-        number = [w[0].isdigit() for w in words]
+        words = regex.findall(decontam.TOKEN, text or "")
         out = []
-        for i, w in enumerate(words):
-            beside = (i and number[i - 1]) or (i + 1 < len(words) and number[i + 1])
-            kind = 1 if number[i] else 2 if beside and w.lower() in decontam.UNITS else 3 if w != w.lower() else 0
+        for w in words:
+            amount = any(c in "0123456789" for c in w)
+            kind = (1 if w[0].isdigit() and w[-1].isdigit() else 2) if amount else 3 if w[0] != w[0].lower() else 0
             out.append((kind, w))
         found = {}
         for i in range(len(out) - width + 1):
