@@ -144,11 +144,11 @@ LEAVES = "prefix long, leaf long, least long, most long, low int, high int, word
 
 
 def _leaf_words(window: int, prefix: int):
-    """(text, places of one document) -> the words around each place."""
+    """Rows with a text and its wanted places -> the words around each place."""
     def run(batches):
         cache = _code_cache()
         for batch in batches:
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("repeat__places").to_pylist()):
                 codes = _codes(text.encode("utf-8", "replace").split(), cache)
                 for s in range(0, len(wanted), 2000):
                     part = wanted[s:s + 2000]
@@ -264,48 +264,51 @@ def _window_rows(window: int, prefix: int):
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
-                       F.col("text").alias("text"))
+def _named(docs: DataFrame) -> DataFrame:
+    """Rows with a doc_id, and what tells texts of one doc_id apart. Every join with texts starts
+    from this frame with all its columns, so that the texts are shuffled once and reused."""
+    return docs.where(F.col("doc_id").isNotNull()).withColumn("repeat__hash", F.xxhash64("text"))
 
 
 def repeat_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                  group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, text_hash, spans): word ranges [start, stop) under repeated windows, for documents that have some."""
     common.prepare(docs.sparkSession)
-    keyed = _keyed(docs)
-    places = written(keyed.where("doc_id is not null and text is not null").mapInArrow(_places(window, prefix), PLACES),
-                     "places")
-    several = (places.groupBy("prefix").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-               .where("a < b").select("prefix"))
+    named = _named(docs)
+    places = written(named.where("text is not null").select(F.col("doc_id").cast("long"), "repeat__hash", "text")
+                     .mapInArrow(_places(window, prefix), PLACES), "places")
+    # written, so that both sides of the next join are plain exchanges and a hot prefix can be split
+    several = written(places.groupBy("prefix").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+                      .where("a < b").select("prefix"), "prefixes")
     places = written(places.join(several, "prefix"), "repeated-places")
     leaves = written(places.groupBy("prefix", "leaf").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"),
         F.min_by("text_hash", "doc_id").alias("text_hash"), F.min_by("pos", "doc_id").alias("pos")), "leaves")
-    sizes = leaves.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(leaves.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")), "sizes")
     leaves = leaves.join(sizes, "prefix")
     alone = leaves.where("n = 1 and least < most").select(
         "prefix", "leaf", F.col("low").alias("from_left"), F.col("high").alias("to_left"), "least")
 
     wanted = leaves.where("n > 1").select(
-        F.col("least").alias("doc_id"), "text_hash",
+        F.col("least").alias("repeat__id"), F.col("text_hash").alias("repeat__text"),
         F.struct("pos", "prefix", "leaf", "least", "most", "low", "high",
                  (F.col("n") > group_rows).alias("large")).alias("place"))
     # places of one document, at most as many as it has words
-    wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("place").alias("places"))
-    source = keyed.join(wanted, ["doc_id", "text_hash"])
+    wanted = wanted.groupBy("repeat__id", "repeat__text").agg(F.collect_list("place").alias("repeat__places"))
+    source = named.join(wanted, (named["doc_id"].cast("long") == wanted["repeat__id"])
+                        & (named["repeat__hash"] == wanted["repeat__text"]))
 
     def with_words(large: bool) -> DataFrame:
-        some = F.filter("places", lambda p: p["large"] == F.lit(large))
-        return (source.select("text", some.alias("places")).where(F.size("places") > 0)
+        some = F.filter("repeat__places", lambda p: p["large"] == F.lit(large))
+        return (source.select(*named.columns, some.alias("repeat__places")).where(F.size("repeat__places") > 0)
                 .mapInArrow(_leaf_words(window, prefix), LEAVES))
 
     trees = (with_words(False).repartition("prefix").sortWithinPartitions("prefix")
              .mapInArrow(_grow(window, prefix), RUNS))
     runs = alone.unionByName(trees)
-    if not leaves.where(F.col("n") > group_rows).isEmpty():
+    if not sizes.where(F.col("n") > group_rows).isEmpty():
         rows = written(with_words(True).mapInArrow(_window_rows(window, prefix), WINDOWS), "windows")
-        best = rows.groupBy("h1", "h2", "left").agg(F.min("least").alias("best"))
+        best = written(rows.groupBy("h1", "h2", "left").agg(F.min("least").alias("best")), "classes")
         rows = rows.join(best, ["h1", "h2", "left"]).where("best < most")
         runs = runs.unionByName(rows.select("prefix", "leaf", F.col("left").alias("from_left"),
                                             F.col("left").alias("to_left"), F.col("best").alias("least")))
@@ -327,9 +330,12 @@ def _covered(n: int, spans) -> np.ndarray:
 def _with_spans(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with a column ``repeat__spans`` (null where nothing repeats)."""
     spans = repeat_spans(docs, **options).select(
-        F.col("doc_id").alias("repeat__id"), F.col("text_hash").alias("repeat__hash"), F.col("spans").alias("repeat__spans"))
-    same = (docs["doc_id"].cast("long") == spans["repeat__id"]) & (F.xxhash64(docs["text"]) == spans["repeat__hash"])
-    return docs.join(spans, same, "left").drop("repeat__id", "repeat__hash")
+        F.col("doc_id").alias("repeat__id"), F.col("text_hash").alias("repeat__text"), F.col("spans").alias("repeat__spans"))
+    named = _named(docs)
+    rows = named.join(spans, (named["doc_id"].cast("long") == spans["repeat__id"])
+                      & (named["repeat__hash"] == spans["repeat__text"]), "left")
+    unnamed = docs.where(F.col("doc_id").isNull()).withColumn("repeat__spans", F.lit(None).cast(spans.schema["repeat__spans"].dataType))
+    return rows.select(*docs.columns, "repeat__spans").unionByName(unnamed)
 
 
 def _digest(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
