@@ -18,6 +18,7 @@ LATIN_LETTERS = "".join(chr(65 + i) for i in range(26))
 # reference: chr(0x0995 + i)); Spark's chr() is modulo 256, so letters are
 # taken from this string with substring().
 BANGLA_LETTERS = "".join(chr(0x0995 + i) for i in range(40))
+MOST_OPTIONS = 10   # lettered option lists
 
 # ---------------------------------------------------------------------------
 # Option headers and templates
@@ -204,7 +205,8 @@ def render_fixed(prefix: Column, stem: Column, options: list[Column], labels: li
 def letter(i: Column, script: str = "latin") -> Column:
     """Letter number ``i`` (0-based) of the Latin or Bangla option alphabet."""
     alphabet = LATIN_LETTERS if script == "latin" else BANGLA_LETTERS
-    return F.substring(F.lit(alphabet), i + 1, 1)
+    return F.when(i < len(alphabet), F.substring(F.lit(alphabet), i + 1, 1)).otherwise(
+        F.raise_error(F.lit(f"no option letter after the {len(alphabet)}th")))
 
 
 def render_positional(prefix: Column, stem: Column, choices: Column, lang: str = "en",
@@ -288,18 +290,44 @@ def batch_task(idx: Column, model: str, system: Column, user: Column, temperatur
                               F.lit("POST").alias("method"), F.lit(url).alias("url"), body.alias("body")))
 
 
-# Default judge instructions; any template with {prompt}, {ground_truth} and
-# {answer} placeholders can be passed instead.
+# Default judge instructions and worked examples; any template with {examples},
+# {prompt}, {ground_truth} and {answer} placeholders can be passed instead.
 JUDGE_TEMPLATE = (
     "You are a strict grader. Decide whether the model answer matches the reference answer "
-    "for the question. Reply as JSON {{\"reasoning\": ..., \"verdict\": \"Correct\" or \"Incorrect\"}}.\n\n"
-    "Question:\n{prompt}\n\nReference answer:\n{ground_truth}\n\nModel answer:\n{answer}\n")
+    "for the question. Reply as JSON {{\"reasoning\": ..., \"verdict\": \"Correct\" or \"Incorrect\"}}.\n"
+    "An answer is Correct when it names the reference's label or value, in any script, digits or "
+    "wording; it is Incorrect when it is empty, undecided, or names several.\n\n"
+    "{examples}Question:\n{prompt}\n\nReference answer:\n{ground_truth}\n\nModel answer:\n{answer}\n")
 
 
-def judge_prompt(prompt: Column, truth: Column, answer: Column, template: str = JUDGE_TEMPLATE) -> Column:
+JUDGE_EXAMPLES = [
+    {"prompt": "Which is a colour?\nOptions:\nA: seven\nB: green\n", "ground_truth": "B", "answer": "B: green",
+     "reasoning": "The answer names the reference's label.", "verdict": "Correct"},
+    {"prompt": "How many legs have two birds?", "ground_truth": "4", "answer": "৪",
+     "reasoning": "The same number in another script.", "verdict": "Correct"},
+    {"prompt": "Is ice warm? (true/false)", "ground_truth": "False", "answer": "It depends.",
+     "reasoning": "The answer does not decide.", "verdict": "Incorrect"},
+]
+
+
+def judge_example_block(examples: list[dict]) -> str:
+    """The worked examples of a judge prompt, one after the other."""
+    import json
+    return "".join(
+        f"Example {i}\nQuestion:\n{e['prompt']}\n\nReference answer:\n{e['ground_truth']}\n\nModel answer:\n{e['answer']}\n"
+        f"{json.dumps({'reasoning': e['reasoning'], 'verdict': e['verdict']}, ensure_ascii=False)}\n\n"
+        for i, e in enumerate(examples, 1))
+
+
+def judge_prompt(prompt: Column, truth: Column, answer: Column, template: str = JUDGE_TEMPLATE,
+                 examples: list[dict] = JUDGE_EXAMPLES) -> Column:
     """Fill the judge template (literal pieces + columns, no Python)."""
     import re
-    pieces = re.split(r"(\{prompt\}|\{ground_truth\}|\{answer\})", template)
+    head, mark, tail = template.partition("{examples}")
+    if mark:
+        shown = judge_example_block(examples).replace("{", "{{").replace("}", "}}")
+        template = head + shown + tail
+    pieces = re.split(r"(?<!\{)(\{prompt\}|\{ground_truth\}|\{answer\})", template)
     cols = {"{prompt}": prompt, "{ground_truth}": truth, "{answer}": answer}
     out = []
     for p in pieces:
@@ -310,11 +338,16 @@ def judge_prompt(prompt: Column, truth: Column, answer: Column, template: str =
     return F.concat(*out)
 
 
-def lettered_options(options: Column) -> Column:
-    """``Options are:\\n(A): x\\n...``, at most ten letters (zip truncates)."""
-    first = F.slice(options, 1, 10)
+def lettered_options(options: Column, most: int | None = MOST_OPTIONS, on_more: str = "raise") -> Column:
+    """``Options are:\\n(A): x\\n...``. More than ``most`` options raise; with
+    ``on_more="keep"`` all are lettered, with ``"cut"`` the first ``most`` (as the scripts do)."""
+    if most is not None and on_more == "raise":
+        options = F.when(F.size(options) <= most, options).otherwise(
+            F.raise_error(F.lit(f"more than {most} options")).cast("array<string>"))
+    elif most is not None and on_more == "cut":
+        options = F.slice(options, 1, most)
     return F.concat(F.lit("Options are:\n"), F.array_join(F.transform(
-        first, lambda o, i: F.concat(F.lit("("), letter(i), F.lit("): "), o, F.lit(NL))), ""))
+        options, lambda o, i: F.concat(F.lit("("), letter(i), F.lit("): "), o, F.lit(NL))), ""))
 
 
 def render_chat_text(system: Column, prompt: Column) -> Column:

@@ -96,8 +96,9 @@ def extract_tag(x, tag: str, mode: str = "null") -> Column:
 
 
 def strip_notes(x) -> Column:
-    """Cut everything from ``<translator_notes>`` on and strip."""
-    return py_strip(F.substring_index(_c(x), "<translator_notes>", 1))
+    """Drop left-over translation tags, cut everything from ``<translator_notes>`` on and strip."""
+    bare = F.regexp_replace(_c(x), "</?bangla_translation>", "")
+    return py_strip(F.substring_index(bare, "<translator_notes>", 1))
 
 
 def normalize_whitespace(x, form: str = "a") -> Column:
@@ -216,7 +217,7 @@ WORD_CHAR = r"[\p{L}\p{N}_]"
 # ---------------------------------------------------------------------------
 # Latin-to-Bangla option labels used by the translation scripts
 # ---------------------------------------------------------------------------
-OPTION_LABELS_BN = {"(A)": "(ক)", "(B)": "(খ)", "(C)": "(গ)", "(D)": "(ঘ)", "(E)": "(ঙ)", "(F)": "(চ)"}
+OPTION_LABELS_BN = {f"({chr(65 + i)})": f"({chr(0x0995 + i)})" for i in range(18)}   # (A) to (R)
 LETTERS_BN = {"A": "ক", "B": "খ", "C": "গ", "D": "ঘ", "E": "ঙ", "F": "চ"}
 
 

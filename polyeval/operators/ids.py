@@ -26,9 +26,19 @@ _PID_SHIFT = 33  # monotonically_increasing_id = partition << 33 | row-in-partit
 
 
 def with_index(df: DataFrame, name: str = "idx", order_by: list | None = None,
-               checkpoint: bool = True) -> DataFrame:
+               checkpoint: bool = True, key: list[str] | None = None,
+               by: tuple = ()) -> DataFrame:
     """Add a dense 0-based ``name`` column in scan order (or in ``order_by``
-    order, after a range-partitioned global sort)."""
+    order, after a range-partitioned global sort).
+
+    ``key``: unique columns; then only they and the columns ``by`` that
+    ``order_by`` names besides them are sorted and checkpointed, and the positions are joined back, so texts are not written
+    a second time.
+    """
+    if key and set(key) != set(df.columns):
+        sort = [c for c in df.columns if c in key or c in by]
+        slim = with_index(df.select(*sort), name, order_by, checkpoint)
+        return df.join(slim.select(*key, name), key)
     if order_by:
         df = df.orderBy(*order_by)
     df = df.withColumn("_mid", F.monotonically_increasing_id())
@@ -36,10 +46,10 @@ def with_index(df: DataFrame, name: str = "idx", order_by: list | None = None,
         df = cut_lineage(df)
     pid = F.shiftright(F.col("_mid"), _PID_SHIFT)
     counts = df.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per input partition: a proven bound, so broadcasting is safe
+    # one row per input partition: adaptive execution measures it
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    out = df.join(F.broadcast(offsets), pid == F.col("_pid"))
+    out = df.join(offsets, pid == F.col("_pid"))
     local = F.col("_mid") - F.shiftleft(F.col("_pid"), _PID_SHIFT)
     return out.withColumn(name, (F.col("_off") + local).cast("bigint")).drop("_mid", "_pid", "_off")
 
@@ -84,7 +94,7 @@ def ordered_concat(df: DataFrame, keys: list[str], order_col: str, text: Column,
     """
     d = df.select(*keys, F.col(order_col).alias("_o"), text.alias("_t"))
     # global range sort on (keys, order): a hot key spreads over many tasks
-    d = with_index(d, "_pos", order_by=[*keys, "_o"])
+    d = with_index(d, "_pos", order_by=[*keys, "_o"], key=[*keys, "_o"])
     d = d.withColumn("_chunk", F.floor(F.col("_pos") / F.lit(chunk)))
     part = d.groupBy(*keys, "_chunk").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_t"))),

@@ -61,22 +61,36 @@ def join_original_response(originals: DataFrame, responses: DataFrame, key: str
 
 
 def fallback_to_original(originals: DataFrame, translated: DataFrame, key: str,
-                         fields: list[str]) -> DataFrame:
-    """D3: a failed (null) translation is replaced by the original record;
-    ``status`` says which one was kept."""
-    t = translated.select(key, *[F.col(f).alias(f"_t_{f}") for f in fields],
+                         fields: list[str], order: str | None = None) -> DataFrame:
+    """D3: a translation that lacks any of ``fields`` is replaced by the whole
+    original record; ``status`` says which one was kept. Of several
+    translations of a key the last by ``order`` counts."""
+    t = last_per_key(translated, key, fields, order).select(key, *[F.col(f).alias(f"_t_{f}") for f in fields],
                           F.lit(True).alias("_has"))
     j = originals.join(t, key, "left")
-    ok = F.col("_has").isNotNull() & F.coalesce(*[F.col(f"_t_{f}").isNotNull() for f in fields[:1]])
+    ok = F.col("_has").isNotNull()
+    for f in fields:
+        ok = ok & F.col(f"_t_{f}").isNotNull()
     out = j.select(key, *[F.when(ok, F.col(f"_t_{f}")).otherwise(F.col(f)).alias(f) for f in fields],
                    F.when(ok, F.lit("translated")).otherwise(F.lit("original")).alias("status"))
     return out
 
 
-def upsert_by_index(base: DataFrame, updates: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Replace the rows of ``base`` named in ``updates``; updates whose
-    index is not in ``base`` are returned separately (reported, not added)."""
-    u = updates.select(key, *[F.col(f).alias(f"_u_{f}") for f in fields], F.lit(True).alias("_hit"))
+def last_per_key(df: DataFrame, key: str, fields: list[str], order: str | None = None) -> DataFrame:
+    """One row per key: the one with the largest ``order`` (ties, and no ``order``: the
+    largest values), by a partial aggregation."""
+    values = F.struct(*fields)
+    by = F.struct(F.col(order), values) if order else values
+    last = df.groupBy(key).agg(F.max_by(values, by).alias("_last"))
+    return last.select(key, *[F.col(f"_last.{f}").alias(f) for f in fields])
+
+
+def upsert_by_index(base: DataFrame, updates: DataFrame, key: str, fields: list[str],
+                    order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Replace the rows of ``base`` named in ``updates`` (of several updates of
+    an index the last by ``order``); updates whose index is not in ``base`` are
+    returned separately (reported, not added)."""
+    u = last_per_key(updates, key, fields, order).select(key, *[F.col(f).alias(f"_u_{f}") for f in fields], F.lit(True).alias("_hit"))
     merged = base.join(u, key, "left").select(
         key, *[F.when(F.col("_hit").isNotNull(), F.col(f"_u_{f}")).otherwise(F.col(f)).alias(f) for f in fields],
         F.col("_hit").isNotNull().alias("updated"))
@@ -141,10 +155,11 @@ def chunk_requests(df: DataFrame, idx: str = "idx", size: int = 50) -> DataFrame
 
 
 def merge_chunk_results(requests: DataFrame, results: DataFrame, idx: str, field: str,
-                        original: str) -> DataFrame:
+                        original: str, order: str | None = None) -> DataFrame:
     """Results matched back by index; a missing result keeps the
-    original (keyed, so a missing chunk cannot shift later rows)."""
-    r = results.select(idx, F.col(field).alias("_res"))
+    original (keyed, so a missing chunk cannot shift later rows; of several
+    results of an index the last by ``order`` counts)."""
+    r = last_per_key(results, idx, [field], order).select(idx, F.col(field).alias("_res"))
     return requests.join(r, idx, "left").withColumn(
         field, F.coalesce(F.col("_res"), F.col(original))).drop("_res")
 

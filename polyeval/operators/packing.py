@@ -87,12 +87,16 @@ def _chunk_starts(max_bytes: int, max_rows: int):
     return fn
 
 
+def record_bytes(columns: list[str]):
+    """Bytes of a record as the JSON lines sink writes it, line end included."""
+    return F.octet_length(F.to_json(F.struct(*columns))) + 1
+
+
 def pack(df: DataFrame, order: str, size, max_bytes: int = 104_857_600, max_rows: int = 50_000,
          chunk_rows: int = 1 << 20) -> DataFrame:
     """``file_no`` (1-based) for every row of ``df`` in ``order`` order.
 
-    ``size`` is a column (bytes of the record as written, e.g.
-    ``octet_length(to_json(...)) + 1``). Returns ``df`` with ``pos`` and
+    ``size`` is a column: the bytes of the record as written (``record_bytes``). Returns ``df`` with ``pos`` and
     ``file_no``.
     """
     spark = df.sparkSession

@@ -112,9 +112,9 @@ def r5(t: Column) -> Column:
 
 
 def r6(t: Column) -> Column:
-    """escape inner quotes and newlines of each value (callback, J6)"""
-    from polyeval.functions.pyudfs import escape_inner_udf
-    return escape_inner_udf(t)
+    """escape bare quotes and newlines of each value (callback, J6)"""
+    from polyeval.functions.pyudfs import encode_members_udf
+    return encode_members_udf("text", "bare_quotes")(t)
 
 
 def r7(t: Column, keys: list[str]) -> Column:
@@ -124,13 +124,13 @@ def r7(t: Column, keys: list[str]) -> Column:
     return F.regexp_replace(t, rf",{WS_CLASS}*,", ",")
 
 
-def r8(t: Column) -> Column:
-    """re-escape each value with the JSON encoder (callback, J6)"""
-    from polyeval.functions.pyudfs import reescape_values_udf
-    return reescape_values_udf(t)
+def r8(t: Column, kind: str = "text") -> Column:
+    """encode each value anew (callback, J6); ``kind``: how members are found"""
+    from polyeval.functions.pyudfs import encode_members_udf
+    return encode_members_udf(kind, "json_text")(t)
 
 
-# maths rules (r9), in the order the scripts apply them
+# Maths rules (r9), in the order they apply
 R9_RULES = [
     (r"\$\\'", "\\$"),
     (r'"\?"', "?"),
@@ -141,8 +141,10 @@ R9_RULES = [
     (r'"(\{\\[^}]+\})"', "$1"),
     (r'"(\d+(\.\d+)?)"', "$1"),
     (r'"([A-Za-z])"', "$1"),
+    (r'\(\\?"(\d[\d\s]*)\\?"\)', "($1)"),
     (r'"\$([^$]+)\$"', "\\$$1\\$"),
     (r'"(\$[^$]+\$)"', "$1"),
+    (r"(\$[^$]+\$)'", "$1"),
 ]
 
 
@@ -179,15 +181,16 @@ def r14(t: Column) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# profiles (families of section 2.2)
+# profiles: families of steps, and the data sets that use them
 # ---------------------------------------------------------------------------
 def _valid(t: Column, schema: str) -> Column:
     return parse_json_strict(t, schema).isNotNull()
 
 
 def profile_q(t: Column, keys: list[str], schema: str, pre: list = ()) -> Column:
-    """Q (question sets): r1 r2 r4 r5 r6; if still invalid, r7 on the text
-    before r6, then r8."""
+    """Q (question sets): one blank for all white space, ``pre``, r1 r2 r4 r5 r6; if
+    still invalid, r7 on the text before r6, then r8."""
+    t = normalize_whitespace(t, "a")
     for step in pre:
         t = step(t)
     s0 = r5(r4(r2(r1(t))))
@@ -196,9 +199,9 @@ def profile_q(t: Column, keys: list[str], schema: str, pre: list = ()) -> Column
 
 
 def profile_s(t: Column, keys: list[str], schema: str, extra: list = ()) -> Column:
-    """S (sentence sets): r1 r6; if still invalid, r7 (after r6), extra
-    steps (r10, r14), then r8."""
-    s1 = r6(r1(t))
+    """S (sentence sets): one blank for all white space, r1 r6; if still invalid, r7
+    (after r6), ``extra``, then r8."""
+    s1 = r6(r1(normalize_whitespace(t, "a")))
     s2 = r7(s1, keys)
     for step in extra:
         s2 = step(s2)
@@ -207,11 +210,11 @@ def profile_s(t: Column, keys: list[str], schema: str, extra: list = ()) -> Colu
 
 def profile_t(t: Column, keys: list[str], schema: str, maths: list[int] | None = None,
               use_r9: bool = False) -> Column:
-    """T (tasks) and M (maths): r11 [r9] r1 r8 r7 r10, always."""
-    s = r11(t)
+    """T (tasks) and M (maths): one blank for all white space, r11 [r9] r1 r8 r7 r10, always."""
+    s = r11(normalize_whitespace(t, "a"))
     if use_r9:
         s = r9(s, maths)
-    return r10(r7(r8(r1(s)), keys))
+    return r10(r7(r8(r1(s), "task"), keys))
 
 
 PROFILES = {
@@ -220,25 +223,54 @@ PROFILES = {
     "T": profile_t,
 }
 
+_QUESTION_KEYS = ["id", "question_stem", "choices_text", "choices_label", "answerKey"]
+_CONTINUATION_KEYS = ["activity_label", "ctx_a", "ctx_b", "ctx", "split", "split_type", "source_id"]
+
+# Family, member keys in order and extra steps by data set
+DATASET_PROFILES: dict[str, tuple[str, list[str], dict]] = {
+    "arc": ("Q", ["id", "question", "choices", "answerKey"], {}),
+    "openbookqa": ("Q", _QUESTION_KEYS, {}),
+    "openbookqa-additional": ("Q", [*_QUESTION_KEYS, "fact1", "humanScore", "clarity", "turkIdAnonymized"], {}),
+    "commonsenseqa": ("Q", ["id", "question", "question_concept", "choices", "answerKey"], {}),
+    "hellaswag-dev": ("Q", _CONTINUATION_KEYS, {}),
+    "hellaswag-test": ("Q", _CONTINUATION_KEYS, {"pre": [r13]}),
+    "hellaswag-train": ("Q", _CONTINUATION_KEYS, {"pre": [r3]}),
+    "winogrande": ("S", ["qID", "sentence", "option1", "option2", "answer"], {"extra": [r10]}),
+    "siqa": ("S", ["context", "question", "answerA", "answerB", "answerC"], {}),
+    "piqa": ("S", ["goal", "sol1", "sol2", "label"], {}),
+    "mr-gsm8k-training": ("S", ["query", "response"], {"extra": [r10, r14]}),
+    "boolq": ("T", ["question", "title", "answer", "passage"], {}),
+    "bbh": ("T", ["input", "options", "target"], {}),
+    "gsm8k": ("T", ["question", "answer"], {}),
+    "mmlu": ("T", ["prompt", "A", "B", "C", "D", "answer"], {}),
+    "mmlu-pro": ("T", ["question_id", "question", "options", "answer", "answer_index", "cot_content", "category", "src"], {}),
+    "preference": ("T", ["chosen", "rejected"], {}),
+    "math": ("T", ["problem", "level", "type", "solution"], {"use_r9": True}),
+    "dolly": ("T", ["instruction", "context", "response", "category"], {"use_r9": True}),
+}
+
 
 def repair_attempts(df: DataFrame, text: str, schema: str, keys: list[str], family: str = "Q",
                     **kw) -> DataFrame:
     """The attempt chain on one text column. Adds ``parsed`` (struct) and
-    ``status`` in {parsed, loose, repaired, failed}. The plain and the loose
-    parse are column expressions in one pass; only the rows both reject go
-    through the profile (and its Python callbacks)."""
+    ``status`` in {parsed, loose, repaired, failed}. Plain and loose parse run once
+    for every row; the profile (and its Python callbacks) sees the text only of
+    rows that both reject, null for the others."""
     t = F.col(text)
-    d = df.withColumn("_plain", parse_json_strict(t, schema)).withColumn("_loose", parse_json_strict(r12(t), schema))
-    cols = list(df.columns) + ["parsed", "status"]
-    good = (d.where(F.col("_plain").isNotNull() | F.col("_loose").isNotNull())
-             .withColumn("parsed", F.coalesce("_plain", "_loose"))
-             .withColumn("status", F.when(F.col("_plain").isNotNull(), F.lit("parsed")).otherwise(F.lit("loose"))))
-    bad = d.where(F.col("_plain").isNull() & F.col("_loose").isNull())
-    fixed = PROFILES[family](t, keys, schema, **kw)
-    bad = bad.withColumn("_fixed", parse_json_strict(fixed, schema))
-    bad = bad.withColumn("parsed", F.col("_fixed")).withColumn(
-        "status", F.when(F.col("_fixed").isNotNull(), F.lit("repaired")).otherwise(F.lit("failed")))
-    return good.select(*cols).unionByName(bad.select(*cols))
+    plain = df.withColumn("_plain", parse_json_strict(t, schema))
+    loose = plain.withColumn("_loose", F.when(F.col("_plain").isNull(), parse_json_strict(r12(t), schema)))
+    todo = loose.withColumn("_todo", F.when(F.col("_plain").isNull() & F.col("_loose").isNull(), t))
+    fixed = todo.withColumn("_fixed", parse_json_strict(PROFILES[family](F.col("_todo"), keys, schema, **kw), schema))
+    return fixed.select(
+        *df.columns, F.coalesce("_plain", "_loose", "_fixed").alias("parsed"),
+        F.when(F.col("_plain").isNotNull(), "parsed").when(F.col("_loose").isNotNull(), "loose")
+        .when(F.col("_fixed").isNotNull(), "repaired").otherwise("failed").alias("status"))
+
+
+def repair_dataset(df: DataFrame, text: str, schema: str, dataset: str) -> DataFrame:
+    """The attempt chain with the profile of a data set."""
+    family, keys, extra = DATASET_PROFILES[dataset]
+    return repair_attempts(df, text, schema, keys, family, **extra)
 
 
 def repair_report(attempts: DataFrame) -> DataFrame:

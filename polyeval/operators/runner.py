@@ -1,7 +1,7 @@
 """Model runners.
 
-A user callable (chat model, judge, translator) is run by ``mapInPandas``:
-rows are spread over ``partitions`` tasks by a hash of their key, each task
+A user callable (chat model, judge, translator) is run by ``mapInPandas``
+over the input's partitions (or ``partitions`` hash-spread ones); each task
 keeps a small thread pool of calls in flight, retries with back-off, and
 returns one output row per input row (never loses a row). The last error
 stays set even after a later success (``ok`` tells success apart).
@@ -83,6 +83,7 @@ class TokenBucket:
         self.clock, self.sleep = clock, sleep
         self.last = clock()
         self.lock = threading.Lock()
+        self.waits = 0
 
     def take(self):
         while True:
@@ -93,7 +94,9 @@ class TokenBucket:
                 if self.tokens >= 1:
                     self.tokens -= 1
                     return
-                wait = (1 - self.tokens) / self.rate
+                # never shorter than a clock can tell
+                wait = max((1 - self.tokens) / self.rate, 1e-3)
+                self.waits += 1
             self.sleep(wait)
 
 
@@ -116,18 +119,24 @@ def batch_infer(df: DataFrame, fn: Callable[..., str], inputs: list[str], key: s
     """``fn(*row[inputs]) -> text`` for every row, with retries.
 
     Output = input columns + response, error, attempts, duration, ok.
-    ``sleep`` defaults to ``time.sleep``; tests pass a no-op.
+    The input keeps its partitions unless ``partitions`` asks for a hash spread
+    (a few large partitions, or one hot key). ``calls_per_minute`` limits the
+    calls, retries included: every task gets its share of the tasks that run at
+    once. ``sleep`` defaults to ``time.sleep``; a test that passes its own
+    passes a clock that moves with it.
     """
-    n_parts = partitions or df.sparkSession.sparkContext.defaultParallelism
+    at_once = min(partitions or 1 << 30, df.sparkSession.sparkContext.defaultParallelism)
     schema = T.StructType(list(df.schema.fields) + RUN_FIELDS)
-    per_task = None if calls_per_minute is None else calls_per_minute / max(1, n_parts)
+    per_task = None if calls_per_minute is None else calls_per_minute / max(1, at_once)
     slp = sleep or time.sleep
     clk = clock or time.monotonic
 
-    def call(args, k):
+    def call(args, k, bucket):
         err, attempts, t0 = None, 0, clk()
         while attempts < max_tries:
             attempts += 1
+            if bucket:
+                bucket.take()
             try:
                 out = fn(*args)
                 return out, err, attempts, clk() - t0, True
@@ -143,9 +152,7 @@ def batch_infer(df: DataFrame, fn: Callable[..., str], inputs: list[str], key: s
         bucket = TokenBucket(per_task, clock=clk, sleep=slp) if per_task else None
 
         def one(args_k):
-            if bucket:
-                bucket.take()
-            return call(*args_k)
+            return call(*args_k, bucket)
 
         with ThreadPoolExecutor(max_workers=concurrency) as pool:
             for pdf in batches:
@@ -160,10 +167,11 @@ def batch_infer(df: DataFrame, fn: Callable[..., str], inputs: list[str], key: s
                 out["ok"] = pd.Series([bool(r[4]) for r in res], dtype=bool)
                 yield out
 
-    # spread by a hash of the whole request, so one hot key (a long
-    # conversation, a large dataset) still lands on many tasks
-    spread = df.repartition(n_parts, F.xxhash64(F.col(key), *[F.col(c) for c in inputs]))
-    return spread.mapInPandas(run, schema)
+    if partitions:
+        # by a hash of the whole request, so one hot key (a long conversation,
+        # a large dataset) still lands on many tasks
+        df = df.repartition(partitions, F.xxhash64(F.col(key), *[F.col(c) for c in inputs]))
+    return df.mapInPandas(run, schema)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -174,16 +182,23 @@ def materialize(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # J2 judge, J3 translate, J4 retry
 # ---------------------------------------------------------------------------
-def judge(df: DataFrame, fn: Callable[[str, str, str], dict], prompt: str, truth: str, answer: str,
-          key: str, **kw) -> DataFrame:
-    """``fn(prompt, truth, answer) -> {verdict, reasoning}``. A token-limit
-    error counts as Incorrect; any other error leaves blanks and the error."""
+def judge(df: DataFrame, fn: Callable[[str], dict], prompt: str, truth: str, answer: str,
+          key: str, template: str | None = None, examples: list[dict] | None = None, **kw) -> DataFrame:
+    """The judge prompt (instructions, worked examples, question, reference,
+    answer) is rendered as column ``judge_prompt`` and handed to
+    ``fn(judge_prompt) -> {verdict, reasoning}``. A token-limit error counts as
+    Incorrect; any other error leaves blanks and the error."""
     import json
 
-    def call(p, t, a):
-        return json.dumps(fn(p, t, a))
+    from polyeval.functions import prompts as P
 
-    r = batch_infer(df, call, [prompt, truth, answer], key, **kw)
+    def call(p):
+        return json.dumps(fn(p))
+
+    df = df.withColumn("judge_prompt", P.judge_prompt(
+        F.col(prompt), F.col(truth), F.col(answer), template or P.JUDGE_TEMPLATE,
+        P.JUDGE_EXAMPLES if examples is None else examples))
+    r = batch_infer(df, call, ["judge_prompt"], key, **kw)
     parsed = F.from_json(F.col("response"), "struct<verdict:string,reasoning:string>")
     token_limit = F.coalesce(F.col("error"), F.lit("")).contains(TOKEN_LIMIT_TEXT)
     return (r.withColumn("_j", parsed)
@@ -204,7 +219,8 @@ def retry_translate(translated: DataFrame, needs_retry: Column, fn: Callable[[st
                     request: str, key: str, temperature: float = 1.0, **kw) -> DataFrame:
     """A second call at ``temperature`` for the rows ``needs_retry``
     selects (missing or overlong); the results replace those rows by key
-    (D4), the other rows are kept as they are."""
+    (D4), the other rows are kept as they are. ``retried`` marks them, for
+    ``retry_status`` once the new messages are parsed."""
     # the first pass feeds two branches: cut its lineage so the model is not
     # called again for every row when both branches are computed
     translated = materialize(translated)
@@ -216,6 +232,12 @@ def retry_translate(translated: DataFrame, needs_retry: Column, fn: Callable[[st
     return keep.withColumn("retried", F.lit(False)).unionByName(again, allowMissingColumns=True)
 
 
+def retry_status(retried: Column, good: Column) -> Column:
+    """Outcome of a record after the retry: translated, fixed or retry_failed."""
+    return (F.when(~retried, F.when(good, "translated").otherwise("failed"))
+            .when(good, "fixed").otherwise("retry_failed"))
+
+
 # ---------------------------------------------------------------------------
 # E7 / E18 summaries
 # ---------------------------------------------------------------------------

@@ -9,7 +9,7 @@ Each view has two faces that must agree row for row:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyeval.functions.text import BANGLA_DIGITS, LATIN_DIGITS
@@ -23,6 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def word_choices(text: Column, n: int = 4) -> Column:
+    """At most ``n`` choices made of all blank-separated words of a text: choice j
+    joins the words at positions j, j + n, j + 2n, ..."""
+    def deal(words):
+        return F.transform(F.sequence(F.lit(0), F.least(F.size(words), F.lit(n)) - 1), lambda j: F.array_join(
+            F.filter(words, lambda w, i: i % n == j), " "))
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    # bound once as a lambda variable, so that the split is not repeated for each choice
+    return F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, deal(w)).otherwise(
+        F.array().cast("array<string>"))), 1)
+
+
+def word_choices_sql(text: str = "text", n: int = 4) -> str:
+    words = f"list_filter(string_split({text}, ' '), lambda w: w <> '')"
+    return (f"list_transform(range(least(len({words}), {n})), lambda j: "
+            f"array_to_string(list_filter({words}, lambda x, i: (i - 1) % {n} = j), ' '))")
+
+
 # ---------------------------------------------------------------------------
 # fx_responses: answers to score (six datasets, two languages, four models)
 # ---------------------------------------------------------------------------
@@ -40,7 +58,7 @@ def fx_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         ds.alias("dataset"),
         F.concat(F.lit("model-"), (F.floor(doc_id / F.lit(6)) % 4).cast("string")).alias("model"),
         F.when(F.col("lang") == "en", "en").otherwise("bn").alias("lang"),
-        F.substring("text", 1, 200).alias("stem"),
+        F.col("text").alias("stem"),
         q0.alias("q"),
         F.when(F.col("n_chars") % 3 == 0, 1 - q0).otherwise(q0).alias("g"),
         (F.col("n_chars") % 7).alias("k"),
@@ -109,7 +127,7 @@ FROM (SELECT a.*, CASE a.dataset
               CASE d.doc_id % 6 WHEN 0 THEN 'boolq' WHEN 1 THEN 'gsm8k' WHEN 2 THEN 'cqsa' WHEN 3 THEN 'winogrande' WHEN 4 THEN 'hellaswag' ELSE 'openbookqa' END AS dataset,
               concat('model-', CAST(CAST(floor(d.doc_id / 6.0) AS BIGINT) % 4 AS VARCHAR)) AS model,
               CASE WHEN d.lang = 'en' THEN 'en' ELSE 'bn' END AS lang,
-              substr(d.text, 1, 200) AS stem,
+              d.text AS stem,
               coalesce(l.quality, CAST(d.doc_id % 2 AS INT)) AS q,
               CASE WHEN d.n_chars % 3 = 0 THEN 1 - coalesce(l.quality, CAST(d.doc_id % 2 AS INT)) ELSE coalesce(l.quality, CAST(d.doc_id % 2 AS INT)) END AS g,
               d.n_chars % 7 AS k
@@ -160,12 +178,12 @@ def fx_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the view joins documents to itself on doc_id; a key join of a table to
     # itself is the identity, so the word comes from the same row
     return (d.where(F.col("doc_id") % 11 != 10)
-            .select(F.col("doc_id").alias("idx"), F.substring("text", 1, 80).alias("original"),
+            .select(F.col("doc_id").alias("idx"), F.col("text").alias("original"),
                     msg.alias("message")))
 
 
 FX_MESSAGES_SQL = """
-SELECT d.doc_id AS idx, substr(d.text, 1, 80) AS original,
+SELECT d.doc_id AS idx, d.text AS original,
   CASE d.doc_id % 5
     WHEN 0 THEN concat('{"question": "', w.word, '", "answer": "A"}')
     WHEN 1 THEN concat('ok ', '<bangla_translation>', chr(10), '{"question": "', w.word, '", "answer": "ক"}', chr(10), '</bangla_translation>', '<translator_notes>n</translator_notes>')
@@ -208,7 +226,7 @@ FROM events WHERE event_type IN ('error', 'view')
 
 
 # ---------------------------------------------------------------------------
-# fx_predictions: gold label and three predictions in one string
+# fx_predictions: gold label and five predictions (one for each training size) in one string
 # ---------------------------------------------------------------------------
 def fx_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -217,16 +235,53 @@ def fx_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("quality") + 1).cast("string").alias("gold"),
         F.concat((F.col("doc_id") % 2 + 1).cast("string"), F.lit(","),
                  (F.col("doc_id") % 3 % 2 + 1).cast("string"), F.lit(","),
-                 (F.col("quality") + 1).cast("string")).alias("preds"))
+                 (F.col("quality") + 1).cast("string"), F.lit(","),
+                 (F.col("doc_id") % 5 % 2 + 1).cast("string"), F.lit(","),
+                 F.when(F.col("doc_id") % 7 == 0, F.lit("1")).otherwise((F.col("quality") + 1).cast("string"))).alias("preds"))
 
 
 FX_PREDICTIONS_SQL = """
 SELECT CAST(doc_id AS BIGINT) AS idx, CAST(quality + 1 AS VARCHAR) AS gold,
-  concat(CAST(doc_id % 2 + 1 AS VARCHAR), ',', CAST(doc_id % 3 % 2 + 1 AS VARCHAR), ',', CAST(quality + 1 AS VARCHAR)) AS preds
+  concat(CAST(doc_id % 2 + 1 AS VARCHAR), ',', CAST(doc_id % 3 % 2 + 1 AS VARCHAR), ',', CAST(quality + 1 AS VARCHAR), ',', CAST(doc_id % 5 % 2 + 1 AS VARCHAR), ',', CASE WHEN doc_id % 7 = 0 THEN '1' ELSE CAST(quality + 1 AS VARCHAR) END) AS preds
 FROM labels
 """
 
+# ---------------------------------------------------------------------------
+# fx_broken: one broken JSON text per repair step, by doc_id
+# ---------------------------------------------------------------------------
+# text of each shape around a word w; the texts are data for the repair rules
+BROKEN_SHAPES = [
+    '{"question": "#", "answer": "A"}',                      # valid
+    "{'question': '#', 'answer': 'B'}",                      # r12: single quotes
+    '{"question": "#" "answer": "C"}',                       # r7: missing comma
+    '{“question”: “#”, “answer”: “D”}',                      # r1: curly quotes
+    '{"question": "say "#" now", "answer": "E"}',            # r6: bare quotes in a value
+    '{"question": "#\nx" "answer": "F"}',                    # line feed in a value and a missing comma
+    '{"question": "#" "answer": 3}',                         # r5: bare value
+    '{"question": "#", "answer": "["a", "b"]"}',             # r4: quoted array
+    '{"question": "# “", "answer": "G",}',                   # r10: comma before the bracket
+    'no record of #',                                        # nothing helps
+    '{"question": "\\q #", "answer": "H"}',                  # r8: lone backslash
+    '{"question": "f("1 2") of "$x$" #", "answer": "I"}',    # r9: maths quotes
+    '{"label": , "question": "#", "answer": "J"}',           # r13: blank label
+    '{"question": "#"}, "response": "K"}',                   # r14: stray bracket
+    '{"question": "৩ #" "answer": "৭"}',                     # r11: Bangla digits
+]
+
+
+def fx_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    shapes = F.array(*[F.lit(s) for s in BROKEN_SHAPES])
+    shape = F.element_at(shapes, (F.col("doc_id") % len(BROKEN_SHAPES) + 1).cast("int"))
+    return d.select(F.col("doc_id").alias("idx"), F.replace(shape, F.lit("#"), F.concat("lang", "source")).alias("translation"))
+
+
+FX_BROKEN_SQL = f"""
+SELECT doc_id AS idx, doc_id % {len(BROKEN_SHAPES)} AS shape, concat(lang, source) AS w FROM documents
+"""
+
 VIEW_SQL = {
+    "fx_broken": FX_BROKEN_SQL,
     "fx_responses": FX_RESPONSES_SQL,
     "fx_chat": FX_CHAT_SQL,
     "fx_messages": FX_MESSAGES_SQL,

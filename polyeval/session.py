@@ -98,8 +98,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     cur = sc.getConf().get("spark.checkpoint.dir", None)
     if not cur:
-        # unset (local tests only): a folder of our own; a cluster names a
-        # shared one in spark.checkpoint.dir, which is used above as is
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        # one machine (tests): a folder of our own
         cur = tempfile.mkdtemp(prefix="polyeval-ckpt-")
     sc.setCheckpointDir(cur)
     return sc.getCheckpointDir() or cur
@@ -117,8 +118,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    path = os.path.join(base, f"{name}-{os.urandom(6).hex()}")
-    return path
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{os.urandom(6).hex()}"

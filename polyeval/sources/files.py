@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from polyeval.functions.text import py_strip
 from polyeval.operators.ids import with_index
-from polyeval.session import cut_lineage
 
 RESPONSE_CSV_COLUMNS = ["Question ID", "Dataset Name", "Model Name", "System Prompt", "Prompt",
                         "Model Response", "Ground Truth"]
@@ -34,8 +33,9 @@ def line_index(spark: SparkSession, path: str, name: str = "line_no", **text_opt
     id); one small aggregate gives each split's line count and first id, a
     prefix sum over the splits (one row per split, not per line) gives the
     offsets, and an equi-join on the split adds them - no sort of the lines.
-    The ids are fixed by a reliable checkpoint, so a lost executor cannot
-    renumber them.
+    A split's rows and its place among the splits follow from the files alone,
+    so a repeated task numbers alike and no line is checkpointed. Files follow
+    each other by the number in their name, then by name.
     """
     r = spark.read
     for k, v in text_opts.items():
@@ -43,9 +43,9 @@ def line_index(spark: SparkSession, path: str, name: str = "line_no", **text_opt
     d = r.text(path).select("value", F.col("_metadata.file_path").alias("_file"),
                             F.col("_metadata.file_block_start").alias("_block"),
                             F.monotonically_increasing_id().alias("_mid"))
-    d = cut_lineage(d)
     splits = d.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("_file", r"(\d+)[^/]*$", 1).try_cast("decimal(38,0)")
+    before = Window.orderBy(number.asc_nulls_last(), "_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offs = splits.select("_file", "_block", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     out = d.join(offs, ["_file", "_block"])
     return out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("bigint")) \
@@ -81,8 +81,9 @@ def read_response_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _rel_path(col: str, base: str):
-    p = F.regexp_replace(F.col(col), "^file:", "")
+    p = F.regexp_replace(F.col(col), "^file:/+", "/")
     b = base.rstrip("/")
+    b = "/" + b[len("file:"):].lstrip("/") if b.startswith("file:") else b
     return F.when(p.startswith(b + "/"), p.substr(len(b) + 2, 1 << 30)).otherwise(p)
 
 
@@ -143,7 +144,8 @@ def combine_numbered_files(spark: SparkSession, folder: str, schema: T.StructTyp
     t = py_strip(F.col("value"))
     ok = F.col("_r").isNotNull() & F.col("_r._corrupt_record").isNull() & t.startswith("{") & t.endswith("}")
     good = d.where(ok).select("file", "file_number", *[F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields])
-    good = with_index(good, "position", order_by=[F.col("file_number").asc_nulls_last(), F.col("file")])
+    good = with_index(good, "position", order_by=[F.col("file_number").asc_nulls_last(), F.col("file")],
+                      key=["file"], by=("file_number",))
     bad = d.where(~ok).select("file")
     return good, bad
 
@@ -167,4 +169,6 @@ def scan_response_tree(spark: SparkSession, base: str, avoid: list[str] = (),
     folders = F.split(F.regexp_replace(F.col("_rel"), "/[^/]*$", ""), "/")
     for a in avoid:
         d = d.where(~F.exists(folders, lambda f: f.contains(a)))
-    return d.where(F.col("_rel").endswith(suffix) | F.col("file").contains(suffix.rsplit(".", 1)[0])).drop("_rel")
+    # the file itself, or the folder of a table written under that name (``stem=x_responses.csv``)
+    named = F.col("_rel").endswith(suffix) | F.exists(folders, lambda f: f.endswith(suffix))
+    return d.where(named).drop("_rel")

@@ -7,7 +7,7 @@ file only when asked, because it routes the whole output through one task.
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,18 +61,26 @@ def write_review_csv(df: DataFrame, path: str) -> None:
 
 
 def write_files(df: DataFrame, base: str, path_col: str, content_col: str) -> None:
-    """Write each row's content to ``base/<path>`` (one file per row), from
-    the executors. Used to lay out result trees and per-request files."""
-    b = base.rstrip("/")
-    if b.startswith("file:"):
-        b = b[len("file:"):]
+    """Write each row's content to ``base/<path>`` (the formats A5, A6 and A9 are
+    one file per record), from the executors, through the file system that
+    ``base`` names (local and mounted folders, HDFS, object stores). A file
+    appears under its name only when it is complete."""
+    base = base.rstrip("/")
 
     def put(rows):
+        from polyeval.sources.stores import open_store
+        store, folder = open_store(base)
+        made = set()
         for r in rows:
-            p = os.path.join(b, r[path_col])
-            os.makedirs(os.path.dirname(p), exist_ok=True)
-            with open(p, "w", encoding="utf-8") as f:
-                f.write(r[content_col] if r[content_col] is not None else "")
+            path = f"{folder}/{r[path_col]}"
+            parent = path.rpartition("/")[0]
+            if parent not in made:
+                store.create_dir(parent, recursive=True)
+                made.add(parent)
+            part = f"{parent}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(part, compression=None) as f:
+                f.write((r[content_col] or "").encode("utf-8"))
+            store.move(part, path)
 
     df.select(path_col, content_col).foreachPartition(put)
 

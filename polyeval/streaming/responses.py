@@ -14,6 +14,7 @@ batch result.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,9 +68,10 @@ def stream_scores(spark: SparkSession, folder: str, table_path: str, checkpoint:
     it in the RocksDB state store (on local disk, checkpointed) instead of the
     executor heap.
     """
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
     if rocksdb:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                       "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
     def merge(batch: DataFrame, epoch: int) -> None:
         sp = batch.sparkSession
@@ -79,18 +81,27 @@ def stream_scores(spark: SparkSession, folder: str, table_path: str, checkpoint:
             cur = prev.join(cur.select(*KEYS), KEYS, "left_anti").unionByName(cur)
         cur.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/v={epoch}")
 
-    q = (_scored_counts(read_stream(spark, folder, files_per_trigger=files_per_trigger))
-         .writeStream.outputMode("update").foreachBatch(merge)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    try:
+        q = (_scored_counts(read_stream(spark, folder, files_per_trigger=files_per_trigger))
+             .writeStream.outputMode("update").foreachBatch(merge)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:                                # the query keeps the setting it started with
+        if before is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, before)
     q.awaitTermination()
 
 
 def _latest(spark: SparkSession, table_path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of the score table (older than ``before``)."""
+    """The newest version of the score table (older than ``before``); None before the
+    first version. A version that cannot be read raises."""
     try:
         t = spark.read.parquet(table_path)
-    except Exception:  # noqa: BLE001 - no version written yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     if before is not None:
         t = t.where(F.col("v") < before)
     top = t.agg(F.max("v")).first()[0]     # one number

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from polyeval.functions import text as X
-from polyeval.functions.pyudfs import escape_inner, reescape_values
 from polyeval.operators import joins as J
 from polyeval.operators import packing as PK
 from polyeval.operators import scoring as S
@@ -83,40 +82,37 @@ def test_pack_matches_fold(spark, sizes, max_bytes, max_rows, chunk):
     assert got == _pack_ref(sizes, max_bytes, max_rows)
 
 
-def test_repair_callbacks_keep_valid_json():
+def test_member_values_are_encoded():
+    from polyeval.functions.pyudfs import encode_members
     for obj in [{"a": "x \"y\" z", "b": "ক\nখ"}, {"question": "plain", "answer": "A"}]:
         s = json.dumps(obj, ensure_ascii=False)
-        assert json.loads(escape_inner(s)) == obj
-    assert reescape_values('{"a": "x\\y"}') == '{"a": "x\\\\y"}'
-
-
-def _brute_profile_q(s, keys):
-    """Question-set profile written directly in Python for comparison."""
-    t = re.sub(r"[“”]", '"', s)
-    t = t.replace("'", '"')
-    t = re.sub(r'("\w+":)\s*"(\[.*?\])"', r"\1 \2", t)
-    t = re.sub(r'\s*("[\w]+"):\s*(\w+)', r' \1: "\2"', t)
-    s1 = escape_inner(t)
-    try:
-        json.loads(s1)
-        return s1
-    except ValueError:
-        f = t
-        for a, b in zip(keys, keys[1:]):
-            f = re.sub(rf'("{a}":.*?)(?=\s*?"{b}":)(?!,)', r"\1, ", f)
-        f = re.sub(r",\s*,", ",", f)
-        return reescape_values(f)
+        assert json.loads(encode_members(s, "text", "bare_quotes")) == obj
+    assert encode_members('{"a": "x\\y"}', "text", "json_text") == '{"a": "x\\\\y"}'
+    assert encode_members('{"a": "say "hi" now", "b": "1\n2"}', "text", "bare_quotes") == \
+        '{"a": "say \\"hi\\" now", "b": "1\\n2"}'
+    # only the text pattern lets an escaped quote stand before a comma
+    text = '{"a": "he said \\"hi\\", then left"}'
+    assert encode_members(text, "text", "json_text") == '{"a": "he said \\\\\\"hi\\\\\\", then left"}'
+    assert encode_members(text, "task", "json_text") == '{"a": "he said \\\\\\"hi\\\\", then left"}'
+    assert encode_members(None, "text", "json_text") is None
+
+
+def test_maths_rules(spark):
+    from polyeval.operators import repair as RP
+    cases = {'("1 2")': "(1 2)", "$x$'": "$x$", '"7"': "7", '"%"': "%", '"a"': "a", '"$x+1$"': "$x+1$"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.u for r in df.select("t", RP.r9(F.col("t")).alias("u")).collect()} == cases
 
 
-def test_repair_profile_matches_brute_force(spark):
+def test_repair_profiles_of_data_sets(spark):
     from polyeval.operators import repair as RP
-    rows = ['{"question": "a" "answer": "b"}', "{'question': 'x', 'answer': 'y'}",
-            '{“question”: "q", "answer": 3}', '{"question": "say "hi"", "answer": "c"}',
-            '{"question": "line\nbreak" "answer": "d"}']
-    df = spark.createDataFrame([(r,) for r in rows], "t string")
-    got = [r[0] for r in df.select(RP.profile_q(F.col("t"), ["question", "answer"],
-                                                "struct<question:string,answer:string>")).collect()]
-    assert got == [_brute_profile_q(r, ["question", "answer"]) for r in rows]
+    schema = "struct<query:string,response:string>"
+    rows = [("mr-gsm8k-training", "{\"query\": \"it's\" \"response\": \"say \"x\",}", None),
+            ("mr-gsm8k-training", '{"query": "a", }, "response": “b”}', ("a", "b"))]
+    df = spark.createDataFrame(rows, "d string, t string, want struct<q:string,r:string>")
+    got = RP.repair_dataset(df, "t", schema, "mr-gsm8k-training").collect()
+    assert [None if r.parsed is None else tuple(r.parsed) for r in got][1:] == [("a", "b")]
+    assert {f for f, _, _ in RP.DATASET_PROFILES.values()} == {"Q", "S", "T"} and len(RP.DATASET_PROFILES) == 19
 
 
 def test_topk_plan_has_group_limit(spark):
@@ -190,27 +186,6 @@ def test_seeded_sample_positions(spark):
     assert got == want
 
 
-def _brute_profile_t(s, keys):
-    """Task-set profile written directly in Python for comparison."""
-    t = s.translate(str.maketrans("০১২৩৪৫৬৭৮৯", "0123456789"))
-    t = re.sub(r"[“”]", '"', t)
-    t = reescape_values(t)
-    for a, b in zip(keys, keys[1:]):
-        t = re.sub(rf'("{a}":.*?)(?=\s*?"{b}":)(?!,)', r"\1, ", t)
-    t = re.sub(r",\s*,", ",", t)
-    return re.sub(r",\s*([}\]])", r"\1", t)
-
-
-def test_repair_task_profile_matches_brute_force(spark):
-    from polyeval.operators import repair as RP
-    rows = ['{"question": "৩ + ৪" "answer": "৭",}', '{“question”: "a\\b", "answer": "c"}',
-            '{"question": "x", "answer": "y"}']
-    df = spark.createDataFrame([(r,) for r in rows], "t string")
-    got = [r[0] for r in df.select(RP.profile_t(F.col("t"), ["question", "answer"],
-                                                "struct<question:string,answer:string>")).collect()]
-    assert got == [_brute_profile_t(r, ["question", "answer"]) for r in rows]
-
-
 def test_distributed_rank_equals_window_rank(spark):
     from polyeval.operators import analysis as A
     rows = [("a", float(v % 7)) for v in range(200)] + [("b", float(v % 3)) for v in range(31)] + [("c", None)]
