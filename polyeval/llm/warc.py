@@ -236,7 +236,7 @@ def write_archives(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES,
     whole = rows.select("key", "digest", F.lit(1).alias("mark"), "url", "payload",
                         F.lit(None).cast("long").alias("refers"), F.lit(None).cast("string").alias("refers_url"))
     dealt = (whole.unionByName(marks).withColumn("shard", shard_of("key"))
-             .repartition(len(bounds) + 1, "shard")
+             .repartitionById(len(bounds) + 1, F.col("shard"))
              .sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "digest", "mark", "url"))
     made = dealt.mapInArrow(_writer(root, file_bytes, date), MANIFEST)
     made.write.parquet(f"{root.rstrip('/')}/manifest")
@@ -303,4 +303,5 @@ def read_archives(spark: SparkSession, root: str) -> DataFrame:
     length and digest are those its header gives."""
     common.prepare(spark)
     manifest = spark.read.schema(MANIFEST).parquet(f"{root.rstrip('/')}/manifest")
-    return manifest.select("name").repartition("name").mapInArrow(_reader(root), RECORDS)
+    # a task for each file: with the number given, small inputs are not gathered into one task
+    return manifest.select("name").repartition(max(1, manifest.count()), "name").mapInArrow(_reader(root), RECORDS)
