@@ -15,7 +15,26 @@ from polyeval.llm import common, decontam, kdshards, licenses, pieces, quality,
 from polyeval.llm.common import table
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_warc_archives": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+f AS (SELECT body, min(page_id) AS first FROM p WHERE strlen(body) >= 100 GROUP BY body)
+SELECT p.page_id, strlen(p.body) AS payload_bytes, sha256(p.body) AS payload_digest,
+  CASE WHEN p.page_id > f.first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id > f.first THEN f.first END AS refers_to
+FROM p LEFT JOIN f USING (body)""",
+    "op4_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS win FROM s),
+m AS (SELECT win, min(doc_id) AS least FROM k GROUP BY win),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM k JOIN m USING (win) WHERE least < doc_id),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+t AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n
+      FROM x LEFT JOIN g USING (doc_id, pos) WHERE g.pos IS NULL GROUP BY x.doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(t.n, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)""",
+}
 
 
 def piece_model() -> str:
