@@ -309,20 +309,29 @@ def _bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def detect_language(text) -> Column:
-    """B35 built-in detector: the words are split once, each language's stop
-    words are counted with one ``filter`` over them, and the language with
-    the most wins; a single expression."""
-    words = F.split(F.lower(F.coalesce(_c(text), F.lit(""))), r"[^\p{L}]+")
-    lists = {lang: F.array(*[F.lit(w) for w in sw]) for lang, sw in STOPWORDS.items()}
+BANGLA_SCRIPT = "\u0980-\u09ff"
+
+
+def _stopword_pattern(words: list[str]) -> str:
+    """Whole words only: no letter before or after."""
+    return r"(?<!\p{L})(?:" + "|".join(words) + r")(?!\p{L})"
 
-    def member_of(lst):
-        return lambda x: F.array_contains(lst, x)
 
-    def per_words(w):
-        counts = F.struct(*[F.size(F.filter(w, member_of(lst))).alias(lang) for lang, lst in lists.items()])
-        return _bind(counts, language_of_counts)
-    return _bind(words, per_words)
+def mostly_bangla(text) -> Column:
+    """Script share: at least as many Bangla letters and signs as ASCII letters, and some."""
+    t = F.coalesce(_c(text), F.lit(""))
+    bangla = F.length(F.regexp_replace(t, f"[^{BANGLA_SCRIPT}]+", ""))
+    latin = F.length(F.regexp_replace(t, "[^A-Za-z]+", ""))
+    return (bangla > 0) & (bangla >= latin)
+
+
+def detect_language(text) -> Column:
+    """B35 built-in detector: the script share tells Bangla; else the language
+    with the most stop words, each counted by one pattern over the text (only the
+    hits become values, the words are never split)."""
+    t = F.lower(F.coalesce(_c(text), F.lit("")))
+    counts = F.struct(*[F.regexp_count(t, F.lit(_stopword_pattern(sw))).alias(lang) for lang, sw in STOPWORDS.items()])
+    return F.when(mostly_bangla(text), F.lit("bn")).otherwise(_bind(counts, language_of_counts))
 
 
 def with_language(df, text: str, out: str = "detected"):

@@ -125,23 +125,37 @@ def _detect_sql(text):
     cnt = {lg: f"len(list_filter({words}, lambda w: list_contains({[*sw]}, w)))" for lg, sw in X.STOPWORDS.items()}
     best = f"greatest({', '.join(cnt.values())})"
     whens = " ".join(f"WHEN {c} = {best} AND {best} > 0 THEN '{lg}'" for lg, c in cnt.items())
-    return f"(CASE {whens} ELSE 'und' END)"
+    bangla = f"length(regexp_replace(coalesce({text}, ''), '[^\\x{{0980}}-\\x{{09ff}}]', '', 'g'))"
+    latin = f"length(regexp_replace(coalesce({text}, ''), '[^A-Za-z]', '', 'g'))"
+    return f"(CASE WHEN {bangla} > 0 AND {bangla} >= {latin} THEN 'bn' {whens} ELSE 'und' END)"
 
 
-register("detect_language", f"SELECT doc_id, lang, {_detect_sql('text')} AS detected FROM documents")(
-    lambda spark, sf: X.with_language(table(spark, sf, "documents").select("doc_id", "lang", "text"), "text")
-    .select("doc_id", "lang", "detected"))
+# some documents in Bangla letters, so that the script share is checked as well
+_ABC = "abcdefghijklmnopqrstuvwxyz"
+_BN_ABC = "".join(chr(0x0995 + i) for i in range(26))
+_LANG_DOCS_SQL = f"""SELECT doc_id, CASE WHEN doc_id % 9 = 4 THEN 'bn' ELSE lang END AS lang,
+  CASE WHEN doc_id % 9 = 4 THEN translate(lower(text), '{_ABC}', '{_BN_ABC}') ELSE text END AS text FROM documents"""
 
-register("filter_untranslated", f"""SELECT doc_id FROM documents
+
+def _lang_docs(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    bn = F.col("doc_id") % 9 == 4
+    return d.select("doc_id", F.when(bn, "bn").otherwise(F.col("lang")).alias("lang"),
+                    F.when(bn, F.translate(F.lower("text"), _ABC, _BN_ABC)).otherwise(F.col("text")).alias("text"))
+
+
+register("detect_language", f"SELECT doc_id, lang, {_detect_sql('text')} AS detected FROM ({_LANG_DOCS_SQL}) d")(
+    lambda spark, sf: X.with_language(_lang_docs(spark, sf), "text").select("doc_id", "lang", "detected"))
+
+register("filter_untranslated", f"""SELECT doc_id FROM ({_LANG_DOCS_SQL}) d
 WHERE coalesce({_ratio} >= 0.3, false) AND {_detect_sql('text')} = 'en'""")(
-    lambda spark, sf: X.with_language(table(spark, sf, "documents").select("doc_id", "text")
-                                      .where(X.ascii_flag("text")), "text")
+    lambda spark, sf: X.with_language(_lang_docs(spark, sf).where(X.ascii_flag("text")), "text")
     .where(F.col("detected") == "en").select("doc_id"))
 
 register("detect_language_accuracy", f"""SELECT lang, count(*) AS n,
   CAST(count(*) FILTER (WHERE d = lang) AS DOUBLE) / count(*) AS accuracy
-FROM (SELECT lang, {_detect_sql('text')} AS d FROM documents) x GROUP BY lang""")(
-    lambda spark, sf: X.with_language(table(spark, sf, "documents").select("lang", "text"), "text", "d")
+FROM (SELECT lang, {_detect_sql('text')} AS d FROM ({_LANG_DOCS_SQL}) y) x GROUP BY lang""")(
+    lambda spark, sf: X.with_language(_lang_docs(spark, sf), "text", "d")
     .groupBy("lang").agg(F.count(F.lit(1)).alias("n"),
                          (F.count_if(F.col("d") == F.col("lang")).cast("double") / F.count(F.lit(1))).alias("accuracy")))
 
