@@ -144,6 +144,16 @@ def union_models(tables: dict[str, DataFrame], model_col: str = "model") -> Data
     return out
 
 
+def stack_models(wide: DataFrame, keys: list[str], columns: dict[str, str], value: str,
+                 model_col: str = "model") -> DataFrame:
+    """H6 from one pass: ``columns`` maps each tokenizer/model to its column of ``wide``;
+    the columns become rows."""
+    if not columns:
+        raise ValueError("no tables to stack")
+    rows = F.array(*[F.struct(F.lit(m).alias(model_col), F.col(c).alias(value)) for m, c in columns.items()])
+    return wide.select(*keys, F.explode(rows).alias("_m")).select(*keys, f"_m.{value}", f"_m.{model_col}")
+
+
 def join_fewshot(items: DataFrame, prefixes: DataFrame, key: str = "category") -> DataFrame:
     """The category prefix in front of each item of that category."""
     return items.join(prefixes, key, "inner")

@@ -266,13 +266,15 @@ def fx_result_files(spark, sf) -> DataFrame:
     from polyeval.operators import scoring as S
     from polyeval.plans.fixtures import FIXTURE_DATASET_NAMES, fx_responses
 
-    r = fx_responses(spark, sf)
     keys = ("dataset", "lang", "model")
-    c = S.strip_reasoning(F.col("response"))
-    verdict = (F.when(c == "", F.lit("")).when(c == F.coalesce(F.col("ground_truth"), F.lit("")), "Correct")
-               .otherwise("Incorrect"))
-    judged = S.judge_accuracy(r.select(*keys, verdict.alias("judge_verdict")), keys)
-    t = S.score_table(r, keys).join(judged, list(keys))
+    rows = S.score_rows(fx_responses(spark, sf))
+    c = F.col("clean_response")
+    correct = (c != "") & (c == F.coalesce(F.col("ground_truth"), F.lit("")))
+    # accuracy, RER and the rule judge's share in one pass over the responses
+    t = rows.groupBy(*keys).agg(
+        (F.sum(F.col("right").cast("long")).cast("double") / F.count(F.lit(1))).alias("accuracy"),
+        (F.sum(F.col("error").cast("long")).cast("double") / F.count(F.lit(1))).alias("rer"),
+        (F.count_if(correct).cast("double") / F.count(F.lit(1))).alias("judge_accuracy"))
     long = t.select(*keys, F.expr("stack(3, 'accuracy', accuracy, 'rer', rer, "
                                   "'llm_judge_accuracy', judge_accuracy) AS (metric, score)"))
     ds = F.coalesce(F.try_element_at(A.map_lit(FIXTURE_DATASET_NAMES), F.col("dataset")), F.col("dataset"))
@@ -283,10 +285,11 @@ def fx_result_files(spark, sf) -> DataFrame:
     def path(fold):
         return F.concat(F.lit("inference-outputs/"), fold, F.lit("/"), ds, F.lit("_"), raw, F.lit("_"),
                         F.col("metric"), F.lit(".txt"))
-    main = long.select(path(F.concat(F.lit("results-"), F.col("lang"))).alias("path"), content.alias("content"))
-    arch = long.where((F.col("dataset") == "boolq") & (F.col("metric") == "accuracy")).select(
-        path(F.concat(F.lit("archive-"), F.col("lang"))).alias("path"), F.lit(" 0.5 ").alias("content"))
-    return main.unionByName(arch)
+    main = F.struct(path(F.concat(F.lit("results-"), F.col("lang"))).alias("path"), content.alias("content"))
+    copy = F.struct(path(F.concat(F.lit("archive-"), F.col("lang"))).alias("path"), F.lit(" 0.5 ").alias("content"))
+    archived = (F.col("dataset") == "boolq") & (F.col("metric") == "accuracy")
+    files = F.when(archived, F.array(main, copy)).otherwise(F.array(main))
+    return long.select(F.explode(files).alias("f")).select("f.path", "f.content")
 
 
 def result_files_sql() -> str:

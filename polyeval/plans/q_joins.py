@@ -176,10 +176,9 @@ register("id_difference", """SELECT count(*) FILTER (WHERE side = 'a') AS only_d
   UNION ALL SELECT source, lang, 'byte', strlen(text) FROM documents) x GROUP BY source, lang, tok""")
 def q_union_models(spark, sf):
     d = table(spark, sf, "documents").select(F.col("source").alias("dataset"), "lang", "text")
-    per = {n: d.groupBy("dataset", "lang").agg(F.round(F.avg(TK.BUILTIN[n](F.col("text"))), 10)
-                                                  .alias("avg_tokens_per_row"))
-           for n in ["blank", "char", "byte"]}
-    return J.union_models(per)
+    names = ["blank", "char", "byte"]
+    wide = d.groupBy("dataset", "lang").agg(*[F.round(F.avg(TK.BUILTIN[n](F.col("text"))), 10).alias(n) for n in names])
+    return J.stack_models(wide, ["dataset", "lang"], {n: n for n in names}, "avg_tokens_per_row")
 
 
 # --- E14 few-shot prefix per category, D8 joined to items --------------------------------------------------

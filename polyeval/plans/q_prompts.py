@@ -131,12 +131,10 @@ def q_choices_literal(spark, sf):
                  lit(F.col("labels")).alias("choices_label"))
     parsed = i.withColumn("c", P.parse_list_literal(F.col("choices_text"))) \
               .withColumn("l", P.parse_list_literal(F.col("choices_label")))
-    ok = parsed.where(F.col("c").isNotNull() & F.col("l").isNotNull())
-    # only the rows the JSON reader rejected go through Python
-    bad = parsed.where(F.col("c").isNull() | F.col("l").isNull())
+    # Python sees the text of the rows that the JSON reader rejected, null for the others
     ev = P.literal_eval_udf()
-    bad = bad.withColumn("c", ev(F.col("choices_text"))).withColumn("l", ev(F.col("choices_label")))
-    both = ok.unionByName(bad)
+    both = (parsed.withColumn("c", F.coalesce("c", ev(F.when(F.col("c").isNull(), F.col("choices_text")))))
+            .withColumn("l", F.coalesce("l", ev(F.when(F.col("l").isNull(), F.col("choices_label"))))))
     return both.select("doc_id", by_lang(lambda lg: P.render_choices(
         prefix(lg), F.col("stem"), F.col("l"), F.col("c"), lg, ". ")).alias("prompt"))
 

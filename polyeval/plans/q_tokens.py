@@ -141,7 +141,8 @@ WHERE path IN (SELECT min(path) FROM ({N.result_files_sql()}) g GROUP BY {N.data
                                                "fx_responses"))
 def q_first_file(spark, sf):
     f = N.fx_result_files(spark, sf).withColumn("dataset", N.dataset_part(F.col("path")))
-    return A.first_per_group(f, ["dataset"], "path").select("path")
+    # a path names one file, so the smallest path of a dataset is its first file
+    return f.groupBy("dataset").agg(F.min("path").alias("path")).select("path")
 
 
 # --- H2 for the token measures: language x dataset means over the joined table ---------------------------

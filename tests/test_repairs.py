@@ -116,3 +116,12 @@ def test_no_text_below_a_checkpoint(spark):
     plan = out._jdf.queryExecution().analyzed().toString()
     scans = [x for x in plan.split("\n") if "LogicalRDD" in x]
     assert any("text" not in x for x in scans if "_mid" in x) and not any("text" in x for x in scans if "_mid" in x)
+
+
+@pytest.mark.parametrize("name", ["import_result_tree", "last_value_wins", "first_file_per_dataset", "union_models",
+                                  "repair_json", "prompt_choices_literal"])
+def test_documents_are_scanned_once(spark, name):
+    import __spark_entry__ as E
+    df = E.queries()[name](spark, "/root/testdata/sf0.001")
+    files = df._jdf.queryExecution().optimizedPlan().toString()
+    assert files.count("Relation [doc_id") <= (2 if "quality" in files else 1), files
