@@ -36,7 +36,6 @@ CATEGORY_MAP = {
     "gsm8k-main": "math",
     "mmlu": "multidomain",
 }
-METRIC_TYPES = {"accuracy": "accuracy", "rer": "rer", "llm_judge_accuracy": "llm_eval"}
 
 
 def map_lit(mapping: dict) -> Column:

@@ -63,6 +63,32 @@ SCHEMAS: dict[str, str] = {
 }
 
 
+# The task configurations that share the layout of "bbh"
+BBH_TASKS = [
+    "salient_translation_error_detection", "tracking_shuffled_objects_three_objects", "geometric_shapes",
+    "object_counting", "word_sorting", "logical_deduction_five_objects", "hyperbaton", "sports_understanding",
+    "logical_deduction_seven_objects", "multistep_arithmetic_two", "ruin_names", "causal_judgement",
+    "logical_deduction_three_objects", "formal_fallacies", "snarks", "boolean_expressions",
+    "reasoning_about_colored_objects", "dyck_languages", "navigate", "disambiguation_qa", "temporal_sequences",
+    "web_of_lies", "tracking_shuffled_objects_five_objects", "penguins_in_a_table", "movie_recommendation",
+    "date_understanding",
+]
+SCHEMAS.update({f"bbh/{task}": SCHEMAS["bbh"] for task in BBH_TASKS})
+
+# The layouts of the preference evaluation's configurations
+_COMPARED = f"struct<instruction:{S},output_1:{S},output_2:{S},preference:bigint,annotator_index:bigint,dataset:{S},datasplit:{S}"
+_ANNOTATED = (f"struct<instruction:{S},output_1:{S},generator_1:{S},output_2:{S},generator_2:{S},dataset:{S},annotator:{S},"
+              f"preference:bigint,price_per_example:float,time_per_example:float>")
+SCHEMAS.update({
+    "alpaca_eval_gpt4_baseline": SCHEMAS["alpaca_eval"],
+    "alpaca_eval_all_outputs": SCHEMAS["alpaca_eval"],
+    "alpaca_farm_human_annotations": f"{_COMPARED},generator:{S},sample_mode:{S}>",
+    "alpaca_farm_human_crossannotations": f"{_COMPARED}>",
+    "alpaca_eval_annotations_claude": _ANNOTATED,
+    "alpaca_eval_annotations_alpaca_eval_gpt4": _ANNOTATED,
+})
+
+
 def schema_of(dataset: str) -> str:
     if dataset not in SCHEMAS:
         raise KeyError(f"unknown dataset {dataset!r}; known: {sorted(SCHEMAS)}")

@@ -125,3 +125,13 @@ def test_documents_are_scanned_once(spark, name):
     df = E.queries()[name](spark, "/root/testdata/sf0.001")
     files = df._jdf.queryExecution().optimizedPlan().toString()
     assert files.count("Relation [doc_id") <= (2 if "quality" in files else 1), files
+
+
+def test_named_layouts_conform(spark):
+    from polyeval.sources import registry as REG
+    df = spark.createDataFrame([("i", "a", "b", 1)], "instruction string, output_1 string, output_2 string, preference int")
+    got = REG.conform(df, "alpaca_farm_human_annotations")
+    assert got.columns[:4] == ["instruction", "output_1", "output_2", "preference"] and got.columns[-1] == "sample_mode"
+    assert got.dtypes[3] == ("preference", "bigint") and got.first().generator is None
+    assert len(REG.BBH_TASKS) == 26
+    assert REG.conform(df, "bbh/snarks").columns == ["input", "target"]
