@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -111,6 +113,11 @@ class Model:
         return made
 
 
+def _view(numbers: array) -> np.ndarray:
+    """The numbers without a copy; only for reading at once, the array cannot grow while a view lives."""
+    return np.frombuffer(numbers, np.int64)
+
+
 class Encoder:
     def __init__(self, model: Model):
         self.m, self.map = model, CharMap(model.charsmap)
@@ -119,8 +126,9 @@ class Encoder:
 
     def _reset(self):
         self.code: dict[str, int] = {}
-        self.start, self.length, self.norm_bytes, self.source_bytes = [], [], [], []
-        self.flat_id, self.flat_end, self.flat_source = [], [], []
+        # per run: first piece, pieces, bytes; per piece: id, end in the normalised and in the source run
+        self.start, self.length, self.norm_bytes, self.source_bytes = (array("q") for _ in range(4))
+        self.flat_id, self.flat_end, self.flat_source = (array("q") for _ in range(3))
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text and, for each of its bytes and its end, the source byte offset."""
@@ -237,25 +245,25 @@ class Encoder:
             runs.append(len(parts))
             origins.append(origin)
         code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        length = np.array(self.length, np.int64)[code]
+        length = _view(self.length)[code]
         total = int(length.sum())
         stop = np.cumsum(length)
-        at = np.arange(total) + np.repeat(np.array(self.start, np.int64)[code] - (stop - length), length)
-        ids = np.array(self.flat_id, np.int32)[at]
+        at = np.arange(total) + np.repeat(_view(self.start)[code] - (stop - length), length)
+        ids = _view(self.flat_id)[at].astype(np.int32)
         edge = np.r_[0, np.cumsum(runs)]
         offsets = np.r_[0, stop][edge]
-        source = np.array(self.source_bytes, np.int64)[code]
+        source = _view(self.source_bytes)[code]
         before = np.cumsum(source) - source
         first = np.repeat(np.r_[before, 0][edge[:-1]], runs) if len(code) else before
         # the mark in front of a text stands for no source byte
-        ends = np.array(self.flat_source, np.int64)[at] + np.repeat(before - first, length) - 1
+        ends = _view(self.flat_source)[at] + np.repeat(before - first, length) - 1
         for i, origin in enumerate(origins):
             if origin is not None:
                 part = slice(edge[i], edge[i + 1])
-                norm = np.array(self.norm_bytes, np.int64)[code[part]]
+                norm = _view(self.norm_bytes)[code[part]]
                 where = np.repeat(np.cumsum(norm) - norm, length[part])
                 piece = slice(offsets[i], offsets[i + 1])
-                ends[piece] = origin[np.array(self.flat_end, np.int64)[at[piece]] + where]
+                ends[piece] = origin[_view(self.flat_end)[at[piece]] + where]
         begins = np.r_[0, ends][:total]
         starts = offsets[:-1][np.diff(offsets) > 0]
         begins[starts] = 0
@@ -319,53 +327,49 @@ def shipped(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Model.load(path))
 
 
-def encode_column(model):
-    """text -> struct of ids and the byte span (begins, ends) of every piece."""
-    def run(parts):
-        encoder = Encoder(model.value)
-        for texts in parts:
-            texts = texts.to_pylist()
-            made = [encoder.encode_block(texts[s:e]) for s, e in blocks(texts)]
-            lists = [pa.concat_arrays([_lists(m[k], m[3]) for m in made]) if made
-                     else pa.array([], pa.list_(pa.int32())) for k in range(3)]
-            yield pa.StructArray.from_arrays(lists, ["ids", "begins", "ends"])
-    return F.arrow_udf(_typed(run), "ids array<int>, begins array<int>, ends array<int>")
-
-
-def _typed(fn):
-    from collections.abc import Iterator
-
-    def column(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from fn(parts)
-    column.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return column
-
-
-def decode_column(model):
-    def run(parts):
-        decoder = Decoder(model.value)
-        for ids in parts:
-            flat, offsets = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            yield pa.array([decoder.decode(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.string())
-    return F.arrow_udf(_typed(run), "string")
-
-
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, begins, ends of every row: pieces of the whole text with their source bytes."""
+def _encode(model, decode: bool, rows_at_once: int = 256):
+    """Batches (doc_id, text) -> batches of bounded size with pieces and spans."""
+    def run(batches):
+        encoder, decoder = Encoder(model.value), Decoder(model.value)
+        names = ["doc_id", "ids", "begins", "ends", *["decoded"] * decode]
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(start, rows_at_once)
+                texts = part.column(1).to_pylist()
+                for s, e in blocks(texts, 1 << 20):
+                    ids, begins, ends, offsets = encoder.encode_block(texts[s:e])
+                    columns = [part.column(0).slice(s, e - s), *(_lists(x, offsets) for x in (ids, begins, ends))]
+                    if decode:
+                        columns.append(pa.array([decoder.decode(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:])],
+                                                pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+    return run
+
+
+def encode_documents(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
+    """doc_id, ids, begins, ends of every row: pieces of the whole text with their
+    source bytes; ``decode`` adds the text that the ids decode to."""
     model = shipped(docs.sparkSession, path)
-    return docs.select(F.col("doc_id").alias("doc_id"), encode_column(model)(F.col("text")).alias("p")).select(
-        "doc_id", "p.ids", "p.begins", "p.ends")
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+    kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, begins array<int>, ends array<int>"
+    return rows.mapInArrow(_encode(model, decode), kinds + ", decoded string" * decode)
 
 
 def decode_rows(encoded: DataFrame, path: str, name: str = "decoded") -> DataFrame:
+    """Any frame with a column ``ids``, and the text that they decode to."""
     model = shipped(encoded.sparkSession, path)
-    return encoded.withColumn(name, decode_column(model)(F.col("ids")))
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decoder = Decoder(model.value)
+        for ids in parts:
+            yield pa.array([None if x is None else decoder.decode(x) for x in ids.to_pylist()], pa.string())
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return encoded.withColumn(name, F.arrow_udf(run, "string")(F.col("ids")))
 
 
 def token_report(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, source_bytes (end of the last piece) and ids."""
-    rows = decode_rows(encode_documents(docs, path), path)
+    rows = encode_documents(docs, path, decode=True)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"),
