@@ -33,6 +33,7 @@ from polyeval.llm import common
 from polyeval.llm.common import CACHE_WORDS, blocks
 
 MARK = "▁"
+SHORT_RUN = 64                 # characters; longer runs are merged with a heap
 _RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
@@ -121,6 +122,8 @@ def _view(numbers: array) -> np.ndarray:
 class Encoder:
     def __init__(self, model: Model):
         self.m, self.map = model, CharMap(model.charsmap)
+        self.cost = {p: -model.scores[i] for p, i in model.ids.items()}
+        self.never = float("inf")
         self.plain = not model.charsmap and not model.squeeze and model.escape and model.dummy_prefix
         self._reset()
 
@@ -164,8 +167,26 @@ class Encoder:
                 del out[-len(mark):]
         return out.decode("utf-8", "replace"), np.array([*origin[:len(out)], end])
 
-    def merge(self, run: str) -> list[tuple[int, int]]:
-        """(id, end byte) of the pieces of one run: best score first, then leftmost."""
+    def _join_short(self, run: str) -> list[str]:
+        """Symbols of a short run after all merges: best score first, then leftmost."""
+        cost, never = self.cost.get, self.never
+        sym = list(run)
+        pairs = [cost(a + b, never) for a, b in zip(sym, sym[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == never:
+                break
+            i = pairs.index(best)
+            sym[i:i + 2] = [sym[i] + sym[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = cost(sym[i - 1] + sym[i], never)
+            if i < len(pairs):
+                pairs[i] = cost(sym[i] + sym[i + 1], never)
+        return sym
+
+    def _join_long(self, run: str) -> list[str]:
+        """The same with a heap, for runs of any length."""
         ids, scores = self.m.ids, self.m.scores
         sym: list[str | None] = list(run)
         nxt, prv = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
@@ -189,10 +210,13 @@ class Encoder:
                 prv[nxt[a]] = a
             offer(prv[a], a)
             offer(a, nxt[a])
+        return [s for s in sym if s is not None]
+
+    def merge(self, run: str) -> list[tuple[int, int]]:
+        """(id, end byte) of the pieces of one run."""
+        ids = self.m.ids
         out, end = [], 0
-        for s in sym:
-            if s is None:
-                continue
+        for s in self._join_short(run) if len(run) <= SHORT_RUN else self._join_long(run):
             data = s.encode()
             i = ids.get(s)
             if i is not None:

@@ -223,3 +223,12 @@ def test_decontamination_query_equals_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in op1_benchmark_decontamination(spark, SF).collect()}
     assert got == brute_contaminated(rows, items)
     assert {(d, i) for d, t in rows for i, x in items if x in (t or "")} <= got
+
+
+def test_short_and_long_runs_merge_alike():
+    model = pieces.Model.load(piece_model())
+    encoder = pieces.Encoder(model)
+    rng = random.Random(6)
+    for _ in range(400):
+        run = "▁" * rng.randint(0, 3) + "".join(rng.choice("theingationsé😀xq") for _ in range(rng.randint(1, 60)))
+        assert encoder._join_short(run) == encoder._join_long(run)
