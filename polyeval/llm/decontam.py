@@ -9,11 +9,12 @@ bit map of the items' hashes, of fixed size, holds most other windows back
 before the join.
 
 Windows of one document and item at one offset are an alignment. It is
-consistent when its slots map item values to document values one to one
-(``Tom`` is ``Ann`` everywhere, and nothing else is), which is what a question
-with new numbers and names keeps and an accidental template does not. An item
+consistent when its names map one to one (``Tom`` is ``Ann`` everywhere, and
+nothing else is), which is what a question with new numbers and names keeps and
+an accidental template does not. Numbers and quantities are free: new numbers
+may collide, and one number of the item may have several parts to play. An item
 is reported for a document when at least ``min_coverage`` of its windows occur
-in consistent alignments, or occur with unchanged slots.
+in consistent alignments, or occur with unchanged names.
 
 The item windows are broadcast when a count shows at most ``BROADCAST_WINDOWS``
 of them; beyond it the join shuffles by hash, where skewed hashes are split by
@@ -76,6 +77,11 @@ def _is_slot(code: Column) -> Column:
     return (code >= NAME) & (code <= NUMBER)
 
 
+def _is_amount(value: Column) -> Column:
+    """True for the value of a number or quantity slot."""
+    return value.rlike("^[ $€£0-9]")
+
+
 def _coded(rows: DataFrame, key: str) -> DataFrame:
     cut = rows.where(F.col(key).isNotNull()).select(F.col(key).alias(key), tokens(F.col("text")).alias("words"))
     return cut.select(key, "words", _codes(F.col("words")).alias("codes"))
@@ -154,17 +160,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_
     met = document_windows(docs, _sieve(items), width).join(side, "template")
     pair = F.when(F.col("slots") != "", F.arrays_zip(
         F.split("item_slots", _SEP).alias("item"), F.split("slots", _SEP).alias("doc")))
+    same = F.coalesce(F.forall(pair, lambda p: _is_amount(p["item"]) | (p["item"] == p["doc"])), F.lit(True))
     lines = (met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"))
              .agg(F.collect_set("item_pos").alias("places"),
-                  F.collect_set(F.when(F.col("slots") == F.col("item_slots"), F.col("item_pos"))).alias("same"),
-                  F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs")))
-    n = F.size("pairs")
-    fits = ((F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == n)
-            & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["doc"]))) == n))
-    changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))
+                  F.collect_set(F.when(same, F.col("item_pos"))).alias("same"),
+                  F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"),
+                  F.array_distinct(F.flatten(F.collect_set(F.when(same, pair)))).alias("same_pairs")))
+    names = F.filter("pairs", lambda p: ~_is_amount(p["item"]))
+    n = F.size(names)
+    fits = ((F.size(F.array_distinct(F.transform(names, lambda p: p["item"]))) == n)
+            & (F.size(F.array_distinct(F.transform(names, lambda p: p["doc"]))) == n))
+    kept = F.when(fits, F.col("pairs")).otherwise(F.col("same_pairs"))
     # sets over the windows of one item: bounded by the item's length
     found = (lines.select("doc_id", "item_id", F.when(fits, F.col("places")).otherwise(F.col("same")).alias("places"),
-                          F.when(fits, n).otherwise(0).alias("n"), F.when(fits, changed).otherwise(0).alias("changed"))
+                          F.size(kept).alias("n"), F.size(F.filter(kept, lambda p: p["item"] != p["doc"])).alias("changed"))
              .groupBy("doc_id", "item_id")
              .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"),
                   F.max("n").cast("long").alias("n_slots"), F.max("changed").cast("long").alias("n_changed")))

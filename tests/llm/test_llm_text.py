@@ -232,3 +232,24 @@ def test_short_and_long_runs_merge_alike():
     for _ in range(400):
         run = "▁" * rng.randint(0, 3) + "".join(rng.choice("theingationsé😀xq") for _ in range(rng.randint(1, 60)))
         assert encoder._join_short(run) == encoder._join_long(run)
+
+
+PROBLEMS = ("a farmer sells {} eggs on monday and {} more on tuesday then packs {} boxes with {} cups for the fair and keeps {} "
+            "eggs at home how many eggs are left",
+            "the train leaves with {} people on board and at the next stop {} people get off while {} get on so after {} "
+            "more stops with {} people each how many are left",
+            "Anna reads {} pages before lunch and {} pages after lunch while her brother reads {} pages and skips {} pages "
+            "of the same book with {} chapters how many pages remain")
+
+
+def test_independently_drawn_numbers_are_found(spark):
+    rng = random.Random(8)
+    items = [(i, PROBLEMS[i % 3].format(*rng.sample(range(2, 21), 5))) for i in range(3)]
+    rows = [row(i, PROBLEMS[i % 3].format(*[rng.randint(2, 20) for _ in range(5)])) for i in range(300)]
+    twice = "a shop has {} apples and also {} plums in one big box near the old door of the hall"
+    items.append((9, twice.format(3, 3)))
+    rows += [row(900, twice.format(7, 9)), row(901, twice.format(4, 4))]
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(
+        spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(i, i % 3) for i in range(300)} | {(900, 9), (901, 9)}
+    assert got[900, 9].kind == "reparameterised" and got[900, 9].n_changed == 2 and got[900, 9].coverage == 1.0
