@@ -16,12 +16,18 @@ may collide, and one number of the item may have several parts to play. An item
 is reported for a document when at least ``min_coverage`` of its windows occur
 in consistent alignments, or occur with unchanged names.
 
+An item without a window of ``min_literal`` plain words (fewer than ``width``
+tokens, mostly numbers or names) is found by its wording instead: windows of
+``width`` tokens, or of all its tokens where it has fewer, are hashed by the
+tokens themselves, and documents are hashed at each width that occurs. In
+scripts written without spaces each character is a token.
+
 The item windows are broadcast when a count shows at most ``BROADCAST_WINDOWS``
 of them; beyond it the join shuffles by hash, where skewed hashes are split by
 adaptive execution.
 
-Edge cases: null and empty texts and items have no window; items below
-``width`` tokens cannot be recognised; rows without doc_id or item_id are not
+Edge cases: null and empty texts and items have no window; neither have items
+without a letter or digit; punctuation is not compared; rows without doc_id or item_id are not
 reported; repeated rows count once; other columns may have any name.
 """
 
@@ -46,9 +52,11 @@ UNITS = ("kg", "g", "mg", "lb", "lbs", "oz", "ton", "tons", "km", "m", "cm", "mm
          "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "second", "seconds", "min", "minute", "minutes",
          "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars",
          "euro", "euros", "cent", "cents", "percent", "degree", "degrees", "mph", "kmh")
-# a word; a number with its currency sign or unit
-TOKEN = (r"\p{L}+|[$€£]? ?[0-9]+(?:[.,][0-9]+)*(?: ?[%°]| ?(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
-         + r")(?!\p{L}))?")
+# scripts without spaces between words: Thai to Tibetan, Myanmar, Khmer, kana, Han
+UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+# a word; a character of an unspaced script; a number with its currency sign or unit
+TOKEN = (rf"[^\P{{L}}{UNSPACED}]+|[{UNSPACED}]|(?:[$€£] ?)?[0-9]+(?:[.,][0-9]+)*(?: ?[%°]| ?(?:"
+         + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?!\p{L}))?")
 _SEP = "\u001f"
 
 
@@ -79,12 +87,13 @@ def _is_slot(code: Column) -> Column:
 
 def _is_amount(value: Column) -> Column:
     """True for the value of a number or quantity slot."""
-    return value.rlike("^[ $€£0-9]")
+    return value.rlike("^[$€£0-9]")
 
 
 def _coded(rows: DataFrame, key: str) -> DataFrame:
     cut = rows.where(F.col(key).isNotNull()).select(F.col(key).alias(key), tokens(F.col("text")).alias("words"))
-    return cut.select(key, "words", _codes(F.col("words")).alias("codes"))
+    return cut.select(key, "words", _codes(F.col("words")).alias("codes"),
+                      F.transform("words", lambda w: F.xxhash64(w)).alias("values"))
 
 
 def _starts(width: int) -> Column:
@@ -106,46 +115,73 @@ def _slots(pos: Column, width: int) -> Column:
     return F.concat_ws(_SEP, *[F.when(_is_slot(c), w) for c, w in zip(_at(pos, width), _at(pos, width, "words"))])
 
 
+def _wording(pos: Column, width: int) -> Column:
+    """Hash of a window's tokens themselves; the width keeps it apart from the templates'."""
+    return F.xxhash64(F.lit(width), *_at(pos, width, "values"))
+
+
 def item_windows(benchmark: DataFrame, width: int = WIDTH, min_literal: int = MIN_LITERAL) -> DataFrame:
-    """(item_id, item_pos, template, item_slots) of the windows with enough plain words."""
-    def window(pos):
+    """(item_id, item_pos, hash, item_slots, width) of the windows with enough plain words, by
+    template; of items without such a window, by wording (no slots)."""
+    def template(pos):
         plain = sum((F.when(_is_slot(c), 0).otherwise(1) for c in _at(pos, width)), F.lit(0))
-        return F.struct(pos.alias("pos"), _template(pos, width).alias("template"), _slots(pos, width).alias("slots"),
-                        plain.alias("plain"))
-    found = _coded(benchmark, "item_id").select(
-        "item_id", F.explode_outer(F.transform(_starts(width), window)).alias("w")).where(F.col("w.plain") >= min_literal)
-    return found.select("item_id", F.col("w.pos").alias("item_pos"), F.col("w.template").alias("template"),
-                        F.col("w.slots").alias("item_slots")).distinct()
+        return F.struct(pos.alias("pos"), _template(pos, width).alias("hash"), _slots(pos, width).alias("slots"),
+                        F.lit(width).alias("width"), plain.alias("plain"))
+
+    def wording(pos, size):
+        return F.struct(pos.alias("pos"), _wording(pos, size).alias("hash"), F.lit(None).cast("string").alias("slots"),
+                        F.lit(size).alias("width"), F.lit(0).alias("plain"))
+    eligible = _coded(benchmark, "item_id").withColumn(
+        "eligible", F.filter(F.transform(_starts(width), template), lambda w: w["plain"] >= min_literal))
+    n = F.size("codes")
+    worded = F.transform(_starts(width), lambda pos: wording(pos, width))
+    for size in range(1, width):
+        worded = F.when(n == size, F.array(wording(F.lit(0), size))).otherwise(worded)
+    found = eligible.select("item_id", F.explode(F.when(F.size("eligible") > 0, F.col("eligible")).otherwise(worded)).alias("w"))
+    return found.select("item_id", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"),
+                        F.col("w.slots").alias("item_slots"), F.col("w.width").alias("width")).distinct()
 
 
 def _sieve(items: DataFrame) -> Column:
-    """A bit map of ``SIEVE_BITS`` bits with the templates' low bits, as an array constant (fixed size)."""
+    """A bit map of ``SIEVE_BITS`` bits with the hashes' low bits, as an array constant (fixed size)."""
     bits = [0] * (SIEVE_BITS // 64)
-    for r in items.select((F.col("template").bitwiseAND(F.lit(SIEVE_BITS - 1))).alias("b")).distinct().collect():
+    for r in items.select((F.col("hash").bitwiseAND(F.lit(SIEVE_BITS - 1))).alias("b")).distinct().collect():
         bits[r["b"] >> 6] |= 1 << (r["b"] & 63)
     text = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in bits)
     return F.split(F.lit(text), ",").cast("array<bigint>")
 
 
-def document_windows(docs: DataFrame, sieve: Column, width: int = WIDTH) -> DataFrame:
-    """(doc_id, pos, template, slots) of the windows whose template passes the sieve.
+def document_windows(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, pos, hash, slots) of the windows whose hash passes the items' sieve;
+    wordings have no slots.
 
     Equal templates have equal slots by kind, so the number of plain words is
     checked on the items alone. ``explode_outer`` keeps the planner from
     computing the windows a second time for a size filter.
     """
-    def passes(i):
-        h = F.get("hashes", i)
-        word = F.get(sieve, F.shiftright(h.bitwiseAND(F.lit(SIEVE_BITS - 1)), 6).cast("int"))
-        return F.bit_get(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-    def window(i):
-        return F.struct(i.alias("pos"), F.get("hashes", i).alias("template"), _slots(i, width).alias("slots"))
-    hashed = _coded(docs, "doc_id").select("doc_id", "words", "codes", F.transform(
-        _starts(width), lambda i: _template(i, width)).alias("hashes"))
-    near = F.filter(_starts(width), passes)
-    return (hashed.select("doc_id", F.explode_outer(F.transform(near, window)).alias("w"))
-            .select("doc_id", "w.pos", "w.template", "w.slots").where(F.col("template").isNotNull()))
+    # at most ``width`` numbers; documents are hashed once for each
+    worded = items.where(F.col("item_slots").isNull())
+    widths = sorted(r["width"] for r in worded.select("width").distinct().collect())
+    by_template, by_wording = _sieve(items.where(F.col("item_slots").isNotNull())), _sieve(worded) if widths else None
+
+    def near(hashes, size, sieve, slots):
+        def passes(i):
+            h = F.get(hashes, i)
+            word = F.get(sieve, F.shiftright(h.bitwiseAND(F.lit(SIEVE_BITS - 1)), 6).cast("int"))
+            return F.bit_get(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+        def window(i):
+            return F.struct(i.alias("pos"), F.get(hashes, i).alias("hash"), slots(i).alias("slots"))
+        return F.transform(F.filter(_starts(size), passes), window)
+    def wordings(size):
+        return F.transform(_starts(size), lambda i: _wording(i, size)).alias(f"wordings{size}")
+    hashed = _coded(docs, "doc_id").select(
+        "doc_id", "words", "codes", F.transform(_starts(width), lambda i: _template(i, width)).alias("hashes"),
+        *[wordings(w) for w in widths])
+    windows = F.concat(near("hashes", width, by_template, lambda i: _slots(i, width)),
+                       *[near(f"wordings{w}", w, by_wording, lambda i: F.lit(None).cast("string")) for w in widths])
+    return (hashed.select("doc_id", F.explode_outer(windows).alias("w"))
+            .select("doc_id", "w.pos", "w.hash", "w.slots").where(F.col("hash").isNotNull()))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_literal: int = MIN_LITERAL,
@@ -157,12 +193,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_
     items = written(item_windows(benchmark, width, min_literal), "items")
     totals = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_item_windows"))
     side = F.broadcast(items) if items.count() <= BROADCAST_WINDOWS else items
-    met = document_windows(docs, _sieve(items), width).join(side, "template")
+    met = document_windows(docs, items, width).join(side, "hash")
     pair = F.when(F.col("slots") != "", F.arrays_zip(
         F.split("item_slots", _SEP).alias("item"), F.split("slots", _SEP).alias("doc")))
     same = F.coalesce(F.forall(pair, lambda p: _is_amount(p["item"]) | (p["item"] == p["doc"])), F.lit(True))
     lines = (met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"))
-             .agg(F.collect_set("item_pos").alias("places"),
+             .agg(F.collect_set(F.when(F.col("slots").isNotNull(), F.col("item_pos"))).alias("places"),
                   F.collect_set(F.when(same, F.col("item_pos"))).alias("same"),
                   F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"),
                   F.array_distinct(F.flatten(F.collect_set(F.when(same, pair)))).alias("same_pairs")))
@@ -172,10 +208,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_
             & (F.size(F.array_distinct(F.transform(names, lambda p: p["doc"]))) == n))
     kept = F.when(fits, F.col("pairs")).otherwise(F.col("same_pairs"))
     # sets over the windows of one item: bounded by the item's length
-    found = (lines.select("doc_id", "item_id", F.when(fits, F.col("places")).otherwise(F.col("same")).alias("places"),
+    found = (lines.select("doc_id", "item_id", F.array_sort(F.when(fits, F.array_union("places", "same")).otherwise(F.col("same"))).alias("places"),
                           F.size(kept).alias("n"), F.size(F.filter(kept, lambda p: p["item"] != p["doc"])).alias("changed"))
              .groupBy("doc_id", "item_id")
-             .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"),
+             .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"),
                   F.max("n").cast("long").alias("n_slots"), F.max("changed").cast("long").alias("n_changed")))
     return (found.join(totals, "item_id")
             .withColumn("coverage", F.col("n_windows") / F.col("n_item_windows"))

@@ -253,3 +253,18 @@ def test_independently_drawn_numbers_are_found(spark):
         spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert set(got) == {(i, i % 3) for i in range(300)} | {(900, 9), (901, 9)}
     assert got[900, 9].kind == "reparameterised" and got[900, 9].n_changed == 2 and got[900, 9].coverage == 1.0
+
+
+def test_items_without_plain_words_are_found(spark):
+    texts = ["Who wrote Faust?", "What is 12 + 7 * 3 - 4 / 2 + 18 - 5 + 66 + 9 ?",
+             "WHICH PLANET IS CLOSEST TO THE SUN AND HAS NO MOON AT ALL", "Zürich", "12 plus 7", "太陽系で一番大きい惑星はどれですか",
+             "中国的首都是哪里？", "ดาวเคราะห์ดวงใดใหญ่ที่สุด", "Mercury Venus Earth Mars Jupiter Saturn Uranus Neptune Pluto"]
+    items = list(enumerate(texts)) + [(100, " ?! "), (101, "")]
+    glue = {5: "答え：問題は{}と言う", 6: "问{}答"}
+    rows = [row(i, glue.get(i, "so they say: {} - and more follows here").format(x)) for i, x in enumerate(texts)]
+    rows += [row(50, "What is 12 + 7 * 4 - 4 / 2 + 19 - 5 + 67 + 9 ?"), row(51, "who wrote another Faust"), row(52, "大きい惑星"),
+             row(53, "112 plus 7, 12 plus 75"), row(54, None), row(55, "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(len(texts))]
+    assert all(r.coverage == 1.0 and r.kind == "copy" for r in got)
