@@ -16,11 +16,13 @@ may collide, and one number of the item may have several parts to play. An item
 is reported for a document when at least ``min_coverage`` of its windows occur
 in consistent alignments, or occur with unchanged names.
 
-An item without a window of ``min_literal`` plain words (fewer than ``width``
-tokens, mostly numbers or names) is found by its wording instead: windows of
-``width`` tokens, or of all its tokens where it has fewer, are hashed by the
-tokens themselves, and documents are hashed at each width that occurs. In
-scripts written without spaces each character is a token.
+Each window is hashed by its wording too, the tokens themselves in one letter
+case, so that a copy in other letter case, where other words are names, counts
+as found with unchanged slots. An item without a window of ``min_literal`` plain
+words (fewer than ``width`` tokens, mostly numbers or names) is found by its
+wording alone: windows of ``width`` tokens, or of all its tokens where it has
+fewer; documents are hashed at each width that occurs. In scripts written
+without spaces each character is a token.
 
 The item windows are broadcast when a count shows at most ``BROADCAST_WINDOWS``
 of them; beyond it the join shuffles by hash, where skewed hashes are split by
@@ -55,7 +57,7 @@ UNITS = ("kg", "g", "mg", "lb", "lbs", "oz", "ton", "tons", "km", "m", "cm", "mm
 # scripts without spaces between words: Thai to Tibetan, Myanmar, Khmer, kana, Han
 UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 # a word; a character of an unspaced script; a number with its currency sign or unit
-TOKEN = (rf"[^\P{{L}}{UNSPACED}]+|[{UNSPACED}]|(?:[$€£] ?)?[0-9]+(?:[.,][0-9]+)*(?: ?[%°]| ?(?:"
+TOKEN = (rf"[^\P{{L}}{UNSPACED}]+|[{UNSPACED}]|(?:[$€£] ?)?[0-9]+(?:[.,][0-9]+)*(?: ?[%°]| ?(?i:"
          + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?!\p{L}))?")
 _SEP = "\u001f"
 
@@ -93,7 +95,7 @@ def _is_amount(value: Column) -> Column:
 def _coded(rows: DataFrame, key: str) -> DataFrame:
     cut = rows.where(F.col(key).isNotNull()).select(F.col(key).alias(key), tokens(F.col("text")).alias("words"))
     return cut.select(key, "words", _codes(F.col("words")).alias("codes"),
-                      F.transform("words", lambda w: F.xxhash64(w)).alias("values"))
+                      F.transform("words", lambda w: F.xxhash64(F.upper(w))).alias("values"))
 
 
 def _starts(width: int) -> Column:
@@ -111,18 +113,18 @@ def _template(pos: Column, width: int) -> Column:
 
 
 def _slots(pos: Column, width: int) -> Column:
-    """The slot values of a window, in order."""
-    return F.concat_ws(_SEP, *[F.when(_is_slot(c), w) for c, w in zip(_at(pos, width), _at(pos, width, "words"))])
+    """The slot values of a window, in order and in one letter case."""
+    return F.upper(F.concat_ws(_SEP, *[F.when(_is_slot(c), w) for c, w in zip(_at(pos, width), _at(pos, width, "words"))]))
 
 
 def _wording(pos: Column, width: int) -> Column:
-    """Hash of a window's tokens themselves; the width keeps it apart from the templates'."""
+    """Hash of a window's tokens in one letter case; the width keeps it apart from the templates'."""
     return F.xxhash64(F.lit(width), *_at(pos, width, "values"))
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH, min_literal: int = MIN_LITERAL) -> DataFrame:
     """(item_id, item_pos, hash, item_slots, width) of the windows with enough plain words, by
-    template; of items without such a window, by wording (no slots)."""
+    template and by wording (no slots); of items without such a window, by wording."""
     def template(pos):
         plain = sum((F.when(_is_slot(c), 0).otherwise(1) for c in _at(pos, width)), F.lit(0))
         return F.struct(pos.alias("pos"), _template(pos, width).alias("hash"), _slots(pos, width).alias("slots"),
@@ -137,7 +139,8 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH, min_literal: int = MI
     worded = F.transform(_starts(width), lambda pos: wording(pos, width))
     for size in range(1, width):
         worded = F.when(n == size, F.array(wording(F.lit(0), size))).otherwise(worded)
-    found = eligible.select("item_id", F.explode(F.when(F.size("eligible") > 0, F.col("eligible")).otherwise(worded)).alias("w"))
+    both = F.concat("eligible", F.transform("eligible", lambda w: wording(w["pos"], width)))
+    found = eligible.select("item_id", F.explode(F.when(F.size("eligible") > 0, both).otherwise(worded)).alias("w"))
     return found.select("item_id", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"),
                         F.col("w.slots").alias("item_slots"), F.col("w.width").alias("width")).distinct()
 

@@ -268,3 +268,17 @@ def test_items_without_plain_words_are_found(spark):
     got = decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(len(texts))]
     assert all(r.coverage == 1.0 and r.kind == "copy" for r in got)
+
+
+RECASED = ("The river Danube flows through Vienna, Budapest and Belgrade before it reaches the Black Sea near Romania and Ukraine",
+           "Die Straße nach Berlin führt an einem See vorbei und der Fahrer hält vor dem Haus seiner Mutter mit 5 kg Äpfeln",
+           "which of these rivers flows through more than 3 of the large towns named in the list of the first lesson")
+
+
+def test_copies_in_other_letter_case_are_found(spark):
+    rows = [row(10 * i + j, prose(j, 20) + " " + make(x) + " " + prose(j + 9, 20)) for i, x in enumerate(RECASED)
+            for j, make in enumerate((str, str.lower, str.upper, str.title))]
+    got = decontam.contaminated(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(
+        list(enumerate(RECASED)), "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted((r[0], r[0] // 10) for r in rows)
+    assert all(r.coverage == 1.0 and r.kind == "copy" and r.n_changed == 0 for r in got)
