@@ -62,6 +62,15 @@ def sample_labels(labels: DataFrame, column: str, max_per_class: int) -> tuple[D
     return train.where(unit < share), counts
 
 
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, y, text) of a sample's documents. Of repeated rows of an id the one with the
+    smallest text hash remains, so there are no more rows than the sample has."""
+    text = F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"))
+    return (docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+            .join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min(text).alias("t"))
+            .select("doc_id", "y", F.col("t.text").alias("text")))
+
+
 class HashCache(dict):
     """word -> value of ``make``; emptied when it holds ``CACHE_WORDS`` entries."""
 

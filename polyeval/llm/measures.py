@@ -139,8 +139,7 @@ def sample_features(docs, labels, column: str, max_per_class: int):
     from polyeval.llm import common
     sample, counts = common.sample_labels(labels, column, max_per_class)
     # at most 2 * max_per_class rows, a few numbers each
-    got = (docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-           .join(F.broadcast(sample), "doc_id").select("doc_id", "y", measure_column().alias("m"))
+    got = (common.sampled_texts(docs, sample).select("doc_id", "y", measure_column().alias("m"))
            .select("doc_id", "y", *[F.col(f"m.{f}").alias(f) for f in FEATURES]).collect())
     rows = sorted(tuple(r) for r in got)
     x = np.array([r[2:] for r in rows], float).reshape(len(rows), len(FEATURES))

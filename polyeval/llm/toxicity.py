@@ -94,8 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic",
         p = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1.0)
         return Machine(float(np.log(p / (1 - p))), np.zeros(0), np.zeros((0, FACTORS)), empty)
     # at most 2 * max_per_class rows by construction of the sample
-    rows = written(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-                   .join(F.broadcast(sample), "doc_id")
+    rows = written(common.sampled_texts(docs, sample)
                    .select("doc_id", "y", _terms_udf()(F.col("text")).alias("terms")), "fm-sample")
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)

@@ -152,3 +152,21 @@ def test_lasso_drops_useless_rules():
     y = (rng.random(4000) < 1 / (1 + np.exp(-(4 * r[:, 0] - 4 * r[:, 1])))).astype(float)
     w, _ = quality.lasso_logistic(r, y, np.ones(4000), 0.02)
     assert w[0] > 1 and w[1] < -1 and (np.abs(w[2:]) < 0.1).all() and (w == 0).sum() >= 6
+
+
+def test_repeated_ids_stay_within_the_sample(spark):
+    labels = [(i, i % 2, i % 2) for i in range(1, 61)]
+    rows = [row(i, prose(i, 30) + (" vile idiot" if i % 2 else " kind friend")) for i in range(1, 61)]
+    hot = next(i for i in range(1, 61) if zlib.crc32(str(i).encode()) % 5)
+    docs = spark.createDataFrame(rows + [row(hot, f"again {k} " + prose(k, 8)) for k in range(300)] + [row(hot, None)], SCHEMA)
+    table = spark.createDataFrame(labels, LABELS)
+    trained = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1, 61))
+    x, y, _ = measures.sample_features(docs, table, "quality", 100)
+    assert len(x) == len(y) == trained
+    one = docs.where(f"doc_id <> {hot}")
+    kept = measures.sample_features(one, table, "quality", 100)[0]
+    assert len(kept) == trained - 1
+    again = measures.sample_features(docs.repartition(7, "text"), table, "quality", 100)[0]
+    assert np.array_equal(x, again)
+    biases = [toxicity.fit(d, table).bias for d in (docs, docs.repartition(7, "text"))]
+    assert biases[0] == biases[1] and abs(biases[0]) < 3
