@@ -45,6 +45,7 @@ BANDS, ROWS = 48, 5
 MISS = 1e-9                    # share of links that the comparison of signatures may lose
 GROUP_ROWS = 20_000            # classes of one cell of a bucket
 CELL_BYTES = 64 << 20          # set bytes of one cell of a cluster
+BROADCAST_ROWS = 2_000_000     # bucket keys or ids (8 bytes each) that are broadcast at most; more are shuffled
 STEP = 1 << 15                 # shingles hashed at once
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -186,13 +187,18 @@ def _width(size, bound):
     return F.when(size > bound, F.ceil(F.sqrt(size / F.lit(bound)) * 2)).otherwise(F.lit(1)).cast("int")
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """A one-column side of a join: broadcast where a count shows that it is small, so that the other side stays put."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def candidate_links(distinct: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
                     group_rows: int = GROUP_ROWS) -> DataFrame:
     """(a, b) digests: a spanning forest, bucket by bucket, of the classes whose signatures agree enough."""
     entries = distinct.select("digest", F.explode("keys").alias("key"))
-    shared = (entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-              .select("key", _width(F.col("size"), group_rows).alias("cells")))
-    met = written(entries.join(shared, "key"), "buckets")
+    shared = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+                     .select("key", _width(F.col("size"), group_rows).alias("cells")), "shared")
+    met = written(entries.join(_small(shared), "key"), "buckets")
     enough = least_agreeing(bands * rows, percent, MISS)
 
     def compare(batches):
@@ -231,7 +237,7 @@ def confirmed_links(clusters: DataFrame, distinct: DataFrame, docs: DataFrame, s
                 yield pa.record_batch({"digest": pa.array([xxhash.xxh3_128_digest(x) for x in made], pa.binary()),
                                        "hashes": pa.array(made, pa.binary())})
 
-    wanted = members.select(F.col("least").alias("doc_id")).distinct()
+    wanted = _small(members.select(F.col("least").alias("doc_id")).distinct())
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
     full = texts.mapInArrow(sets, "digest binary, hashes binary").groupBy("digest").agg(F.first("hashes").alias("hashes"))
