@@ -23,6 +23,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ from polyeval.llm import common
 from polyeval.llm.common import CACHE_WORDS, blocks
 
 MARK = "▁"
-SHORT_RUN = 64                 # characters; longer runs are merged with a heap
+SHORT_RUN = 64                 # characters; shorter runs are merged many at once, longer ones with a heap
+RUNS_AT_ONCE = 20_000
 _RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
@@ -75,6 +77,117 @@ def _width(lead: int) -> int:
     return 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
 
 
+class Merges:
+    """All two-part splits of the pieces in a hash table, so that the pairs of many runs are looked up at once."""
+
+    def __init__(self, ids: dict[str, int], scores: list[float]):
+        symbols = dict.fromkeys(ids)
+        symbols.update(dict.fromkeys(c for p in ids for c in p))
+        number = {s: i for i, s in enumerate(symbols)}
+        self.id = np.array([ids.get(s, -1) for s in number], np.int64)
+        self.bytes = np.array([len(s.encode()) for s in number], np.int64)
+        # characters that no piece holds stand behind the symbols
+        self.of_char = np.arange(len(number), len(number) + 0x110000, dtype=np.int32)
+        self.char = np.full(len(number), -1, np.int64)
+        for s, i in number.items():
+            if len(s) == 1:
+                self.of_char[ord(s)] = i
+                self.char[i] = ord(s)
+        keys, made, cost = [], [], []
+        for piece, i in ids.items():
+            for k in range(1, len(piece)):
+                a, b = number.get(piece[:k]), number.get(piece[k:])
+                if a is not None and b is not None:
+                    keys.append(a << 32 | b)
+                    made.append(number[piece])
+                    cost.append(-scores[i])
+        bits = max(4, (8 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key = np.full(1 << bits, -1, np.int64)
+        self.made = np.full(1 << bits, -1, np.int32)
+        self.cost = np.full(1 << bits, np.inf)
+        key, todo = np.array(keys, np.int64), np.arange(len(keys))
+        at = self._slot(key)
+        while len(todo):                       # linear probing, all keys at once
+            slot = at[todo]
+            free = self.key[slot] < 0
+            first = np.zeros(len(todo), bool)
+            first[np.unique(slot, return_index=True)[1]] = True
+            put = free & first
+            where = todo[put]
+            self.key[at[where]] = key[where]
+            self.made[at[where]] = np.array(made, np.int32)[where]
+            self.cost[at[where]] = np.array(cost)[where]
+            todo = todo[~put]
+            at[todo] = (at[todo] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Table slots of the pairs; one without an entry gets a free slot (cost infinite)."""
+        key = a.astype(np.int64) << 32 | b
+        at = self._slot(key)
+        there = self.key[at]
+        off = np.flatnonzero((there != key) & (there >= 0))
+        while len(off):
+            at[off] = (at[off] + 1) & self.mask
+            there = self.key[at[off]]
+            off = off[(there != key[off]) & (there >= 0)]
+        return at
+
+    def pieces_of(self, symbol: np.ndarray, byte_ids: np.ndarray):
+        """(ids, bytes, pieces a symbol): a symbol that is no piece is one character, and gives one piece a byte."""
+        known = symbol < len(self.id)
+        ids = self.id[np.where(known, symbol, 0)]
+        odd = ~known | (ids < 0)
+        if not odd.any():
+            return ids, self.bytes[symbol], np.ones(len(symbol), np.int64)
+        char = np.where(known, self.char[np.where(known, symbol, 0)], symbol - len(self.id))[odd]
+        width = 1 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)
+        count = np.ones(len(symbol), np.int64)
+        count[odd] = width
+        some = np.repeat(odd, count)
+        out, size = np.repeat(ids, count), np.repeat(self.bytes[np.where(known, symbol, 0)], count)
+        out[some] = byte_ids[np.frombuffer("".join(map(chr, char.tolist())).encode(), np.uint8)]
+        size[some] = 1
+        return out, size, count
+
+    def join(self, sym: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Symbol numbers [run, place] of runs of ``size`` symbols (the last column is free) after all merges:
+        in every run the pair of best score, then leftmost, one a round. Places merged away hold -1."""
+        n, width = sym.shape[0], sym.shape[1] - 1
+        place = np.arange(width)
+        cost = np.full((n, width), np.inf)
+        made = np.full((n, width), -1, np.int32)
+        row, col = np.nonzero(place < size[:, None] - 1)
+        slot = self.find(sym[row, col], sym[row, col + 1])
+        cost[row, col], made[row, col] = self.cost[slot], self.made[slot]
+        after = np.broadcast_to(place + 1, (n, width)).copy()
+        after[np.arange(n), size - 1] = width
+        before = np.broadcast_to(np.where(place, place - 1, width), (n, width)).copy()
+        before = np.concatenate([before, np.full((n, 1), width)], axis=1)
+        rows = np.arange(n)
+        while len(rows):
+            at = cost[rows].argmin(axis=1)
+            on = cost[rows, at] < np.inf
+            rows, at = rows[on], at[on]
+            gone = after[rows, at]
+            sym[rows, at] = made[rows, at]
+            sym[rows, gone] = -1
+            cost[rows, gone] = np.inf
+            right, left = after[rows, gone], before[rows, at]
+            after[rows, at] = right
+            before[rows, right] = at
+            for a, b in ((at, right), (left, at)):
+                has = (a < width) & (b < width)
+                slot = self.find(sym[rows[has], a[has]], sym[rows[has], b[has]])
+                cost[rows[has], a[has]], made[rows[has], a[has]] = self.cost[slot], self.made[slot]
+            last = right == width
+            cost[rows[last], at[last]] = np.inf
+        return sym[:, :width]
+
+
 @dataclass
 class Model:
     """What encoding needs of a model file; picklable."""
@@ -89,6 +202,7 @@ class Model:
     byte_ids: list[int] = field(default_factory=list)
     unknown: int = 0
     unknown_text: str = " ⁇ "
+    merges: Merges | None = None
 
     @classmethod
     def load(cls, path: str) -> "Model":
@@ -111,6 +225,7 @@ class Model:
         if _BYTE in kinds:
             by_name = {p: i for i, p in enumerate(pieces)}
             made.byte_ids = [by_name[f"<0x{b:02X}>"] for b in range(256)]
+        made.merges = Merges(made.ids, made.scores)
         return made
 
 
@@ -122,8 +237,7 @@ def _view(numbers: array) -> np.ndarray:
 class Encoder:
     def __init__(self, model: Model):
         self.m, self.map = model, CharMap(model.charsmap)
-        self.cost = {p: -model.scores[i] for p, i in model.ids.items()}
-        self.never = float("inf")
+        self.byte_ids = np.array(model.byte_ids, np.int64)
         self.plain = not model.charsmap and not model.squeeze and model.escape and model.dummy_prefix
         self._reset()
 
@@ -136,7 +250,7 @@ class Encoder:
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text and, for each of its bytes and its end, the source byte offset."""
         data, m = text.encode("utf-8", "replace"), self.m
-        out, origin, at = bytearray(), [], 0
+        out, origin, at = bytearray(), array("q"), 0
         mark = MARK.encode() if m.escape else b" "
         if m.squeeze:
             while at < len(data):
@@ -148,7 +262,7 @@ class Encoder:
             return "", np.array([at])
         if m.dummy_prefix:
             out += mark
-            origin += [at] * len(mark)
+            origin.extend([at] * len(mark))
         after_space = m.squeeze
         while at < len(data):
             sp, n = self.map.replace(data, at)
@@ -157,7 +271,7 @@ class Encoder:
             if sp:
                 new = sp.replace(b" ", mark)
                 out += new
-                origin += [at] * len(new)
+                origin.extend([at] * len(new))
                 after_space = m.squeeze and sp.endswith(b" ")
             at += n
         end = at
@@ -165,28 +279,10 @@ class Encoder:
             while out.endswith(mark):
                 end = origin[len(out) - len(mark)]
                 del out[-len(mark):]
-        return out.decode("utf-8", "replace"), np.array([*origin[:len(out)], end])
-
-    def _join_short(self, run: str) -> list[str]:
-        """Symbols of a short run after all merges: best score first, then leftmost."""
-        cost, never = self.cost.get, self.never
-        sym = list(run)
-        pairs = [cost(a + b, never) for a, b in zip(sym, sym[1:])]
-        while pairs:
-            best = min(pairs)
-            if best == never:
-                break
-            i = pairs.index(best)
-            sym[i:i + 2] = [sym[i] + sym[i + 1]]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = cost(sym[i - 1] + sym[i], never)
-            if i < len(pairs):
-                pairs[i] = cost(sym[i] + sym[i + 1], never)
-        return sym
+        return out.decode("utf-8", "replace"), np.append(np.array(origin[:len(out)], np.int64), end)
 
     def _join_long(self, run: str) -> list[str]:
-        """The same with a heap, for runs of any length."""
+        """Symbols of a run of any length after all merges, with a heap: best score first, then leftmost."""
         ids, scores = self.m.ids, self.m.scores
         sym: list[str | None] = list(run)
         nxt, prv = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
@@ -216,7 +312,7 @@ class Encoder:
         """(id, end byte) of the pieces of one run."""
         ids = self.m.ids
         out, end = [], 0
-        for s in self._join_short(run) if len(run) <= SHORT_RUN else self._join_long(run):
+        for s in self._join_long(run):
             data = s.encode()
             i = ids.get(s)
             if i is not None:
@@ -230,28 +326,62 @@ class Encoder:
             end += len(data)
         return out
 
-    def _code(self, run: str) -> int:
-        known = self.code.get(run)
-        if known is None:
-            known = self.code[run] = len(self.start)
-            done = self.merge(run)
-            data = run.encode()
-            self.start.append(len(self.flat_id))
-            self.length.append(len(done))
-            self.norm_bytes.append(len(data))
-            self.source_bytes.append(len(data) - 2 * run.count(MARK))
-            lead = len(run) - len(run.lstrip(MARK))
-            for i, e in done:
-                self.flat_id.append(i)
-                self.flat_end.append(e)
-                self.flat_source.append(e - 2 * min(lead, e // 3))
-        return known
+    def _learn_one(self, run: str) -> None:
+        self.code[run] = len(self.start)
+        done = self.merge(run)
+        data = run.encode()
+        self.start.append(len(self.flat_id))
+        self.length.append(len(done))
+        self.norm_bytes.append(len(data))
+        self.source_bytes.append(len(data) - 2 * run.count(MARK))
+        lead = len(run) - len(run.lstrip(MARK))
+        for i, e in done:
+            self.flat_id.append(i)
+            self.flat_end.append(e)
+            self.flat_source.append(e - 2 * min(lead, e // 3))
+
+    def _learn(self, runs: list[str]) -> None:
+        """Merge new runs and remember them, runs of a like length together; long runs (and all runs of
+        a model without byte pieces) one by one."""
+        by_width: dict[int, list[str]] = {}
+        for run in runs:
+            if len(run) > SHORT_RUN or not len(self.byte_ids):
+                self._learn_one(run)
+            else:
+                by_width.setdefault(max(4, 1 << (len(run) - 1).bit_length()), []).append(run)
+        merges = self.m.merges
+        for width, some in by_width.items():
+            for s in range(0, len(some), RUNS_AT_ONCE):
+                part = some[s:s + RUNS_AT_ONCE]
+                size = np.array([len(r) for r in part], np.int64)
+                char = merges.of_char[np.frombuffer("".join(part).encode("utf-32-le"), "<u4")]
+                row = np.repeat(np.arange(len(part)), size)
+                sym = np.full((len(part), width + 1), -1, np.int32)
+                sym[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = char
+                sym = merges.join(sym, size)
+                row, col = np.nonzero(sym >= 0)
+                ids, n_bytes, expanded = merges.pieces_of(sym[row, col], self.byte_ids)
+                row, names = np.repeat(row, expanded), part
+                count = np.bincount(row, minlength=len(names))
+                stop = np.cumsum(count)
+                end = np.cumsum(n_bytes)
+                total = end[stop - 1]
+                norm = np.diff(np.r_[0, total])
+                end = end - np.repeat(total - norm, count)
+                marks = np.array([r.count(MARK) for r in names], np.int64)     # all in front
+                source = end - 2 * np.minimum(np.repeat(marks, count), end // 3)
+                self.code.update(zip(names, range(len(self.start), len(self.start) + len(names))))
+                first = len(self.flat_id)
+                for kept, new in ((self.start, first + stop - count), (self.length, count), (self.norm_bytes, norm),
+                                  (self.source_bytes, norm - 2 * marks), (self.flat_id, ids), (self.flat_end, end),
+                                  (self.flat_source, source)):
+                    kept.frombytes(new.astype(np.int64).tobytes())
 
     def encode_block(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, begins, ends, offsets): pieces of all texts end to end; text i has offsets[i]:offsets[i+1]."""
         if len(self.code) > CACHE_WORDS:
             self._reset()
-        codes, runs, origins = [], [], []
+        split, origins = [], []
         for text in texts:
             origin = None
             if not text:
@@ -261,14 +391,12 @@ class Encoder:
             else:
                 norm, origin = self.normalise(text)
                 parts = _RUN.findall(norm)
-            get, code = self.code.get, self._code
-            got = [get(p) for p in parts]
-            if None in got:
-                got = [code(p) if c is None else c for c, p in zip(got, parts)]
-            codes.append(np.array(got, np.int64))
-            runs.append(len(parts))
+            split.append(parts)
             origins.append(origin)
-        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        known = self.code
+        self._learn([p for p in set().union(*split) if p not in known])
+        runs = [len(parts) for parts in split]
+        code = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, sum(runs))
         length = _view(self.length)[code]
         total = int(length.sum())
         stop = np.cumsum(length)
@@ -392,9 +520,12 @@ def decode_rows(encoded: DataFrame, path: str, name: str = "decoded") -> DataFra
 
 
 def token_report(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, source_bytes (end of the last piece) and ids."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 (begins, a slash, ends of the pieces
+    in source bytes), source_bytes (end of the last piece) and ids."""
     rows = encode_documents(docs, path, decode=True)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"),
+                       F.sha2(F.concat_ws("/", F.array_join(F.col("begins").cast("array<string>"), ","),
+                                          F.array_join(F.col("ends").cast("array<string>"), ",")), 256).alias("spans_sha256"),
                        F.coalesce(F.array_max("ends"), F.lit(0)).cast("long").alias("source_bytes"), "ids")

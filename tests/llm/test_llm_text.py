@@ -33,8 +33,11 @@ def test_tokens_equal_the_library_on_edges(spark, library):
     rows = edge_documents()
     got = pieces.token_report(spark.createDataFrame(rows, SCHEMA), piece_model()).collect()
     have = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256, r.source_bytes) for r in got)
+    spans = {(r.ids_sha256, r.spans_sha256) for r in got}
     assert have == sorted((str(r[0]), *expected(library, r[1]), len((r[1] or "").encode())) for r in rows)
     encoded = pieces.encode_documents(spark.createDataFrame(rows, SCHEMA), piece_model())
+    assert spans == {tuple(hashlib.sha256(x.encode()).hexdigest() for x in (
+        ",".join(map(str, r.ids)), ",".join(map(str, r.begins)) + "/" + ",".join(map(str, r.ends)))) for r in encoded.collect()}
     again = pieces.decode_rows(encoded, piece_model()).collect()
     assert sorted((str(r.doc_id), r.decoded) for r in again) == \
         sorted((str(r[0]), library.decode(library.encode(r[1] or ""))) for r in rows)
@@ -229,9 +232,14 @@ def test_short_and_long_runs_merge_alike():
     model = pieces.Model.load(piece_model())
     encoder = pieces.Encoder(model)
     rng = random.Random(6)
-    for _ in range(400):
-        run = "▁" * rng.randint(0, 3) + "".join(rng.choice("theingationsé😀xq") for _ in range(rng.randint(1, 60)))
-        assert encoder._join_short(run) == encoder._join_long(run)
+    runs = list({"▁" * rng.randint(0, 3) + "".join(rng.choice("theingationsé😀xq\nœ") for _ in range(rng.randint(1, 60)))
+                 for _ in range(400)} | {"a", "▁", "\n", "😀"})
+    encoder._learn(runs)
+    for run in runs:
+        i = encoder.code[run]
+        at = slice(encoder.start[i], encoder.start[i] + encoder.length[i])
+        assert list(zip(encoder.flat_id[at], encoder.flat_end[at])) == encoder.merge(run)
+        assert encoder.norm_bytes[i] == len(run.encode())
 
 
 PROBLEMS = ("a farmer sells {} eggs on monday and {} more on tuesday then packs {} boxes with {} cups for the fair and keeps {} "
