@@ -202,11 +202,18 @@ def render_fixed(prefix: Column, stem: Column, options: list[Column], labels: li
     return F.concat(*parts)
 
 
+# Code points of the first option letter
+FIRST_LETTER = {"latin": 65, "bangla": 0x0995}
+
+
 def letter(i: Column, script: str = "latin") -> Column:
-    """Letter number ``i`` (0-based) of the Latin or Bangla option alphabet."""
-    alphabet = LATIN_LETTERS if script == "latin" else BANGLA_LETTERS
-    return F.when(i < len(alphabet), F.substring(F.lit(alphabet), i + 1, 1)).otherwise(
-        F.raise_error(F.lit(f"no option letter after the {len(alphabet)}th")))
+    """Option letter number ``i`` (0-based): code points from the script's first letter on, without an end."""
+    code = i.cast("int") + F.lit(FIRST_LETTER[script])
+    # code points below 0x800 have two UTF-8 bytes, those above three
+    two = F.concat(F.hex(F.lit(0xC0) + F.shiftright(code, 6)), F.hex(F.lit(0x80) + code.bitwiseAND(F.lit(63))))
+    three = F.concat(F.hex(F.lit(0xE0) + F.shiftright(code, 12)), F.hex(F.lit(0x80) + F.shiftright(code, 6).bitwiseAND(F.lit(63))),
+                     F.hex(F.lit(0x80) + code.bitwiseAND(F.lit(63))))
+    return F.when(code < 0x80, F.chr(code)).otherwise(F.decode(F.unhex(F.when(code < 0x800, two).otherwise(three)), "UTF-8"))
 
 
 def render_positional(prefix: Column, stem: Column, choices: Column, lang: str = "en",

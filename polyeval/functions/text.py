@@ -302,7 +302,7 @@ def language_of_counts(counts) -> Column:
     return res
 
 
-def _bind(value: Column, body) -> Column:
+def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once: a one-element array is
     mapped, so the lambda variable stands for the value wherever it is used
     (also after the optimizer inlines the expression into a filter)."""
@@ -331,7 +331,7 @@ def detect_language(text) -> Column:
     hits become values, the words are never split)."""
     t = F.lower(F.coalesce(_c(text), F.lit("")))
     counts = F.struct(*[F.regexp_count(t, F.lit(_stopword_pattern(sw))).alias(lang) for lang, sw in STOPWORDS.items()])
-    return F.when(mostly_bangla(text), F.lit("bn")).otherwise(_bind(counts, language_of_counts))
+    return F.when(mostly_bangla(text), F.lit("bn")).otherwise(bind(counts, language_of_counts))
 
 
 def with_language(df, text: str, out: str = "detected"):
@@ -360,13 +360,17 @@ def parse_json_strict(x, schema: str) -> Column:
     brace is rejected by requiring the stripped text to start with ``{`` and
     end with ``}``.
     """
-    t = py_strip(_c(x))
     full = schema[:-1] + ",_corrupt_record:string>" if schema.startswith("struct<") else schema
-    p = F.from_json(t, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record",
-                              "allowSingleQuotes": "false", "allowUnquotedControlChars": "false"})
-    ok = p.isNotNull() & p["_corrupt_record"].isNull() & t.startswith("{") & t.endswith("}")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record",
+               "allowSingleQuotes": "false", "allowUnquotedControlChars": "false"}
     fields = [f.split(":", 1)[0] for f in _split_fields(schema[len("struct<"):-1])]
-    return F.when(ok, F.struct(*[p[f].alias(f) for f in fields]))
+
+    def kept(p):
+        return F.when(p.isNotNull() & p["_corrupt_record"].isNull(), F.struct(*[p[f].alias(f) for f in fields]))
+
+    # text and record are computed once, however often they are named
+    return bind(py_strip(_c(x)), lambda t: F.when(
+        t.startswith("{") & t.endswith("}"), bind(F.from_json(t, full, options), kept)))
 
 
 def _split_fields(body: str) -> list[str]:

@@ -293,13 +293,14 @@ def fixed_axis_order(scores: DataFrame, models: list[str], datasets: list[str],
     """Every (model, dataset) of the fixed axes for each (lang, metric),
     missing cells as null, with ordinals for the display order.
 
-    One aggregation; its cells are gathered per (lang, metric) into a map
-    keyed by (model, dataset) - at most one entry per distinct cell, not per
-    input row - and the fixed axes are exploded against it, so the scores
+    One aggregation; its cells on the axes are gathered per (lang, metric) into a
+    map keyed by (model, dataset) - at most one entry a cell of the axes, whatever
+    the table holds - and the fixed axes are exploded against it, so the scores
     are read once and no self-join is needed."""
     cells = scores.groupBy(*by, "model", "dataset").agg(F.avg("score").alias("score"))
-    g = cells.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(
-        F.concat_ws("\u0001", "model", "dataset"), "score"))).alias("_cells"))
+    on_axes = F.col("model").isin(models) & F.col("dataset").isin(datasets)
+    g = cells.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.when(on_axes, F.struct(
+        F.concat_ws("\u0001", "model", "dataset"), "score")))).alias("_cells"))
     out = (g.select(*by, "_cells", axis(models, "model").alias("_m")).select(*by, "_cells", "_m.*")
             .select(*by, "_cells", "model_ordinal", "model", axis(datasets, "dataset").alias("_d"))
             .select(*by, "_cells", "model_ordinal", "model", "_d.*"))
@@ -314,13 +315,14 @@ def leaderboard(scores: DataFrame, models: list[str], datasets: list[str],
     column per dataset in the fixed order; missing cells null (an empty string
     only at a CSV sink).
 
-    One two-phase pivot (value list given); its rows are gathered per
-    (lang, metric) into a map keyed by model (one entry per model present)
+    One two-phase pivot (value list given); its rows on the axis are gathered per
+    (lang, metric) into a map keyed by model (one entry a model of the axis)
     and the fixed model axis is exploded against it: the scores are read once
     and no self-join is needed."""
     wide = scores.groupBy(*by, "model").pivot("dataset", datasets).agg(F.avg("score"))
     vals = F.struct(*[F.col(f"`{d}`").alias(d) for d in datasets])
-    g = wide.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("model", vals))).alias("_rows"))
+    g = wide.groupBy(*by).agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("model").isin(models), F.struct("model", vals)))).alias("_rows"))
     out = g.select(*by, "_rows", axis(models, "model").alias("_m")).select(*by, "_rows", "_m.*")
     row = F.try_element_at("_rows", F.col("model"))
     return out.select(*by, "model_ordinal", "model", *[row[d].alias(d) for d in datasets])
@@ -357,3 +359,36 @@ def with_order_position(df: DataFrame, order: list, name: str = "position") -> D
 
 def log2(x: float) -> float:
     return math.log2(x)
+
+
+# Distribution function of the Poisson distribution of mean one, in 2^32nds
+POISSON_STEPS = [int((1 << 32) * p) for p in (
+    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
+    0.9994058151824183, 0.999916758850712)]
+
+
+def poisson_weight(*parts) -> Column:
+    """How often a row is drawn in a replicate: a Poisson number from the hash of row and replicate."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
+    out = F.lit(len(POISSON_STEPS))
+    for k, step in reversed(list(enumerate(POISSON_STEPS))):
+        out = F.when(u < step, F.lit(k)).otherwise(out)
+    return out
+
+
+def mean_bootstrap(scores: DataFrame, keys: list[str], row: list[str], value: str = "score", replicates: int = 200,
+                   low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """Mean with the percentile interval of a bootstrap, in one pass. Every row weighs in each
+    replicate by a Poisson number that its identity ``row`` fixes, so the result is the same at every
+    layout; sums of weights are partial aggregates, and only the replicate means meet in the end."""
+    d = scores.where(F.col(value).isNotNull()).withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    d = d.withColumn("_w", poisson_weight(*[F.col(c).cast("string") for c in row], F.col("_r").cast("string")))
+    means = d.groupBy(*keys, "_r").agg((F.sum(F.col("_w") * F.col(value)) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
+    ends = means.groupBy(*keys).agg(F.percentile("_m", F.array(F.lit(low), F.lit(high))).alias("_q"))
+    mean = scores.groupBy(*keys).agg(rnd(F.avg(value)).alias("mean_score"), F.count(value).alias("n"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & mean[k].eqNullSafe(F.col(f"_k_{k}"))
+    ends = ends.select(*[F.col(k).alias(f"_k_{k}") for k in keys], rnd(F.col("_q")[0]).alias("boot_low"),
+                       rnd(F.col("_q")[1]).alias("boot_high"))
+    return mean.join(ends, same, "left").select(*keys, "mean_score", "boot_low", "boot_high", "n")

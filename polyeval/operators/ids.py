@@ -31,14 +31,21 @@ def with_index(df: DataFrame, name: str = "idx", order_by: list | None = None,
     """Add a dense 0-based ``name`` column in scan order (or in ``order_by``
     order, after a range-partitioned global sort).
 
-    ``key``: unique columns; then only they and the columns ``by`` that
-    ``order_by`` names besides them are sorted and checkpointed, and the positions are joined back, so texts are not written
-    a second time.
+    ``key``: columns that name a row; then only they and the columns ``by`` that
+    ``order_by`` names besides them are sorted and checkpointed, and the positions
+    are joined back, so texts are not written a second time. A null is a key
+    value like any other; a key that two rows share raises.
     """
     if key and set(key) != set(df.columns):
-        sort = [c for c in df.columns if c in key or c in by]
-        slim = with_index(df.select(*sort), name, order_by, checkpoint)
-        return df.join(slim.select(*key, name), key)
+        more = [c for c in df.columns if c in by and c not in key]
+        slim = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in more])
+        once = F.when(F.col("_rows") == 1, F.lit(0)).otherwise(F.raise_error(F.lit(f"rows share a key of {key}")))
+        slim = with_index(slim.select(*key, *more, once.alias("_rows")), name, order_by, checkpoint)
+        slim = slim.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], (F.col(name) + F.col("_rows")).alias(name))
+        same = F.lit(True)
+        for i, k in enumerate(key):
+            same = same & df[k].eqNullSafe(F.col(f"_k{i}"))
+        return df.join(slim, same).drop(*[f"_k{i}" for i in range(len(key))])
     if order_by:
         df = df.orderBy(*order_by)
     df = df.withColumn("_mid", F.monotonically_increasing_id())
@@ -88,16 +95,23 @@ def ordered_concat(df: DataFrame, keys: list[str], order_col: str, text: Column,
     """Concatenate ``text`` per key in ``order_col`` order, in two levels.
 
     Rows are first concatenated per (key, chunk of ``chunk`` consecutive
-    ranks) in parallel; the final step joins one partial string per chunk.
+    places of the order) in parallel; the final step joins one partial string
+    per chunk. Rows at one place are ordered by their text, null keys are a
+    group, and null texts add nothing.
     The output row holds the whole group's text by definition; no step holds
     more than one chunk of input rows beyond that.
     """
     d = df.select(*keys, F.col(order_col).alias("_o"), text.alias("_t"))
-    # global range sort on (keys, order): a hot key spreads over many tasks
-    d = with_index(d, "_pos", order_by=[*keys, "_o"], key=[*keys, "_o"])
-    d = d.withColumn("_chunk", F.floor(F.col("_pos") / F.lit(chunk)))
+    # one row for each place of the order, with the number of rows before it: a hot key spreads over many tasks
+    places = with_index(d.groupBy(*keys, "_o").agg(F.count(F.lit(1)).alias("_rows")), "_pos", order_by=[*keys, "_o"])
+    places = places.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_o").alias("_ko"),
+                           F.floor(F.col("_pos") / F.lit(chunk)).alias("_chunk"))
+    same = F.col("_o").eqNullSafe(F.col("_ko"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    d = d.join(places, same).drop("_ko", *[f"_k{i}" for i in range(len(keys))])
     part = d.groupBy(*keys, "_chunk").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_t"))),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_t"))),
                                  lambda s: s["_t"]), sep).alias("_p"))
     return part.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_p"))),

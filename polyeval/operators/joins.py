@@ -61,7 +61,7 @@ def join_original_response(originals: DataFrame, responses: DataFrame, key: str
 
 
 def fallback_to_original(originals: DataFrame, translated: DataFrame, key: str,
-                         fields: list[str], order: str | None = None) -> DataFrame:
+                         fields: list[str], order: str) -> DataFrame:
     """D3: a translation that lacks any of ``fields`` is replaced by the whole
     original record; ``status`` says which one was kept. Of several
     translations of a key the last by ``order`` counts."""
@@ -76,17 +76,16 @@ def fallback_to_original(originals: DataFrame, translated: DataFrame, key: str,
     return out
 
 
-def last_per_key(df: DataFrame, key: str, fields: list[str], order: str | None = None) -> DataFrame:
-    """One row per key: the one with the largest ``order`` (ties, and no ``order``: the
-    largest values), by a partial aggregation."""
+def last_per_key(df: DataFrame, key: str, fields: list[str], order: str) -> DataFrame:
+    """One row per key: the one with the largest ``order`` (ties: the largest values), by a
+    partial aggregation."""
     values = F.struct(*fields)
-    by = F.struct(F.col(order), values) if order else values
-    last = df.groupBy(key).agg(F.max_by(values, by).alias("_last"))
+    last = df.groupBy(key).agg(F.max_by(values, F.struct(F.col(order), values)).alias("_last"))
     return last.select(key, *[F.col(f"_last.{f}").alias(f) for f in fields])
 
 
 def upsert_by_index(base: DataFrame, updates: DataFrame, key: str, fields: list[str],
-                    order: str | None = None) -> tuple[DataFrame, DataFrame]:
+                    order: str) -> tuple[DataFrame, DataFrame]:
     """Replace the rows of ``base`` named in ``updates`` (of several updates of
     an index the last by ``order``); updates whose index is not in ``base`` are
     returned separately (reported, not added)."""
@@ -165,7 +164,7 @@ def chunk_requests(df: DataFrame, idx: str = "idx", size: int = 50) -> DataFrame
 
 
 def merge_chunk_results(requests: DataFrame, results: DataFrame, idx: str, field: str,
-                        original: str, order: str | None = None) -> DataFrame:
+                        original: str, order: str) -> DataFrame:
     """Results matched back by index; a missing result keeps the
     original (keyed, so a missing chunk cannot shift later rows; of several
     results of an index the last by ``order`` counts)."""
@@ -178,3 +177,52 @@ def skip_existing(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFram
     """Drop the runs whose output exists already (left anti join)."""
     return todo.join(done.select(*keys).distinct(), keys, "left_anti")
 
+
+# ---------------------------------------------------------------------------
+# A15 over large outputs: a stored Bloom filter of the finished ids
+# ---------------------------------------------------------------------------
+BLOOM_WORDS = 1 << 14          # 64-bit words of one filter: a million bits, 128 KB
+BLOOM_HASHES = 4
+
+
+def _bloom_bits(keys: list[str], words: int) -> list:
+    """Bit numbers of a row's keys, one for each hash; null is a key value like any other."""
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys]
+    return [F.pmod(F.xxhash64(F.lit(i), *parts), F.lit(words * 64)) for i in range(BLOOM_HASHES)]
+
+
+def bloom_filter(done: DataFrame, keys: list[str], file: str | None = None, words: int = BLOOM_WORDS) -> DataFrame:
+    """Filter over the finished ids as rows (file, word, bits), one filter for each output ``file`` (one
+    in all where it is not given): an or of bits by partial aggregation, stored beside the outputs."""
+    of = F.col(file).cast("string") if file else F.lit("")
+    bits = F.explode(F.array(*_bloom_bits(keys, words))).alias("_bit")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_bit") % 64).cast("int"))
+    return (done.select(of.alias("file"), bits)
+            .groupBy("file", F.floor(F.col("_bit") / 64).cast("int").alias("word")).agg(F.bit_or(one).alias("bits")))
+
+
+def maybe_done(todo: DataFrame, blooms: DataFrame, keys: list[str], words: int = BLOOM_WORDS) -> DataFrame:
+    """``todo`` with ``_maybe``: false only where no filter holds the row's keys."""
+    # ``words`` numbers, whatever the outputs hold
+    merged = [0] * words
+    for r in blooms.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+        merged[r["word"]] = r["bits"]
+    packed = b"".join((m & (2 ** 64 - 1)).to_bytes(8, "big") for m in merged)
+    table = F.lit(bytearray(packed))
+    maybe = F.lit(True)
+    for bit in _bloom_bits(keys, words):
+        byte = F.conv(F.hex(F.substring(table, (F.floor(bit / 64) * 8 + 8 - F.floor((bit % 64) / 8)).cast("int"), F.lit(1))), 16, 10)
+        maybe = maybe & (F.call_function("shiftright", byte.cast("int"), (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return todo.withColumn("_maybe", maybe)
+
+
+def skip_finished(todo: DataFrame, done: DataFrame, blooms: DataFrame, keys: list[str], words: int = BLOOM_WORDS) -> DataFrame:
+    """A15 over large outputs: rows that the stored filters rule out go straight on; only the others
+    meet the outputs in the exact anti join. Null keys match null keys."""
+    marked = maybe_done(todo, blooms, keys, words)
+    d = done.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rest = marked.where("_maybe").join(d, same, "left_anti")
+    return marked.where("NOT _maybe").unionByName(rest).drop("_maybe")

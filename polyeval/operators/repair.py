@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyeval.functions.text import (BANGLA_DIGITS, LATIN_DIGITS, WORD_CHAR, WS_CLASS,
+from polyeval.functions.text import (BANGLA_DIGITS, LATIN_DIGITS, WORD_CHAR, WS_CLASS, bind,
                                      normalize_whitespace, parse_json_strict)
 
 # ---------------------------------------------------------------------------
@@ -81,7 +81,7 @@ def missing_body(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Repair steps
+# Repair steps. The patterns and replacements of r1 to r14
 # ---------------------------------------------------------------------------
 def r1(t: Column) -> Column:
     """curly quotes to straight quotes"""
@@ -111,10 +111,42 @@ def r5(t: Column) -> Column:
     return F.regexp_replace(t, rf'{WS_CLASS}*("{WORD_CHAR}+"):{WS_CLASS}*({WORD_CHAR}+)', ' $1: "$2"')
 
 
+# What a `"key": "value"` member looks like to the question and
+# sentence sets ("text") and to the task and maths sets ("task"). The key of the
+# first is a string token (its loop is possessive, so that long texts need no stack).
+MEMBER_PATTERNS = {
+    "text": rf'(?s)("(?:[^"\\]|\\.)*+"){WS_CLASS}*:{WS_CLASS}*"(.*?)(?<!\\)"(?={WS_CLASS}*[,\n}}])',
+    "task": rf'(?s)("[^"]+"){WS_CLASS}*:{WS_CLASS}*"(.*?)"(?={WS_CLASS}*[,\n}}])',
+}
+
+
+def bare_quotes(value: Column) -> Column:
+    """Escape what JSON does not allow bare: line feeds, and quotes that have no backslash yet."""
+    return F.regexp_replace(F.replace(value, F.lit("\n"), F.lit("\\n")), r'(?<!\\)"', r'\\"')
+
+
+def json_text(value: Column) -> Column:
+    """The whole value as a JSON encoder writes it (backslashes are doubled)."""
+    # {"v":"..."}
+    return bind(F.to_json(F.struct(value.alias("v"))), lambda record: F.substring(record, F.lit(7), F.length(record) - 8))
+
+
+def encode_members(t: Column, kind: str, encode) -> Column:
+    """The text with every member value passed through ``encode``; the rest, the
+    pieces between the matches, stays as it is."""
+    pattern = F.lit(MEMBER_PATTERNS[kind])
+
+    def rebuilt(x):
+        made = F.zip_with(F.regexp_extract_all(x, pattern, 1), F.regexp_extract_all(x, pattern, 2),
+                          lambda key, value: F.concat(key, F.lit(': "'), encode(value), F.lit('"')))
+        between = F.split(x, MEMBER_PATTERNS[kind], -1)
+        return F.array_join(F.zip_with(between, F.concat(made, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    return bind(t, rebuilt)
+
+
 def r6(t: Column) -> Column:
-    """escape bare quotes and newlines of each value (callback, J6)"""
-    from polyeval.functions.pyudfs import encode_members_udf
-    return encode_members_udf("text", "bare_quotes")(t)
+    """escape bare quotes and newlines of each value"""
+    return encode_members(t, "text", bare_quotes)
 
 
 def r7(t: Column, keys: list[str]) -> Column:
@@ -125,9 +157,8 @@ def r7(t: Column, keys: list[str]) -> Column:
 
 
 def r8(t: Column, kind: str = "text") -> Column:
-    """encode each value anew (callback, J6); ``kind``: how members are found"""
-    from polyeval.functions.pyudfs import encode_members_udf
-    return encode_members_udf(kind, "json_text")(t)
+    """encode each value anew; ``kind``: how members are found"""
+    return encode_members(t, kind, json_text)
 
 
 # Maths rules (r9), in the order they apply
@@ -193,19 +224,19 @@ def profile_q(t: Column, keys: list[str], schema: str, pre: list = ()) -> Column
     t = normalize_whitespace(t, "a")
     for step in pre:
         t = step(t)
-    s0 = r5(r4(r2(r1(t))))
-    s1 = r6(s0)
-    return F.when(_valid(s1, schema), s1).otherwise(r8(r7(s0, keys)))
+    return bind(r5(r4(r2(r1(t)))), lambda s0: bind(
+        r6(s0), lambda s1: F.when(_valid(s1, schema), s1).otherwise(r8(r7(s0, keys)))))
 
 
 def profile_s(t: Column, keys: list[str], schema: str, extra: list = ()) -> Column:
     """S (sentence sets): one blank for all white space, r1 r6; if still invalid, r7
     (after r6), ``extra``, then r8."""
-    s1 = r6(r1(normalize_whitespace(t, "a")))
-    s2 = r7(s1, keys)
-    for step in extra:
-        s2 = step(s2)
-    return F.when(_valid(s1, schema), s1).otherwise(r8(s2))
+    def finish(s1):
+        s2 = r7(s1, keys)
+        for step in extra:
+            s2 = step(s2)
+        return F.when(_valid(s1, schema), s1).otherwise(r8(s2))
+    return bind(r6(r1(normalize_whitespace(t, "a"))), finish)
 
 
 def profile_t(t: Column, keys: list[str], schema: str, maths: list[int] | None = None,
@@ -254,8 +285,8 @@ def repair_attempts(df: DataFrame, text: str, schema: str, keys: list[str], fami
                     **kw) -> DataFrame:
     """The attempt chain on one text column. Adds ``parsed`` (struct) and
     ``status`` in {parsed, loose, repaired, failed}. Plain and loose parse run once
-    for every row; the profile (and its Python callbacks) sees the text only of
-    rows that both reject, null for the others."""
+    for every row; the profile sees the text only of rows that both reject, null
+    for the others."""
     t = F.col(text)
     plain = df.withColumn("_plain", parse_json_strict(t, schema))
     loose = plain.withColumn("_loose", F.when(F.col("_plain").isNull(), parse_json_strict(r12(t), schema)))
@@ -273,7 +304,15 @@ def repair_dataset(df: DataFrame, text: str, schema: str, dataset: str) -> DataF
     return repair_attempts(df, text, schema, keys, family, **extra)
 
 
-def repair_report(attempts: DataFrame) -> DataFrame:
-    """I4: rows per status."""
-    return attempts.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+def incomplete(parsed: Column, keys: list[str]) -> Column:
+    """True where a record was parsed but lacks a key (a repair that swallowed the next member)."""
+    lacks = F.lit(False)
+    for k in keys:
+        lacks = lacks | parsed[k].isNull()
+    return parsed.isNotNull() & lacks
+
 
+def repair_report(attempts: DataFrame, keys: list[str]) -> DataFrame:
+    """I4: rows per status; parsed records that lack one of ``keys`` count as incomplete."""
+    status = F.when(incomplete(F.col("parsed"), keys), "incomplete").otherwise(F.col("status"))
+    return attempts.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))

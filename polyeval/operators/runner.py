@@ -14,6 +14,7 @@ neither a second action nor a lost executor sends the calls again.
 from __future__ import annotations
 
 import hashlib
+import math
 import threading
 import time
 from collections.abc import Callable
@@ -70,34 +71,32 @@ def _py_backoff(attempt: int, rate_limited: bool, key: int) -> float:
 
 
 # ---------------------------------------------------------------------------
-# J7 token bucket
+# J7 slot schedule
 # ---------------------------------------------------------------------------
-class TokenBucket:
-    """Calls per minute for one task (the job's limit divided by the number
-    of tasks running at once). ``clock``/``sleep`` can be injected."""
-
-    def __init__(self, per_minute: float, clock=time.monotonic, sleep=time.sleep):
-        self.rate = per_minute / 60.0
-        self.capacity = max(1.0, self.rate)
-        self.tokens = self.capacity
+class SlotSchedule:
+    """Turns of one lane. The job's limit cuts time into slots of one call each, counted
+    from the clock's zero; lane ``lane`` of ``lanes`` owns every ``lanes``-th slot. A slot that
+    has passed is lost, so the calls of all lanes together never come closer than the limit,
+    whatever starts late. ``clock``/``sleep`` can be injected."""
+
+    def __init__(self, per_minute: float, lane: int = 0, lanes: int = 1, clock=time.time, sleep=time.sleep):
+        self.seconds = 60.0 / per_minute
+        self.lane, self.lanes = lane, lanes
         self.clock, self.sleep = clock, sleep
-        self.last = clock()
+        self.turn = -1
         self.lock = threading.Lock()
         self.waits = 0
 
-    def take(self):
-        while True:
-            with self.lock:
-                now = self.clock()
-                self.tokens = min(self.capacity, self.tokens + (now - self.last) * self.rate)
-                self.last = now
-                if self.tokens >= 1:
-                    self.tokens -= 1
-                    return
-                # never shorter than a clock can tell
-                wait = max((1 - self.tokens) / self.rate, 1e-3)
-                self.waits += 1
-            self.sleep(wait)
+    def take(self) -> None:
+        with self.lock:
+            now = self.clock()
+            first = math.ceil(now / self.seconds - 1e-9)
+            self.turn = max(self.turn + 1, -(-(first - self.lane) // self.lanes))
+            start = (self.turn * self.lanes + self.lane) * self.seconds
+        # a sleep may end early; the turn is kept
+        while (wait := start - self.clock()) > 1e-9:
+            self.waits += 1
+            self.sleep(max(wait, 1e-3))
 
 
 # ---------------------------------------------------------------------------
@@ -121,22 +120,25 @@ def batch_infer(df: DataFrame, fn: Callable[..., str], inputs: list[str], key: s
     Output = input columns + response, error, attempts, duration, ok.
     The input keeps its partitions unless ``partitions`` asks for a hash spread
     (a few large partitions, or one hot key). ``calls_per_minute`` limits the
-    calls, retries included: every task gets its share of the tasks that run at
-    once. ``sleep`` defaults to ``time.sleep``; a test that passes its own
-    passes a clock that moves with it.
+    calls of the whole job, retries included: the rows are dealt over
+    ``partitions`` lanes (the default parallelism where it is not given), and each
+    lane calls in its own slots only (``SlotSchedule``; the machines' clocks must
+    agree, and speculative execution must be off). ``sleep`` defaults to
+    ``time.sleep``; a test that passes its own passes a clock that moves with it.
     """
-    at_once = min(partitions or 1 << 30, df.sparkSession.sparkContext.defaultParallelism)
+    lanes = partitions or df.sparkSession.sparkContext.defaultParallelism
+    if calls_per_minute is not None:
+        partitions = lanes
     schema = T.StructType(list(df.schema.fields) + RUN_FIELDS)
-    per_task = None if calls_per_minute is None else calls_per_minute / max(1, at_once)
     slp = sleep or time.sleep
-    clk = clock or time.monotonic
+    clk = clock or time.time
 
-    def call(args, k, bucket):
+    def call(args, k, turns):
         err, attempts, t0 = None, 0, clk()
         while attempts < max_tries:
             attempts += 1
-            if bucket:
-                bucket.take()
+            if turns:
+                turns.take()
             try:
                 out = fn(*args)
                 return out, err, attempts, clk() - t0, True
@@ -149,10 +151,12 @@ def batch_infer(df: DataFrame, fn: Callable[..., str], inputs: list[str], key: s
 
     def run(batches):
         import pandas as pd
-        bucket = TokenBucket(per_task, clock=clk, sleep=slp) if per_task else None
+        from pyspark import TaskContext
+        turns = None if calls_per_minute is None else SlotSchedule(
+            calls_per_minute, TaskContext.get().partitionId(), lanes, clock=clk, sleep=slp)
 
         def one(args_k):
-            return call(*args_k, bucket)
+            return call(*args_k, turns)
 
         with ThreadPoolExecutor(max_workers=concurrency) as pool:
             for pdf in batches:
@@ -170,7 +174,10 @@ def batch_infer(df: DataFrame, fn: Callable[..., str], inputs: list[str], key: s
     if partitions:
         # by a hash of the whole request, so one hot key (a long conversation,
         # a large dataset) still lands on many tasks
-        df = df.repartition(partitions, F.xxhash64(F.col(key), *[F.col(c) for c in inputs]))
+        spread = F.xxhash64(F.col(key), *[F.col(c) for c in inputs])
+        # lanes are partition numbers: they must not be joined or split afterwards
+        df = (df.repartition(partitions, spread) if calls_per_minute is None
+              else df.repartitionById(lanes, F.pmod(spread, F.lit(lanes)).cast("int")))
     return df.mapInPandas(run, schema)
 
 

@@ -87,6 +87,20 @@ def token_ratios(tokens: Column, n_bytes: Column, words: Column, baseline: Colum
     }
 
 
+def measure_sums(text: Column, names: list[str]) -> list[Column]:
+    """Aggregates for any grouping of rows: the sums of E4-E6 and the row count; groups add up to
+    larger ones, ``measures_of_sums`` gives the averages."""
+    counts = {n: BUILTIN[n](text) for n in names}
+    words = F.greatest(counts["blank"] if "blank" in names else word_count(text), F.lit(1))
+    n_bytes = F.octet_length(F.coalesce(text, F.lit("")))
+    out = [F.count(F.lit(1)).alias("_rows")]
+    for n in names:
+        r = token_ratios(counts[n], n_bytes, words, counts[names[0]])
+        out += [F.sum(counts[n]).alias(f"{n}__tpr"), F.sum(r["tokens_per_word"]).alias(f"{n}__tpw"),
+                F.sum(r["bytes_per_token"]).alias(f"{n}__bpt"), F.sum(r["nsl"]).alias(f"{n}__nsl")]
+    return out
+
+
 def token_stats(df: DataFrame, text: Column, keys: list[str], names: list[str],
                 counts: Column | None = None) -> DataFrame:
     """E4-E6 for every tokenizer in one pass.

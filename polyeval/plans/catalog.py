@@ -29,6 +29,6 @@ def load_all() -> dict[str, tuple[Builder, str | None]]:
     # import for side effects: each module registers its queries
     from polyeval.plans import (  # noqa: F401
         q_scoring, q_text, q_prompts, q_analysis, q_tokens, q_repair, q_joins,
-        q_io, q_runner, q_streaming, q_more,
+        q_io, q_runner, q_streaming, q_more, q_learned,
     )
     return REGISTRY

@@ -158,39 +158,62 @@ WHERE u.role = 'user'
 
 
 # ---------------------------------------------------------------------------
-# fx_messages: raw translation messages (every 11th index has none)
+# whole document texts as JSON values: escaped, and raw (line feeds as they are, no quotes)
+# ---------------------------------------------------------------------------
+JSON_ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
+
+
+def json_escaped(text: str) -> Column:
+    t = F.coalesce(F.col(text), F.lit(""))
+    for raw, escaped in JSON_ESCAPES:
+        t = F.replace(t, F.lit(raw), F.lit(escaped))
+    return t
+
+
+def json_escaped_sql(text: str) -> str:
+    t = f"coalesce({text}, '')"
+    for raw, escaped in JSON_ESCAPES:
+        t = f"replace({t}, chr({ord(raw)}), '{escaped}')"
+    return t
+
+
+def raw_value(text: str) -> Column:
+    return F.replace(F.coalesce(F.col(text), F.lit("")), F.lit('"'), F.lit(""))
+
+
+# ---------------------------------------------------------------------------
+# fx_messages: raw translation messages (every 11th index has none); the question is the
+# whole text, on every fifth index four times over (longer than a translation may be)
 # ---------------------------------------------------------------------------
 def fx_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    word = F.concat("lang", "source")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    t = json_escaped("text")
     m = F.col("doc_id") % 5
-    msg = (F.when(m == 0, F.concat(F.lit('{"question": "'), word, F.lit('", "answer": "A"}')))
-           .when(m == 1, F.concat(F.lit("ok <bangla_translation>\n{\"question\": \""), word,
+    msg = (F.when(m == 0, F.concat(F.lit('{"question": "'), t, F.lit('", "answer": "A"}')))
+           .when(m == 1, F.concat(F.lit("ok <bangla_translation>\n{\"question\": \""), t,
                                   F.lit("\", \"answer\": \"ক\"}\n</bangla_translation>"
                                         "<translator_notes>n</translator_notes>")))
-           .when(m == 2, F.concat(F.lit('<bangla_translation>{"question": "'), word,
+           .when(m == 2, F.concat(F.lit('<bangla_translation>{"question": "'), t,
                                   F.lit('" "answer": "খ"}</bangla_translation>')))
-           .when(m == 3, F.concat(F.lit("<bangla_translation>{'question': '"), word,
+           .when(m == 3, F.concat(F.lit("<bangla_translation>{'question': '"), t,
                                   F.lit("', 'answer': '৩'}</bangla_translation>")))
-           .otherwise(F.concat(F.lit('<bangla_translation>{"question": "'), F.repeat(word, 40),
+           .otherwise(F.concat(F.lit('<bangla_translation>{"question": "'), F.repeat(t, 4),
                                F.lit('", "answer": "গ"} <translator_notes>x</translator_notes>'
                                      '</bangla_translation>'))))
-    # the view joins documents to itself on doc_id; a key join of a table to
-    # itself is the identity, so the word comes from the same row
     return (d.where(F.col("doc_id") % 11 != 10)
             .select(F.col("doc_id").alias("idx"), F.col("text").alias("original"),
                     msg.alias("message")))
 
 
-FX_MESSAGES_SQL = """
+FX_MESSAGES_SQL = f"""
 SELECT d.doc_id AS idx, d.text AS original,
   CASE d.doc_id % 5
-    WHEN 0 THEN concat('{"question": "', w.word, '", "answer": "A"}')
-    WHEN 1 THEN concat('ok ', '<bangla_translation>', chr(10), '{"question": "', w.word, '", "answer": "ক"}', chr(10), '</bangla_translation>', '<translator_notes>n</translator_notes>')
-    WHEN 2 THEN concat('<bangla_translation>{"question": "', w.word, '" "answer": "খ"}</bangla_translation>')
-    WHEN 3 THEN concat('<bangla_translation>{''question'': ''', w.word, ''', ''answer'': ''৩''}</bangla_translation>')
-    ELSE concat('<bangla_translation>{"question": "', repeat(w.word, 40), '", "answer": "গ"} <translator_notes>x</translator_notes></bangla_translation>') END AS message
-FROM documents d JOIN (SELECT doc_id, concat(lang, source) AS word FROM documents) w ON d.doc_id = w.doc_id
+    WHEN 0 THEN concat('{{"question": "', d.t, '", "answer": "A"}}')
+    WHEN 1 THEN concat('ok ', '<bangla_translation>', chr(10), '{{"question": "', d.t, '", "answer": "ক"}}', chr(10), '</bangla_translation>', '<translator_notes>n</translator_notes>')
+    WHEN 2 THEN concat('<bangla_translation>{{"question": "', d.t, '" "answer": "খ"}}</bangla_translation>')
+    WHEN 3 THEN concat('<bangla_translation>{{''question'': ''', d.t, ''', ''answer'': ''৩''}}</bangla_translation>')
+    ELSE concat('<bangla_translation>{{"question": "', repeat(d.t, 4), '", "answer": "গ"}} <translator_notes>x</translator_notes></bangla_translation>') END AS message
+FROM (SELECT doc_id, text, {json_escaped_sql('text')} AS t FROM documents) d
 WHERE d.doc_id % 11 <> 10
 """
 
@@ -249,14 +272,14 @@ FROM labels
 # ---------------------------------------------------------------------------
 # fx_broken: one broken JSON text per repair step, by doc_id
 # ---------------------------------------------------------------------------
-# text of each shape around a word w; the texts are data for the repair rules
+# each shape around a whole document text, escaped at # and raw at ~; the texts are data for the repair rules
 BROKEN_SHAPES = [
     '{"question": "#", "answer": "A"}',                      # valid
     "{'question': '#', 'answer': 'B'}",                      # r12: single quotes
     '{"question": "#" "answer": "C"}',                       # r7: missing comma
     '{“question”: “#”, “answer”: “D”}',                      # r1: curly quotes
     '{"question": "say "#" now", "answer": "E"}',            # r6: bare quotes in a value
-    '{"question": "#\nx" "answer": "F"}',                    # line feed in a value and a missing comma
+    '{"question": "~\nx" "answer": "F"}',                    # line feeds in a value and a missing comma
     '{"question": "#" "answer": 3}',                         # r5: bare value
     '{"question": "#", "answer": "["a", "b"]"}',             # r4: quoted array
     '{"question": "# “", "answer": "G",}',                   # r10: comma before the bracket
@@ -270,14 +293,18 @@ BROKEN_SHAPES = [
 
 
 def fx_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     shapes = F.array(*[F.lit(s) for s in BROKEN_SHAPES])
     shape = F.element_at(shapes, (F.col("doc_id") % len(BROKEN_SHAPES) + 1).cast("int"))
-    return d.select(F.col("doc_id").alias("idx"), F.replace(shape, F.lit("#"), F.concat("lang", "source")).alias("translation"))
+    # a shape has one of the two marks; texts may hold either
+    filled = F.when(F.contains(shape, F.lit("~")), F.replace(shape, F.lit("~"), raw_value("text"))).otherwise(
+        F.replace(shape, F.lit("#"), json_escaped("text")))
+    return d.select(F.col("doc_id").alias("idx"), filled.alias("translation"))
 
 
 FX_BROKEN_SQL = f"""
-SELECT doc_id AS idx, doc_id % {len(BROKEN_SHAPES)} AS shape, concat(lang, source) AS w FROM documents
+SELECT doc_id AS idx, doc_id % {len(BROKEN_SHAPES)} AS shape, coalesce(text, '') AS w, {json_escaped_sql('text')} AS e,
+  replace(coalesce(text, ''), '"', '') AS raw FROM documents
 """
 
 VIEW_SQL = {
@@ -319,23 +346,38 @@ FIXTURE_MODEL_NAMES = {"model-0": "llama-3.1-8B", "model-1": "qwen2.5-72B",
 FIXTURE_DATASET_NAMES = {"cqsa": "commonsenseqa", "gsm8k": "gsm8k-main"}
 
 
-def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from polyeval.operators import analysis as A
+def score_sums(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """One pass over the responses: accuracy, RER and the rule judge's share by (dataset, lang,
+    model), and the aggregates ``more``."""
     from polyeval.operators import scoring as S
 
-    keys = ("dataset", "lang", "model")
     rows = S.score_rows(fx_responses(spark, sf_dir))
     c = F.col("clean_response")
     correct = (c != "") & (c == F.coalesce(F.col("ground_truth"), F.lit("")))
-    # one pass: accuracy, RER and the rule judge's share in the same aggregate
-    t = rows.groupBy(*keys).agg(
+    return rows.groupBy("dataset", "lang", "model").agg(
         (F.sum(F.col("right").cast("long")).cast("double") / F.count(F.lit(1))).alias("accuracy"),
         (F.sum(F.col("error").cast("long")).cast("double") / F.count(F.lit(1))).alias("rer"),
-        (F.count_if(correct).cast("double") / F.count(F.lit(1))).alias("judge_accuracy"))
+        (F.count_if(correct).cast("double") / F.count(F.lit(1))).alias("judge_accuracy"), *more)
+
+
+def fixture_dataset(name="dataset") -> Column:
+    from polyeval.operators import analysis as A
+    return F.coalesce(F.try_element_at(A.map_lit(FIXTURE_DATASET_NAMES), F.col(name)), F.col(name))
+
+
+def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores_of(score_sums(spark, sf_dir))
+
+
+def scores_of(t: DataFrame) -> DataFrame:
+    """The long score table of one ``score_sums`` frame."""
+    from polyeval.operators import analysis as A
+
+    keys = ("dataset", "lang", "model")
     long = t.select(*keys, F.expr("stack(3, 'accuracy', accuracy, 'rer', rer, 'llm-judge', judge_accuracy)"
                                   " AS (metric_type, score)"))
     long = A.adherence(long)
-    ds = F.coalesce(F.try_element_at(A.map_lit(FIXTURE_DATASET_NAMES), F.col("dataset")), F.col("dataset"))
+    ds = fixture_dataset()
     model = F.try_element_at(A.map_lit(FIXTURE_MODEL_NAMES), F.col("model"))
     long = long.withColumn("dataset", ds).withColumn("model", model)
     return long.select(

@@ -93,8 +93,15 @@ def q_fallback(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("question"))
     m = fx_messages(spark, sf)
     p = X.parse_json_strict(_translation(), "struct<question:string,answer:string>")
-    t = m.select("idx", p["question"].alias("question"))
-    return J.fallback_to_original(d, t, "idx", ["question"])
+    t = m.select("idx", F.lit(1).alias("attempt"), p["question"].alias("question"))
+    return J.fallback_to_original(d, t, "idx", ["question"], order="attempt")
+
+
+def _corrected(spark, sf):
+    """Labels as updates in two passes, the first one wrong."""
+    lab = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    wrong = lab.select("doc_id", (1 - F.col("quality")).alias("quality"), (1 - F.col("toxic")).alias("toxic"))
+    return lab.withColumn("pass", F.lit(2)).unionByName(wrong.withColumn("pass", F.lit(1)))
 
 
 # --- D4 upsert labels onto documents ---------------------------------------------------------------------
@@ -103,16 +110,17 @@ def q_fallback(spark, sf):
   CASE WHEN l.doc_id IS NOT NULL THEN l.toxic ELSE 0 END AS toxic, l.doc_id IS NOT NULL AS updated
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def q_upsert(spark, sf):
+    """Every label is corrected once: of the two updates of an index the later one counts."""
     d = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("quality"),
                                               F.lit(0).alias("toxic"))
-    merged, _unmatched = J.upsert_by_index(d, table(spark, sf, "labels"), "doc_id", ["quality", "toxic"])
+    merged, _unmatched = J.upsert_by_index(d, _corrected(spark, sf), "doc_id", ["quality", "toxic"], order="pass")
     return merged
 
 
 register("upsert_unmatched", "SELECT l.doc_id FROM labels l ANTI JOIN documents d ON d.doc_id = l.doc_id")(
     lambda spark, sf: J.upsert_by_index(
         table(spark, sf, "documents").select("doc_id", F.lit(0).alias("quality"), F.lit(0).alias("toxic")),
-        table(spark, sf, "labels"), "doc_id", ["quality", "toxic"])[1].select("doc_id"))
+        table(spark, sf, "labels").withColumn("pass", F.lit(1)), "doc_id", ["quality", "toxic"], order="pass")[1].select("doc_id"))
 
 
 # --- D5 paired corpora by row number -----------------------------------------------------------------
@@ -224,8 +232,8 @@ FROM documents d LEFT JOIN (SELECT idx, {_TRANSLATION_SQL} AS t FROM fx_messages
 def q_chunks(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("original"))
     req = J.chunk_requests(d, "idx", 50)
-    res = fx_messages(spark, sf).select("idx", _translation().alias("text"))
-    return J.merge_chunk_results(req, res, "idx", "text", "original").select("idx", "chunk", "text")
+    res = fx_messages(spark, sf).select("idx", F.lit(1).alias("attempt"), _translation().alias("text"))
+    return J.merge_chunk_results(req, res, "idx", "text", "original", order="attempt").select("idx", "chunk", "text")
 
 
 # --- A15 skip runs whose output is there ----------------------------------------------------------------

@@ -153,18 +153,19 @@ def q_register_dataset(spark, sf):
     return REG.render(b, "benchmark_items", "en").select("item_id", "prompt", "ground_truth")
 
 
-# --- A11 response CSV header in the reference's column order ------------------------------------------------
-_HEADER_VALUES = ", ".join(f"({i}, {q(c)})" for i, c in enumerate(FS.RESPONSE_CSV_COLUMNS))
-
-
-@register("sink_response_csv", f"SELECT * FROM (VALUES {_HEADER_VALUES}) t(position, header)")
+# --- A11 response CSV: every row under the header in the reference's column order ------------------------------
+@register("sink_response_csv", with_views(f"""SELECT {q(','.join(FS.RESPONSE_CSV_COLUMNS))} AS header,
+  CAST(question_id AS VARCHAR) AS question_id, dataset, model, md5(system_prompt) AS system_md5, md5(prompt) AS prompt_md5,
+  md5(response) AS response_md5, ground_truth FROM fx_responses""", "fx_responses"))
 def q_sink_csv(spark, sf):
     path = scratch_path(spark, "responses-csv-header")
     SK.write_response_csv(fx_responses(spark, sf), path, "idx")
-    head = spark.read.text(path, wholetext=True).select(F.substring_index("value", "\n", 1).alias("h")).distinct()
-    cells = head.select(F.posexplode(F.split("h", ",")).alias("position", "header"))
-    return cells.select(F.col("position").cast("int").alias("position"),
-                        F.regexp_replace("header", '"', "").alias("header"))
+    heads = spark.read.text(path, wholetext=True).select(
+        F.regexp_replace(F.substring_index("value", "\n", 1), '"', "").alias("header"),
+        F.col("_metadata.file_name").alias("f"))
+    rows = FS.read_response_csv(spark, path, with_file=True)
+    return rows.join(heads, "f").select("header", "question_id", "dataset", "model", F.md5("system_prompt").alias("system_md5"),
+                                        F.md5("prompt").alias("prompt_md5"), F.md5("response").alias("response_md5"), "ground_truth")
 
 
 # --- Item -> prompt -> model -> score, end to end ----------------------------------------------

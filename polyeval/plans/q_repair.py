@@ -85,9 +85,13 @@ WHERE NOT (json_valid(t) AND starts_with(t, '{{') AND ends_with(t, '}}'))""", "f
 
 # --- B32 / J6 attempt chain; I4 report; D3 fallback on failures -----------------------------------------------
 # The oracle states, for each shape of fx_broken (fixtures.BROKEN_SHAPES), the
-# status and the fields after the repair, with # for the row's word: worked out
-# from the rules of each family. A value pattern that reaches past a missing
-# comma swallows the next member, as the rules have it.
+# status and the fields after the repair: worked out from the rules of each family.
+# A value pattern that reaches past a missing comma swallows the next member, as the
+# rules have it. # is the row's text as it comes out: unchanged where the record
+# parses as it is (text); without blanks around structure characters after the loose
+# fix (tight); with runs of blanks as one after a repair (blank); as its escaped form
+# where the values were encoded anew (again), without escaped quotes after the maths
+# rules (maths); line feeds as blanks where it stood raw (raw).
 _MERGED = '#" "answer": "C'
 _FAILED = ("failed", None, None)
 _QUESTIONS = {
@@ -101,18 +105,36 @@ _TASKS = {**_SENTENCES, 8: ("repaired", '# "', "G"), 14: ("repaired", '3 #" "ans
 _MATHS = {k: v if v[0] in ("parsed", "loose") else _FAILED for k, v in _TASKS.items()} | {
     3: ("repaired", "#", "D"), 6: ("repaired", "#", "3"), 7: ("repaired", "#", "[a, b]"), 14: ("repaired", "3 #", "7")}
 _LABELS = {**_QUESTIONS, 12: ("repaired", "#", "J")}
+_BLANKS = f"regexp_replace(e, '{X.WS_CLASS}+', ' ', 'g')"
+_TIGHT = (f"regexp_replace(regexp_replace(e, '{X.WS_CLASS}*([{{}}\\[\\]:,]){X.WS_CLASS}*', '\\1', 'g'), "
+          f"'{X.WS_CLASS}+', ' ', 'g')")
 
 
-def _case(expected, field):
-    def text(v):
-        return "NULL" if v is None else "replace(" + q(v) + ", '#', w)"
-    return "CASE shape " + " ".join(f"WHEN {k} THEN {q(v[0]) if field == 0 else text(v[field])}"
+def _unescaped(value: str) -> str:
+    return f"""json_extract_string('{{"v":"' || {value} || '"}}', '$.v')"""
+
+
+_MATHS_E = f"""replace({_BLANKS}, '\\"', '')"""
+_FORMS = {"text": "w", "tight": _unescaped(_TIGHT), "blank": _unescaped(_BLANKS), "again": _BLANKS,
+          "maths": _MATHS_E, "maths blank": _unescaped(_MATHS_E), "raw": f"regexp_replace(raw, '{X.WS_CLASS}+', ' ', 'g')"}
+# form of # by shape: the family's own, but for these
+_SPECIAL = {0: "text", 13: "text", 1: "tight", 5: "raw"}
+_QUESTION_FORMS = {**{k: "blank" for k in range(15)}, 10: "again", **_SPECIAL}
+_FORM_OF = {"Q": _QUESTION_FORMS, "S": {**_QUESTION_FORMS, 6: "again", 8: "again"},
+            "T": {**{k: "again" for k in range(15)}, 6: "blank", **_SPECIAL},
+            "M": {**{k: "maths" for k in range(15)}, 6: "maths blank", 14: "maths blank", **_SPECIAL}}
+
+
+def _case(expected, field, family):
+    def text(k, v):
+        return "NULL" if v is None else "replace(" + q(v) + f", '#', {_FORMS[_FORM_OF[family][k]]})"
+    return "CASE shape " + " ".join(f"WHEN {k} THEN {q(v[0]) if field == 0 else text(k, v[field])}"
                                     for k, v in expected.items()) + " END"
 
 
-def _expected_sql(expected):
-    return with_views(f"SELECT idx, {_case(expected, 0)} AS status, {_case(expected, 1)} AS question, "
-                      f"{_case(expected, 2)} AS answer FROM fx_broken", "fx_broken")
+def _expected_sql(expected, family):
+    return with_views(f"SELECT idx, {_case(expected, 0, family)} AS status, {_case(expected, 1, family)} AS question, "
+                      f"{_case(expected, 2, family)} AS answer FROM fx_broken", "fx_broken")
 
 
 def _attempts(spark, sf, family, **extra):
@@ -123,27 +145,31 @@ def _fields(attempts):
     return attempts.select("idx", "status", F.col("parsed.question").alias("question"), F.col("parsed.answer").alias("answer"))
 
 
-register("repair_json", _expected_sql(_QUESTIONS))(lambda spark, sf: _fields(_attempts(spark, sf, "Q")))
-register("repair_json_sentences", _expected_sql(_SENTENCES))(lambda spark, sf: _fields(_attempts(spark, sf, "S", extra=[RP.r10])))
+register("repair_json", _expected_sql(_QUESTIONS, "Q"))(lambda spark, sf: _fields(_attempts(spark, sf, "Q")))
+register("repair_json_sentences", _expected_sql(_SENTENCES, "S"))(lambda spark, sf: _fields(_attempts(spark, sf, "S", extra=[RP.r10])))
 # the profile of a data set by name: keys, family and extra steps come from the table
-register("repair_json_tasks", _expected_sql(_TASKS))(
+register("repair_json_tasks", _expected_sql(_TASKS, "T"))(
     lambda spark, sf: _fields(RP.repair_dataset(fx_broken(spark, sf), "translation", SCHEMA, "gsm8k")))
-register("repair_json_maths", _expected_sql(_MATHS))(lambda spark, sf: _fields(_attempts(spark, sf, "T", use_r9=True)))
-register("repair_json_labels", _expected_sql(_LABELS))(lambda spark, sf: _fields(_attempts(spark, sf, "Q", pre=[RP.r13, RP.r3])))
-register("repair_report", with_views(f"SELECT status, count(*) AS n FROM (SELECT {_case(_QUESTIONS, 0)} AS status FROM fx_broken) x "
+register("repair_json_maths", _expected_sql(_MATHS, "M"))(lambda spark, sf: _fields(_attempts(spark, sf, "T", use_r9=True)))
+register("repair_json_labels", _expected_sql(_LABELS, "Q"))(lambda spark, sf: _fields(_attempts(spark, sf, "Q", pre=[RP.r13, RP.r3])))
+_STATUS = {k: ("incomplete", *v[1:]) if v[0] != "failed" and None in v else v for k, v in _QUESTIONS.items()}
+register("repair_report", with_views(f"SELECT status, count(*) AS n FROM (SELECT {_case(_STATUS, 0, 'Q')} AS status FROM fx_broken) x "
                                      "GROUP BY status", "fx_broken"))(
-    lambda spark, sf: RP.repair_report(_attempts(spark, sf, "Q")))
+    lambda spark, sf: RP.repair_report(_attempts(spark, sf, "Q"), KEYS))
 
 
 @register("translations_table", with_views(f"""SELECT d.doc_id AS idx,
-  CASE WHEN b.status <> 'failed' AND b.question IS NOT NULL THEN b.question ELSE d.text END AS question,
-  CASE WHEN b.status <> 'failed' AND b.question IS NOT NULL THEN 'translated' ELSE 'original' END AS status
-FROM documents d LEFT JOIN (SELECT idx, {_case(_QUESTIONS, 0)} AS status, {_case(_QUESTIONS, 1)} AS question FROM fx_broken) b
-  ON b.idx = d.doc_id""", "fx_broken"))
+  CASE WHEN b.status NOT IN ('failed', 'incomplete') THEN b.question ELSE d.text END AS question,
+  CASE WHEN b.status NOT IN ('failed', 'incomplete') THEN b.answer END AS answer,
+  CASE WHEN b.status NOT IN ('failed', 'incomplete') THEN 'translated' ELSE 'original' END AS status
+FROM documents d LEFT JOIN (SELECT idx, {_case(_STATUS, 0, 'Q')} AS status, {_case(_STATUS, 1, 'Q')} AS question,
+    {_case(_STATUS, 2, 'Q')} AS answer FROM fx_broken) b ON b.idx = d.doc_id""", "fx_broken"))
 def q_translations(spark, sf):
-    """Final table: repaired translation where there is one, the original
+    """Final table: repaired translation where it has every key, the original
     record otherwise (D3), keyed by index over all documents."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("question"))
-    a = _attempts(spark, sf, "Q").where(F.col("status") != "failed").select(
-        "idx", F.col("parsed.question").alias("question"))
-    return J.fallback_to_original(docs, a, "idx", ["question"])
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("question"),
+                                                F.lit(None).cast("string").alias("answer"))
+    # failed records have no field, so they fall back as well
+    a = _attempts(spark, sf, "Q").select(
+        "idx", F.lit(1).alias("attempt"), *[F.col(f"parsed.{k}").alias(k) for k in KEYS])
+    return J.fallback_to_original(docs, a, "idx", KEYS, order="attempt")

@@ -11,9 +11,10 @@ from polyeval.operators import names as N
 from polyeval.operators import tokens as TK
 from polyeval.plans import oracle as O
 from polyeval.plans.catalog import register
-from polyeval.plans.fixtures import (FIXTURE_DATASET_NAMES, fx_chat, fx_responses, fx_scores, table,
-                                     with_views)
+from polyeval.plans.fixtures import (FIXTURE_DATASET_NAMES, fixture_dataset, fx_chat, fx_responses, score_sums, scores_of,
+                                     table, with_views)
 from polyeval.plans.oracle import q
+from polyeval.session import cut_lineage
 
 NAMES = ["blank", "word_punct", "char", "byte"]
 # which built-in tokenizer stands in for each fixture model
@@ -118,7 +119,16 @@ FROM fx_scores s LEFT JOIN ({_PT_STATS_SQL}) t ON s.model = t.model AND s.datase
 
 
 def _d1(spark, sf):
-    return J.join_scores_tokens(fx_scores(spark, sf), _prompt_tokens(spark, sf)).select(
+    """Scores and token measures come from one pass over the documents: sums by (dataset, lang,
+    model), a few rows, from which both tables are made."""
+    sums = cut_lineage(score_sums(spark, sf, *TK.measure_sums(prompt_text("system_prompt", "prompt"), NAMES)))
+    wide = sums.groupBy(fixture_dataset().alias("dataset"), "lang").agg(*[
+        F.round(F.sum(f"{n}__{m}") / F.sum("_rows"), TK.R).alias(f"{n}__{m}") for n in NAMES for m in ("tpr", "tpw", "bpt", "nsl")])
+    of_model = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"{n}__tpr").alias("avg_tokens_per_row"),
+                                  F.col(f"{n}__tpw").alias("avg_tokens_per_word"), F.col(f"{n}__bpt").alias("avg_bytes_per_token"),
+                                  F.col(f"{n}__nsl").alias("avg_normalized_seq_len")) for m, n in TOKENIZER_OF_MODEL.items()])
+    tokens = wide.select("dataset", "lang", F.explode(of_model).alias("_m")).select("dataset", "lang", "_m.*")
+    return J.join_scores_tokens(scores_of(sums), tokens).select(
         "lang", "dataset", "model", "metric_type", "score", "avg_tokens_per_row", "avg_bytes_per_token",
         "avg_normalized_seq_len", "avg_tokens_per_word")
 

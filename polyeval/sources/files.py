@@ -69,15 +69,30 @@ def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType,
     return good, bad
 
 
-def read_response_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_response_csv(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
     """A4: the seven-column response CSV (header, quoted new lines, cells of
-    any size) with engine column names."""
+    any size) with engine column names; ``with_file`` adds the file name as ``f``."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in RESPONSE_CSV_COLUMNS])
     d = (spark.read.schema(schema).option("header", True).option("multiLine", True)
          .option("escape", '"').option("maxCharsPerColumn", -1)
          .option("nullValue", "\\N").option("emptyValue", "")
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
-    return d.select(*[F.col(f"`{a}`").alias(b) for a, b in zip(RESPONSE_CSV_COLUMNS, RESPONSE_COLUMNS)])
+    file = [F.col("_metadata.file_name").alias("f")] if with_file else []
+    return d.select(*[F.col(f"`{a}`").alias(b) for a, b in zip(RESPONSE_CSV_COLUMNS, RESPONSE_COLUMNS)], *file)
+
+
+def read_first_files(spark: SparkSession, base: str, group: str) -> DataFrame:
+    """The response CSVs of the smallest path of every ``group`` folder (``group=value``), and no
+    other file: the choice is made on the listing, before anything is opened."""
+    lister = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(base)
+    first: dict[str, str] = {}
+    for name in sorted(lister.inputFiles()):
+        folder = next((f for f in name.split("/") if f.startswith(f"{group}=")), None)
+        if folder is not None:
+            first.setdefault(folder, name)
+    if not first:
+        return read_response_csv(spark, base).limit(0)
+    return read_response_csv(spark, list(first.values()))
 
 
 def _rel_path(col: str, base: str):

@@ -37,13 +37,26 @@ def write_response_csv(df: DataFrame, path: str, order: str = "idx", compat_na:
     new path (never rewritten in place). ``compat_na``: cells whose whole
     text is one of the pandas NA strings become empty, as after the
     reference's read-and-rewrite step."""
+    _csv_writer(df.orderBy(order).select(*_cells(compat_na))).csv(path)
+
+
+def write_response_tree(df: DataFrame, path: str, by: list[str], order: str = "idx") -> None:
+    """A11 as a tree: one folder for each value of ``by``, with one response CSV in question order."""
+    d = df.repartition(*by).sortWithinPartitions(*by, order).select(*_cells(False), *by)
+    _csv_writer(d).partitionBy(*by).csv(path)
+
+
+def _cells(compat_na: bool) -> list:
     def cell(c):
         v = F.col(c).cast("string")
         return F.when(v.isin(PANDAS_NA_STRINGS), F.lit("")).otherwise(v) if compat_na else v
-    d = df.orderBy(order).select(*[cell(a).alias(b) for a, b in zip(RESPONSE_COLUMNS, RESPONSE_CSV_COLUMNS)])
-    (d.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"')
-     .option("nullValue", NULL_TOKEN).option("emptyValue", "")
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return [cell(a).alias(b) for a, b in zip(RESPONSE_COLUMNS, RESPONSE_CSV_COLUMNS)]
+
+
+def _csv_writer(d: DataFrame):
+    return (d.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"')
+            .option("nullValue", NULL_TOKEN).option("emptyValue", "")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 
 def write_per_group(df: DataFrame, path: str, by: list[str], fmt: str = "parquet") -> None:

@@ -49,24 +49,39 @@ def stream_responses(spark: SparkSession, folder: str, sink: str, checkpoint: st
     q.awaitTermination()
 
 
-def _scored_counts(stream: DataFrame) -> DataFrame:
-    rows = S.score_rows(stream.dropDuplicates(["dataset", "model", "lang", "question_id"]))
+DELIVERY_KEYS = ["dataset", "model", "lang", "question_id"]
+
+
+def first_deliveries(stream: DataFrame, event_time: str | None = None, repeat_within: str = "7 days") -> DataFrame:
+    """Each result once. With an event time, a repeat is looked for within ``repeat_within`` of the
+    first delivery, and the state of older ids is dropped by the watermark (results that are later
+    than that are dropped too); without one, every id is remembered for good."""
+    if event_time is None:
+        return stream.dropDuplicates(DELIVERY_KEYS)
+    return stream.withWatermark(event_time, repeat_within).dropDuplicatesWithinWatermark(DELIVERY_KEYS)
+
+
+def _scored_counts(stream: DataFrame, event_time: str | None, repeat_within: str) -> DataFrame:
+    rows = S.score_rows(first_deliveries(stream, event_time, repeat_within))
     return rows.groupBy(*KEYS).agg(
         F.sum(F.col("right").cast("long")).alias("right"), F.sum(F.col("error").cast("long")).alias("errors"),
         F.count(F.lit(1)).alias("rows"))
 
 
 def stream_scores(spark: SparkSession, folder: str, table_path: str, checkpoint: str,
-                  files_per_trigger: int | None = None, rocksdb: bool = True) -> None:
+                  files_per_trigger: int | None = None, rocksdb: bool = True, event_time: str | None = None,
+                  repeat_within: str = "7 days", keep_versions: int = 10, schema: T.StructType = RESPONSE_SCHEMA) -> None:
     """K2: running counts per (dataset, lang, model) in ``update`` mode.
 
     Every micro-batch merges its changed groups into a new version
     ``table_path/v=<epoch>`` of the score table (one row per group) built
     from the previous version; nothing is overwritten in place, so a replayed
     epoch after a failure rebuilds the same version from intact input.
-    The de-duplication state holds every question id seen; ``rocksdb`` keeps
-    it in the RocksDB state store (on local disk, checkpointed) instead of the
-    executor heap.
+    Versions older than the last ``keep_versions`` are retired. With ``event_time``
+    (a timestamp column of ``schema``) the de-duplication state holds the ids of the
+    last ``repeat_within`` only; without it every id seen. ``rocksdb`` keeps the state
+    in the RocksDB state store (on local disk, checkpointed) instead of the executor
+    heap.
     """
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
@@ -80,9 +95,10 @@ def stream_scores(spark: SparkSession, folder: str, table_path: str, checkpoint:
         if prev is not None:
             cur = prev.join(cur.select(*KEYS), KEYS, "left_anti").unionByName(cur)
         cur.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/v={epoch}")
+        retire(sp, table_path, keep_versions)
 
     try:
-        q = (_scored_counts(read_stream(spark, folder, files_per_trigger=files_per_trigger))
+        q = (_scored_counts(read_stream(spark, folder, schema, files_per_trigger), event_time, repeat_within)
              .writeStream.outputMode("update").foreachBatch(merge)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     finally:                                # the query keeps the setting it started with
@@ -93,6 +109,17 @@ def stream_scores(spark: SparkSession, folder: str, table_path: str, checkpoint:
     q.awaitTermination()
 
 
+def retire(spark: SparkSession, table_path: str, keep: int) -> None:
+    """Delete the versions before the last ``keep`` ones (at least the newest two stay: a
+    replayed epoch is built from the one before)."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(table_path)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("v=")]
+    names.sort(key=lambda p: int(p.getName()[2:]))
+    for old in names[:-max(2, keep)]:
+        fs.delete(old, True)
+
+
 def _latest(spark: SparkSession, table_path: str, before: int | None = None) -> DataFrame | None:
     """The newest version of the score table (older than ``before``); None before the
     first version. A version that cannot be read raises."""

@@ -289,15 +289,15 @@ def test_learning_curve_auc(spark):
     assert A.learning_curve_auc(df).first()["auc"] == pytest.approx(want, abs=1e-9)
 
 
-def test_token_bucket_waits_with_fake_clock():
-    from polyeval.operators.runner import TokenBucket
+def test_slots_wait_with_fake_clock():
+    from polyeval.operators.runner import SlotSchedule
     now = [0.0]
     waits = []
 
     def sleep(s):
         waits.append(s)
         now[0] += s
-    b = TokenBucket(60.0, clock=lambda: now[0], sleep=sleep)   # one call per second
+    b = SlotSchedule(60.0, clock=lambda: now[0], sleep=sleep)   # one call per second
     for _ in range(3):
         b.take()
     assert len(waits) == 2 and all(w == pytest.approx(1.0) for w in waits)

@@ -49,7 +49,7 @@ def test_accuracy_independent_of_partitions(spark):
 def test_upsert_empty_is_identity(spark):
     d = table(spark, SF001, "documents").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     empty = d.limit(0)
-    merged, unmatched = J.upsert_by_index(d, empty, "doc_id", ["quality", "toxic"])
+    merged, unmatched = J.upsert_by_index(d, empty, "doc_id", ["quality", "toxic"], order="doc_id")
     assert sorted(merged.drop("updated").collect()) == sorted(d.collect())
     assert unmatched.count() == 0
 
@@ -82,19 +82,26 @@ def test_pack_matches_fold(spark, sizes, max_bytes, max_rows, chunk):
     assert got == _pack_ref(sizes, max_bytes, max_rows)
 
 
-def test_member_values_are_encoded():
-    from polyeval.functions.pyudfs import encode_members
-    for obj in [{"a": "x \"y\" z", "b": "ক\nখ"}, {"question": "plain", "answer": "A"}]:
-        s = json.dumps(obj, ensure_ascii=False)
-        assert json.loads(encode_members(s, "text", "bare_quotes")) == obj
-    assert encode_members('{"a": "x\\y"}', "text", "json_text") == '{"a": "x\\\\y"}'
-    assert encode_members('{"a": "say "hi" now", "b": "1\n2"}', "text", "bare_quotes") == \
-        '{"a": "say \\"hi\\" now", "b": "1\\n2"}'
+def test_member_values_are_encoded(spark):
+    from polyeval.operators import repair as RP
+
+    def encoded(texts, kind, encode):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+        return [r["o"] for r in df.select("i", RP.encode_members(F.col("t"), kind, encode).alias("o")).orderBy("i").collect()]
+    objects = [{"a": "x \"y\" z", "b": "ক\nখ"}, {"question": "plain", "answer": "A"}, {"question": "ab\n\\ \"" * 20_000, "answer": "A"}]
+    texts = [json.dumps(o, ensure_ascii=False) for o in objects]
+    assert [json.loads(t) for t in encoded(texts, "text", RP.bare_quotes)] == objects
+    assert encoded(['{"a": "x\\y"}', None, "", "no member"], "text", RP.json_text) == ['{"a": "x\\\\y"}', None, "", "no member"]
+    assert encoded(['{"a": "say "hi" now", "b": "1\n2"}'], "text", RP.bare_quotes) == ['{"a": "say \\"hi\\" now", "b": "1\\n2"}']
     # only the text pattern lets an escaped quote stand before a comma
     text = '{"a": "he said \\"hi\\", then left"}'
-    assert encode_members(text, "text", "json_text") == '{"a": "he said \\\\\\"hi\\\\\\", then left"}'
-    assert encode_members(text, "task", "json_text") == '{"a": "he said \\\\\\"hi\\\\", then left"}'
-    assert encode_members(None, "text", "json_text") is None
+    assert encoded([text], "text", RP.json_text) == ['{"a": "he said \\\\\\"hi\\\\\\", then left"}']
+    assert encoded([text], "task", RP.json_text) == ['{"a": "he said \\\\\\"hi\\\\", then left"}']
+
+
+def test_repair_runs_without_python(spark):
+    for name in ("repair_json", "repair_json_sentences", "repair_json_tasks", "repair_json_maths", "repair_json_labels"):
+        assert "EvalPython" not in E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_maths_rules(spark):
