@@ -45,6 +45,7 @@ WIDTH = 8
 MIN_LITERAL = 4
 MIN_COVERAGE = 0.5
 BROADCAST_WINDOWS = 200_000
+BROADCAST_HITS = 2_000_000    # ids of documents that go, broadcast at most
 SIEVE_BITS = 1 << 18
 NUMBER, QUANTITY, NAME = -1, -2, -3
 
@@ -191,10 +192,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_
                  min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """One row for each document and item found in it: doc_id, item_id, n_windows
     (of the item, found), n_item_windows, coverage, n_slots, n_changed (slot
-    values that differ) and kind (copy or reparameterised)."""
+    values that differ) and kind (copy, reparameterised, or short: an item below ``width``
+    tokens, whose words stand in the document)."""
     common.prepare(docs.sparkSession)
     items = written(item_windows(benchmark, width, min_literal), "items")
-    totals = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_item_windows"))
+    totals = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_item_windows"), F.max("width").alias("item_width"))
     side = F.broadcast(items) if items.count() <= BROADCAST_WINDOWS else items
     met = document_windows(docs, items, width).join(side, "hash")
     pair = F.when(F.col("slots") != "", F.arrays_zip(
@@ -220,10 +222,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_
             .withColumn("coverage", F.col("n_windows") / F.col("n_item_windows"))
             .where(F.col("coverage") >= min_coverage)
             .select("doc_id", "item_id", "n_windows", "n_item_windows", "coverage", "n_slots", "n_changed",
-                    F.when(F.col("n_changed") > 0, "reparameterised").otherwise("copy").alias("kind")))
+                    F.when(F.col("item_width") < width, "short").when(F.col("n_changed") > 0, "reparameterised")
+                    .otherwise("copy").alias("kind")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, columns unchanged."""
-    hit = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("hit_id")).distinct()
+    """The rows of ``docs`` in which no item is found, columns unchanged. A short item ("Paris", "What is
+    it?") stands in clean documents too: it is reported, but drops none."""
+    hit = written(contaminated(docs, benchmark, **options).where("kind <> 'short'").select(F.col("doc_id").alias("hit_id")).distinct(),
+                  "hits")
+    # few ids are counted and broadcast, so that the texts stay where they are
+    hit = F.broadcast(hit) if hit.count() <= BROADCAST_HITS else hit
     return docs.join(hit, docs["doc_id"] == hit["hit_id"], "left_anti")

@@ -71,10 +71,10 @@ def fingerprint_column(shingle: int = SHINGLE):
     return column
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and the signed 64-bit fingerprint ``fp`` of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more) -> DataFrame:
+    """doc_id, the signed 64-bit fingerprint ``fp`` of every row, and the columns ``more``."""
     common.prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").alias("doc_id"), fingerprint_column(shingle)(F.col("text")).alias("fp"))
+    return docs.select(F.col("doc_id").alias("doc_id"), fingerprint_column(shingle)(F.col("text")).alias("fp"), *more)
 
 
 def layout(segments: int = SEGMENTS, max_bits: int = MAX_BITS) -> list[tuple[int, int, int]]:
@@ -224,25 +224,36 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
-                    group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable) of every row."""
-    prints = written(fingerprints(docs, shingle), "fingerprints")
+def _labelled(prints: DataFrame, max_bits: int, segments: int, group_rows: int) -> DataFrame:
+    """``prints`` with root (a fingerprint of the component) and component_id."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct, max_bits, segments, group_rows))
     labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = labelled.join(ids, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component: the row whose doc_id names it, once. Rows
-    without a doc_id cannot be named by another and stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), **options)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = rows.withColumn("row_of_id", F.row_number().over(first)).where("row_of_id = 1").drop("row_of_id")
-    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+    by_print = labelled.join(ids, "root").select("fp", "root", "component_id")
+    return prints.join(by_print, "fp", "left")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
+                    group_rows: int = GROUP_ROWS) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id reachable) of every row."""
+    prints = written(fingerprints(docs, shingle), "fingerprints")
+    return _labelled(prints, max_bits, segments, group_rows).select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
+                         group_rows: int = GROUP_ROWS) -> DataFrame:
+    """One document of each component: a row whose doc_id names the component and whose text lies in
+    it (of several such texts the one with the smallest hash), once. Two components may have the same
+    name, when one id has texts in both; each keeps its row. Rows without a doc_id cannot be named by
+    another and stay."""
+    prints = written(fingerprints(docs, shingle, F.xxhash64("text").alias("text_hash")), "fingerprints")
+    found = _labelled(prints, max_bits, segments, group_rows).where(F.col("doc_id") == F.col("component_id"))
+    keep = found.groupBy("doc_id", "root").agg(F.min("text_hash").alias("kept_hash"))
+    keep = keep.select(F.col("doc_id").alias("kept_id"), "kept_hash").distinct()
+    named = docs.withColumn("simhash__text", F.xxhash64("text"))
+    rows = named.join(keep, (named["doc_id"] == keep["kept_id"]) & (named["simhash__text"] == keep["kept_hash"]), "left_semi")
+    first = Window.partitionBy("doc_id", "simhash__text").orderBy(F.lit(0))
+    rows = rows.withColumn("simhash__row", F.row_number().over(first)).where("simhash__row = 1")
+    return rows.drop("simhash__row", "simhash__text").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -130,6 +130,13 @@ def test_simhash_empty_table(spark):
     assert simhash.drop_near_duplicates(empty).collect() == []
 
 
+def test_one_id_in_two_components_keeps_both(spark):
+    a, b, d, e = (prose(40 + i, 60) for i in range(4))
+    rows = [row(1, a), row(2, a), row(2, b), row(4, d), row(4, e), row(9, d), row(4, d)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (2, b), (4, d), (4, e)])
+
+
 def test_drop_near_duplicates_keeps_one_row_of_each_component(spark):
     rows = edge_documents()
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -141,7 +148,7 @@ def test_drop_near_duplicates_keeps_one_row_of_each_component(spark):
     assert ids.count(None) == 2
 
 
-@pytest.mark.parametrize("group_rows", [50_000, 1])
+@pytest.mark.parametrize("group_rows", [4_000, 3, 1])
 def test_repeats_edges_equal_brute_force(spark, group_rows):
     rows = edge_documents()
     got = substrings.repeat_report(spark.createDataFrame(rows, SCHEMA), group_rows=group_rows).collect()

@@ -275,7 +275,7 @@ def test_items_without_plain_words_are_found(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     got = decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(len(texts))]
-    assert all(r.coverage == 1.0 and r.kind == "copy" for r in got)
+    assert all(r.coverage == 1.0 and r.kind in ("copy", "short") for r in got)
 
 
 RECASED = ("The river Danube flows through Vienna, Budapest and Belgrade before it reaches the Black Sea near Romania and Ukraine",
@@ -290,3 +290,11 @@ def test_copies_in_other_letter_case_are_found(spark):
         list(enumerate(RECASED)), "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == sorted((r[0], r[0] // 10) for r in rows)
     assert all(r.coverage == 1.0 and r.kind == "copy" and r.n_changed == 0 for r in got)
+
+
+def test_short_items_are_reported_and_drop_nothing(spark):
+    docs = spark.createDataFrame([row(1, "He went to Paris in spring."), row(2, "What is it? " + prose(50, 40)), row(3, prose(51, 30))], SCHEMA)
+    items = spark.createDataFrame([(1, "Paris"), (2, "What is it?"), (3, prose(51, 30))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontam.contaminated(docs, items).collect()}
+    assert got == {(1, 1): "short", (2, 2): "short", (3, 3): "copy"}
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == [1, 2]
