@@ -17,9 +17,13 @@ run is removed.
   level by level, to the right and to the left of the synchronising place. The
   nodes ``left`` words above and ``window - left`` words below a place give the
   class of equal windows and its smallest doc_id.
-* A prefix with more than ``group_rows`` leaves does not fit one subtree: its
-  windows are classed by an aggregation over their 128-bit hashes instead,
-  which splits over tasks and combines before the shuffle.
+* Prefixes have variable length. A group stands for the windows that begin ``a``
+  to ``b`` words before the place, and its prefix is the ``a`` words before it and
+  the ``window - b`` words from it on, which all of them share; the first group of
+  a place is a = 0, b = window - prefix. A group with more than ``group_rows``
+  leaves is cut in two halves of its range, whose prefixes are longer, until all
+  groups fit a task. At the end of the cuts a prefix is one whole window, a single
+  node whose leaves need no subtree: their smallest doc_id is an aggregate.
 
 Edge cases: null texts have no words; texts below ``window`` words lose none; a
 row without doc_id neither removes nor loses words; equal doc_ids do not remove
@@ -43,7 +47,8 @@ from polyeval.llm.common import HashCache, blocks, written
 
 WINDOW = 50
 PREFIX = 10
-GROUP_ROWS = 50_000
+GROUP_ROWS = 50_000            # leaves of one subtree (about 75 MB in a task); larger groups get longer prefixes
+PLACES_AT_ONCE = 20_000        # places whose surroundings a task holds at once
 TREE_ROWS = 16_000             # leaves a task turns into subtrees at once, whole prefixes
 _NONE = np.iinfo(np.int64).max
 _CONSTANTS = np.random.default_rng(20).integers(1, 1 << 63, (2, 4096), dtype=np.uint64) | np.uint64(1)
@@ -130,7 +135,10 @@ def _places(window: int, prefix: int):
                 doc = np.searchsorted(ends, at, side="right")
                 first, last = (ends - sizes)[doc], ends[doc]
                 low, high = _offsets(at, first, last, window, prefix)
-                leaf = _leaf_hash(_surroundings(codes, at, first, last, window, prefix), low, high)
+                leaf = np.concatenate([_leaf_hash(_surroundings(codes, *(x[c:c + PLACES_AT_ONCE] for x in (at, first, last)),
+                                                                window, prefix),
+                                                  low[c:c + PLACES_AT_ONCE], high[c:c + PLACES_AT_ONCE])
+                                       for c in range(0, max(1, len(at)), PLACES_AT_ONCE)])
                 row = pa.array(use[doc] + s)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(row), hashes.take(row), pa.array((at - first).astype(np.int32)),
@@ -141,6 +149,8 @@ def _places(window: int, prefix: int):
 
 
 LEAVES = "prefix long, leaf long, least long, most long, low int, high int, words binary"
+#: a leaf in a group: ``key`` tells the prefix, ``a`` and ``b`` the range of its windows
+GROUPED = "key long, a int, b int, " + LEAVES
 
 
 def _leaf_words(window: int, prefix: int):
@@ -168,7 +178,8 @@ def _renumber(key: np.ndarray) -> np.ndarray:
 
 
 def _subtrees(group, words, least, low, high, window: int, prefix: int) -> np.ndarray:
-    """[leaf, left]: smallest doc_id that holds the window starting ``left`` words before the leaf's place."""
+    """[leaf, left]: smallest doc_id in the leaf's group that holds the window starting ``left`` words before
+    the leaf's place (a leaf of the range low to high)."""
     left_max = window - prefix
     below = {prefix: _renumber(group)}                # node ids by depth to the right
     for depth in range(prefix + 1, window + 1):
@@ -210,11 +221,12 @@ def _runs(prefix_col, leaf_col, most, classes):
 
 
 def _grow(window: int, prefix: int):
-    """Rows sorted by prefix -> runs; whole prefixes, about TREE_ROWS leaves at a time."""
+    """Rows sorted by group -> runs; whole groups, about TREE_ROWS leaves at a time."""
     def solve(kept):
-        p, leaf, least, most, low, high = (np.concatenate([k[i] for k in kept]) for i in range(6))
-        words = np.concatenate([k[6] for k in kept])
-        return _runs(p, leaf, most, _subtrees(p.view(np.uint64), words, least, low, high, window, prefix))
+        key, a, b, p, leaf, least, most, low, high = (np.concatenate([k[i] for k in kept]) for i in range(9))
+        words = np.concatenate([k[9] for k in kept])
+        return _runs(p, leaf, most, _subtrees(key.view(np.uint64), words, least, np.maximum(low, a), np.minimum(high, b),
+                                              window, prefix))
 
     def run(batches):
         kept: list = []
@@ -222,8 +234,8 @@ def _grow(window: int, prefix: int):
         for batch in batches:
             for s in range(0, batch.num_rows, 4000):
                 part = batch.slice(s, 4000)
-                cols = [part.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-                words = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint64).reshape(part.num_rows, -1)
+                cols = [part.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
+                words = np.frombuffer(b"".join(part.column(9).to_pylist()), np.uint64).reshape(part.num_rows, -1)
                 if rows >= TREE_ROWS:
                     cut = int(np.searchsorted(cols[0], kept[-1][0][-1], side="right"))
                     kept.append([*(c[:cut] for c in cols), words[:cut]])
@@ -240,27 +252,32 @@ def _grow(window: int, prefix: int):
     return run
 
 
-WINDOWS = "prefix long, leaf long, most long, left int, h1 long, h2 long, least long"
-
+def _longer(window: int, prefix: int):
+    """Rows of groups that are too large -> the same in the two halves of their range, by longer prefixes."""
+    left = window - prefix
 
-def _window_rows(window: int, prefix: int):
-    """Every window of a leaf with its 128-bit hash, for prefixes above the memory of one subtree."""
     def run(batches):
         for batch in batches:
             for s in range(0, batch.num_rows, 2000):
                 part = batch.slice(s, 2000)
-                p, leaf, least, most, low, high = (part.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-                words = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint64).reshape(part.num_rows, -1)
-                for left in range(window - prefix + 1):
-                    at = np.flatnonzero((low <= left) & (left <= high))
-                    if not len(at):
+                a, b = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+                low, high = (part.column(i).to_numpy(zero_copy_only=False) for i in (7, 8))
+                words = np.frombuffer(b"".join(part.column(9).to_pylist()), np.uint64).reshape(part.num_rows, -1)
+                mid = (a + b) // 2
+                place = np.arange(words.shape[1])
+                for lo, hi in ((a, mid), (mid + 1, b)):
+                    use = np.flatnonzero((low <= hi) & (high >= lo))
+                    if not len(use):
                         continue
-                    w = words[at, window - prefix - left:2 * window - prefix - left]
-                    h1, h2 = (_mix((w * _CONSTANTS[k, :window]).sum(axis=1, dtype=np.uint64)) for k in (0, 1))
+                    lo, hi = lo[use], hi[use]
+                    # the words that all windows of the range hold
+                    shared = (place >= (left - lo)[:, None]) & (place < (left + window - hi)[:, None])
+                    h = (np.where(shared, words[use], np.uint64(0)) * _CONSTANTS[1, :words.shape[1]]).sum(axis=1, dtype=np.uint64)
+                    h = _mix(_mix(h + lo.astype(np.uint64) * _CONSTANTS[1, 4000]) + hi.astype(np.uint64) * _CONSTANTS[1, 4001])
+                    rest = part.take(pa.array(use))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(p[at]), pa.array(leaf[at]), pa.array(most[at]), pa.array(np.full(len(at), left, np.int32)),
-                         pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(least[at])],
-                        names=["prefix", "leaf", "most", "left", "h1", "h2", "least"])
+                        [pa.array(h.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)),
+                         *(rest.column(i) for i in range(3, 10))], names=[c.split()[0] for c in GROUPED.split(", ")])
     return run
 
 
@@ -286,32 +303,33 @@ def repeat_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
         F.min_by("text_hash", "doc_id").alias("text_hash"), F.min_by("pos", "doc_id").alias("pos")), "leaves")
     sizes = written(leaves.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")), "sizes")
     leaves = leaves.join(sizes, "prefix")
-    alone = leaves.where("n = 1 and least < most").select(
+    runs = leaves.where("n = 1 and least < most").select(
         "prefix", "leaf", F.col("low").alias("from_left"), F.col("high").alias("to_left"), "least")
 
     wanted = leaves.where("n > 1").select(
         F.col("least").alias("repeat__id"), F.col("text_hash").alias("repeat__text"),
-        F.struct("pos", "prefix", "leaf", "least", "most", "low", "high",
-                 (F.col("n") > group_rows).alias("large")).alias("place"))
+        F.struct("pos", "prefix", "leaf", "least", "most", "low", "high").alias("place"))
     # places of one document, at most as many as it has words
     wanted = wanted.groupBy("repeat__id", "repeat__text").agg(F.collect_list("place").alias("repeat__places"))
     source = named.join(wanted, (named["doc_id"].cast("long") == wanted["repeat__id"])
                         & (named["repeat__hash"] == wanted["repeat__text"]))
-
-    def with_words(large: bool) -> DataFrame:
-        some = F.filter("repeat__places", lambda p: p["large"] == F.lit(large))
-        return (source.select(*named.columns, some.alias("repeat__places")).where(F.size("repeat__places") > 0)
-                .mapInArrow(_leaf_words(window, prefix), LEAVES))
-
-    trees = (with_words(False).repartition("prefix").sortWithinPartitions("prefix")
-             .mapInArrow(_grow(window, prefix), RUNS))
-    runs = alone.unionByName(trees)
-    if not sizes.where(F.col("n") > group_rows).isEmpty():
-        rows = written(with_words(True).mapInArrow(_window_rows(window, prefix), WINDOWS), "windows")
-        best = written(rows.groupBy("h1", "h2", "left").agg(F.min("least").alias("best")), "classes")
-        rows = rows.join(best, ["h1", "h2", "left"]).where("best < most")
-        runs = runs.unionByName(rows.select("prefix", "leaf", F.col("left").alias("from_left"),
-                                            F.col("left").alias("to_left"), F.col("best").alias("least")))
+    grouped = written(source.select(*named.columns, "repeat__places").mapInArrow(_leaf_words(window, prefix), LEAVES).select(
+        F.col("prefix").alias("key"), F.lit(0).alias("a"), F.lit(window - prefix).alias("b"), "*"), "leaf-words")
+    # every round makes the prefixes of the groups that are too large longer; a range halves, so there are few rounds
+    while True:
+        size = grouped.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        large = written(size.where(F.col("n") > group_rows).select("key"), "large-groups")
+        whole = large.isEmpty()
+        fits = grouped if whole else grouped.join(large, "key", "left_anti")
+        runs = runs.unionByName(fits.repartition("key").sortWithinPartitions("key").mapInArrow(_grow(window, prefix), RUNS))
+        if whole:
+            break
+        rest = written(grouped.join(large, "key", "left_semi").select(*grouped.columns), "large-leaves")
+        single = rest.where("a = b")                     # one window: a node whose leaves share all its words
+        least = single.groupBy("key").agg(F.min("least").alias("best"))
+        runs = runs.unionByName(single.join(least, "key").where("best < most").select(
+            "prefix", "leaf", F.col("a").alias("from_left"), F.col("a").alias("to_left"), F.col("best").alias("least")))
+        grouped = written(rest.where("a < b").mapInArrow(_longer(window, prefix), GROUPED), "leaf-words")
     hit = places.select("doc_id", "text_hash", "pos", "prefix", "leaf").join(
         runs, ["prefix", "leaf"]).where("least < doc_id")
     span = F.struct((F.col("pos") - F.col("to_left")).alias("start"),

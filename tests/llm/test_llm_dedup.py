@@ -148,7 +148,7 @@ def test_drop_near_duplicates_keeps_one_row_of_each_component(spark):
     assert ids.count(None) == 2
 
 
-@pytest.mark.parametrize("group_rows", [4_000, 3, 1])
+@pytest.mark.parametrize("group_rows", [50_000, 3, 1])
 def test_repeats_edges_equal_brute_force(spark, group_rows):
     rows = edge_documents()
     got = substrings.repeat_report(spark.createDataFrame(rows, SCHEMA), group_rows=group_rows).collect()
