@@ -156,7 +156,7 @@ def _forest(n_rows: int, similar):
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _whole_groups(batches, key_columns: int = 1):
+def _whole_groups(batches):
     """Lists of rows with one key; rows come sorted by their first column."""
     now, held = None, []
     for batch in batches:
