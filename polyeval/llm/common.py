@@ -43,17 +43,21 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS) == 0
 
 
+def train_labels(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, y) of the training fold. Null ids and labels do not train; of repeated rows of an id one remains."""
+    return (labels.select(F.col("doc_id").alias("doc_id"), F.col(column).cast("int").alias("y"))
+            .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
+            .groupBy("doc_id").agg(F.max("y").alias("y")))
+
+
 def sample_labels(labels: DataFrame, column: str, max_per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, y) of the training fold, about ``max_per_class`` rows of either
     class, and the class counts over the whole fold.
 
     The sample takes the rows whose doc_id hash lies below the class's share, so
-    it needs no sort and is the same at every layout. Null ids and labels do not
-    train; of repeated rows of an id one remains.
+    it needs no sort and is the same at every layout.
     """
-    train = (labels.select(F.col("doc_id").alias("doc_id"), F.col(column).cast("int").alias("y"))
-             .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
-             .groupBy("doc_id").agg(F.max("y").alias("y")))
+    train = train_labels(labels, column)
     counts = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("double") / float(1 << 30)
     share = F.lit(1.0)

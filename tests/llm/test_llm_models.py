@@ -170,3 +170,38 @@ def test_repeated_ids_stay_within_the_sample(spark):
     assert np.array_equal(x, again)
     biases = [toxicity.fit(d, table).bias for d in (docs, docs.repartition(7, "text"))]
     assert biases[0] == biases[1] and abs(biases[0]) < 3
+
+
+def test_terms_that_matter_in_pairs_only_enter_the_machine(spark):
+    """Label 1 where both words stand or neither does: neither word says anything alone."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(1, 2001):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = prose(i, 12).split() + ["wolves"] * a + ["bridge"] * b
+        rng.shuffle(words)
+        rows.append(row(i, " ".join(words)))
+        labels.append((i, 0, int(a == b)))
+    docs, table = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)
+    counts = toxicity.sample_labels(table, "toxic", 8_000)[1]
+    pair = {toxicity.buckets_of(w)[0] for w in (b"wolves", b"bridge")}
+    assert not pair & set(toxicity.telling_terms(toxicity.term_counts(docs, table), counts))
+    machine = toxicity.fit(docs, table)
+    assert all(machine.slot[t] >= 0 for t in pair)
+    got = toxicity.score_documents(docs, machine).collect()
+    assert accuracy(got, {d: t for d, _, t in labels}, "predicted") >= 0.95
+
+
+def test_term_counts_cover_every_labelled_row(spark):
+    rows = [row(i, f"word{i % 3} Shared", "en") for i in range(1, 401)] + [row(1, "word1 shared")] * 3 + [row(2, None)]
+    labels = [(i, 0, i % 2) for i in range(1, 301)] + [(2, 0, 0), (None, 0, 1), (5, 0, None)]
+    got = {r["t"]: (r["b"], r["a"]) for r in toxicity.term_counts(
+        spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)).collect()}
+    want = {}
+    share = {1: 4, 2: 2}
+    for d, text, *_ in rows:
+        if 1 <= d <= 300 and not held(d) and text:
+            for t in set().union(*(toxicity.buckets_of(w) for w in toxicity.words_of(text))):
+                a = want.setdefault(t, [0, 0])
+                a[d % 2] += toxicity.UNIT // share.get(d, 1)
+    assert got == {t: tuple(a) for t, a in want.items()}
