@@ -1,8 +1,8 @@
 """Deterministic sharded WARC archives.
 
 Writing: records are cut into key ranges of about ``shard_bytes`` of payload
-(ranges follow from the data alone, not from samples or partitions), sorted by
-key inside a range, and written as one gzip member each; a file is closed when
+(ranges follow from the data alone, not from samples or partitions; a key above
+that is cut by digest), sorted by key inside a range, and written as one gzip member each; a file is closed when
 its compressed size reaches ``file_bytes``. Headers and digests are made anew,
 the record id derives from key and payload, and the date is a parameter, so the
 same table gives the same bytes at any layout. Every writing attempt uses names
@@ -18,7 +18,8 @@ Reading streams the files that the manifest names and checks the block digests.
 Edge cases: a null payload is empty; a null key sorts first, is never referred
 to and is read back as null; rows sharing key and payload are all responses when
 their key is the smallest; a null address is written as an empty one; an empty
-table gives an empty manifest; other columns may have any name.
+table gives an empty manifest; other columns may have any name. Rows equal in key
+and payload share a shard, however many they are.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyeval.llm import common
+from polyeval.sources.stores import open_store
 
 SHARD_BYTES = 32 << 20
 FILE_BYTES = 4 << 20
@@ -48,53 +50,71 @@ RECORDS = ("page_id long, url string, record_type string, payload binary, payloa
            "payload_digest string, refers_to long")
 
 
-def open_store(root: str):
-    """(file system, path) of a folder that driver and executors share."""
-    if root.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + root[len("file:"):].lstrip("/")
-    if "://" not in root:
-        return pafs.LocalFileSystem(), root
-    return pafs.FileSystem.from_uri(root)
+def _sums(sizes: DataFrame, lo: np.ndarray, hi: np.ndarray, step: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first key, last key, bytes) of the cells of ``step`` keys in the disjoint ranges lo..hi, by one job."""
+    shipped = sizes.sparkSession.sparkContext.broadcast((lo, hi, step))    # three numbers a range
+
+    @F.pandas_udf("long")
+    def cell(keys: pd.Series) -> pd.Series:
+        lo, hi, step = shipped.value
+        k = keys.to_numpy(np.int64)
+        i = np.maximum(np.searchsorted(lo, k, side="right") - 1, 0)
+        inside = (k >= lo[i]) & (k <= hi[i])
+        # differences as unsigned numbers: keys may lie further apart than a long holds
+        start = lo[i] + ((k - lo[i]).view(np.uint64) // step[i] * step[i]).view(np.int64)
+        return pd.Series(pd.arrays.IntegerArray(start, ~inside))
+    rows = (sizes.groupBy(cell("key").alias("c")).agg(F.sum("n").alias("n")).where("c is not null").collect())
+    out = []
+    for c, n in sorted(map(tuple, rows)):
+        i = int(np.searchsorted(lo, c, side="right")) - 1
+        out.append((c, min(int(hi[i]), c + int(step[i]) - 1), n))
+    return out
 
 
 def key_bounds(sizes: DataFrame, shard_bytes: int) -> list[int]:
     """Lower bounds of the key ranges after the first, each of about ``shard_bytes``.
 
-    ``sizes``: (key, n). Keys are counted in ``CELLS`` equal cells; a cell above
-    the target is counted again by itself in smaller ones, so clustered keys need
-    a few passes more.
+    ``sizes``: (key, n). Keys are counted in ``CELLS`` equal cells; all cells above the target are
+    counted again in smaller ones, together, until they fit or hold one key. So there is one job a
+    level, however many cells are too large, and at most 16 finer cells for each shard's worth of
+    bytes reach the driver.
     """
     edge = sizes.agg(F.min("key").alias("a"), F.max("key").alias("b")).first()
     if edge["a"] is None:
         return []
-    bounds: list[int] = []
-    filled = 0
-    todo = [(edge["a"], edge["b"])]
-    cells: dict[tuple[int, int], list] = {}
-
-    def count(a: int, b: int) -> list:
-        width = (b - a) // CELLS + 1
-        rows = (sizes.where(F.col("key").between(a, b))
-                .groupBy(F.floor((F.col("key") - a) / F.lit(width)).cast("long").alias("c"))
-                .agg(F.sum("n").alias("n")).collect())
-        return sorted((a + r["c"] * width, min(b, a + (r["c"] + 1) * width - 1), r["n"]) for r in rows)
-
+    done, todo = [], [(edge["a"], edge["b"], CELLS)]
     while todo:
-        a, b = todo.pop(0)
-        cells[a, b] = count(a, b)
-        finer = []
-        for lo, hi, n in cells[a, b]:
-            if n > shard_bytes and hi > lo:
-                finer.append((lo, hi, n))
-                continue
-            if filled and filled + n > shard_bytes:
-                bounds.append(lo)
-                filled = 0
-            filled += n
-        for lo, hi, _ in finer:                      # their keys get ranges of their own
-            bounds += [lo, hi + 1]
-            todo.append((lo, hi))
-    return sorted({x for x in bounds if edge["a"] < x <= edge["b"]})
+        lo, hi = (np.array([t[i] for t in todo], np.int64) for i in (0, 1))
+        step = np.array([(b - a) // parts + 1 for a, b, parts in todo], np.uint64)
+        todo = []
+        for a, b, n in _sums(sizes, lo, hi, step):
+            if n > shard_bytes and b > a:
+                todo.append((a, b, 16 * -(-n // shard_bytes)))
+            else:
+                done.append((a, n))
+    bounds, filled = [], 0
+    for a, n in sorted(done):
+        if filled and filled + n > shard_bytes:
+            bounds.append(a)
+            filled = 0
+        filled += n
+    return bounds
+
+
+def hot_keys(sizes: DataFrame, shard_bytes: int) -> dict[int | None, int]:
+    """Keys (the null key too) that hold more than ``shard_bytes`` and so stand for several shards;
+    there are fewer of them than shards."""
+    rows = sizes.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > shard_bytes).collect()
+    return {r["key"]: -(-r["n"] // shard_bytes) for r in rows}
+
+
+def shard_numbers(bounds: list[int], hot: dict[int | None, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds, first shard, shards) of the key ranges: range 0 is that of null keys, range i that of
+    keys from bounds[i - 1] on. A hot key is a range of its own, cut by digest."""
+    edges = sorted({*bounds, *(k for k in hot if k is not None), *(k + 1 for k in hot if k is not None and k < (1 << 63) - 1)})
+    edges = [-(1 << 63), *(e for e in edges if e > -(1 << 63))]
+    shards = np.array([hot.get(None, 1), *(hot.get(e, 1) for e in edges)], np.int64)
+    return np.array(edges, np.int64), np.cumsum(shards) - shards, shards
 
 
 def _record_id(key, digest: str, nth: int = 0) -> str:
@@ -217,26 +237,33 @@ def write_archives(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES,
     rows = pages.select(F.col(key).cast("long").alias("key"), F.sha2(text, 256).alias("digest"),
                         F.octet_length(text).cast("long").alias("n"), F.col(url).alias("url"), text.alias("payload"))
     light = common.written(rows.select("key", "digest", "n", "url"), "digests")
-    bounds = np.array(key_bounds(light.where("key is not null").select("key", (F.col("n") + 400).alias("n")), shard_bytes),
-                      np.int64)
-    known = spark.sparkContext.broadcast(bounds)       # one number for each shard
+    sizes = light.select("key", (F.col("n") + 400).alias("n"))
+    ranges = shard_numbers(key_bounds(sizes.where("key is not null"), shard_bytes), hot_keys(sizes, shard_bytes))
+    n_shards = int(ranges[2].sum())
+    known = spark.sparkContext.broadcast(ranges)       # three numbers for each shard at most
 
     @F.pandas_udf("int")
-    def shard_of(keys: pd.Series) -> pd.Series:
-        empty = keys.isna()
-        at = np.searchsorted(known.value, keys.fillna(0).astype(np.int64), side="right")
-        return pd.Series(np.where(empty, 0, at).astype(np.int32))
-
+    def shard_of(keys: pd.Series, digests: pd.Series) -> pd.Series:
+        edges, first, shards = known.value
+        empty = keys.isna().to_numpy()
+        at = np.searchsorted(edges, pd.Series(pd.array(keys, "Int64")).fillna(0).to_numpy(np.int64), side="right")
+        at[empty] = 0
+        # digests are even over their first 32 bits
+        part = digests.map(lambda d: int(d[:8], 16)).to_numpy(np.int64) * shards[at] >> 32
+        return pd.Series((first[at] + part).astype(np.int32))
+
+    # of rows with one key and payload the first in address order is the first record (null addresses are empty)
     first = (light.where(F.col("n") >= revisit_bytes).groupBy("digest")
-             .agg(F.min("key").alias("refers"), F.min_by("url", "key").alias("refers_url"),
+             .agg(F.min("key").alias("refers"),
+                  F.min(F.when(F.col("key").isNotNull(), F.struct("key", "url")))["url"].alias("refers_url"),
                   F.count(F.lit(1)).alias("copies")).where("copies > 1 and refers is not null").drop("copies"))
     marks = (light.select("key", "digest").where("key is not null").join(first, "digest").where("key > refers")
              .select("key", "digest", F.lit(0).alias("mark"), F.lit(None).cast("string").alias("url"),
                      F.lit(None).cast("string").alias("payload"), "refers", "refers_url").distinct())
     whole = rows.select("key", "digest", F.lit(1).alias("mark"), "url", "payload",
                         F.lit(None).cast("long").alias("refers"), F.lit(None).cast("string").alias("refers_url"))
-    dealt = (whole.unionByName(marks).withColumn("shard", shard_of("key"))
-             .repartitionById(len(bounds) + 1, F.col("shard"))
+    dealt = (whole.unionByName(marks).withColumn("shard", shard_of("key", "digest"))
+             .repartitionById(n_shards, F.col("shard"))
              .sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "digest", "mark", "url"))
     made = dealt.mapInArrow(_writer(root, file_bytes, date), MANIFEST)
     made.write.parquet(f"{root.rstrip('/')}/manifest")

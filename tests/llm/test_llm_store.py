@@ -124,3 +124,50 @@ def test_shard_query(spark):
     got = op5_kd_shards(spark, SF).collect()
     check_shards(got, 40)
     assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_key_ranges_cost_one_job_a_level(spark):
+    """Many cells above the target are counted again together, clusters at both ends of the longs too."""
+    low = -(1 << 63)
+    keys = [(low + k, 10) for k in range(300)] + [((1 << 63) - 1 - k, 10) for k in range(300)]
+    keys += [(c * (1 << 40) + k, 10) for c in range(40) for k in range(100)]
+    df = spark.createDataFrame(keys, "key long, n long").cache()
+    calls, plain = [], warc._sums
+    warc._sums = lambda *a: calls.append(len(a[1])) or plain(*a)
+    try:
+        bounds = warc.key_bounds(df, 500)
+    finally:
+        warc._sums = plain
+    edges = [low, *bounds, 1 << 63]
+    held = [sum(n for k, n in keys if a <= k < b) for a, b in zip(edges, edges[1:])]
+    assert sum(held) == 46_000 and max(held) <= 500 and bounds == sorted(set(bounds))
+    assert len(calls) <= 12 and max(calls) >= 40
+
+
+def test_a_hot_key_is_written_by_several_shards(spark):
+    rows = [page(i, "u", prose(i, 30)) for i in range(60)]
+    rows += [page(7, "http://a/%d" % (i % 3), prose(1000 + i, 30)) for i in range(40)]
+    rows += [page(None, "u", prose(2000 + i, 30)) for i in range(40)]
+    rows += [page(70 + i, "u", prose(1000 + i, 30)) for i in range(40)]
+    sums = []
+    for frame in (spark.createDataFrame(rows, PAGES), spark.createDataFrame(rows[::-1], PAGES).repartition(4)):
+        root = common.shared_path(spark, "test-archives")
+        manifest = warc.write_archives(frame, root, shard_bytes=4000, file_bytes=2000).collect()
+        assert len({r.shard for r in manifest if r.first_key == 7 and r.last_key == 7}) >= 3
+        assert len({r.shard for r in manifest if r.last_key is None}) >= 3
+        got = warc.read_archives(spark, root).collect()
+        assert sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got) == \
+            expected_records([(r[0], r[2]) for r in rows])
+        sums.append(sorted((r.name, r.sha256) for r in manifest))
+    assert sums[0] == sums[1]
+
+
+def test_the_first_record_of_tied_keys_does_not_hang_on_the_layout(spark):
+    """Two addresses share the smallest key and the payload: revisits name the first in order."""
+    rows = [page(1, u, "y" * 200) for u in ("http://b", "http://a", None, "http://c")] + [page(2, "u", "y" * 200)]
+    sums = set()
+    for k in range(4):
+        root = common.shared_path(spark, "test-archives")
+        frame = spark.createDataFrame(rows[k:] + rows[:k], PAGES).repartition(k + 1)
+        sums.add(tuple(sorted((r.name, r.sha256) for r in warc.write_archives(frame, root).collect())))
+    assert len(sums) == 1
