@@ -4,7 +4,7 @@ A node that stands for s shards is split where a share floor(s / 2) / s of its
 bytes lies below, along the dimension that is widest in it (width as a part of
 the whole table's), until every leaf stands for one shard and so holds about
 total / shards bytes. Dimensions are numbers from the metadata: source, language
-and checksum; names count by their hash.
+and size; names count by their hash.
 
 The weighted medians of all nodes of a level are found together: rows are summed
 into ``CELLS`` cells a node, the cell that holds the median is cut again. Rows
@@ -39,7 +39,7 @@ CELLS = 1024
 TOLERANCE = 0.001              # of a shard's bytes: a cut this close is taken
 GROUP_TOLERANCE = 0.02         # the same where the cut would part equal texts
 SLOT_BLOCK = 100_000           # rows a slot block holds on average
-DIMENSIONS = ("source_key", "lang_key", "text_crc32")
+DIMENSIONS = ("source_key", "lang_key", "size")
 _WIDE = 1 << 50
 
 
@@ -187,10 +187,11 @@ def grow(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE,
 def with_slots(rows: DataFrame, group: str = "shard", order: str = "id_key", name: str = "slot",
                block_rows: int = SLOT_BLOCK) -> DataFrame:
     """Gapless numbers from 0 inside each ``group``: blocks of hashed ids are numbered
-    apart and moved by the rows of the blocks before."""
+    apart and moved by the rows of the blocks before. An id that many rows share is dealt
+    by the hashes of their texts."""
     total = rows.count()
     n_blocks = max(1, -(-total // block_rows))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(1), F.col(order)), F.lit(n_blocks)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(1), *[F.col(c) for c in (order, "text_key") if c in rows.columns]), F.lit(n_blocks)))
     counts = rows.groupBy(group, "block").agg(F.count(F.lit(1)).alias("n"))
     # a table of groups x blocks rows: one for every block_rows rows of input
     before = Window.partitionBy(group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

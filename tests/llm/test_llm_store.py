@@ -171,3 +171,15 @@ def test_the_first_record_of_tied_keys_does_not_hang_on_the_layout(spark):
         frame = spark.createDataFrame(rows[k:] + rows[:k], PAGES).repartition(k + 1)
         sums.add(tuple(sorted((r.name, r.sha256) for r in warc.write_archives(frame, root).collect())))
     assert len(sums) == 1
+
+
+def test_shards_are_cut_by_size_and_hot_ids_are_numbered_in_blocks(spark):
+    rows = [row(i, prose(i, 5 + i % 200), "en", "s") for i in range(2000)] + [row(None, prose(9000 + i, 20), "en", "s") for i in range(1000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = kdshards.shard_documents(frame, shards=8, block_rows=50).collect()
+    check_shards(got, 8)
+    spans = sorted((min(r.size for r in got if r.shard == s), max(r.size for r in got if r.shard == s)) for s in range(8))
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    plan = kdshards.with_slots(kdshards.light_rows(frame).withColumn("shard", kdshards.F.lit(0)), block_rows=50)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("text_key") >= 1
+    assert sorted(r.slot for r in plan.collect()) == list(range(3000))
