@@ -46,7 +46,9 @@ MIN_LITERAL = 4
 MIN_COVERAGE = 0.5
 BROADCAST_WINDOWS = 200_000
 BROADCAST_HITS = 2_000_000    # ids of documents that go, broadcast at most
-SIEVE_BITS = 1 << 18
+SIEVE_BITS = 1 << 18           # smallest bit map of item window hashes
+SIEVE_MAX = 1 << 24            # largest: beyond a million item windows more document windows pass to the join
+SIEVE_LOAD = 16                # bits of the map for each item window
 NUMBER, QUANTITY, NAME = -1, -2, -3
 
 # fixed values: unit words that may follow a number
@@ -146,13 +148,24 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH, min_literal: int = MI
                         F.col("w.slots").alias("item_slots"), F.col("w.width").alias("width")).distinct()
 
 
-def _sieve(items: DataFrame) -> Column:
-    """A bit map of ``SIEVE_BITS`` bits with the hashes' low bits, as an array constant (fixed size)."""
-    bits = [0] * (SIEVE_BITS // 64)
-    for r in items.select((F.col("hash").bitwiseAND(F.lit(SIEVE_BITS - 1))).alias("b")).distinct().collect():
-        bits[r["b"] >> 6] |= 1 << (r["b"] & 63)
-    text = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in bits)
-    return F.split(F.lit(text), ",").cast("array<bigint>")
+def sieve_bits(n_windows: int) -> int:
+    """Size of the bit map for so many item windows: a power of two of ``SIEVE_LOAD`` bits a window, from
+    ``SIEVE_BITS`` (32 KB) to ``SIEVE_MAX`` (2 MB), so that few other document windows pass."""
+    want = max(1, SIEVE_LOAD * n_windows)
+    return min(SIEVE_MAX, max(SIEVE_BITS, 1 << (want - 1).bit_length()))
+
+
+def _sieve(items: DataFrame) -> tuple[Column, int]:
+    """A bit map with the hashes' low bits, as an array constant, and its size. Words of the map are made in
+    the tasks; at most ``SIEVE_MAX`` / 64 of them reach the driver."""
+    size = sieve_bits(items.count())
+    low = F.col("hash").bitwiseAND(F.lit(size - 1))
+    words = [0] * (size // 64)
+    bit = F.expr("shiftleft(1L, cast(low & 63 as int))")
+    for r in (items.select(low.alias("low")).groupBy(F.shiftright("low", 6).cast("int").alias("word"))
+              .agg(F.bit_or(bit).alias("bits")).collect()):
+        words[r["word"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"), size
 
 
 def document_windows(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -169,9 +182,11 @@ def document_windows(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> D
     by_template, by_wording = _sieve(items.where(F.col("item_slots").isNotNull())), _sieve(worded) if widths else None
 
     def near(hashes, size, sieve, slots):
+        bits, n_bits = sieve
+
         def passes(i):
             h = F.get(hashes, i)
-            word = F.get(sieve, F.shiftright(h.bitwiseAND(F.lit(SIEVE_BITS - 1)), 6).cast("int"))
+            word = F.get(bits, F.shiftright(h.bitwiseAND(F.lit(n_bits - 1)), 6).cast("int"))
             return F.bit_get(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
         def window(i):

@@ -298,3 +298,19 @@ def test_short_items_are_reported_and_drop_nothing(spark):
     got = {(r.doc_id, r.item_id): r.kind for r in decontam.contaminated(docs, items).collect()}
     assert got == {(1, 1): "short", (2, 2): "short", (3, 3): "copy"}
     assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == [1, 2]
+
+
+def test_the_sieve_grows_with_the_item_windows(spark):
+    from pyspark.sql import functions as F
+    assert [decontam.sieve_bits(n) for n in (0, 100, 16_384, 16_385, 200_000, 10_000_000)] == \
+        [1 << 18, 1 << 18, 1 << 18, 1 << 19, 1 << 22, 1 << 24]
+    items = spark.range(40_000).select(F.xxhash64("id").alias("hash"))
+    sieve, size = decontam._sieve(items)
+    assert size == 1 << 20
+
+    def passing(rows):
+        h = F.col("hash").bitwiseAND(F.lit(size - 1))
+        word = F.get(sieve, F.shiftright(h, 6).cast("int"))
+        return rows.where(F.bit_get(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1).count()
+    assert passing(items) == 40_000
+    assert passing(spark.range(1_000_000, 1_040_000).select(F.xxhash64("id").alias("hash"))) < 2_400
