@@ -94,9 +94,12 @@ def _terms_udf():
     @F.pandas_udf("struct<terms:array<int>,words:array<int>>")
     def terms(parts: pd.Series) -> pd.DataFrame:
         cache = HashCache(buckets_of)
-        found = [[cache[w] for w in set(words_of(t))] for t in parts]
-        return pd.DataFrame({"terms": [sorted(set().union(*f)) for f in found],
-                             "words": [sorted({b[0] for b in f}) for f in found]})
+        terms, words = [], []
+        for t in parts:
+            found = list(map(cache.__getitem__, set(words_of(t))))
+            terms.append(np.array(sorted(set().union(*found)), np.int32))
+            words.append(np.array(sorted({b[0] for b in found}), np.int32))
+        return pd.DataFrame({"terms": terms, "words": words})
     return terms
 
 
@@ -110,14 +113,13 @@ def term_counts(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Da
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).join(side, "doc_id").select("y", "u", "text")
 
     def count(batches):
-        cache = HashCache(lambda w: np.array(buckets_of(w), np.int64))
+        cache = HashCache(buckets_of)
         total = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
             y, u = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for i, text in enumerate(batch.column(2)):
-                words = set(words_of(text.as_py()))
-                if words:
-                    total[y[i], np.unique(np.concatenate([cache[w] for w in words]))] += u[i]
+                found = set().union(*map(cache.__getitem__, set(words_of(text.as_py()))))
+                total[y[i], np.fromiter(found, np.int64, len(found))] += u[i]
         t = np.flatnonzero(total.any(axis=0))
         yield pa.record_batch({"t": pa.array(t, pa.int32()), "b": pa.array(total[0, t]), "a": pa.array(total[1, t])})
     return (texts.mapInArrow(count, "t int, b long, a long").groupBy("t")
@@ -167,7 +169,7 @@ def _sample_of(rows: DataFrame, field: str, ids: list[int]) -> tuple[Sample, np.
     lists = got["s"].combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
     size = np.asarray(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-    return (Sample(np.r_[0, np.cumsum(size)], lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), len(ids)),
+    return (Sample(np.r_[0, np.cumsum(size)], lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), len(ids)),
             got["y"].to_numpy().astype(np.float32))
 
 
@@ -196,7 +198,7 @@ def telling_pairs(rows: DataFrame, machine_of_rows: np.ndarray) -> list[tuple[in
                    .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 4 * MIN_VARIANCE).collect())
     sample, y = _sample_of(rows, "words", words)
     order = np.argsort(sample.at, kind="stable")
-    row = np.repeat(np.arange(len(sample)), np.diff(sample.start))[order]
+    row = np.repeat(np.arange(len(sample), dtype=np.int32), np.diff(sample.start))[order]
     holders = (np.r_[0, np.cumsum(np.bincount(sample.at, minlength=len(words)))], row)
     p = machine_of_rows
     # the sample's terms and labels: bounded by its rows, 2 * max_per_class at most
