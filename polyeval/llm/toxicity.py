@@ -49,6 +49,7 @@ MIN_CHI2 = 10.83               # 0.1 % point of chi-square with one degree of fr
 MIN_PAIR_CHI2 = 43.0           # the same for pairs: below one false pair in 10^10
 MIN_VARIANCE = 3.0             # label variance of a pair's rows from which the test's approximation holds
 PAIR_BLOCK = 64                # words whose pairs one task tests at once
+ROWS_AT_ONCE = 500             # rows of one word whose other words are counted at once
 BROADCAST_LABELS = 2_000_000   # labelled ids (24 bytes each) sent to every task at most; more are joined by a shuffle
 UNIT = 1 << 20                 # weight of an id in the counts, dealt over its rows
 STEMS = (4, 5, 6)
@@ -177,11 +178,13 @@ def _block_pairs(sample: Sample, holders: tuple, resid: np.ndarray, var: np.ndar
     """Pairs (t, u), t in [first, stop) and u > t, whose rows depart from the fitted labels: (t, u, step)."""
     start, row = holders                               # slot -> its rows
     for t in range(first, stop):
-        mine = row[start[t]:start[t + 1]]
-        size = sample.start[mine + 1] - sample.start[mine]
-        other = sample.at[np.repeat(sample.start[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        v = np.bincount(other, np.repeat(var[mine], size), sample.width)
-        r = np.bincount(other, np.repeat(resid[mine], size), sample.width)
+        v, r = np.zeros(sample.width), np.zeros(sample.width)
+        for s in range(start[t], start[t + 1], ROWS_AT_ONCE):
+            mine = row[s:min(s + ROWS_AT_ONCE, start[t + 1])]
+            size = sample.start[mine + 1] - sample.start[mine]
+            other = sample.at[np.repeat(sample.start[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            v += np.bincount(other, np.repeat(var[mine], size), sample.width)
+            r += np.bincount(other, np.repeat(resid[mine], size), sample.width)
         v[:t + 1] = 0
         for u in np.flatnonzero((v >= MIN_VARIANCE) & (r ** 2 > MIN_PAIR_CHI2 * v)):
             yield t, int(u), float(r[u] / v[u])
