@@ -76,14 +76,14 @@ def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
 
 
 class HashCache(dict):
-    """word -> value of ``make``; emptied when it holds ``CACHE_WORDS`` entries."""
+    """word -> value of ``make``; emptied when it holds ``limit`` entries."""
 
-    def __init__(self, make):
+    def __init__(self, make, limit: int = CACHE_WORDS):
         super().__init__()
-        self.make = make
+        self.make, self.limit = make, limit
 
     def __missing__(self, key):
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.limit:
             self.clear()
         value = self[key] = self.make(key)
         return value

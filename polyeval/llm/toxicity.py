@@ -50,6 +50,7 @@ MIN_PAIR_CHI2 = 43.0           # the same for pairs: below one false pair in 10^
 MIN_VARIANCE = 3.0             # label variance of a pair's rows from which the test's approximation holds
 PAIR_BLOCK = 64                # words whose pairs one task tests at once
 ROWS_AT_ONCE = 500             # rows of one word whose other words are counted at once
+CACHE_WORDS = 100_000          # words a task keeps the buckets of, about 350 bytes each
 BROADCAST_LABELS = 2_000_000   # labelled ids (24 bytes each) sent to every task at most; more are joined by a shuffle
 UNIT = 1 << 20                 # weight of an id in the counts, dealt over its rows
 STEMS = (4, 5, 6)
@@ -77,7 +78,8 @@ class Machine:
     def scorer(self):
         slot, w, v = self.slot, self.weight, self.factor
         v2 = (v ** 2).sum(axis=1)
-        cache = HashCache(lambda word: tuple(s for s in (int(slot[b]) for b in buckets_of(word)) if s >= 0))
+        cache = HashCache(lambda word: tuple(s for s in (int(slot[b]) for b in buckets_of(word)) if s >= 0),
+                          CACHE_WORDS)
 
         def score(text: str | None) -> float:
             found: set[int] = set()
@@ -94,7 +96,7 @@ class Machine:
 def _terms_udf():
     @F.pandas_udf("struct<terms:array<int>,words:array<int>>")
     def terms(parts: pd.Series) -> pd.DataFrame:
-        cache = HashCache(buckets_of)
+        cache = HashCache(buckets_of, CACHE_WORDS)
         terms, words = [], []
         for t in parts:
             found = list(map(cache.__getitem__, set(words_of(t))))
@@ -114,7 +116,7 @@ def term_counts(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Da
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).join(side, "doc_id").select("y", "u", "text")
 
     def count(batches):
-        cache = HashCache(buckets_of)
+        cache = HashCache(buckets_of, CACHE_WORDS)
         total = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
             y, u = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
