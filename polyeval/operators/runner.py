@@ -1,10 +1,12 @@
 """Model runners.
 
-A user callable (chat model, judge, translator) is run by ``mapInPandas``
+A user callable (chat model, judge, translator) is run by ``mapInArrow``
 over the input's partitions (or ``partitions`` hash-spread ones); each task
 keeps a small thread pool of calls in flight, retries with back-off, and
 returns one output row per input row (never loses a row). The last error
-stays set even after a later success (``ok`` tells success apart).
+stays set even after a later success (``ok`` tells success apart). Only the
+inputs of the calls become Python values, a bounded part of a batch at a time;
+the other columns stay in Arrow.
 
 Remote calls are not repeatable for free: the result is checkpointed into
 the shared checkpoint folder (``materialize``) before it is used twice, so
@@ -107,6 +109,22 @@ RUN_FIELDS = [T.StructField("response", T.StringType()), T.StructField("error",
               T.StructField("ok", T.BooleanType())]
 
 
+# input values of one round of calls: as many rows as fit, at least one
+PART_ROWS, PART_BYTES = 512, 4 << 20
+
+
+def _parts(batch, inputs: list[str]):
+    """Views of an Arrow batch, each of at most ``PART_ROWS`` rows and about ``PART_BYTES`` of inputs."""
+    todo = [batch]
+    while todo:
+        part = todo.pop()
+        n = part.num_rows
+        if n > 1 and (n > PART_ROWS or sum(part.column(c).nbytes for c in inputs) > PART_BYTES):
+            todo += [part.slice(n // 2), part.slice(0, n // 2)]
+        elif n:
+            yield part
+
+
 def _stable_int(x) -> int:
     return int(hashlib.blake2b(str(x).encode(), digest_size=4).hexdigest(), 16)
 
@@ -150,7 +168,7 @@ def batch_infer(df: DataFrame, fn: Callable[..., str], inputs: list[str], key: s
         return None, err, attempts, clk() - t0, False
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
         from pyspark import TaskContext
         turns = None if calls_per_minute is None else SlotSchedule(
             calls_per_minute, TaskContext.get().partitionId(), lanes, clock=clk, sleep=slp)
@@ -159,17 +177,17 @@ def batch_infer(df: DataFrame, fn: Callable[..., str], inputs: list[str], key: s
             return call(*args_k, turns)
 
         with ThreadPoolExecutor(max_workers=concurrency) as pool:
-            for pdf in batches:
-                rows = list(zip(*[pdf[c] for c in inputs])) if len(pdf) else []
-                keys = list(pdf[key]) if len(pdf) else []
-                res = list(pool.map(one, zip(rows, keys)))
-                out = pdf.reset_index(drop=True)
-                out["response"] = pd.Series([r[0] for r in res], dtype=object)
-                out["error"] = pd.Series([r[1] for r in res], dtype=object)
-                out["attempts"] = pd.Series([r[2] for r in res], dtype="int32")
-                out["duration"] = pd.Series([float(r[3]) for r in res], dtype="float64")
-                out["ok"] = pd.Series([bool(r[4]) for r in res], dtype=bool)
-                yield out
+            for batch in batches:
+                for part in _parts(batch, inputs):
+                    cols = {c: part.column(c).to_pandas().tolist() for c in {*inputs, key}}
+                    res = list(pool.map(one, zip(zip(*[cols[c] for c in inputs]), cols[key])))
+                    # the input's own columns go back as they came
+                    yield pa.RecordBatch.from_arrays(
+                        part.columns + [pa.array(r, t) for r, t in zip(zip(*res), run_types())], names=schema.names)
+
+    def run_types():
+        import pyarrow as pa
+        return [pa.string(), pa.string(), pa.int32(), pa.float64(), pa.bool_()]
 
     if partitions:
         # by a hash of the whole request, so one hot key (a long conversation,
@@ -178,7 +196,7 @@ def batch_infer(df: DataFrame, fn: Callable[..., str], inputs: list[str], key: s
         # lanes are partition numbers: they must not be joined or split afterwards
         df = (df.repartition(partitions, spread) if calls_per_minute is None
               else df.repartitionById(lanes, F.pmod(spread, F.lit(lanes)).cast("int")))
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def materialize(df: DataFrame) -> DataFrame:
