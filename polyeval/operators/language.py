@@ -8,8 +8,8 @@ rows a language, whatever the corpus.
 
 ``detect`` explodes the n-grams of the words of each text, looks them up in the
 profile table (bounded by ``top``, so it may be broadcast) and adds up the
-weights; the partial aggregation leaves one row a text and language before the
-only shuffle. The language with the largest sum wins (ties: the smaller name);
+weights, a column a language; the partial aggregation leaves one row a text
+before the only shuffle. The language with the largest sum wins (ties: the smaller name);
 a text without any known n-gram is ``und``.
 """
 
@@ -60,12 +60,12 @@ def detect(df: DataFrame, profiles: DataFrame, key: str, text: str, n: int = GRA
     if not langs:
         return ids.withColumn(out, F.lit("und"))
     of_gram = profiles.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "weight"))).alias("weights"))
-    rows = of_gram.select("gram", F.array(*[F.struct(
-        F.lit(name).alias("lang"), F.coalesce(F.try_element_at("weights", F.lit(name)), F.lit(unseen)).alias("w"))
-        for name, unseen in langs]).alias("of"))
+    rows = of_gram.select("gram", F.array(*[
+        F.coalesce(F.try_element_at("weights", F.lit(name)), F.lit(unseen)) for name, unseen in langs]).alias("of"))
     seen = (df.select(F.col(key).alias(key), F.explode(words(text)).alias("_w"))
             .select(key, F.explode(grams("_w", n)).alias("gram")).join(F.broadcast(rows), "gram")
-            .select(key, F.explode("of").alias("_l")).groupBy(key, "_l.lang").agg(F.sum("_l.w").alias("_s")))
-    best = seen.groupBy(key).agg(F.min(F.struct((-F.col("_s")).alias("s"), "lang")).alias("_b"))
-    b = best.select(F.col(key).alias("_k"), F.col("_b.lang").alias("_lang"))
+            .groupBy(key).agg(*[F.sum(F.col("of")[i]).alias(f"_s{i}") for i in range(len(langs))]))
+    best = F.array_min(F.array(*[F.struct((-F.col(f"_s{i}")).alias("s"), F.lit(name).alias("lang"))
+                                 for i, (name, _) in enumerate(langs)]))
+    b = seen.select(F.col(key).alias("_k"), best["lang"].alias("_lang"))
     return ids.join(b, ids[key].eqNullSafe(b["_k"]), "left").select(key, F.coalesce("_lang", F.lit("und")).alias(out))

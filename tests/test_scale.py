@@ -1,5 +1,6 @@
 """Steps whose cost must not grow faster than their input."""
 
+from polyeval.operators import language as LG
 from polyeval.operators import runner as RN
 
 
@@ -26,3 +27,14 @@ def test_columns_beside_the_inputs_stay_in_arrow(spark):
     assert [tuple(r) for r in out.select("k", "t", "l", "b", "response", "attempts", "ok").collect()] == [
         (1, "a", [1, None], None, "A", 1, True), (None, None, None, bytearray(b"\x00"), None, 1, False),
         (1, "a", [], None, "A", 1, True)]
+
+
+def test_detection_has_one_sum_a_text(spark):
+    """No row a gram and language: the text's grams are added up by columns."""
+    profiles = spark.createDataFrame([("a", "_x_", -1, -9), ("b", "_y_", -2, -9), ("c", "_x_", -1, -9)],
+                                     "lang string, gram string, weight long, unseen long")
+    df = spark.createDataFrame([(1, "x x"), (1, "y"), (2, "y"), (3, None), (4, "zz"), (None, "y y"), (None, "x")], "id int, t string")
+    got = LG.detect(df, profiles, "id", "t")
+    assert _plan(got).count("Generate explode") == 2
+    # 1: a -11, b -20, c -11 (a tie: the smaller name); null ids are one text
+    assert {tuple(r) for r in got.collect()} == {(1, "a"), (2, "b"), (3, "und"), (4, "und"), (None, "b")}
