@@ -1,10 +1,9 @@
 """Token counts of a byte-pair tokenizer whose merges are data.
 
 The merge table (rank, left, right) comes from the user's tokenizer. A word's
-tokens depend on the word alone, so every distinct word of the corpus is merged
-once: distinct words by partial aggregation, merged in Arrow batches, and the
-counts joined back. The word table has one short row a distinct word; the join
-is left to adaptive execution, which broadcasts it only when it is small.
+tokens depend on the word alone, so every distinct word of an Arrow batch is
+merged once and its count kept for the task's next batches; only one row a key
+is shuffled, however many words the texts have.
 """
 
 from __future__ import annotations
@@ -12,12 +11,14 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from polyeval.functions.text import WORD_CHAR
-from polyeval.session import ensure_checkpoint_dir, scratch_path, ship_package
+from polyeval.session import ensure_checkpoint_dir, ship_package
 
 WORDS = rf"{WORD_CHAR}+|[^\p{{L}}\p{{N}}_\s]"
 
@@ -49,9 +50,12 @@ def merge_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return [s for s in sym if s is not None]
 
 
-def word_tokens(words: DataFrame, merges: DataFrame) -> DataFrame:
-    """(word, tokens) of a frame of distinct words. The merge table of a tokenizer (bounded by its
-    vocabulary) goes to every task."""
+CACHE_WORDS, CACHE_CHARS = 200_000, 64    # words whose token counts a task keeps, and their length
+
+
+def _row_tokens(words: DataFrame, merges: DataFrame, out: str) -> DataFrame:
+    """(key, ``out``) of a frame (key, words): tokens of every row's words. The merge table of a tokenizer
+    (bounded by its vocabulary) goes to every task."""
     spark = words.sparkSession
     ensure_checkpoint_dir(spark)
     ship_package(spark)
@@ -62,11 +66,27 @@ def word_tokens(words: DataFrame, merges: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
+        known: dict[str, int] = {}
         for batch in batches:
-            word = batch.column(0)
-            yield pa.record_batch({"word": word, "tokens": pa.array([len(merge_word(w, table)) for w in word.to_pylist()], pa.int64())})
-
-    return words.select("word").mapInArrow(count, "word string, tokens long")
+            lists = batch.column(1)
+            coded = lists.flatten().dictionary_encode()
+            tokens = np.empty(len(coded.dictionary), np.int64)
+            for i, word in enumerate(coded.dictionary.to_pylist()):
+                n = known.get(word)
+                if n is None:
+                    n = len(merge_word(word, table))
+                    if len(known) >= CACHE_WORDS:
+                        known.clear()
+                    if len(word) <= CACHE_CHARS:
+                        known[word] = n
+                tokens[i] = n
+            upto = np.concatenate([[0], np.cumsum(tokens[coded.indices.to_numpy()])])
+            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(upto[at[1:]] - upto[at[:-1]], pa.int64())],
+                                             names=schema.names)
+
+    schema = T.StructType([words.schema[0], T.StructField(out, T.LongType())])
+    return words.mapInArrow(count, schema)
 
 
 def _words(text) -> Column:
@@ -75,13 +95,6 @@ def _words(text) -> Column:
 
 def count_tokens(df: DataFrame, text: str, merges: DataFrame, key: str, out: str = "bpe") -> DataFrame:
     """(key, ``out``): tokens of every row's text; rows of one key are added up, a text without words has none."""
-    spark = df.sparkSession
-    # counted within the row's task before anything is shuffled
-    pairs = df.select(F.col(key).alias(key), F.explode(_words(text)).alias("word")).groupBy(key, "word").agg(
-        F.count(F.lit(1)).alias("n"))
-    path = scratch_path(spark, "bpe-words")
-    word_tokens(pairs.select("word").distinct(), merges).write.parquet(path)
-    sums = pairs.join(spark.read.parquet(path), "word").groupBy(key).agg(F.sum(F.col("n") * F.col("tokens")).alias(out))
-    ids = df.select(F.col(key).alias(key)).distinct()
-    s = sums.withColumnRenamed(key, "_k")
-    return ids.join(s, ids[key].eqNullSafe(s["_k"]), "left").select(key, F.coalesce(out, F.lit(0)).alias(out))
+    rows = _row_tokens(df.select(F.col(key).alias(key), _words(text).alias("_words")), merges, out)
+    # rows of one key are added up within their task before the only shuffle
+    return rows.groupBy(key).agg(F.sum(out).alias(out))

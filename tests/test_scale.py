@@ -1,5 +1,6 @@
 """Steps whose cost must not grow faster than their input."""
 
+from polyeval.operators import bpe as BPE
 from polyeval.operators import language as LG
 from polyeval.operators import runner as RN
 
@@ -38,3 +39,13 @@ def test_detection_has_one_sum_a_text(spark):
     assert _plan(got).count("Generate explode") == 2
     # 1: a -11, b -20, c -11 (a tie: the smaller name); null ids are one text
     assert {tuple(r) for r in got.collect()} == {(1, "a"), (2, "b"), (3, "und"), (4, "und"), (None, "b")}
+
+
+def test_token_counts_shuffle_no_words(spark):
+    merges = spark.createDataFrame([(0, "t", "h"), (1, "th", "e")], "rank int, left string, right string")
+    df = spark.createDataFrame([(1, "the the, he"), (1, "the"), (2, ""), (3, None), (None, "he")], "id int, t string")
+    got = BPE.count_tokens(df.coalesce(1), "t", merges, "id")
+    plan = _plan(got)
+    assert plan.count("Aggregate") == 1 and "Join" not in plan and "Generate" not in plan
+    assert {tuple(r) for r in got.collect()} == {(1, 6), (2, 0), (3, 0), (None, 2)}
+    assert got.schema.simpleString() == "struct<id:int,bpe:bigint>"
