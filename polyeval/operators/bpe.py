@@ -1,8 +1,8 @@
 """Token counts of a byte-pair tokenizer whose merges are data.
 
 The merge table (rank, left, right) comes from the user's tokenizer. A word's
-tokens depend on the word alone, so every distinct word of an Arrow batch is
-merged once and its count kept for the task's next batches; only one row a key
+tokens depend on the word alone, so every distinct word of a part of an Arrow
+batch is merged once and its count kept for the task's next parts; only one row a key
 is shuffled, however many words the texts have.
 """
 
@@ -51,6 +51,7 @@ def merge_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
 
 
 CACHE_WORDS, CACHE_CHARS = 200_000, 64    # words whose token counts a task keeps, and their length
+PART_ROWS = 512                          # rows counted at a time
 
 
 def _row_tokens(words: DataFrame, merges: DataFrame, out: str) -> DataFrame:
@@ -67,8 +68,8 @@ def _row_tokens(words: DataFrame, merges: DataFrame, out: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         known: dict[str, int] = {}
-        for batch in batches:
-            lists = batch.column(1)
+        for part in (b.slice(i, PART_ROWS) for b in batches for i in range(0, b.num_rows, PART_ROWS)):
+            lists = part.column(1)
             coded = lists.flatten().dictionary_encode()
             tokens = np.empty(len(coded.dictionary), np.int64)
             for i, word in enumerate(coded.dictionary.to_pylist()):
@@ -82,7 +83,7 @@ def _row_tokens(words: DataFrame, merges: DataFrame, out: str) -> DataFrame:
                 tokens[i] = n
             upto = np.concatenate([[0], np.cumsum(tokens[coded.indices.to_numpy()])])
             at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(upto[at[1:]] - upto[at[:-1]], pa.int64())],
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(upto[at[1:]] - upto[at[:-1]], pa.int64())],
                                              names=schema.names)
 
     schema = T.StructType([words.schema[0], T.StructField(out, T.LongType())])
