@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyeval.functions.text import (BANGLA_DIGITS, LATIN_DIGITS, WORD_CHAR, WS_CLASS, bind,
+from polyeval.functions.text import (BANGLA_DIGITS, LATIN_DIGITS, WORD_CHAR, WS_JAVA, bind,
                                      normalize_whitespace, parse_json_strict)
 
 # ---------------------------------------------------------------------------
@@ -97,26 +97,26 @@ def r3(t: Column) -> Column:
     """remove single quotes next to double quotes"""
     t = F.regexp_replace(t, "(?<=\")'", "")
     t = F.regexp_replace(t, "'(?=\")", "")
-    t = F.regexp_replace(t, r"(?<!\\)'" + WS_CLASS + r"*(?=\\\")", "")
+    t = F.regexp_replace(t, r"(?<!\\)'" + WS_JAVA + r"*(?=\\\")", "")
     return F.regexp_replace(t, r"(?<=\\\")'", "")
 
 
 def r4(t: Column) -> Column:
     """unquote arrays: ``"k": "[...]"`` -> ``"k": [...]``"""
-    return F.regexp_replace(t, rf'("{WORD_CHAR}+":){WS_CLASS}*"(\[(?d:.)*?\])"', "$1 $2")
+    return F.regexp_replace(t, rf'("{WORD_CHAR}+":){WS_JAVA}*"(\[(?d:.)*?\])"', "$1 $2")
 
 
 def r5(t: Column) -> Column:
     """quote bare values (numbers, booleans and null become text)"""
-    return F.regexp_replace(t, rf'{WS_CLASS}*("{WORD_CHAR}+"):{WS_CLASS}*({WORD_CHAR}+)', ' $1: "$2"')
+    return F.regexp_replace(t, rf'{WS_JAVA}*("{WORD_CHAR}+"):{WS_JAVA}*({WORD_CHAR}+)', ' $1: "$2"')
 
 
 # What a `"key": "value"` member looks like to the question and
 # sentence sets ("text") and to the task and maths sets ("task"). The key of the
 # first is a string token (its loop is possessive, so that long texts need no stack).
 MEMBER_PATTERNS = {
-    "text": rf'(?s)("(?:[^"\\]|\\.)*+"){WS_CLASS}*:{WS_CLASS}*"(.*?)(?<!\\)"(?={WS_CLASS}*[,\n}}])',
-    "task": rf'(?s)("[^"]+"){WS_CLASS}*:{WS_CLASS}*"(.*?)"(?={WS_CLASS}*[,\n}}])',
+    "text": rf'(?s)("(?:[^"\\]|\\.)*+"){WS_JAVA}*:{WS_JAVA}*"(.*?)(?<!\\)"(?={WS_JAVA}*[,\n}}])',
+    "task": rf'(?s)("[^"]+"){WS_JAVA}*:{WS_JAVA}*"(.*?)"(?={WS_JAVA}*[,\n}}])',
 }
 
 
@@ -152,8 +152,8 @@ def r6(t: Column) -> Column:
 def r7(t: Column, keys: list[str]) -> Column:
     """insert a comma between consecutive known keys; collapse ``,,``"""
     for a, b in zip(keys, keys[1:]):
-        t = F.regexp_replace(t, rf'(?d)("{a}":.*?)(?={WS_CLASS}*?"{b}":)(?!,)', "$1, ")
-    return F.regexp_replace(t, rf",{WS_CLASS}*,", ",")
+        t = F.regexp_replace(t, rf'(?d)("{a}":.*?)(?={WS_JAVA}*?"{b}":)(?!,)', "$1, ")
+    return F.regexp_replace(t, rf",{WS_JAVA}*,", ",")
 
 
 def r8(t: Column, kind: str = "text") -> Column:
@@ -188,7 +188,7 @@ def r9(t: Column, rules: list[int] | None = None) -> Column:
 
 def r10(t: Column) -> Column:
     """drop commas before a closing bracket"""
-    return F.regexp_replace(t, rf",{WS_CLASS}*([}}\]])", "$1")
+    return F.regexp_replace(t, rf",{WS_JAVA}*([}}\]])", "$1")
 
 
 def r11(t: Column) -> Column:
@@ -203,12 +203,12 @@ def r12(t: Column) -> Column:
 
 def r13(t: Column) -> Column:
     """blank label: ``"label": ,`` gets ``""``"""
-    return F.regexp_replace(t, rf'"label":{WS_CLASS}*,', '"label": "",')
+    return F.regexp_replace(t, rf'"label":{WS_JAVA}*,', '"label": "",')
 
 
 def r14(t: Column) -> Column:
     """stray ``}`` before ``, "response"``"""
-    return F.regexp_replace(t, rf'\}}{WS_CLASS}*(,{WS_CLASS}*"response")', "$1")
+    return F.regexp_replace(t, rf'\}}{WS_JAVA}*(,{WS_JAVA}*"response")', "$1")
 
 
 # ---------------------------------------------------------------------------
