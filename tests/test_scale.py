@@ -49,3 +49,19 @@ def test_token_counts_shuffle_no_words(spark):
     assert plan.count("Aggregate") == 1 and "Join" not in plan and "Generate" not in plan
     assert {tuple(r) for r in got.collect()} == {(1, 6), (2, 0), (3, 0), (None, 2)}
     assert got.schema.simpleString() == "struct<id:int,bpe:bigint>"
+
+
+def test_blanks_of_the_fast_class_are_the_blanks_of_the_rules(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from polyeval.functions import text as X
+    codes = spark.range(1, 0x11000).where("id NOT BETWEEN 55296 AND 57343").withColumn(
+        "c", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"))
+    blank = {r["id"] for r in codes.where(F.col("c").rlike(X.WS_JAVA)).collect()}
+    assert blank == {ord(c) for c in X.WS_CHARS}
+    df = spark.createDataFrame([("\u2003{ a \x85:\t b\u3000\u3000,\x1cc } \u200b d ",)], "t string")
+    assert df.select(X.normalize_whitespace("t", "c")).first()[0] == "{a:b,c}\u200b d"
+    # no range test a character for the blanks below 0x100
+    assert not re.search(r"\\x\{?[0-9A-F]{1,2}\}?-", X.WS_JAVA)
