@@ -102,9 +102,8 @@ def q_upsert_stored(spark, sf):
     """Corrections (each given twice, the later one counts) go into the files that hold them; the rest stays."""
     path = scratch_path(spark, "stored")
     d = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("quality"))
-    file_no = F.floor(F.col("doc_id") / F.lit(FILE_IDS)).cast("int")
-    n = d.agg(F.max(file_no)).first()[0] + 1
-    UP.create(d.repartitionById(n, file_no), path)
+    # rows without an id go into the first file
+    UP.create(d, path, by=F.coalesce(F.floor(F.col("doc_id") / F.lit(FILE_IDS)), F.lit(0)))
     lab = table(spark, sf, "labels").where("toxic = 1").select("doc_id", "quality")
     twice = lab.withColumn("seq", F.lit(2)).unionByName(lab.select("doc_id", (1 - F.col("quality")).alias("quality"), F.lit(1).alias("seq")))
     done = UP.upsert(spark, path, twice, "doc_id", ["quality"], order="seq")
