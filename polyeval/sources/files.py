@@ -102,13 +102,26 @@ def _rel_path(col: str, base: str):
     return F.when(p.startswith(b + "/"), p.substr(len(b) + 2, 1 << 30)).otherwise(p)
 
 
+def _whole_files(spark: SparkSession, folder: str, glob: str, recursive: bool = False) -> DataFrame:
+    """Every file whose name matches ``glob`` as one row: ``_path`` and the whole text ``value``.
+    The text reader sets up its compression codecs anew for each file, most of the time of a
+    small one; names that end in .json or .txt have none and are read as bytes."""
+    r = spark.read.option("pathGlobFilter", glob)
+    if recursive:
+        r = r.option("recursiveFileLookup", True)
+    if glob.endswith((".json", ".txt")):
+        d = r.format("binaryFile").load(folder).withColumn("value", F.col("content").cast("string"))
+    else:
+        d = r.text(folder, wholetext=True)
+    return d.select(F.col("_metadata.file_path").alias("_path"), "value")
+
+
 def scan_result_tree(spark: SparkSession, base: str, avoid: list[str] = (), glob: str = "*.txt") -> DataFrame:
     """A5: every file below ``base`` (whole text) with its path relative to
     ``base``; files under a folder whose name contains an avoid string are
     dropped by a filter on the file path, before any content is parsed."""
-    d = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-         .text(base, wholetext=True)
-         .select(_rel_path("_metadata.file_path", base).alias("path"), F.col("value").alias("content")))
+    d = (_whole_files(spark, base, glob, recursive=True)
+         .select(_rel_path("_path", base).alias("path"), F.col("value").alias("content")))
     folders = F.split(F.regexp_replace(F.col("path"), "/[^/]*$", ""), "/")
     for a in avoid:
         d = d.where(~F.exists(folders, lambda f: f.contains(a)))
@@ -118,9 +131,8 @@ def scan_result_tree(spark: SparkSession, base: str, avoid: list[str] = (), glob
 def scan_response_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """One JSON file per request named ``response_{idx}.json``; a file
     that does not parse gives a null record."""
-    d = (spark.read.option("pathGlobFilter", "response_*.json").text(folder, wholetext=True)
-         .select(F.regexp_extract(F.col("_metadata.file_path"), r"response_(\d+)\.json$", 1).cast("bigint")
-                 .alias("idx"), F.col("value")))
+    d = _whole_files(spark, folder, "response_*.json").select(
+        F.regexp_extract("_path", r"response_(\d+)\.json$", 1).cast("bigint").alias("idx"), "value")
     return d.select("idx", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("record"),
                     F.col("value").alias("raw"))
 
@@ -150,8 +162,7 @@ def combine_numbered_files(spark: SparkSession, folder: str, schema: T.StructTyp
     number in the file name (no number sorts last); files that do not parse
     are returned separately (reported and skipped)."""
     full = T.StructType(list(schema.fields) + [T.StructField("_corrupt_record", T.StringType())])
-    d = (spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
-         .select(F.regexp_replace(F.col("_metadata.file_path"), "^.*/", "").alias("file"), "value"))
+    d = _whole_files(spark, folder, glob).select(F.regexp_replace("_path", "^.*/", "").alias("file"), "value")
     num = F.regexp_extract("file", r"(\d+)", 1)
     d = d.withColumn("file_number", F.when(num != "", num.cast("long"))) \
         .withColumn("_r", F.from_json("value", full, {"mode": "PERMISSIVE",
